@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logspark.llm import bpe, chat, mpegts, repetition, separators, warc
+from logspark.llm import bpe, chat, mixing, mpegts, repetition, separators, simhash, warc
 from logspark.llm.common import shared_dir
 
 #: Paths of vocabularies are parameters; this one is the queries'.
@@ -20,6 +20,16 @@ def _vocabulary() -> bytes:
     return bpe.read_vocabulary(public_tokenizers.path(VOCABULARY))
 
 
+def op1_pivotal_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op2_simhash_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return simhash.near_duplicates(docs, n=4, radius=4)
+
+
 def op3_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     m = repetition.verdict(repetition.measure(docs))
@@ -61,7 +71,7 @@ def op10_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return written.join(counts, ["file", "ordinal"]).select("doc_id", "file", "ordinal", "start_token", "n_tokens")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_repetition_rules, op4_warc_archives, op5_chat_parts, op7_transport_streams, op9_byte_bpe, op10_separator_scan)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pivotal_mix, op2_simhash_trees, op3_repetition_rules, op4_warc_archives, op5_chat_parts, op7_transport_streams, op9_byte_bpe, op10_separator_scan)}
 
 _WORDS = "list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
 
