@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logspark.llm import bpe, chat, mixing, mpegts, repetition, separators, simhash, warc
+from logspark.llm import bpe, chat, mixing, mpegts, repetition, separators, simhash, substrings, warc
 from logspark.llm.common import shared_dir
 
 #: Paths of vocabularies are parameters; this one is the queries'.
@@ -57,6 +57,11 @@ def op7_transport_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mpegts.read_media(stored, ["doc_id", "n_bytes"]).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
 
 
+def op8_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return substrings.remove_repeats(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return bpe.round_trip_digests(docs, _vocabulary(), public_tokenizers.PATTERN)
@@ -71,7 +76,7 @@ def op10_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return written.join(counts, ["file", "ordinal"]).select("doc_id", "file", "ordinal", "start_token", "n_tokens")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pivotal_mix, op2_simhash_trees, op3_repetition_rules, op4_warc_archives, op5_chat_parts, op7_transport_streams, op9_byte_bpe, op10_separator_scan)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pivotal_mix, op2_simhash_trees, op3_repetition_rules, op4_warc_archives, op5_chat_parts, op7_transport_streams, op8_repeated_bytes, op9_byte_bpe, op10_separator_scan)}
 
 _WORDS = "list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
 
