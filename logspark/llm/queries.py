@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logspark.llm import bpe, chat, mixing, mpegts, repetition, separators, simhash, substrings, warc
+from logspark.llm import bpe, chat, lines, mixing, mpegts, repetition, separators, simhash, substrings, warc
 from logspark.llm.common import shared_dir
 
 #: Paths of vocabularies are parameters; this one is the queries'.
@@ -51,6 +51,12 @@ def op5_chat_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_turns(turns))
 
 
+def op6_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of each document that go; documents without a line that takes part aren't listed."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return lines.repeated_lines(docs).select(F.col("doc").alias("doc_id"), "n_lines", F.size("removed").cast("long").alias("n_removed"), "removed")
+
+
 def op7_transport_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     stored = mpegts.pack_media(mpegts.padded_texts(docs, "doc_id", "text")).drop("payload")
@@ -76,7 +82,7 @@ def op10_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return written.join(counts, ["file", "ordinal"]).select("doc_id", "file", "ordinal", "start_token", "n_tokens")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pivotal_mix, op2_simhash_trees, op3_repetition_rules, op4_warc_archives, op5_chat_parts, op7_transport_streams, op8_repeated_bytes, op9_byte_bpe, op10_separator_scan)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pivotal_mix, op2_simhash_trees, op3_repetition_rules, op4_warc_archives, op5_chat_parts, op6_fuzzy_lines, op7_transport_streams, op8_repeated_bytes, op9_byte_bpe, op10_separator_scan)}
 
 _WORDS = "list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
 
