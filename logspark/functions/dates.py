@@ -17,15 +17,20 @@ def _instant(c: Column) -> Column:
     return F.when(c.rlike(_RFC3339), F.try_to_timestamp(F.concat(_part(c, 1), zone)))
 
 
+def _since_epoch(c: Column, digits: int) -> Column:
+    """Whole units of 10^-digits seconds; a longer fraction is cut."""
+    fraction = F.rpad(F.substring(_part(c, 2), 1, digits), digits, "0").try_cast("long")
+    return F.unix_seconds(_instant(c)) * 10**digits + F.coalesce(fraction, F.lit(0))
+
+
 def rfc3339_nanos(c: Column) -> Column:
     """Nanoseconds since 1970 (long). A fraction of any length is cut to nine digits; no zone is UTC; what isn't a time is null."""
-    fraction = F.rpad(F.substring(_part(c, 2), 1, 9), 9, "0").try_cast("long")
-    return F.unix_seconds(_instant(c)) * 1_000_000_000 + F.coalesce(fraction, F.lit(0))
+    return _since_epoch(c, 9)
 
 
 def rfc3339_ts(c: Column) -> Column:
     """The same as a timestamp, cut to microseconds."""
-    return F.timestamp_micros((rfc3339_nanos(c) - F.pmod(rfc3339_nanos(c), F.lit(1000))) / 1000)
+    return F.timestamp_micros(_since_epoch(c, 6))
 
 
 def epoch_micros(c: Column) -> Column:

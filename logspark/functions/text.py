@@ -113,3 +113,22 @@ def summarise_output(c: Column, extract: str | None = None, all_lines: bool = Fa
         text = F.when(c.rlike(extract), F.regexp_extract(c, extract, 1)).otherwise(text)
     cut = F.when(F.length(text) > max_chars, F.concat(F.substring(text, 1, max_chars), F.lit("..."))).otherwise(text)
     return F.struct(cut.alias("output"), F.length(text).cast("long").alias("output_chars"))
+
+
+def rename_log(df, template: str | None = None, match: str | None = None, replacement: str = "", path: str = "log_path"):
+    """Adds logfile, and original_file where the name changed: by a template of PATH1.., BASENAME, BASENAME_NO_EXT, or by a pattern. A template with an unknown name changes nothing."""
+    c = F.col(path)
+    if template is not None:
+        parts = F.filter(F.split(c, "/"), lambda p: p != "")
+        base = F.element_at(parts, -1)
+        made, at = [], 0
+        for m in _TOKEN.finditer(template):
+            name = m[1] or m[2]
+            value = base if name == "BASENAME" else F.regexp_replace(base, r"\.[^.]*$", "") if name == "BASENAME_NO_EXT" else F.get(parts, F.lit(int(name[4:]) - 1)) if re.fullmatch(r"PATH\d+", name) else F.lit(None).cast("string")
+            made += [F.lit(template[at : m.start()]), value]
+            at = m.end()
+        new = F.concat(*made, F.lit(template[at:]))
+    else:
+        new = F.regexp_replace(c, match, replacement)
+    df = df.withColumn("logfile", F.coalesce(new, c))
+    return df.withColumn("original_file", F.when(F.col("logfile") != c, c))

@@ -88,7 +88,7 @@ def first_matching(df: DataFrame, configs: list[LogConfig], columns: dict[str, s
 
 def first_matching_table(df: DataFrame, configs: DataFrame, key: list[str], column: str) -> DataFrame:
     """The same with configs in a table of position, pattern (Java) and config: every row with the matching config of the least position."""
-    hits = df.select(*key, column).join(configs, F.col(column).rlike(F.col("pattern"))).groupBy(*key).agg(F.min_by("config", "position").alias("config"))
+    hits = df.select(*key, column).join(configs, F.regexp_like(F.col(column), F.col("pattern"))).groupBy(*key).agg(F.min_by("config", "position").alias("config"))
     return df.join(hits, key, "left")
 
 

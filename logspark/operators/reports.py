@@ -50,9 +50,11 @@ def throughput(stats: DataFrame, ts: str, every: str = "5 minutes", keys: list[s
 
 def latest_state(rows: DataFrame, key: str, time: str, columns: list[str]) -> DataFrame:
     """The row of the greatest time (over 0) of each key; of equal times the first by the columns' order."""
-    best = rows.where(F.col(time) > 0).groupBy(key).agg(F.max(time).alias("_t"))
-    tied = rows.join(best, (rows[key] == best[key]) & (rows[time] == best["_t"])).select(rows[key], F.col(time), F.struct(*columns).alias("_s"))
-    return tied.groupBy(key, time).agg(F.min("_s").alias("_s")).select(key, time, *(F.col(f"_s.{c}").alias(c) for c in columns))
+    rows = rows.where(F.col(time) > 0)
+    best = rows.groupBy(key).agg(F.max(time).alias("_t")).withColumnRenamed(key, "_k")
+    tied = rows.join(best, (F.col(key) == F.col("_k")) & (F.col(time) == F.col("_t")))
+    out = tied.groupBy(key, time).agg(F.min(F.struct(*columns)).alias("_s"))
+    return out.select(key, time, *(F.col(f"_s.{c}").alias(c) for c in columns))
 
 
 def session_expiry(lines: DataFrame, key: str, ts: str, gap: str = "10 minutes") -> DataFrame:

@@ -73,8 +73,8 @@ def stream_pieces(parsed: DataFrame, wait_ms: int = 5_000, max_bytes: int = MAX_
     return stream_fold(ok, ["log_path", "stream"], ["line_seq"], lambda: _Pieces(max_bytes), "log_path string, stream string, line_seq bigint, ts_nanos bigint, n_pieces bigint, message string, partial boolean", wait_ms)
 
 
-def stream_rate(metrics: DataFrame, gap_seconds: float = RATE_GAP_SECONDS, ttl_ms: int = 30 * 60_000, digits: int = 5) -> DataFrame:
-    """rate on a stream; a series without samples for ttl_ms begins anew."""
+def stream_rate(metrics: DataFrame, gap_seconds: float = RATE_GAP_SECONDS, ttl_ms: int | None = 30 * 60_000, digits: int = 5) -> DataFrame:
+    """rate on a stream; a series without samples for ttl_ms begins anew. With a ttl the stream runs on processing time and so never ends by itself."""
     m = with_series(metrics).select("series", "ts_ms", "value")
     out = stream_fold(m, ["series"], ["ts_ms", "value"], lambda: _Rate(gap_seconds), "series string, ts_ms bigint, rate double", ttl_ms=ttl_ms)
     return out.withColumn("rate", F.round("rate", digits))
