@@ -24,12 +24,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logspark.llm.common import SLICE_BYTES, ragged, slices, utf8
+from logspark.llm.common import SLICE_BYTES, lean, ragged, slices, utf8
 
 NONE = np.int32(2**31 - 1)
 LONGEST = 256
 #: Pieces that a worker remembers.
-REMEMBERED = 150_000
+REMEMBERED = 100_000
 
 
 class PairTable:
@@ -79,7 +79,7 @@ class Bpe:
         self.text_of = [str(i) for i in range(len(self.bytes_of))]
         self.byte_ids = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
         pairs = [((ranks[t[:i]] << 32) | ranks[t[i:]], rank) for t, rank in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
-        self.pairs = dict(pairs)
+        self.ranks = ranks
         self.table = PairTable(*(np.array(x, d) for x, d in zip(zip(*pairs), (np.int64, np.int32))))
         self.split = regex.compile(pattern).findall
         self.known: dict[str, int] = {}
@@ -122,7 +122,8 @@ class Bpe:
         ids = self.byte_ids[np.frombuffer(piece, np.uint8)].tolist()
         n = len(ids)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(r, i, ids[i], ids[i + 1]) for i in range(n - 1) if (r := self.pairs.get((ids[i] << 32) | ids[i + 1])) is not None]
+        rank = lambda a, b: self.ranks.get(self.bytes_of[a] + self.bytes_of[b])
+        heap = [(r, i, ids[i], ids[i + 1]) for i in range(n - 1) if (r := rank(ids[i], ids[i + 1])) is not None]
         heapq.heapify(heap)
         while heap:
             r, i, a, b = heapq.heappop(heap)
@@ -133,7 +134,7 @@ class Bpe:
             if after[i] < n:
                 before[after[i]] = i
             for left in (before[i], i):
-                if left >= 0 and (right := after[left]) < n and (q := self.pairs.get((ids[left] << 32) | ids[right])) is not None:
+                if left >= 0 and (right := after[left]) < n and (q := rank(ids[left], ids[right])) is not None:
                     heapq.heappush(heap, (q, left, ids[left], ids[right]))
         return [x for x in ids if x >= 0]
 
@@ -231,7 +232,7 @@ def encode(df: DataFrame, vocabulary: bytes, pattern: str, text: str = "text", i
             yield _with(b, **{ids: pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)].astype(np.int32)), pa.array(flat))})
 
     df = df.drop(ids)
-    return df.mapInArrow(run, df.withColumn(ids, F.lit(None).cast("array<int>")).schema)
+    return df.mapInArrow(lean(run), df.withColumn(ids, F.lit(None).cast("array<int>")).schema)
 
 
 def decode(df: DataFrame, vocabulary: bytes, pattern: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -243,7 +244,7 @@ def decode(df: DataFrame, vocabulary: bytes, pattern: str, ids: str = "ids", out
             yield _with(b, **{out: pa.array([bpe.decode(x or []) for x in b[ids].to_pylist()], pa.binary())})
 
     df = df.drop(out)
-    return df.mapInArrow(run, df.withColumn(out, F.lit(None).cast("binary")).schema)
+    return df.mapInArrow(lean(run), df.withColumn(out, F.lit(None).cast("binary")).schema)
 
 
 def round_trip_digests(df: DataFrame, vocabulary: bytes, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -265,4 +266,4 @@ def round_trip_digests(df: DataFrame, vocabulary: bytes, pattern: str, key: str
             yield pa.RecordBatch.from_arrays([b[key], pa.array(n, pa.int64()), pa.array(by_ids, pa.string()), pa.array(by_bytes, pa.string())], [key, "n_tokens", "ids_sha256", "decoded_sha256"])
 
     df = df.select(key, text)
-    return df.mapInArrow(run, df.select(key, F.lit(0).cast("long").alias("n_tokens"), F.lit("").alias("ids_sha256"), F.lit("").alias("decoded_sha256")).schema)
+    return df.mapInArrow(lean(run), df.select(key, F.lit(0).cast("long").alias("n_tokens"), F.lit("").alias("ids_sha256"), F.lit("").alias("decoded_sha256")).schema)

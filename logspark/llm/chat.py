@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logspark.llm.common import partitions
+from logspark.llm.common import lean, partitions
 
 #: Fixed values of the template.
 START, END = "<|im_start|>", "<|im_end|>"
@@ -146,7 +146,7 @@ def format_turns(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role:
             yield pa.RecordBatch.from_arrays([b[conv], b[turn], pa.array(formatted, pa.string()), pa.array(spans, _SPANS), pa.array(attached, _ATTACHED), pa.array(tokens, pa.int64())], [conv, turn, "formatted", "loss_spans", "attachments", "attachment_tokens"])
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[:2]), "formatted string, loss_spans array<struct<start:int,end:int>>, attachments array<struct<kind:string,index:int,ref:string,tokens:long>>, attachment_tokens long"])
-    return src.mapInArrow(run, schema)
+    return src.mapInArrow(lean(run), schema)
 
 
 def parse_turn(formatted: str) -> tuple[str, str]:
@@ -206,4 +206,4 @@ def read_back(formatted: DataFrame, conv: str = "conv_id", turn: str = "turn") -
 
     df = formatted.select(conv, turn, "formatted", "loss_spans")
     df = df.repartition(partitions(df.sparkSession), conv).sortWithinPartitions(F.col(conv), F.col(turn).asc_nulls_last(), F.col("formatted"))
-    return df.mapInArrow(run, f"`{conv}` {df.schema[conv].dataType.simpleString()}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return df.mapInArrow(lean(run), f"`{conv}` {df.schema[conv].dataType.simpleString()}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logspark.llm.common import checkpoint
+from logspark.llm.common import checkpoint, lean
 
 ROUNDS = 60
 
@@ -47,7 +47,7 @@ def _thin(batches):
 
 def connected_components(links: DataFrame) -> DataFrame:
     """node and component (its least node) of all nodes that have a link. links: a, b (long); nulls and loops are ignored."""
-    e = links.select("a", "b").where("a is not null and b is not null and a <> b").mapInArrow(_thin, "a long, b long")
+    e = links.select("a", "b").where("a is not null and b is not null and a <> b").mapInArrow(lean(_thin), "a long, b long")
     e = checkpoint(e.distinct())
     seen = None
     for _ in range(ROUNDS):

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logspark.llm.common import checkpoint, partitions, utf8
+from logspark.llm.common import checkpoint, lean, partitions, utf8
 
 FAN_IN = 64
 BUCKET_ROWS = 10_000
@@ -49,7 +49,7 @@ def sizes(df: DataFrame, key: str, source: str, text: str) -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b[key], b["_source"], pa.array(word_counts(*utf8(b["_text"])), pa.int64())], [key, "_source", "size"])
 
-    return src.mapInArrow(run, src.select(key, "_source", F.lit(0).cast("long").alias("size")).schema)
+    return src.mapInArrow(lean(run), src.select(key, "_source", F.lit(0).cast("long").alias("size")).schema)
 
 
 def ranked(df: DataFrame, column: str, rank: str) -> DataFrame:
@@ -143,7 +143,7 @@ def _level(df: DataFrame, seed: int, level: int, last: bool) -> DataFrame:
         if out := closed():
             yield pa.RecordBatch.from_pylist(out, schema)
 
-    return checkpoint(df.mapInArrow(run, df.schema))
+    return checkpoint(df.mapInArrow(lean(run), df.schema))
 
 
 def _made_good(df: DataFrame, key: str, n_sources: int) -> DataFrame:

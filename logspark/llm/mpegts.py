@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logspark.llm.common import utf8
+from logspark.llm.common import lean, utf8
 
 #: Fixed values of the format.
 PACKET, SYNC, PAT_PID, PRIVATE_DATA, PRIVATE_STREAM, CLOCK = 188, 0x47, 0, 0x06, 0xBD, 90_000
@@ -194,7 +194,7 @@ def pack_media(df: DataFrame, payload: str = "payload", media: str = "media", un
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(rows, pa.binary())], [*b.schema.names, media])
 
     df = df.drop(media)
-    return df.mapInArrow(run, df.withColumn(media, F.lit(None).cast("binary")).schema)
+    return df.mapInArrow(lean(run), df.withColumn(media, F.lit(None).cast("binary")).schema)
 
 
 def padded_texts(df: DataFrame, key: str, text: str, multiple: int = 192) -> DataFrame:
@@ -230,4 +230,4 @@ def read_media(df: DataFrame, keep: list[str], media: str = "media") -> DataFram
             yield pa.RecordBatch.from_arrays([*(b[c] for c in keep), *(pa.array(c, k) for c, k in zip(cols, kinds))], [*keep, *(x.split()[0] for x in fields.split(", "))])
 
     df = df.select(*keep, media)
-    return df.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in schema), fields]))
+    return df.mapInArrow(lean(run), ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in schema), fields]))

@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logspark.llm.common import slices, utf8
+from logspark.llm.common import lean, slices, utf8
 
 #: The separators of words and the symbols that are counted.
 SEPARATORS = b" \t\n\x0b\x0c\r"
@@ -158,12 +158,12 @@ def measure(df: DataFrame, rules: Rules = Rules(), text: str = "text") -> DataFr
     def run(batches):
         for b in batches:
             data, off = utf8(b[text])
-            parts = [measure_slice(data[off[i] : off[j]], off[i : j + 1] - off[i], rules) for i, j in slices(off, 4 << 20)]
+            parts = [measure_slice(data[off[i] : off[j]], off[i : j + 1] - off[i], rules) for i, j in slices(off)]
             cols = [pa.array(np.concatenate([p[m] for p in parts]) if parts else np.zeros(0, np.int64), pa.int64()) for m in MEASURES]
             yield pa.RecordBatch.from_arrays([*b.columns, *cols], [*b.schema.names, *MEASURES])
 
     df = df.drop(*MEASURES)
-    return df.mapInArrow(run, df.select("*", *(F.lit(0).cast("long").alias(m) for m in MEASURES)).schema)
+    return df.mapInArrow(lean(run), df.select("*", *(F.lit(0).cast("long").alias(m) for m in MEASURES)).schema)
 
 
 def verdict(df: DataFrame, rules: Rules = Rules()) -> DataFrame:

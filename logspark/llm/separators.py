@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from logspark.llm.bpe import encoded, load
-from logspark.llm.common import checkpoint
+from logspark.llm.common import checkpoint, lean
 from logspark.llm.files import read_range, writing
 
 SUFFIX = ".tokens"
@@ -41,7 +41,7 @@ def write_token_files(df: DataFrame, folder: str, vocabulary: bytes, pattern: st
                 yield pa.RecordBatch.from_arrays([pa.array([name] * len(b), pa.string()), pa.array(np.arange(n, n + len(b)), pa.int64()), b[key]], ["file", "ordinal", key])
                 n += len(b)
 
-    return checkpoint(src.mapInArrow(run, f"file string, ordinal long, `{key}` {src.schema[key].dataType.simpleString()}"))
+    return checkpoint(src.mapInArrow(lean(run), f"file string, ordinal long, `{key}` {src.schema[key].dataType.simpleString()}"))
 
 
 def count_tokens(spark: SparkSession, folder: str, eod: int, dtype: str = "<u2", block: int = 4 << 20) -> DataFrame:
@@ -63,7 +63,7 @@ def count_tokens(spark: SparkSession, folder: str, eod: int, dtype: str = "<u2",
                 counts = np.r_[cuts, len(ids)] - starts
                 yield pa.RecordBatch.from_arrays([pa.array([path.rpartition("/")[2]]), pa.array([k], pa.int64()), pa.array([counts], pa.list_(pa.int64())), pa.array([starts + k * block // item], pa.list_(pa.int64()))], ["file", "block", "counts", "starts"])
 
-    found = checkpoint(blocks.mapInArrow(run, "file string, block long, counts array<long>, starts array<long>"))
+    found = checkpoint(blocks.mapInArrow(lean(run), "file string, block long, counts array<long>, starts array<long>"))
     before = F.sum(F.size("counts") - 1).over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
     found = found.withColumn("before", F.coalesce(before, F.lit(0)))
     parts = found.select("file", "before", F.size("counts").alias("n"), F.posexplode(F.arrays_zip("counts", "starts")).alias("pos", "x"))

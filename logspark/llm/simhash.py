@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logspark.llm.common import PACKED, checkpoint, deal, mix64, pack, packed_groups, partitions, slices, utf8
+from logspark.llm.common import PACKED, checkpoint, deal, lean, mix64, pack, packed_groups, partitions, slices, utf8
 from logspark.llm.components import connected_components, union_find
 
 #: Fingerprints that a shard should hold; compared pairs from which a shard is dealt to several tasks.
@@ -87,7 +87,7 @@ def fingerprints(df: DataFrame, n: int, words: int = 1, key: str = "doc_id", tex
             cols = [np.concatenate(c).view(np.int64) if c else np.zeros(0, np.int64) for c in out]
             yield pa.RecordBatch.from_arrays([b[key], *map(pa.array, cols)], [key, "norm", *names])
 
-    return src.mapInArrow(run, src.select(key, F.lit(0).cast("long").alias("norm"), *(F.lit(0).cast("long").alias(x) for x in names)).schema)
+    return src.mapInArrow(lean(run), src.select(key, F.lit(0).cast("long").alias("norm"), *(F.lit(0).cast("long").alias(x) for x in names)).schema)
 
 
 class Blocks:
@@ -232,7 +232,7 @@ def near_links(df: DataFrame, radius: int, words: int = 1, id_: str = "id", bloc
         yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array(n[full])], ["bucket", "n"])
 
     # at most one row for each shard whose number is bounded by the levels
-    for r in df.mapInArrow(counted, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).where(F.col("n") > HOT_SHARD).collect():
+    for r in df.mapInArrow(lean(counted), "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).where(F.col("n") > HOT_SHARD).collect():
         hot_of[r["bucket"]] = -(-r["n"] // HOT_SHARD)
     n_shards = len(blocks.blocks) << levels
     base, at = {}, n_shards
@@ -268,8 +268,8 @@ def near_links(df: DataFrame, radius: int, words: int = 1, id_: str = "id", bloc
             a, b, d = s.pairs(np.flatnonzero(home), np.flatnonzero(asks))
             yield pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(ids[b]), pa.array(d.astype(np.int32))], ["a", "b", "distance"])
 
-    packed = df.repartition(max(1, min(partitions(spark), 1 + n_shards // 2))).mapInArrow(dealt, PACKED)
-    return deal(packed, max(partitions(spark), min(n_shards, 4096))).mapInArrow(search, "a long, b long, distance int")
+    packed = df.repartition(max(1, min(partitions(spark), 1 + n_shards // 2))).mapInArrow(lean(dealt), PACKED)
+    return deal(packed, max(partitions(spark), min(n_shards, 4096))).mapInArrow(lean(search), "a long, b long, distance int")
 
 
 def near_duplicates(df: DataFrame, n: int = 4, radius: int = 4, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -321,7 +321,7 @@ def resembling(df: DataFrame, n: int = 5, least: float = 0.8, key: str = "doc_id
                 keep.append(union > 0 and both >= least * union)
             yield pa.RecordBatch.from_arrays([x["a"].filter(pa.array(keep)), x["b"].filter(pa.array(keep))], ["a", "b"])
 
-    sure = both.select("a", "b", "_za", "_zb").mapInArrow(verified, "a long, b long")
+    sure = both.select("a", "b", "_za", "_zb").mapInArrow(lean(verified), "a long, b long")
     return connected_components(sure.unionByName(copies)).withColumnRenamed("node", key).withColumnRenamed("component", "component_id")
 
 
@@ -335,4 +335,4 @@ def squeeze_texts(df: DataFrame, key: str, text: str) -> DataFrame:
             data, off = utf8(b["_text"])
             yield pa.RecordBatch.from_arrays([b[key], pa.array([c.compress(data[s:e].tobytes()) for s, e in zip(off, off[1:])], pa.binary())], [key, "_z"])
 
-    return src.mapInArrow(run, src.select(key, F.lit(None).cast("binary").alias("_z")).schema)
+    return src.mapInArrow(lean(run), src.select(key, F.lit(None).cast("binary").alias("_z")).schema)

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logspark.llm.common import checkpoint
+from logspark.llm.common import checkpoint, lean
 from logspark.llm.files import writing
 
 #: Fixed values of the formats.
@@ -209,7 +209,7 @@ def write_archives(pages: DataFrame, folder: str, page_id: str = "page_id", url:
         if held:
             yield flush()
 
-    return checkpoint(df.mapInArrow(run, "path string, records long, bytes long"))
+    return checkpoint(df.mapInArrow(lean(run), "path string, records long, bytes long"))
 
 
 def read_archives(spark: SparkSession, folder: str) -> DataFrame:
@@ -244,4 +244,4 @@ def read_archives(spark: SparkSession, folder: str) -> DataFrame:
                 if rows:
                     yield out(rows)
 
-    return files.mapInArrow(run, "page_id long, record_type string, refers_to long, url string, payload_digest string, payload_bytes long, payload binary")
+    return files.mapInArrow(lean(run), "page_id long, record_type string, refers_to long, url string, payload_digest string, payload_bytes long, payload binary")
