@@ -33,10 +33,10 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logspark.llm.common import PACKED, checkpoint, deal, delta, mix64, pack, packed_groups, partitions, slices, unpack, utf8
+from logspark.llm.common import PACKED, checkpoint, deal, delta, lean, mix64, pack, packed_groups, partitions, slices, unpack, utf8
 
 #: Sampled suffixes and text bytes that a bucket should hold.
-BUCKET_SUFFIXES, BUCKET_BYTES = 250_000, 3 << 20
+BUCKET_SUFFIXES, BUCKET_BYTES = 250_000, 8 << 20
 
 
 class Windows:
@@ -105,11 +105,11 @@ def row_hashes(texts: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, texts), np.uint64, len(texts))
 
 
-def _texts(batch: pa.RecordBatch, key: str):
+def _texts(batch: pa.RecordBatch, key: str, size: int = 1 << 20):
     data, off = utf8(batch["_text"])
     ids = pc.fill_null(batch[key], 0).to_numpy()
     none = batch[key].is_null().to_numpy(zero_copy_only=False)
-    for i, j in slices(off, 1 << 20):
+    for i, j in slices(off, size):
         yield ids[i:j], none[i:j], [data[off[n] : off[n + 1]].tobytes() for n in range(i, j)]
 
 
@@ -203,13 +203,13 @@ def covered_spans(df: DataFrame, length: int = 50, key: str = "doc_id", text: st
                 size = np.where(full, before.astype(np.int64) + after, 0)[take]
                 yield _found(doc[take], row[take], ties, start, size, n_docs)
 
-    suffixes = docs.where(F.col(key).isNotNull() & (F.octet_length("_text") >= length)).mapInArrow(sampled, PACKED)
-    found = checkpoint(deal(suffixes, max(partitions(spark), min(n_suffix, 4096))).mapInArrow(sorted_buckets, PACKED))
+    suffixes = docs.where(F.col(key).isNotNull() & (F.octet_length("_text") >= length)).mapInArrow(lean(sampled), PACKED)
+    found = checkpoint(deal(suffixes, max(partitions(spark), min(n_suffix, 4096))).mapInArrow(lean(sorted_buckets), PACKED))
 
     def squeezed(batches):
         c = zstandard.ZstdCompressor(level=3)
         for b in batches:
-            for ids, none, texts in _texts(b, key):
+            for ids, none, texts in _texts(b, key, 8 << 20):
                 to = _doc_bucket(ids, n_docs)
                 order = np.argsort(to, kind="stable")
                 cuts = np.flatnonzero(np.r_[True, to[order][1:] != to[order][:-1]])
@@ -220,7 +220,7 @@ def covered_spans(df: DataFrame, length: int = 50, key: str = "doc_id", text: st
                     bodies.append(c.compress(head + b"".join(texts[i] for i in own)))
                 yield pa.RecordBatch.from_arrays([pa.array(to[order][cuts].astype(np.int32)), pa.array(bodies, pa.binary())], ["bucket", "body"])
 
-    packed = docs.mapInArrow(squeezed, PACKED)
+    packed = docs.mapInArrow(lean(squeezed), PACKED)
 
     def contexts(dealt: pa.Table, ties: pa.Table) -> pa.Table:
         parts = [unpack(x.as_py(), _FOUND) for x in ties["body"]]
@@ -294,7 +294,7 @@ def covered_spans(df: DataFrame, length: int = 50, key: str = "doc_id", text: st
 
     by_bucket = packed.groupBy("bucket")
     seen = by_bucket.cogroup(found.groupBy("bucket")).applyInArrow(contexts, PACKED)
-    spans = deal(seen, max(partitions(spark), min(n_suffix, 4096))).mapInArrow(cut, PACKED)
+    spans = deal(seen, max(partitions(spark), min(n_suffix, 4096))).mapInArrow(lean(cut), PACKED)
     return found.unionByName(spans), packed, n_docs
 
 
