@@ -23,13 +23,15 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logspark.llm.common import PACKED, checkpoint, deal, mix64, pack, packed_groups, partitions, slices, utf8
+from logspark.llm.common import PACKED, checkpoint, deal, lean, mix64, pack, packed_groups, partitions, slices, utf8
 from logspark.llm.components import connected_components
 
 BANDS, ROWS = 12, 5
 SHINGLE, LEAST, MIN_CHARS = 5, 0.8, 16
 BLOCK = 1000
-BUCKET_KEYS, BUCKET_BYTES = 400_000, 3 << 20
+#: Bytes of lines, with repeats, that a bucket of sets should hold.
+SET_BYTES = 4 << 20
+BUCKET_KEYS, BUCKET_BYTES = 400_000, 8 << 20
 #: Line numbers up to which the table of removed lines is broadcast (16 bytes each).
 BROADCAST_LINES = 1_000_000
 
@@ -56,38 +58,56 @@ def line_ids(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray
     return np.fromiter((xxhash.xxh3_64_intdigest(raw[s:e]) for s, e in zip(start.tolist(), end.tolist())), np.uint64, len(start)).view(np.int64)
 
 
-def shingles(lines: list[bytes], n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the n-character shingles of all lines, and the number of each line's; a shorter line is one shingle."""
+def _characters(lines: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The code points of all lines, where a shingle of each line begins, and the number of each line's; a shorter line is one shingle."""
     text = np.frombuffer(b"\n".join(lines).decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
     ends = np.r_[np.flatnonzero(text == 10), len(text)]
     starts = np.r_[0, ends[:-1] + 1]
-    h = np.zeros(len(text), np.uint64)
-    wide = np.r_[text, np.zeros(n, np.uint32)].astype(np.uint64)
-    factors = mix64(np.arange(1, n + 1, dtype=np.uint64)) | np.uint64(1)
-    for i in range(n):
-        h += wide[i : i + len(text)] * factors[i]
     count = np.maximum(1, ends - starts - n + 1)
-    line = np.repeat(np.arange(len(lines)), count)
-    at = np.arange(len(line)) - np.r_[0, np.cumsum(count)[:-1]][line] + starts[line]
-    return mix64(h[np.minimum(at, max(0, len(h) - 1))]) if len(h) else np.zeros(len(line), np.uint64), count
+    # +1 where a line's shingles begin, -1 after its last
+    mark = np.zeros(len(text) + 1, np.int8)
+    mark[starts] += 1
+    np.add.at(mark, starts + count, -1)
+    return text, np.cumsum(mark[:-1], dtype=np.int8).view(bool), count
+
+
+def _sums(text: np.ndarray, n: int, kind) -> np.ndarray:
+    h = np.zeros(len(text), kind)
+    wide = np.r_[text, np.zeros(n, np.uint32)].astype(kind, copy=False)
+    for i, f in enumerate((mix64(np.arange(1, n + 1, dtype=np.uint64)) | np.uint64(1)).astype(kind)):
+        h += wide[i : i + len(text)] * f
+    return h
 
 
-def signatures(h: np.ndarray, count: np.ndarray, bins: int) -> np.ndarray:
-    """The least hash in each bin of each line."""
-    empty = np.uint64(0xFFFFFFFFFFFFFFFF)
-    s = np.full(len(count) * bins, empty, np.uint64)
-    np.minimum.at(s, np.repeat(np.arange(len(count)) * bins, count) + (h % np.uint64(bins)).astype(np.int64), h >> np.uint64(6))
-    s = s.reshape(-1, bins)
+def shingles(lines: list[bytes], n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the n-character shingles of all lines, and the number of each line's."""
+    text, begins, count = _characters(lines, n)
+    return mix64(_sums(text, n, np.uint64)[begins]), count
+
+
+def signatures(lines: list[bytes], n: int, bins: int) -> np.ndarray:
+    """The least 32-bit hash in each of the bins of each line's shingles."""
+    text, begins, count = _characters(lines, n)
+    h = _sums(text, n, np.uint32)[begins]
+    h = (h ^ (h >> np.uint32(16))) * np.uint32(0x85EBCA6B)
+    h = (h ^ (h >> np.uint32(13))) * np.uint32(0xC2B2AE35)
+    h ^= h >> np.uint32(16)
+    wide = max(1, (bins - 1).bit_length())
+    empty = np.uint32(0xFFFFFFFF)
+    # as many bins as a power of two; those over `bins` aren't used
+    s = np.full(len(count) << wide, empty, np.uint32)
+    np.minimum.at(s, np.repeat(np.arange(len(count), dtype=np.int64) << wide, count) + (h >> np.uint32(32 - wide)), h << np.uint32(wide))
+    s = s.reshape(-1, 1 << wide)
     gaps = np.flatnonzero((s == empty).any(1))
     own = s[gaps]
     filled, step = own.copy(), 0
     while len(gaps) and (filled == empty).any():
         step += 1
-        source = (mix64(np.arange(bins, dtype=np.uint64) + np.uint64(1000 * step)) % np.uint64(bins)).astype(np.int64)
+        source = (mix64(np.arange(1 << wide, dtype=np.uint64) + np.uint64(1000 * step)) & np.uint64((1 << wide) - 1)).astype(np.int64)
         other = own[:, source]
-        filled = np.where((filled == empty) & (other != empty), mix64(other + np.uint64(step)), filled)
+        filled = np.where((filled == empty) & (other != empty), other ^ np.uint32(step * 0x9E3779B1 & 0xFFFFFFFE), filled)
     s[gaps] = filled
-    return s
+    return s[:, :bins]
 
 
 def band_keys(s: np.ndarray, bands: int, rows: int) -> np.ndarray:
@@ -95,13 +115,12 @@ def band_keys(s: np.ndarray, bands: int, rows: int) -> np.ndarray:
     s = s.reshape(len(s), bands, rows)
     key = np.tile(np.arange(1, bands + 1, dtype=np.uint64), (len(s), 1))
     for i in range(rows):
-        key = mix64(key * np.uint64(0x9E3779B97F4A7C15) + s[:, :, i])
+        key = mix64(key * np.uint64(0x9E3779B97F4A7C15) + s[:, :, i].astype(np.uint64))
     return key
 
 
-def verify(lines: list[np.ndarray], least: float) -> list[tuple[int, int]]:
-    """Links of resembling lines (sorted unique shingle hashes), one fewer than the members of each component."""
-    sets = [set(x.tolist()) for x in lines]
+def verify(sets: list[set[int]], least: float) -> list[tuple[int, int]]:
+    """Links of resembling lines (sets of shingle hashes), one fewer than the members of each component."""
     groups: list[list[int]] = []
     links = []
     for i, s in enumerate(sets):
@@ -139,19 +158,19 @@ def occurrences(df: DataFrame, key: str, text: str, min_chars: int) -> DataFrame
         for b in batches:
             data, off = utf8(b["_text"])
             ids = b["_key"].to_numpy()
-            for i, j in slices(off, 4 << 20):
+            for i, j in slices(off):
                 own, at = data[off[i] : off[j]], off[i : j + 1] - off[i]
                 row, number, start, end, part = line_table(own, at, min_chars)
                 yield pa.RecordBatch.from_arrays([pa.array(line_ids(own, start[part], end[part])), pa.array(ids[i:j][row[part]]), pa.array(number[part].astype(np.int32))], ["line", "doc", "number"])
 
-    return _keyed(df, key, text).mapInArrow(run, "line long, doc long, number int")
+    return _keyed(df, key, text).mapInArrow(lean(run), "line long, doc long, number int")
 
 
-def _unique_lines(batches, min_chars: int):
-    """Ids and bytes of the lines of a slice, each once."""
+def _unique_lines(batches, min_chars: int, size: int = 2 << 20):
+    """Ids and bytes of the lines of a slice of about `size` bytes, each once."""
     for b in batches:
         data, off = utf8(b["_text"])
-        for i, j in slices(off, 2 << 20):
+        for i, j in slices(off, size):
             own, at = data[off[i] : off[j]], off[i : j + 1] - off[i]
             _, _, start, end, part = line_table(own, at, min_chars)
             start, end = start[part], end[part]
@@ -170,8 +189,7 @@ def candidate_sets(df: DataFrame, key: str, text: str, min_chars: int, n: int, b
 
     def keys(batches):
         for ids, lines in _unique_lines(batches, min_chars):
-            h, count = shingles(lines, n)
-            k = band_keys(signatures(h, count, bands * rows), bands, rows).ravel()
+            k = band_keys(signatures(lines, n, bands * rows), bands, rows).ravel()
             yield pack(((k & np.uint64(0xFFFFFF)) % np.uint64(n_buckets)).astype(np.int64), [(k >> np.uint64(32)).astype(np.uint32), (k >> np.uint64(16)).astype(np.uint16), np.repeat(ids, bands)])
 
     def sets(batches):
@@ -206,8 +224,8 @@ def candidate_sets(df: DataFrame, key: str, text: str, min_chars: int, n: int, b
                         pair = int(mix64(np.array([(int(name[g]) + i * 65_537 + j * 2_147_483_659) & 0xFFFFFFFFFFFFFFFF], np.uint64)).view(np.int64)[0])
                         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(both), pair)), pa.array(both)], ["set", "line"])
 
-    packed = docs.mapInArrow(keys, PACKED)
-    return deal(packed, max(partitions(df.sparkSession), min(n_buckets, 4096))).mapInArrow(sets, "set long, line long").distinct()
+    packed = docs.mapInArrow(lean(keys), PACKED)
+    return deal(packed, max(partitions(df.sparkSession), min(n_buckets, 4096))).mapInArrow(lean(sets), "set long, line long").distinct()
 
 
 def line_texts(df: DataFrame, wanted: DataFrame, key: str, text: str, min_chars: int) -> DataFrame:
@@ -219,7 +237,7 @@ def line_texts(df: DataFrame, wanted: DataFrame, key: str, text: str, min_chars:
 
     def squeezed(batches):
         c = zstandard.ZstdCompressor(level=3)
-        for ids, lines in _unique_lines(batches, min_chars):
+        for ids, lines in _unique_lines(batches, min_chars, 8 << 20):
             to = bucket(ids)
             order = np.argsort(to, kind="stable")
             cuts = np.flatnonzero(np.r_[True, to[order][1:] != to[order][:-1]])
@@ -252,7 +270,7 @@ def line_texts(df: DataFrame, wanted: DataFrame, key: str, text: str, min_chars:
                     bodies.append(raw[e - s : e])
         return pa.table([pa.array(ids, pa.int64()), pa.array(bodies, pa.binary())], ["line", "body"])
 
-    have, want = docs.mapInArrow(squeezed, PACKED), wanted.mapInArrow(asked, PACKED)
+    have, want = docs.mapInArrow(lean(squeezed), PACKED), wanted.mapInArrow(lean(asked), PACKED)
     return have.groupBy("bucket").cogroup(want.groupBy("bucket")).applyInArrow(found, "line long, body binary")
 
 
@@ -261,29 +279,71 @@ def resembling_lines(df: DataFrame, key: str = "doc_id", text: str = "text", lea
     sets = checkpoint(candidate_sets(df, key, text, min_chars, n, bands, rows))
     texts = line_texts(df, sets.select("line").distinct(), key, text, min_chars)
 
-    def links(batches):
-        at, ids, bodies = None, [], []
+    members = sets.join(texts, "line").select("set", "line", "body")
+    n_buckets = int(min(1 << 20, 1 + sets.count() * 300 // SET_BYTES))
+
+    def packed(batches):
+        c = zstandard.ZstdCompressor(level=3)
+        for b in batches:
+            names, ids = b["set"].to_numpy(), b["line"].to_numpy()
+            data, off = utf8(b["body"])
+            to = (mix64(names.view(np.uint64)) % np.uint64(n_buckets)).astype(np.int64)
+            order = np.argsort(to, kind="stable")
+            cuts = np.flatnonzero(np.r_[True, to[order][1:] != to[order][:-1]])
+            bodies = []
+            for s, e in zip(cuts, np.r_[cuts[1:], len(order)]):
+                own = order[s:e]
+                bodies.append(c.compress(np.int64(e - s).tobytes() + names[own].tobytes() + ids[own].tobytes() + np.diff(off)[own].tobytes() + b"".join(data[off[i] : off[i + 1]].tobytes() for i in own)))
+            yield pa.RecordBatch.from_arrays([pa.array(to[order][cuts].astype(np.int32)), pa.array(bodies, pa.binary())], ["bucket", "body"])
 
-        def closed():
-            h, count = shingles(bodies, n)
-            cut = np.cumsum(count)[:-1]
-            found = verify([np.unique(x) for x in np.split(h, cut)], least)
-            return pa.RecordBatch.from_arrays([pa.array([ids[i] for i, _ in found], pa.int64()), pa.array([ids[j] for _, j in found], pa.int64())], ["a", "b"])
+    def verified(rows: list[tuple[int, int, bytes]]):
+        """Links of whole sets, in order of set."""
+        h, count = shingles([x for _, _, x in rows], n)
+        flat, ends = h.tolist(), np.cumsum(count).tolist()
+        hashed = [set(flat[e - k : e]) for e, k in zip(ends, count.tolist())]
+        a, b, i = [], [], 0
+        while i < len(rows):
+            j = i + 1
+            while j < len(rows) and rows[j][0] == rows[i][0]:
+                j += 1
+            for x, y in verify(hashed[i:j], least):
+                a.append(rows[i + x][1])
+                b.append(rows[i + y][1])
+            i = j
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
+    def links(batches):
+        d = zstandard.ZstdDecompressor()
+
+        def closed(held):
+            rows = []
+            for x in held:
+                raw = d.decompress(x)
+                k = int(np.frombuffer(raw, np.int64, 1)[0])
+                names, ids, size = (np.frombuffer(raw, np.int64, k, 8 + 8 * k * i).tolist() for i in range(3))
+                ends = (8 + 24 * k + np.cumsum(size)).tolist()
+                rows += [(s, i, raw[e - z : e]) for s, i, z, e in zip(names, ids, size, ends)]
+            rows.sort(key=lambda r: r[:2])
+            first, total = 0, 0
+            for i, r in enumerate(rows):
+                if total > 1 << 20 and r[0] != rows[i - 1][0]:
+                    yield verified(rows[first:i])
+                    first, total = i, 0
+                total += len(r[2])
+            if rows:
+                yield verified(rows[first:])
+
+        at, held = None, []
         for b in batches:
-            for s, i, body in zip(b["set"].to_pylist(), b["line"].to_pylist(), b["body"]):
-                if s != at:
-                    if len(ids) > 1:
-                        yield closed()
-                    at, ids, bodies = s, [], []
-                ids.append(i)
-                bodies.append(body.as_py())
-        if len(ids) > 1:
-            yield closed()
+            for bucket, body in zip(b["bucket"].to_pylist(), b["body"]):
+                if bucket != at:
+                    yield from closed(held)
+                    at, held = bucket, []
+                held.append(body.as_py())
+        yield from closed(held)
 
-    members = sets.join(texts, "line").select("set", "line", "body")
-    members = members.repartition(max(partitions(df.sparkSession), 12), "set").sortWithinPartitions("set", "line")
-    return connected_components(members.mapInArrow(links, "a long, b long")).select(F.col("node").alias("line"), "component")
+    dealt = deal(members.mapInArrow(lean(packed), PACKED), max(partitions(df.sparkSession), min(n_buckets, 4096)))
+    return connected_components(dealt.mapInArrow(lean(links), "a long, b long")).select(F.col("node").alias("line"), "component")
 
 
 def repeated_lines(df: DataFrame, key: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS, **how) -> DataFrame:
@@ -316,4 +376,4 @@ def drop_lines(df: DataFrame, repeated: DataFrame, key: str = "doc_id", text: st
             b = b.set_column(b.schema.get_field_index(text), b.schema.field(text), pa.array(texts, b.schema.field(text).type)).select(names)
             yield b.filter(pc.fill_null(pc.match_substring_regex(b[text], r"[^ \t-\r]"), False))
 
-    return df.select(*names, "removed").mapInArrow(run, schema)
+    return df.select(*names, "removed").mapInArrow(lean(run), schema)
