@@ -101,8 +101,13 @@ def sample(texts: list[bytes], g: Windows) -> tuple[np.ndarray, ...]:
     return text, pos, h[at], rank, before, after
 
 
-def row_hashes(texts: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(xxhash.xxh3_64_intdigest, texts), np.uint64, len(texts))
+def row_hash(text: bytes, matters: bool) -> int:
+    """Tells rows of one key apart by their texts; 0, which costs nothing to move, where all keys are different."""
+    return xxhash.xxh3_64_intdigest(text) if matters else 0
+
+
+def keys_repeat(df: DataFrame, key: str) -> bool:
+    return bool(df.where(F.col(key).isNotNull()).groupBy(key).count().where("count > 1").limit(1).count())
 
 
 def _texts(batch: pa.RecordBatch, key: str, size: int = 1 << 20):
@@ -165,21 +170,22 @@ def _found(doc, row, tie, pos, size, n):
     return pack(_doc_bucket(doc[order], n), [x[order] for x in (doc, row, tie, pos.astype(np.int32), size.astype(np.uint16))])
 
 
-def covered_spans(df: DataFrame, length: int = 50, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame, int]:
-    """Packed spans and packed documents by bucket of documents, and the number of these buckets."""
+def covered_spans(df: DataFrame, length: int = 50, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame, bool]:
+    """Packed spans and packed documents by bucket of documents, and whether keys repeat."""
     g = Windows(length)
     docs = df.select(F.col(key).cast("long").alias(key), F.col(text).alias("_text"))
     total = docs.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
     n_suffix = int(min(65_535, 1 + total * 2 // (g.side + 2) // BUCKET_SUFFIXES))
     n_docs = int(1 + total // BUCKET_BYTES)
     spark = df.sparkSession
+    matters = keys_repeat(docs, key)
 
     def sampled(batches):
         for b in batches:
             for ids, _, texts in _texts(b, key):
                 text, pos, h, rank, before, after = sample(texts, g)
                 if len(pos):
-                    yield _pack_suffixes(((h & np.uint64(0xFFFFFF)) % np.uint64(n_suffix)).astype(np.int64), h, rank, ids[text], row_hashes(texts)[text], pos, before, after)
+                    yield _pack_suffixes(((h & np.uint64(0xFFFFFF)) % np.uint64(n_suffix)).astype(np.int64), h, rank, ids[text], np.array([row_hash(x, matters) for x in texts], np.uint64)[text], pos, before, after)
 
     def sorted_buckets(batches):
         """Spans (tie 0, size over 0) and contested suffixes (tie over 0, size 0), by bucket of documents."""
@@ -243,7 +249,7 @@ def covered_spans(df: DataFrame, length: int = 50, key: str = "doc_id", text: st
                 s, e = np.searchsorted(doc, d, "left"), np.searchsorted(doc, d, "right")
                 if s == e:
                     continue
-                r = xxhash.xxh3_64_intdigest(raw)
+                r = row_hash(raw, matters)
                 if (d, r) in done:
                     continue
                 done.add((d, r))
@@ -295,7 +301,7 @@ def covered_spans(df: DataFrame, length: int = 50, key: str = "doc_id", text: st
     by_bucket = packed.groupBy("bucket")
     seen = by_bucket.cogroup(found.groupBy("bucket")).applyInArrow(contexts, PACKED)
     spans = deal(seen, max(partitions(spark), min(n_suffix, 4096))).mapInArrow(lean(cut), PACKED)
-    return found.unionByName(spans), packed, n_docs
+    return found.unionByName(spans), packed, matters
 
 
 def _open(dealt: pa.Table):
@@ -318,7 +324,7 @@ def unite(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def remove_repeats(df: DataFrame, length: int = 50, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_bytes, n_removed, n_spans (maximal removed runs), spans (array of start and end), kept (the remaining bytes)."""
-    spans, packed, _ = covered_spans(df, length, key, text)
+    spans, packed, matters = covered_spans(df, length, key, text)
 
     def cleaned(dealt: pa.Table, found: pa.Table) -> pa.Table:
         parts = [unpack(x.as_py(), _FOUND) for x in found["body"]]
@@ -332,7 +338,7 @@ def remove_repeats(df: DataFrame, length: int = 50, key: str = "doc_id", text: s
                 starts = ends = np.zeros(0, np.int64)
                 s, e = (0, 0) if none[i] else (np.searchsorted(doc, d, "left"), np.searchsorted(doc, d, "right"))
                 if s < e:
-                    own = row[s:e] == np.uint64(xxhash.xxh3_64_intdigest(raw))
+                    own = row[s:e] == np.uint64(row_hash(raw, matters))
                     if own.any():
                         starts, ends = unite(pos[s:e][own], (pos + size)[s:e][own])
                 at = [0, *np.stack([starts, ends], 1).ravel().tolist(), len(raw)]
