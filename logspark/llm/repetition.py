@@ -40,8 +40,8 @@ class Rules:
     window: int = 3
     max_window_percent: int = 50
     min_repeat: int = 8
-    max_covered_percent: int = 50
-    max_longest_percent: int = 40
+    max_covered_percent: int = 45
+    max_longest_percent: int = 20
     long_repeat: int = 50
 
 
