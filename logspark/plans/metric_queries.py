@@ -200,11 +200,14 @@ def units(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.coalesce(F.round(values.to_megabytes(size), 6), F.lit(-1.0)).alias("mb"), F.coalesce(values.to_milliseconds(time), F.lit(-1.0)).alias("ms"), values.to_bool(flag).alias("flag"))
 
 
-@query("""WITH RECURSIVE E AS (SELECT user_id, epoch_us(ts) / 1e6 AS t, event_id % 5 + 1 AS cost, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts) / 1e6, event_id % 5 + 1) AS rn FROM events),
+_LIMIT_SQL = """WITH RECURSIVE E AS (SELECT user_id, epoch_us(ts) / 1e6 AS t, event_id % 5 + 1 AS cost, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts) / 1e6, event_id % 5 + 1) AS rn FROM events),
  R AS (SELECT user_id, rn, t, cost, cost <= 6 AS ok, CASE WHEN cost <= 6 THEN 6.0 - cost ELSE 6.0 END::DOUBLE AS level, CASE WHEN cost <= 6 THEN 0 ELSE 1 END AS d, 0 AS before FROM E WHERE rn = 1 UNION ALL
   SELECT e.user_id, e.rn, e.t, e.cost, e.cost <= least(6.0, R.level + (e.t - R.t) * 0.00005), least(6.0, R.level + (e.t - R.t) * 0.00005) - CASE WHEN e.cost <= least(6.0, R.level + (e.t - R.t) * 0.00005) THEN e.cost ELSE 0 END,
    CASE WHEN e.cost <= least(6.0, R.level + (e.t - R.t) * 0.00005) THEN 0 ELSE R.d + 1 END, CASE WHEN e.cost <= least(6.0, R.level + (e.t - R.t) * 0.00005) THEN R.d ELSE 0 END FROM R JOIN E e ON e.user_id = R.user_id AND e.rn = R.rn + 1)
- SELECT CAST(user_id AS VARCHAR) AS key, t, CAST(cost AS DOUBLE) AS cost, ok AS admitted, CAST(before AS BIGINT) AS dropped_before FROM R""")
+ SELECT CAST(user_id AS VARCHAR) AS key, t, CAST(cost AS DOUBLE) AS cost, ok AS admitted, CAST(before AS BIGINT) AS dropped_before FROM R"""
+
+
+@query(_LIMIT_SQL)
 def rate_limit(spark, sf_dir):
     return M.rate_limit(table(spark, sf_dir, "events"), F.col("user_id"), F.unix_micros(F.col("ts").cast("timestamp")) / 1e6, F.col("event_id") % 5 + 1, 6, 0.00005)
 

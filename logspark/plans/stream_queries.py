@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logspark.operators.reports import session_expiry
-from logspark.plans.metric_queries import _RATE_SQL
+from logspark.plans.metric_queries import _LIMIT_SQL, _RATE_SQL
 from logspark.plans.registry import query, table
 from logspark.streaming import stateful
 
@@ -62,6 +62,13 @@ def stream_once_per(spark, sf_dir):
     return run_to_end(stateful.stream_once_per(e, 100_000), "once")
 
 
+@query(_LIMIT_SQL)
+def stream_rate_limit(spark, sf_dir):
+    t = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
+    e = stream_of(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("key"), t.alias("t"), (F.col("event_id") % 5 + 1).cast("double").alias("cost"))
+    return run_to_end(stateful.stream_rate_limit(e, 6, 0.00005), "limit")
+
+
 @query("""WITH S AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w >= INTERVAL '12 hours' OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
  G AS (SELECT *, sum(n) OVER (PARTITION BY user_id ORDER BY ts) AS g FROM S)
  SELECT user_id, epoch_us(min(ts)) AS opened, epoch_us(max(ts)) AS last_seen, count(*) AS lines FROM G GROUP BY user_id, g""")

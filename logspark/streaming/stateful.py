@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from logspark.operators.metrics import _Once, _Rate, with_series
+from logspark.operators.metrics import _Bucket, _Once, _Rate, with_series
 from logspark.operators.ordered import Fold, _fields
 from logspark.operators.parse import _Frames
 from logspark.operators.lines import _Groupers, _Pieces, _found
@@ -60,14 +60,14 @@ def stream_fold(df: DataFrame, keys: list[str], order: list[str], new: Callable[
     return df.groupBy(*keys).transformWithStateInPandas(_Processor(new, order, names, wait_ms, ttl_ms), outputStructType=schema, outputMode="append", timeMode="processingTime" if wait_ms is not None or ttl_ms is not None else "none")
 
 
-def stream_groups(lines: DataFrame, groupers: list[Grouper], wait_ms: int = 5_000, separator: str = "\n", max_bytes: int = MAX_LINE_BYTES) -> DataFrame:
+def stream_groups(lines: DataFrame, groupers: list[Grouper], wait_ms: int | None = 5_000, separator: str = "\n", max_bytes: int = MAX_LINE_BYTES) -> DataFrame:
     """group_lines_by on a stream: an open group is held until a line closes it, or for wait_ms."""
     flags = F.array(*(x for g in groupers for x in (_found(F.col("raw"), g.start), _found(F.col("raw"), g.pattern))))
     df = lines.select("log_path", "line_seq", "raw", flags.alias("flags"))
     return stream_fold(df, ["log_path"], ["line_seq"], lambda: _Groupers(groupers, separator, max_bytes), "log_path string, line_seq bigint, n_lines bigint, message string", wait_ms)
 
 
-def stream_pieces(parsed: DataFrame, wait_ms: int = 5_000, max_bytes: int = MAX_LINE_BYTES) -> DataFrame:
+def stream_pieces(parsed: DataFrame, wait_ms: int | None = 5_000, max_bytes: int = MAX_LINE_BYTES) -> DataFrame:
     """reassemble_cri on a stream: pieces are held until a full one, the size, or wait_ms."""
     ok = parsed.where("error is null").select("log_path", "stream", "line_seq", "ts_nanos", F.regexp_replace("message", r"\r?\n$", "").alias("piece"), F.array_contains("tags", "F").alias("full"))
     return stream_fold(ok, ["log_path", "stream"], ["line_seq"], lambda: _Pieces(max_bytes), "log_path string, stream string, line_seq bigint, ts_nanos bigint, n_pieces bigint, message string, partial boolean", wait_ms)
@@ -85,7 +85,13 @@ def stream_once_per(rows: DataFrame, seconds: float) -> DataFrame:
     return stream_fold(rows.select("key", "t"), ["key"], ["t"], lambda: _Once(seconds), "key string, t double")
 
 
-def stream_frames(chunks: DataFrame, wait_ms: int = 5_000, prefixed: bool = False, max_frame: int = 65_536) -> DataFrame:
+def stream_rate_limit(rows: DataFrame, burst: float, per_second: float) -> DataFrame:
+    """rate_limit on a stream of key, t, cost."""
+    schema = "key string, t double, cost double, admitted boolean, dropped_before bigint"
+    return stream_fold(rows.select("key", "t", "cost"), ["key"], ["t", "cost"], lambda: _Bucket(burst, per_second), schema)
+
+
+def stream_frames(chunks: DataFrame, wait_ms: int | None = 5_000, prefixed: bool = False, max_frame: int = 65_536) -> DataFrame:
     """split_syslog_frames on a stream: an unfinished frame is emitted as it is after wait_ms."""
     return stream_fold(chunks, ["conn_id"], ["chunk_seq"], lambda: _Frames(prefixed, max_frame), "conn_id string, frame_seq bigint, frame binary, complete boolean, error string", wait_ms)
 
