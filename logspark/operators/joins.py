@@ -5,7 +5,6 @@ A dimension is broadcast when Spark's statistics say that it is small; otherwise
 
 from __future__ import annotations
 
-import tempfile
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -15,6 +14,7 @@ from logspark.functions.patterns import glob_regex, globbed
 from logspark.functions.text import empty_map, merge_attrs
 from logspark.functions.values import to_bool
 from logspark.model import LogConfig
+from logspark.operators.ordered import saved
 
 
 def attach_pod(containers: DataFrame, pods: DataFrame, placeholder: str = "none") -> DataFrame:
@@ -31,14 +31,6 @@ def attach_attributes(lines: DataFrame, containers: DataFrame, on: str = "log_pa
     return lines.join(dim, on, "left").withColumn("attrs", merge_attrs(F.col("_container"), own)).drop("_container")
 
 
-def _saved(df: DataFrame) -> DataFrame:
-    """A checkpoint in the folder that the session names; a temporary one only where it names none."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    return df.checkpoint()
-
-
 def _rounds(df: DataFrame, limit: int = 40):
     """Doubling rounds: enough for every acyclic graph, and an end for one with cycles."""
     return range(max(1, min(limit, df.count().bit_length() + 1)))
@@ -51,10 +43,10 @@ def root_owner(owners: DataFrame, standard: list[str]) -> DataFrame:
     """
     known = owners.select(F.col("name").alias("_p"), F.col("kind").alias("_pk"))
     df = owners.join(known, (F.col("parent") == F.col("_p")) & F.col("_pk").isin(*standard) & (F.col("parent") != F.col("name")), "left")
-    df = _saved(df.select("name", "kind", F.coalesce("_p", "name").alias("up")))
+    df = saved(df.select("name", "kind", F.coalesce("_p", "name").alias("up")))
     for _ in _rounds(df):
         step = df.select(F.col("name").alias("_n"), F.col("up").alias("_u"))
-        after = _saved(df.join(step, df["up"] == step["_n"], "left").select("name", "kind", F.coalesce("_u", "up").alias("up"), (F.coalesce("_u", "up") != F.col("up")).alias("_moved")))
+        after = saved(df.join(step, df["up"] == step["_n"], "left").select("name", "kind", F.coalesce("_u", "up").alias("up"), (F.coalesce("_u", "up") != F.col("up")).alias("_moved")))
         moved = after.agg(F.count_if("_moved")).first()[0]
         df = after.drop("_moved")
         if not moved:
@@ -69,12 +61,12 @@ def descendants(processes: DataFrame, matched: Column, pid: str = "pid", ppid: s
     Whether one of the ancestors up to twice as far away is matched is known from two halves of the way.
     """
     parent = F.when(F.col(ppid) != F.col(pid), F.col(ppid))
-    df = _saved(processes.select(F.col(pid).alias("pid"), parent.alias("up"), F.coalesce(matched, F.lit(False)).alias("hit")))
+    df = saved(processes.select(F.col(pid).alias("pid"), parent.alias("up"), F.coalesce(matched, F.lit(False)).alias("hit")))
     for _ in _rounds(df):
         if not df.where("up is not null and not hit").limit(1).count():
             break
         far = df.select(F.col("pid").alias("_n"), F.col("up").alias("_u"), F.col("hit").alias("_h"))
-        df = _saved(df.join(far, df["up"] == far["_n"], "left").select("pid", F.col("_u").alias("up"), (F.col("hit") | F.coalesce("_h", F.lit(False))).alias("hit")))
+        df = saved(df.join(far, df["up"] == far["_n"], "left").select("pid", F.col("_u").alias("up"), (F.col("hit") | F.coalesce("_h", F.lit(False))).alias("hit")))
     return df.where("hit").select("pid")
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from logspark.functions.dates import rfc3339_nanos
 from logspark.functions.patterns import java_regex
 from logspark.model import MAX_LINE_BYTES, Grouper
-from logspark.operators.ordered import Fold, automaton, ordered_fold, previous, running
+from logspark.operators.ordered import Fold, automaton, in_blocks, ordered_fold, previous, running
 
 KEY, ORDER = ["log_path"], ["line_seq"]
 
@@ -28,7 +28,8 @@ def number_groups(lines: DataFrame, grouper: Grouper, block: Column | None = Non
     """
     start, pattern = _found(F.col("raw"), grouper.start), _found(F.col("raw"), grouper.pattern)
     go = pattern if grouper.kind.startswith("continue") else ~pattern
-    df = previous(lines.withColumn("_go", go), KEY, ORDER, F.struct(start.alias("start"), go.alias("go")), "_before", block)
+    df, by = in_blocks(lines.withColumn("_go", go), block)
+    df = previous(df, KEY, ORDER, F.struct(start.alias("start"), go.alias("go")), "_before", by)
     after_start = F.coalesce(F.col("_before.start"), F.lit(False))
     if grouper.kind in ("continueThrough", "haltBefore"):
         # absorbed if it goes on and the line before was absorbed or is a start
@@ -37,9 +38,9 @@ def number_groups(lines: DataFrame, grouper: Grouper, block: Column | None = Non
         # after an absorbed line, that line decides; after another, whether it is a start
         on = F.coalesce(F.col("_before.go"), F.lit(False))
         step = F.when(on & after_start, "1").when(on, "i").when(after_start, "f").otherwise("0")
-    df = automaton(df, KEY, ORDER, step, "_absorbed", block)
-    df = running(df, KEY, ORDER, F.when(F.col("_absorbed"), 0).otherwise(1), "group_id", block=block)
-    return df.withColumn("group_id", F.col("group_id") - 1).drop("_go", "_before", "_absorbed")
+    df = automaton(df, KEY, ORDER, step, "_absorbed", by)
+    df = running(df, KEY, ORDER, F.when(F.col("_absorbed"), 0).otherwise(1), "group_id", block=by)
+    return df.withColumn("group_id", F.col("group_id") - 1).drop("_go", "_before", "_absorbed", "_block")
 
 
 def group_lines(lines: DataFrame, grouper: Grouper, separator: str = "\n", max_bytes: int | None = None, block: Column | None = None) -> DataFrame:
@@ -125,7 +126,8 @@ def parse_json_lines(lines: DataFrame, message_field: str = "log", time_field: s
 def merge_pieces(lines: DataFrame, block: Column | None = None) -> DataFrame:
     """Joins consecutive messages until one ends with a line end: log_path, line_seq, n_pieces, message, and ts_nanos and attrs of the first piece."""
     ended = F.when(F.col("message").endswith("\n"), 1).otherwise(0)
-    df = running(lines, KEY, ORDER, ended, "_group", before=True, block=block).withColumn("_group", F.coalesce("_group", F.lit(0)))
+    df, by = in_blocks(lines, block)
+    df = running(df, KEY, ORDER, ended, "_group", before=True, block=by).withColumn("_group", F.coalesce("_group", F.lit(0)))
     first = lambda c: F.min_by(c, "line_seq").alias(c)
     rows = F.array_sort(F.collect_list(F.struct("line_seq", "message")))
     out = df.groupBy("log_path", "_group").agg(F.min("line_seq").alias("line_seq"), F.count("*").alias("n_pieces"), F.array_join(F.transform(rows, lambda r: r["message"]), "").alias("message"), first("ts_nanos"), first("attrs"))
@@ -172,7 +174,8 @@ def reassemble_cri(parsed: DataFrame, max_bytes: int | None = None, block: Colum
     ok = parsed.where("error is null").select("log_path", "stream", "line_seq", "ts_nanos", F.regexp_replace("message", r"\r?\n$", "").alias("piece"), F.array_contains("tags", "F").alias("full"))
     if max_bytes is not None:
         return ordered_fold(ok, ["log_path", "stream"], ORDER, lambda: _Pieces(max_bytes), _CRI)
-    df = running(ok, ["log_path", "stream"], ORDER, F.when(F.col("full"), 1).otherwise(0), "_group", before=True, block=block).withColumn("_group", F.coalesce("_group", F.lit(0)))
+    df, by = in_blocks(ok, block)
+    df = running(df, ["log_path", "stream"], ORDER, F.when(F.col("full"), 1).otherwise(0), "_group", before=True, block=by).withColumn("_group", F.coalesce("_group", F.lit(0)))
     rows = F.array_sort(F.collect_list(F.struct("line_seq", "piece")))
     out = df.groupBy("log_path", "stream", "_group").agg(F.min("line_seq").alias("line_seq"), F.min_by("ts_nanos", "line_seq").alias("ts_nanos"), F.count("*").alias("n_pieces"), F.array_join(F.transform(rows, lambda r: r["piece"]), "").alias("message"), (~F.bool_or("full")).alias("partial"))
     return out.drop("_group")

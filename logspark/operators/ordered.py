@@ -7,6 +7,7 @@ at the same time, one row per block is scanned after them, and what came before
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
@@ -16,58 +17,67 @@ from pyspark.sql import functions as F
 _COMBINE: dict[str, Callable] = {"sum": lambda a, b: a + b, "max": F.greatest, "min": F.least}
 
 
-def _join_nullsafe(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-    on = [left[k].eqNullSafe(right[f"_r_{k}"]) for k in keys]
-    return left.join(right, on, "left").drop(*(f"_r_{k}" for k in keys))
+def saved(df: DataFrame) -> DataFrame:
+    """A checkpoint in the folder that the session names; a temporary one only where it names none."""
+    sc = df.sparkSession.sparkContext
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    return df.checkpoint()
 
 
-def running(df: DataFrame, keys: list[str], order: list[str], value: Column, name: str, how: str = "sum", before: bool = False, block: Column | None = None) -> DataFrame:
-    """Adds the running sum, max or min of `value`, of the rows up to this one or (before) up to the one before."""
+def in_blocks(df: DataFrame, block: Column | None) -> tuple[DataFrame, str | None]:
+    """Adds the column _block once, so that all windows over it share one shuffle; returns its name."""
+    return (df, None) if block is None else (df.withColumn("_block", block), "_block")
+
+
+def _carry(df: DataFrame, carried: DataFrame, by: list[str]) -> DataFrame:
+    """Joins what comes before each block to the block's rows, which stay where they are. carried: a row per block, saved so that rows aren't scanned again for each later step."""
+    return df.join(saved(carried), by, "left")
+
+
+def running(df: DataFrame, keys: list[str], order: list[str], value: Column, name: str, how: str = "sum", before: bool = False, block: str | None = None) -> DataFrame:
+    """Adds the running sum, max or min of `value`, of the rows up to this one or (before) up to the one before.
+
+    block: a column of blocks (see in_blocks). With blocks, keys must not be null.
+    """
     agg, combine = getattr(F, how), _COMBINE[how]
-    by = [*keys, "_block"] if block is not None else keys
+    by = [*keys, block] if block else keys
     df = df.withColumn("_value", value)
-    if block is not None:
-        df = df.withColumn("_block", block)
     w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1 if before else 0)
     out = df.withColumn(name, agg("_value").over(w))
     if block is None:
         return out.drop("_value")
     totals = df.groupBy(*by).agg(agg("_value").alias("_total"))
-    earlier = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    carried = totals.select(*(F.col(k).alias(f"_r_{k}") for k in by), agg("_total").over(earlier).alias("_carried"))
-    out = _join_nullsafe(out, carried, by)
+    earlier = Window.partitionBy(*keys).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
+    out = _carry(out, totals.select(*by, agg("_total").over(earlier).alias("_carried")), by)
     both = combine(F.col("_carried"), F.col(name)) if how == "sum" else combine("_carried", name)
-    return out.withColumn(name, F.when(F.col("_carried").isNull(), F.col(name)).when(F.col(name).isNull(), F.col("_carried")).otherwise(both)).drop("_value", "_block", "_carried")
+    return out.withColumn(name, F.when(F.col("_carried").isNull(), F.col(name)).when(F.col(name).isNull(), F.col("_carried")).otherwise(both)).drop("_value", "_carried")
 
 
-def previous(df: DataFrame, keys: list[str], order: list[str], value: Column, name: str, block: Column | None = None) -> DataFrame:
+def previous(df: DataFrame, keys: list[str], order: list[str], value: Column, name: str, block: str | None = None) -> DataFrame:
     """Adds the value of the row before (null at the start), over the borders of blocks."""
     df = df.withColumn("_value", value)
-    if block is None:
-        return df.withColumn(name, F.lag("_value").over(Window.partitionBy(*keys).orderBy(*order))).drop("_value")
-    by = [*keys, "_block"]
-    df = df.withColumn("_block", block)
+    by = [*keys, block] if block else keys
     w = Window.partitionBy(*by).orderBy(*order)
-    out = df.withColumn(name, F.lag("_value").over(w)).withColumn("_n", F.row_number().over(w))
+    out = df.withColumn(name, F.lag("_value").over(w))
+    if block is None:
+        return out.drop("_value")
+    out = out.withColumn("_n", F.row_number().over(w))
     last = df.groupBy(*by).agg(F.max_by(F.struct("_value"), F.struct(*order)).alias("_last"))
-    carried = last.select(*(F.col(k).alias(f"_r_{k}") for k in by), F.lag("_last").over(Window.partitionBy(*keys).orderBy("_block")).alias("_carried"))
-    out = _join_nullsafe(out, carried, by)
-    return out.withColumn(name, F.when(F.col("_n") == 1, F.col("_carried._value")).otherwise(F.col(name))).drop("_value", "_block", "_n", "_carried")
+    out = _carry(out, last.select(*by, F.lag("_last").over(Window.partitionBy(*keys).orderBy(block)).alias("_carried")), by)
+    return out.withColumn(name, F.when(F.col("_n") == 1, F.col("_carried._value")).otherwise(F.col(name))).drop("_value", "_n", "_carried")
 
 
-def automaton(df: DataFrame, keys: list[str], order: list[str], step: Column, name: str, block: Column | None = None) -> DataFrame:
+def automaton(df: DataFrame, keys: list[str], order: list[str], step: Column, name: str, block: str | None = None) -> DataFrame:
     """Adds the state (boolean) after each row of a one-bit automaton that begins with false.
 
     step: what a row does to the state: 0 or 1 sets it, i keeps it, f flips it. The state is the value last set,
     flipped as often as rows have flipped since: two running values, and so steps of whole blocks combine alike.
     """
     df = df.withColumn("_step", step)
-    by = [*keys, "_block"] if block is not None else keys
-    if block is not None:
-        df = df.withColumn("_block", block)
+    by = [*keys, block] if block else keys
     w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    flips = F.count_if(F.col("_step") == "f")
-    df = df.withColumn("_flips", flips.over(w))
+    df = df.withColumn("_flips", F.count_if(F.col("_step") == "f").over(w))
     df = df.withColumn("_set", F.last(F.when(F.col("_step").isin("0", "1"), F.struct((F.col("_step") == "1").alias("v"), F.col("_flips").alias("f"))), ignorenulls=True).over(w))
     odd = (F.col("_flips") - F.coalesce(F.col("_set.f"), F.lit(0))) % 2 == 1
 
@@ -80,10 +90,9 @@ def automaton(df: DataFrame, keys: list[str], order: list[str], step: Column, na
     ends = df.groupBy(*by).agg(F.max_by(F.struct("_set", "_flips"), F.struct(*order)).alias("_e"))
     net = (F.col("_e._flips") - F.coalesce(F.col("_e._set.f"), F.lit(0))) % 2 == 1
     code = F.when(F.col("_e._set").isNull(), F.when(net, "f").otherwise("i")).otherwise(F.when(F.col("_e._set.v") != net, "1").otherwise("0"))
-    scanned = automaton(ends.withColumn("_code", code), keys, ["_block"], F.col("_code"), "_after")
-    carried = scanned.select(*(F.col(k).alias(f"_r_{k}") for k in by), F.lag("_after", 1, False).over(Window.partitionBy(*keys).orderBy("_block")).alias("_carried"))
-    df = _join_nullsafe(df, carried, by)
-    return df.withColumn(name, after(F.coalesce("_carried", F.lit(False)))).drop("_step", "_flips", "_set", "_block", "_carried")
+    scanned = automaton(ends.select(*by, code.alias("_code")), keys, [block], F.col("_code"), "_after")
+    df = _carry(df, scanned.select(*by, F.lag("_after", 1, False).over(Window.partitionBy(*keys).orderBy(block)).alias("_carried")), by)
+    return df.withColumn(name, after(F.coalesce("_carried", F.lit(False)))).drop("_step", "_flips", "_set", "_carried")
 
 
 class Fold:

@@ -25,13 +25,17 @@ def sample_rate(c: Column, rules: list[SamplingRule] | tuple[SamplingRule, ...])
     return out
 
 
+def kept(rate: Column, key: list[str], seed: int = 42) -> Column:
+    """Whether a line of this rate stays: it depends on its key and the seed only, so repeated tasks agree."""
+    draw = F.pmod(F.xxhash64(*key, F.lit(seed)), F.lit(1 << 53)) / float(1 << 53)
+    return (rate >= 1) | (draw < rate)
+
+
 def sample(lines: DataFrame, rules: list[SamplingRule] | tuple[SamplingRule, ...], key: list[str], column: str = "message", seed: int = 42) -> DataFrame:
-    """Keeps lines by their rule's rate and adds sample_rate. Whether a line stays depends on its key and the seed only, so repeated tasks agree."""
+    """Keeps lines by their rule's rate and adds sample_rate."""
     if not rules:
         return lines.withColumn("sample_rate", F.lit(1.0))
-    draw = F.pmod(F.xxhash64(*key, F.lit(seed)), F.lit(1 << 53)) / float(1 << 53)
-    df = lines.withColumn("sample_rate", sample_rate(F.col(column), rules))
-    return df.where((F.col("sample_rate") >= 1) | (draw < F.col("sample_rate")))
+    return lines.withColumn("sample_rate", sample_rate(F.col(column), rules)).where(kept(F.col("sample_rate"), key, seed))
 
 
 _HASH = re.compile(r"\\H(\d)")

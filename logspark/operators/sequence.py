@@ -6,16 +6,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logspark.model import REQUEST_BYTES, SEQUENCE_LIMIT
-from logspark.operators.ordered import Fold, ordered_fold, running
+from logspark.operators.ordered import Fold, in_blocks, ordered_fold, running
 
 KEY, ORDER = ["log_path"], ["line_seq"]
 
 
 def sequence(lines: DataFrame, limit: int = SEQUENCE_LIMIT, block: Column | None = None) -> DataFrame:
     """Adds seq_id and seq_num: the bytes before the line in its log, with a new id and 0 after every `limit` of them."""
-    df = running(lines, KEY, ORDER, F.col("raw_len").cast("long"), "_before", before=True, block=block).withColumn("_before", F.coalesce("_before", F.lit(0)))
+    df, by = in_blocks(lines, block)
+    df = running(df, KEY, ORDER, F.col("raw_len").cast("long"), "_before", before=True, block=by).withColumn("_before", F.coalesce("_before", F.lit(0)))
     epoch = F.floor(F.col("_before") / limit)
-    return df.withColumns({"seq_id": F.sha2(F.concat_ws("#", "log_path", epoch.cast("string")), 256), "seq_num": F.pmod("_before", F.lit(limit))}).drop("_before")
+    return df.withColumns({"seq_id": F.sha2(F.concat_ws("#", "log_path", epoch.cast("string")), 256), "seq_num": F.pmod("_before", F.lit(limit))}).drop("_before", "_block")
 
 
 def encode_sequence(events: DataFrame, session: list[str], order: list[str]) -> DataFrame:

@@ -11,7 +11,7 @@ from logspark.operators.inventory import diff_snapshots
 from logspark.operators.joins import attach_attributes, attach_pod, first_matching
 from logspark.operators.metrics import as_metrics, filter_metrics, parse_exposition, rate
 from logspark.operators.reports import processing_report
-from logspark.operators.rules import redact, sample
+from logspark.operators.rules import kept, redact, sample, sample_rate
 from logspark.operators.sequence import sequence
 
 
@@ -26,11 +26,11 @@ def log_events(lines: DataFrame, grouper: Grouper | None, sampling: tuple[Sampli
 
 def log_report(lines: DataFrame, grouper: Grouper, sampling: tuple[SamplingRule, ...], redaction: tuple[RedactionRule, ...], block: Column | None = None) -> DataFrame:
     """What log_events did with each log."""
-    grouped = line_ops.group_lines(lines, grouper, block=block)
-    kept = redact(sample(grouped, sampling, ["log_path", "line_seq"]), redaction).select("log_path", "line_seq", "redacted", "message")
-    both = grouped.select("log_path", "line_seq", (F.octet_length("message") + 1).alias("raw_len")).join(kept, ["log_path", "line_seq"], "left")
+    df = line_ops.group_lines(lines, grouper, block=block).withColumn("raw_len", F.octet_length("message") + 1)
+    # flags instead of filters, so that one pass counts what stays and what goes
+    df = df.withColumn("_kept", kept(sample_rate(F.col("message"), sampling), ["log_path", "line_seq"]))
     no = F.lit(False)
-    return processing_report(both, ["log_path"], F.col("message").isNotNull(), F.coalesce("redacted", no), no, no)
+    return processing_report(redact(df, redaction), ["log_path"], F.col("_kept"), F.col("redacted"), no, no)
 
 
 def scrape_metrics(scrapes: DataFrame, monitor: str, include: list[str], exclude: list[str], components: dict | None = None, dropped: tuple[str, ...] = ()) -> DataFrame:
