@@ -3,7 +3,7 @@
 A large star links every neighbour greater than a node to the least of the node and its neighbours; a
 small star links a node and its lesser neighbours to the least of them. Links never multiply, and after a
 few rounds every node is linked to the least node of its component. Before the first round each batch
-of links is thinned to a spanning forest where it lies.
+of links is thinned to a spanning forest where it lies, unless the caller's links are forests already.
 """
 
 from __future__ import annotations
@@ -45,9 +45,10 @@ def _thin(batches):
         yield pa.RecordBatch.from_arrays([pa.array(nodes[own], pa.int64()), pa.array(nodes[root[own]], pa.int64())], ["a", "b"])
 
 
-def connected_components(links: DataFrame) -> DataFrame:
+def connected_components(links: DataFrame, thin: bool = True) -> DataFrame:
     """node and component (its least node) of all nodes that have a link. links: a, b (long); nulls and loops are ignored."""
-    e = links.select("a", "b").where("a is not null and b is not null and a <> b").mapInArrow(lean(_thin), "a long, b long")
+    e = links.select("a", "b").where("a is not null and b is not null and a <> b")
+    e = e.mapInArrow(lean(_thin), "a long, b long") if thin else e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     e = checkpoint(e.distinct())
     seen = None
     for _ in range(ROUNDS):

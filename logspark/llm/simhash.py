@@ -280,7 +280,7 @@ def near_duplicates(df: DataFrame, n: int = 4, radius: int = 4, key: str = "doc_
     docs = checkpoint(fingerprints(df, n, 1, key, text).select(key, "f0"))
     least = docs.groupBy("f0").agg(F.min(key).alias("_least"))
     links = near_links(least.select(F.col("f0").alias("id"), "f0"), radius)
-    found = connected_components(links)
+    found = connected_components(links, thin=False)
     least = least.join(found, F.col("f0") == F.col("node"), "left").select("f0", "_least", F.coalesce("component", "f0").alias("_root"))
     roots = least.groupBy("_root").agg(F.min("_least").alias("component_id"))
     by_print = least.join(roots, "_root").select("f0", "component_id")
@@ -322,7 +322,7 @@ def resembling(df: DataFrame, n: int = 5, least: float = 0.8, key: str = "doc_id
             yield pa.RecordBatch.from_arrays([x["a"].filter(pa.array(keep)), x["b"].filter(pa.array(keep))], ["a", "b"])
 
     sure = both.select("a", "b", "_za", "_zb").mapInArrow(lean(verified), "a long, b long")
-    return connected_components(sure.unionByName(copies)).withColumnRenamed("node", key).withColumnRenamed("component", "component_id")
+    return connected_components(sure.unionByName(copies), thin=False).withColumnRenamed("node", key).withColumnRenamed("component", "component_id")
 
 
 def squeeze_texts(df: DataFrame, key: str, text: str) -> DataFrame:

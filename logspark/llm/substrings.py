@@ -33,7 +33,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logspark.llm.common import PACKED, checkpoint, deal, delta, lean, mix64, pack, packed_groups, partitions, slices, unpack, utf8
+from logspark.llm.common import PACKED, checkpoint, deal, delta, lean, lean_groups, mix64, pack, packed_groups, partitions, slices, unpack, utf8
 
 #: Sampled suffixes and text bytes that a bucket should hold.
 BUCKET_SUFFIXES, BUCKET_BYTES = 250_000, 8 << 20
@@ -299,7 +299,7 @@ def covered_spans(df: DataFrame, length: int = 50, key: str = "doc_id", text: st
                 yield _found(doc[hit], row[hit], np.zeros(len(hit), np.uint64), pos[hit] - far[hit], far[hit] - close[hit] + length, n_docs)
 
     by_bucket = packed.groupBy("bucket")
-    seen = by_bucket.cogroup(found.groupBy("bucket")).applyInArrow(contexts, PACKED)
+    seen = by_bucket.cogroup(found.groupBy("bucket")).applyInArrow(lean_groups(contexts), PACKED)
     spans = deal(seen, max(partitions(spark), min(n_suffix, 4096))).mapInArrow(lean(cut), PACKED)
     return found.unionByName(spans), packed, matters
 
@@ -348,4 +348,4 @@ def remove_repeats(df: DataFrame, length: int = 50, key: str = "doc_id", text: s
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.binary()]
         return pa.table([pa.array(c, k) for c, k in zip(cols, kinds)], [key, "n_bytes", "n_removed", "n_spans", "spans", "kept"])
 
-    return packed.groupBy("bucket").cogroup(spans.groupBy("bucket")).applyInArrow(cleaned, f"`{key}` long, n_bytes long, n_removed long, n_spans long, spans array<struct<start:long,end:long>>, kept binary")
+    return packed.groupBy("bucket").cogroup(spans.groupBy("bucket")).applyInArrow(lean_groups(cleaned), f"`{key}` long, n_bytes long, n_removed long, n_spans long, spans array<struct<start:long,end:long>>, kept binary")
