@@ -3,7 +3,8 @@
 Lines of at least `min_chars` code points that have a word take part; equal lines are one by their 64-bit
 hash. A line's signature is one permutation of its character shingles cut into bins: the least hash in each
 bin, empty bins filled from others in an order that all lines share. Bands of bins become keys; lines that
-share a key are candidates. Keys and line ids travel packed; equal sets of candidates, which near copies give
+share a key are candidates, if 32 further bits of their signatures don't speak against it: without these, chance meetings in
+keys would grow with the square of the lines. Keys and line ids travel packed; equal sets of candidates, which near copies give
 for many keys, are one set. Every set is verified on the texts by exact Jaccard resemblance: a line is compared
 with those of the set that it isn't yet connected to, so the links are no more than the lines, and none that joins
 two components is lost. Sets over `BLOCK` lines are cut into blocks and every pair of blocks is a set. Links become
@@ -23,15 +24,19 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logspark.llm.common import PACKED, checkpoint, deal, lean, mix64, pack, packed_groups, partitions, slices, utf8
-from logspark.llm.components import connected_components
+from logspark.llm.common import PACKED, checkpoint, deal, lean, lean_groups, mix64, pack, packed_groups, partitions, ragged, slices, unpack, utf8
+from logspark.llm.components import connected_components, union_find
 
 BANDS, ROWS = 12, 5
 SHINGLE, LEAST, MIN_CHARS = 5, 0.8, 16
 BLOCK = 1000
-#: Bytes of lines, with repeats, that a bucket of sets should hold.
+#: Of 32 sketch bits, so many must agree for two lines of a key to be candidates; keys with more lines than SKETCHED aren't thinned.
+AGREEING, SKETCHED = 22, 64
+#: Bytes of lines that a bucket of sets should hold, a line being taken for 1000 bytes; their hashes take eight times as much.
 SET_BYTES = 4 << 20
 BUCKET_KEYS, BUCKET_BYTES = 400_000, 8 << 20
+#: Bits of the map of lines that verification wants, 32 MB.
+BITMAP_BITS = 1 << 28
 #: Line numbers up to which the table of removed lines is broadcast (16 bytes each).
 BROADCAST_LINES = 1_000_000
 
@@ -82,7 +87,7 @@ def _sums(text: np.ndarray, n: int, kind) -> np.ndarray:
 def shingles(lines: list[bytes], n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the n-character shingles of all lines, and the number of each line's."""
     text, begins, count = _characters(lines, n)
-    return mix64(_sums(text, n, np.uint64)[begins]), count
+    return _sums(text, n, np.uint64)[begins], count
 
 
 def signatures(lines: list[bytes], n: int, bins: int) -> np.ndarray:
@@ -119,32 +124,67 @@ def band_keys(s: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return key
 
 
-def verify(sets: list[set[int]], least: float) -> list[tuple[int, int]]:
-    """Links of resembling lines (sets of shingle hashes), one fewer than the members of each component."""
-    groups: list[list[int]] = []
-    links = []
-    for i, s in enumerate(sets):
-        mine = None
-        for g in groups:
-            for j in reversed(g):
-                t = sets[j]
-                small, large = (len(s), len(t)) if len(s) < len(t) else (len(t), len(s))
-                if small < least * large:
-                    continue
-                both = len(s & t)
-                if both >= least * (len(s) + len(t) - both):
-                    links.append((i, j))
-                    if mine is None:
-                        mine = g
-                        g.append(i)
-                    else:
-                        mine += g
-                        g.clear()
-                    break
-        groups = [g for g in groups if g]
-        if mine is None:
-            groups.append([i])
-    return links
+def distinct(h: np.ndarray) -> np.ndarray:
+    h = np.sort(h)
+    return h[np.r_[True, h[1:] != h[:-1]]]
+
+
+class Verifier:
+    """Exact resemblance of lines (sorted distinct shingle hashes), with the components found so far: lines of one component aren't compared again."""
+
+    def __init__(self, hashed: list[np.ndarray], least: float):
+        self.hashed, self.least, self.parent = hashed, least, list(range(len(hashed)))
+        self.links: list[tuple[int, int]] = []
+
+    def find(self, i: int) -> int:
+        while self.parent[i] != i:
+            self.parent[i] = i = self.parent[self.parent[i]]
+        return i
+
+    def alike(self, i: int, j: int) -> bool:
+        s, t = self.hashed[i], self.hashed[j]
+        if len(s) > len(t):
+            s, t = t, s
+        if len(s) < self.least * len(t):
+            return False
+        both = np.concatenate((s, t))
+        both.sort()
+        both = int((both[1:] == both[:-1]).sum())
+        return both >= self.least * (len(s) + len(t) - both)
+
+    def add_set(self, members: list[int]) -> None:
+        """Links the components of the members as far as any two of them resemble each other."""
+        groups: dict[int, list[int]] = {}
+        for i in members:
+            mine = groups.setdefault(self.find(i), [])
+            mine.append(i)
+            for root in [r for r in groups if r != self.find(i)]:
+                other = groups[root]
+                j = next((j for j in reversed(other) if self.alike(i, j)), None)
+                if j is not None:
+                    self.links.append((i, j))
+                    a, b = sorted((self.find(i), root))
+                    self.parent[b] = a
+                    groups[a] = groups.pop(a) + groups.pop(b)
+
+
+def sketches(s: np.ndarray) -> np.ndarray:
+    """A bit of each of the first 32 bins: lines that resemble each other to 0.8 agree in 29 of them on average, others in 16."""
+    bits = (mix64(s[:, :32].astype(np.uint64)) & np.uint64(1)).astype(np.uint32)
+    return (bits << np.arange(bits.shape[1], dtype=np.uint32)).sum(1, dtype=np.uint32)
+
+
+def alike_groups(first: np.ndarray, size: np.ndarray, sketch: np.ndarray) -> np.ndarray:
+    """A label for each row of the runs [first, first + size): rows of a run that agreeing sketches connect share one. Runs over SKETCHED rows stay whole."""
+    label = np.repeat(first, size)
+    small = np.flatnonzero(size <= SKETCHED)
+    rows = ragged(first[small], size[small])
+    later = np.repeat(first[small] + size[small], size[small]) - rows - 1
+    i, j = np.repeat(rows, later), ragged(rows + 1, later)
+    ok = 32 - np.bitwise_count(sketch[i] ^ sketch[j]) >= AGREEING
+    own = union_find(i[ok], j[ok], len(label))
+    label[rows] = own[rows]
+    return label
 
 
 def _keyed(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -166,8 +206,8 @@ def occurrences(df: DataFrame, key: str, text: str, min_chars: int) -> DataFrame
     return _keyed(df, key, text).mapInArrow(lean(run), "line long, doc long, number int")
 
 
-def _unique_lines(batches, min_chars: int, size: int = 2 << 20):
-    """Ids and bytes of the lines of a slice of about `size` bytes, each once."""
+def _unique_lines(batches, min_chars: int, size: int = 1 << 20, wanted=None):
+    """Ids and bytes of the lines of a slice of about `size` bytes, each once. wanted: says of ids which may be left out."""
     for b in batches:
         data, off = utf8(b["_text"])
         for i, j in slices(off, size):
@@ -175,31 +215,37 @@ def _unique_lines(batches, min_chars: int, size: int = 2 << 20):
             _, _, start, end, part = line_table(own, at, min_chars)
             start, end = start[part], end[part]
             ids, first = np.unique(line_ids(own, start, end), return_index=True)
+            if wanted is not None:
+                keep = wanted(ids)
+                ids, first = ids[keep], first[keep]
             if len(ids):
                 raw = own.tobytes()
                 yield ids, [raw[s:e] for s, e in zip(start[first].tolist(), end[first].tolist())]
 
 
-def candidate_sets(df: DataFrame, key: str, text: str, min_chars: int, n: int, bands: int, rows: int) -> DataFrame:
-    """set, line: lines that share a band's key; equal sets are one."""
+def candidate_sets(df: DataFrame, total: int, key: str, text: str, min_chars: int, n: int, bands: int, rows: int) -> DataFrame:
+    """set, line, home: lines that share a band's key; equal sets are one. home: the least line of the set, which near copies' sets have in common."""
     docs = _keyed(df, key, text)
-    total = docs.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
     # a line has about 300 bytes; only the size of buckets depends on that
     n_buckets = int(min(65_535, 1 + total // 300 * bands // BUCKET_KEYS))
 
     def keys(batches):
         for ids, lines in _unique_lines(batches, min_chars):
-            k = band_keys(signatures(lines, n, bands * rows), bands, rows).ravel()
-            yield pack(((k & np.uint64(0xFFFFFF)) % np.uint64(n_buckets)).astype(np.int64), [(k >> np.uint64(32)).astype(np.uint32), (k >> np.uint64(16)).astype(np.uint16), np.repeat(ids, bands)])
+            s = signatures(lines, n, bands * rows)
+            k = band_keys(s, bands, rows).ravel()
+            yield pack(((k & np.uint64(0xFFFFFF)) % np.uint64(n_buckets)).astype(np.int64), [(k >> np.uint64(32)).astype(np.uint32), np.repeat(sketches(s), bands), np.repeat(ids, bands)])
 
     def sets(batches):
-        for _, (high, low, line) in packed_groups(batches, [np.uint32, np.uint16, np.int64]):
-            k = (high.astype(np.uint64) << np.uint64(16)) | low
+        for _, (k, sketch, line) in packed_groups(batches, [np.uint32, np.uint32, np.int64]):
             order = np.lexsort((line, k))
-            k, line = k[order], line[order]
+            k, sketch, line = k[order], sketch[order], line[order]
             once = np.r_[True, (k[1:] != k[:-1]) | (line[1:] != line[:-1])]
-            k, line = k[once], line[once]
+            k, sketch, line = k[once], sketch[once], line[once]
             first = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
+            label = alike_groups(first, np.diff(np.r_[first, len(k)]), sketch)
+            order = np.lexsort((line, label))
+            line, label = line[order], label[order]
+            first = np.flatnonzero(np.r_[True, label[1:] != label[:-1]])
             size = np.diff(np.r_[first, len(k)])
             name = np.add.reduceat(mix64(line.view(np.uint64)), first) + size.astype(np.uint64)
             keep = np.flatnonzero(size > 1)
@@ -211,7 +257,7 @@ def candidate_sets(df: DataFrame, key: str, text: str, min_chars: int, n: int, b
             chosen = np.zeros(len(first), bool)
             chosen[small] = True
             member = chosen[set_of]
-            yield pa.RecordBatch.from_arrays([pa.array(name[set_of[member]].view(np.int64)), pa.array(line[member])], ["set", "line"])
+            yield pa.RecordBatch.from_arrays([pa.array(name[set_of[member]].view(np.int64)), pa.array(line[member]), pa.array(line[first][set_of[member]])], ["set", "line", "home"])
             for g in large.tolist():
                 own = line[first[g] : first[g] + size[g]]
                 blocks = -(-len(own) // BLOCK)
@@ -222,22 +268,38 @@ def candidate_sets(df: DataFrame, key: str, text: str, min_chars: int, n: int, b
                             continue
                         both = own[(of == i) | (of == j)]
                         pair = int(mix64(np.array([(int(name[g]) + i * 65_537 + j * 2_147_483_659) & 0xFFFFFFFFFFFFFFFF], np.uint64)).view(np.int64)[0])
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(both), pair)), pa.array(both)], ["set", "line"])
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(both), pair)), pa.array(both), pa.array(np.full(len(both), pair))], ["set", "line", "home"])
 
     packed = docs.mapInArrow(lean(keys), PACKED)
-    return deal(packed, max(partitions(df.sparkSession), min(n_buckets, 4096))).mapInArrow(lean(sets), "set long, line long").distinct()
+    return deal(packed, max(partitions(df.sparkSession), min(n_buckets, 4096))).mapInArrow(lean(sets), "set long, line long, home long").distinct()
 
 
-def line_texts(df: DataFrame, wanted: DataFrame, key: str, text: str, min_chars: int) -> DataFrame:
-    """line, body of the wanted lines. The lines of all documents travel compressed."""
+def _membership(wanted: DataFrame, n: int):
+    """A bitmap of the wanted lines' hashes, 16 bits a line and at most `BITMAP_BITS`: what it has not isn't wanted. With more lines than it has room for it only leaves out less."""
+    bits = min(BITMAP_BITS, 1 << max(12, (16 * n - 1).bit_length()))
+    spot = F.pmod("line", F.lit(bits))
+    # a row for each word of the bitmap, so never more than BITMAP_BITS / 64
+    words = wanted.groupBy(F.shiftright(spot, 6).alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (spot % 64).cast("int"))).alias("v")).toArrow()
+    bitmap = np.zeros(bits // 64, np.uint64)
+    bitmap[words["w"].to_numpy()] = words["v"].to_numpy().view(np.uint64)
+
+    def has(ids: np.ndarray) -> np.ndarray:
+        at = ids % bits
+        return ((bitmap[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1)) == 1
+
+    return has
+
+
+def line_texts(df: DataFrame, wanted: DataFrame, n: int, total: int, key: str, text: str, min_chars: int) -> DataFrame:
+    """line, body of the n wanted lines, out of `total` bytes of text. The lines that may be wanted travel compressed."""
     docs = _keyed(df, key, text)
-    total = docs.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
     n_buckets = int(min(1 << 20, 1 + total // BUCKET_BYTES))
+    may_be_wanted = _membership(wanted, n)
     bucket = lambda ids: (mix64(ids.view(np.uint64)) % np.uint64(n_buckets)).astype(np.int64)
 
     def squeezed(batches):
         c = zstandard.ZstdCompressor(level=3)
-        for ids, lines in _unique_lines(batches, min_chars, 8 << 20):
+        for ids, lines in _unique_lines(batches, min_chars, 8 << 20, may_be_wanted):
             to = bucket(ids)
             order = np.argsort(to, kind="stable")
             cuts = np.flatnonzero(np.r_[True, to[order][1:] != to[order][:-1]])
@@ -271,79 +333,69 @@ def line_texts(df: DataFrame, wanted: DataFrame, key: str, text: str, min_chars:
         return pa.table([pa.array(ids, pa.int64()), pa.array(bodies, pa.binary())], ["line", "body"])
 
     have, want = docs.mapInArrow(lean(squeezed), PACKED), wanted.mapInArrow(lean(asked), PACKED)
-    return have.groupBy("bucket").cogroup(want.groupBy("bucket")).applyInArrow(found, "line long, body binary")
+    return have.groupBy("bucket").cogroup(want.groupBy("bucket")).applyInArrow(lean_groups(found), "line long, body binary")
 
 
 def resembling_lines(df: DataFrame, key: str = "doc_id", text: str = "text", least: float = LEAST, n: int = SHINGLE, min_chars: int = MIN_CHARS, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """line and component (the least id) of lines that resemble another line."""
-    sets = checkpoint(candidate_sets(df, key, text, min_chars, n, bands, rows))
-    texts = line_texts(df, sets.select("line").distinct(), key, text, min_chars)
-
-    members = sets.join(texts, "line").select("set", "line", "body")
-    n_buckets = int(min(1 << 20, 1 + sets.count() * 300 // SET_BYTES))
+    total = df.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    sets = checkpoint(candidate_sets(df, total, key, text, min_chars, n, bands, rows))
+    n_buckets = int(min(1 << 20, 1 + sets.count() * 1000 // SET_BYTES))
+    sets = sets.withColumn("bucket", F.pmod(F.xxhash64("home"), F.lit(n_buckets)).cast("int"))
+    wanted = checkpoint(sets.select("line").distinct())
+    texts = line_texts(df, wanted, wanted.count(), total, key, text, min_chars)
+    # a line's text goes once to each bucket that has a set with it
+    bodies_of = sets.select("bucket", "line").distinct().join(texts, "line").select("bucket", "line", "body")
+
+    def packed_sets(batches):
+        for b in batches:
+            yield pack(b["bucket"].to_numpy(), [b["set"].to_numpy(), b["line"].to_numpy()])
 
-    def packed(batches):
+    def packed_texts(batches):
         c = zstandard.ZstdCompressor(level=3)
         for b in batches:
-            names, ids = b["set"].to_numpy(), b["line"].to_numpy()
+            to, ids = b["bucket"].to_numpy(), b["line"].to_numpy()
             data, off = utf8(b["body"])
-            to = (mix64(names.view(np.uint64)) % np.uint64(n_buckets)).astype(np.int64)
             order = np.argsort(to, kind="stable")
             cuts = np.flatnonzero(np.r_[True, to[order][1:] != to[order][:-1]])
             bodies = []
             for s, e in zip(cuts, np.r_[cuts[1:], len(order)]):
                 own = order[s:e]
-                bodies.append(c.compress(np.int64(e - s).tobytes() + names[own].tobytes() + ids[own].tobytes() + np.diff(off)[own].tobytes() + b"".join(data[off[i] : off[i + 1]].tobytes() for i in own)))
+                bodies.append(c.compress(np.int64(e - s).tobytes() + ids[own].tobytes() + np.diff(off)[own].tobytes() + b"".join(data[off[i] : off[i + 1]].tobytes() for i in own)))
             yield pa.RecordBatch.from_arrays([pa.array(to[order][cuts].astype(np.int32)), pa.array(bodies, pa.binary())], ["bucket", "body"])
 
-    def verified(rows: list[tuple[int, int, bytes]]):
-        """Links of whole sets, in order of set."""
-        h, count = shingles([x for _, _, x in rows], n)
-        flat, ends = h.tolist(), np.cumsum(count).tolist()
-        hashed = [set(flat[e - k : e]) for e, k in zip(ends, count.tolist())]
-        a, b, i = [], [], 0
-        while i < len(rows):
-            j = i + 1
-            while j < len(rows) and rows[j][0] == rows[i][0]:
-                j += 1
-            for x, y in verify(hashed[i:j], least):
-                a.append(rows[i + x][1])
-                b.append(rows[i + y][1])
-            i = j
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
-    def links(batches):
-        d = zstandard.ZstdDecompressor()
-
-        def closed(held):
-            rows = []
-            for x in held:
-                raw = d.decompress(x)
-                k = int(np.frombuffer(raw, np.int64, 1)[0])
-                names, ids, size = (np.frombuffer(raw, np.int64, k, 8 + 8 * k * i).tolist() for i in range(3))
-                ends = (8 + 24 * k + np.cumsum(size)).tolist()
-                rows += [(s, i, raw[e - z : e]) for s, i, z, e in zip(names, ids, size, ends)]
-            rows.sort(key=lambda r: r[:2])
-            first, total = 0, 0
-            for i, r in enumerate(rows):
-                if total > 1 << 20 and r[0] != rows[i - 1][0]:
-                    yield verified(rows[first:i])
-                    first, total = i, 0
-                total += len(r[2])
-            if rows:
-                yield verified(rows[first:])
-
-        at, held = None, []
-        for b in batches:
-            for bucket, body in zip(b["bucket"].to_pylist(), b["body"]):
-                if bucket != at:
-                    yield from closed(held)
-                    at, held = bucket, []
-                held.append(body.as_py())
-        yield from closed(held)
-
-    dealt = deal(members.mapInArrow(lean(packed), PACKED), max(partitions(df.sparkSession), min(n_buckets, 4096)))
-    return connected_components(dealt.mapInArrow(lean(links), "a long, b long")).select(F.col("node").alias("line"), "component")
+    def verified(have: pa.Table, members: pa.Table) -> pa.Table:
+        d, ids, lines = zstandard.ZstdDecompressor(), [], []
+        for x in have["body"]:
+            raw = d.decompress(x.as_py())
+            k = int(np.frombuffer(raw, np.int64, 1)[0])
+            size = np.frombuffer(raw, np.int64, k, 8 + 8 * k)
+            ends = (8 + 16 * k + np.cumsum(size)).tolist()
+            ids += np.frombuffer(raw, np.int64, k, 8).tolist()
+            lines += [raw[e - z : e] for z, e in zip(size.tolist(), ends)]
+        hashed: list[np.ndarray] = []
+        first, total = 0, 0
+        for i in range(len(lines) + 1):
+            if i == len(lines) or total > 1 << 20:
+                h, count = shingles(lines[first:i], n) if i > first else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+                ends = np.cumsum(count)
+                hashed += [distinct(h[e - k : e]) for e, k in zip(ends.tolist(), count.tolist())]
+                first, total = i, 0
+            total += len(lines[i]) if i < len(lines) else 0
+        at = {x: i for i, x in enumerate(ids)}
+        v = Verifier(hashed, least)
+        parts = [unpack(x.as_py(), [np.int64, np.int64]) for x in members["body"]]
+        names, line = (np.concatenate(c) for c in zip(*parts)) if parts else (np.zeros(0, np.int64),) * 2
+        order = np.lexsort((line, names))
+        names, line = names[order], line[order]
+        cuts = np.flatnonzero(np.r_[True, names[1:] != names[:-1]]) if len(names) else names
+        for s, e in zip(cuts, np.r_[cuts[1:], len(names)]):
+            v.add_set([at[x] for x in line[s:e].tolist()])
+        return pa.table([pa.array([ids[i] for i, _ in v.links], pa.int64()), pa.array([ids[j] for _, j in v.links], pa.int64())], ["a", "b"])
+
+    have, members = bodies_of.mapInArrow(lean(packed_texts), PACKED), sets.mapInArrow(lean(packed_sets), PACKED)
+    found = have.groupBy("bucket").cogroup(members.groupBy("bucket")).applyInArrow(lean_groups(verified), "a long, b long")
+    return connected_components(found, thin=False).select(F.col("node").alias("line"), "component")
 
 
 def repeated_lines(df: DataFrame, key: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS, **how) -> DataFrame:
