@@ -67,8 +67,8 @@ def majority_bits(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return out
 
 
-def fingerprints(df: DataFrame, n: int, words: int = 1, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, norm (XXH64 of all words), n_words and the fingerprint f0.. of 64 * words bits. Null and blank texts: all zero."""
+def fingerprints(df: DataFrame, n: int, words: int = 1, key: str = "doc_id", text: str = "text", distinct: bool = False) -> DataFrame:
+    """key, norm (XXH64 of all words), n_words and the fingerprint f0.. of 64 * words bits. Null and blank texts: all zero. distinct: a repeated shingle counts once."""
     names = [f"f{i}" for i in range(words)]
     src = df.select(F.col(key), F.col(text).alias("_text"))
 
@@ -78,7 +78,7 @@ def fingerprints(df: DataFrame, n: int, words: int = 1, key: str = "doc_id", tex
             out: list[list[np.ndarray]] = [[] for _ in range(words + 1)]
             for i, j in slices(off):
                 raws = [data[off[k] : off[k + 1]].tobytes() for k in range(i, j)]
-                found = [shingle_hashes(r, n) for r in raws]
+                found = [np.unique(shingle_hashes(r, n)) if distinct else shingle_hashes(r, n) for r in raws]
                 counts = np.array([len(x) for x in found], np.int64)
                 h = np.concatenate(found)
                 out[0].append(np.fromiter((xxhash.xxh3_64_intdigest(b" ".join(r.lower().split())) for r in raws), np.uint64, len(raws)))
@@ -93,8 +93,9 @@ def fingerprints(df: DataFrame, n: int, words: int = 1, key: str = "doc_id", tex
 class Blocks:
     """The disjoint bit blocks of a fingerprint of several words, their vantage points, and their radius."""
 
-    def __init__(self, words: int, radius: int, block_radius: int | None = None):
-        self.words, self.radius = words, radius
+    def __init__(self, words: int, radius: int, block_radius: int | None = None, compared: int | None = None):
+        #: compared: so many words, the first, are within the radius together
+        self.words, self.radius, self.compared = words, radius, words if compared is None else compared
         self.blocks = [(w, np.uint64(((1 << e) - (1 << s)) & 0xFFFFFFFFFFFFFFFF), e - s) for w in range(words) for s, e in THIRDS]
         self.block_radius = radius // len(self.blocks) if block_radius is None else block_radius
 
@@ -164,8 +165,8 @@ class Search:
         r = self.blocks.block_radius
         w, mask, _ = self.blocks.blocks[self.block]
         point = self.f[w][living[int(mix64(np.array([depth * 7919 + len(living)], np.uint64))[0] % np.uint64(len(living)))]] & mask
-        d = self.blocks.distance([x[living] for x in self.f], self.block, point)
-        q = self.blocks.distance([x[asking] for x in self.f], self.block, point)
+        d = np.bitwise_count((self.f[w][living] ^ point) & mask).astype(np.int32)
+        q = np.bitwise_count((self.f[w][asking] ^ point) & mask).astype(np.int32)
         middle = int(np.median(d))
         inside = d <= middle
         if inside.all():
@@ -187,7 +188,7 @@ class Search:
             # a pair of two that live here is met twice
             keep = (a != b) & (~self.home[a] | (a < b))
             a, b = a[keep], b[keep]
-            d = sum(np.bitwise_count(x[a] ^ x[b]).astype(np.int32) for x in self.f)
+            d = sum(np.bitwise_count(x[a] ^ x[b]).astype(np.int32) for x in self.f[: self.blocks.compared])
             keep = d <= self.blocks.radius
             if keep.any():
                 self.parts.append((a[keep], b[keep], d[keep]))
@@ -203,17 +204,20 @@ class Search:
             self.held = len(keep)
 
 
-def near_links(df: DataFrame, radius: int, words: int = 1, id_: str = "id", block_radius: int | None = None) -> DataFrame:
+def near_links(df: DataFrame, radius: int, words: int = 1, id_: str = "id", block_radius: int | None = None, compared: int | None = None) -> DataFrame:
     """a, b, distance: a spanning forest, in each shard, of the pairs of rows within `radius` bits. df: distinct fingerprints f0.. with an id (long).
 
     block_radius None: every pair is found. Else pairs are found that differ by at most so many bits in one of the blocks.
+    compared: the radius holds for the first so many words; those after it only give further blocks, so a shard gets just the one that its block lies in.
     """
     spark = df.sparkSession
-    blocks = Blocks(words, radius, block_radius)
+    blocks = Blocks(words, radius, block_radius, compared)
+    compared = blocks.compared
     names = [f"f{i}" for i in range(words)]
     df = checkpoint(df.select(F.col(id_).cast("long").alias("id"), *names))
     levels = min(MOST_LEVELS, max(0, math.ceil(math.log2(max(1, df.count()) / SHARD))))
-    kinds = [np.int64, *[np.uint64] * words, np.uint8, np.uint32]
+    extra = int(words > compared)
+    kinds = [np.int64, *[np.uint64] * (compared + extra), np.uint8, np.uint32]
     hot_of: dict[int, int] = {}
 
     def shards(batches):
@@ -222,7 +226,9 @@ def near_links(df: DataFrame, radius: int, words: int = 1, id_: str = "id", bloc
             ids = x["id"].to_numpy()
             for block in range(len(blocks.blocks)):
                 row, code, home = blocks.route(f, block, levels)
-                yield row, (block << levels) + code, home, f, ids
+                w = blocks.blocks[block][0]
+                own = [f[w] if w >= compared else np.zeros_like(f[w])] if extra else []
+                yield row, (block << levels) + code, home, [*f[:compared], *own], ids
 
     def counted(batches):
         n = np.zeros(len(blocks.blocks) << levels, np.int64)
@@ -264,7 +270,9 @@ def near_links(df: DataFrame, radius: int, words: int = 1, id_: str = "id", bloc
             home, asks = (flags & 1) == 1, (flags & 2) == 2
             order = np.argsort(ids, kind="stable")
             ids, home, asks, f = ids[order], home[order], asks[order], [x[order] for x in f]
-            s = Search(blocks, owner.get(bucket, bucket) >> levels, f, home)
+            block = owner.get(bucket, bucket) >> levels
+            f += [f[-1]] * (words - len(f))
+            s = Search(blocks, block, f, home)
             a, b, d = s.pairs(np.flatnonzero(home), np.flatnonzero(asks))
             yield pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(ids[b]), pa.array(d.astype(np.int32))], ["a", "b", "distance"])
 
@@ -287,24 +295,25 @@ def near_duplicates(df: DataFrame, n: int = 4, radius: int = 4, key: str = "doc_
     return docs.join(by_print, "f0").select(key, F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: For copies by resemblance: 256 bits, links up to 62 differing bits with at most 1 in one of the 12 blocks. At a
-#: Jaccard resemblance of 0.8 a bit differs with probability 0.15, so 39 bits differ on average (deviation 6).
-WIDE_WORDS, WIDE_RADIUS, WIDE_BLOCK_RADIUS = 4, 62, 1
+#: For copies by resemblance: links up to 62 differing bits of 256, with at most 1 in one of 36 blocks of 768 bits. At a
+#: Jaccard resemblance of 0.8 a bit differs with probability 0.15, so 38 of 256 bits differ on average (deviation 6).
+WIDE_WORDS, WIDE_COMPARED, WIDE_RADIUS, WIDE_BLOCK_RADIUS = 12, 4, 62, 1
 
 
 def resembling(df: DataFrame, n: int = 5, least: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key and component_id (least key) of documents that have a link: a Jaccard resemblance of n-word shingles of at least `least`.
 
-    Candidates are links of wide fingerprints; each is checked on the texts. Texts of equal words are linked without
-    a check. Documents without a link have no row. Null keys are not linked.
+    Candidates are links of wide fingerprints of the distinct shingles; each is checked on the texts. The search is not
+    exact: of pairs at a resemblance of just 0.8 it finds 99.6 % to 99.97 % (3,000 pairs of random sets each of 9 to 900
+    shingles), of closer ones more. Texts of equal words are linked without a check. Documents without a link have no row. Null keys are not linked.
     """
-    docs = checkpoint(fingerprints(df.where(F.col(key).isNotNull()), n, WIDE_WORDS, key, text))
+    docs = checkpoint(fingerprints(df.where(F.col(key).isNotNull()), n, WIDE_WORDS, key, text, distinct=True))
     names = [f"f{i}" for i in range(WIDE_WORDS)]
     same = ["norm", *names]
     unique = docs.groupBy(*same).agg(F.min(key).alias("id"), F.count("*").alias("_n"))
     unique = checkpoint(unique)
     copies = docs.join(unique.where("_n > 1"), same).where(F.col(key) > F.col("id")).select(F.col(key).alias("a"), F.col("id").alias("b"))
-    links = checkpoint(near_links(unique, WIDE_RADIUS, WIDE_WORDS, "id", WIDE_BLOCK_RADIUS).select("a", "b").distinct())
+    links = checkpoint(near_links(unique, WIDE_RADIUS, WIDE_WORDS, "id", WIDE_BLOCK_RADIUS, WIDE_COMPARED).select("a", "b").distinct())
     ends = links.select(F.explode(F.array("a", "b")).alias(key)).distinct()
     squeezed = squeeze_texts(df.select(key, text), key, text)
     texts = checkpoint(squeezed.join(ends, key).dropDuplicates([key]))
