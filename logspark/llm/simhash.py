@@ -298,12 +298,16 @@ def near_duplicates(df: DataFrame, n: int = 4, radius: int = 4, key: str = "doc_
 #: For copies by resemblance: links up to 62 differing bits of 256, with at most 1 in one of 36 blocks of 768 bits. At a
 #: Jaccard resemblance of 0.8 a bit differs with probability 0.15, so 38 of 256 bits differ on average (deviation 6).
 WIDE_WORDS, WIDE_COMPARED, WIDE_RADIUS, WIDE_BLOCK_RADIUS = 12, 4, 62, 1
+#: Documents of a block of a group whose pieces are compared again; bytes of texts, one being taken for 1000, in a bucket.
+PIECE_BLOCK, PIECE_BYTES = 500, 4 << 20
 
 
 def resembling(df: DataFrame, n: int = 5, least: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key and component_id (least key) of documents that have a link: a Jaccard resemblance of n-word shingles of at least `least`.
 
-    Candidates are links of wide fingerprints of the distinct shingles; each is checked on the texts. The search is not
+    Candidates are links of wide fingerprints of the distinct shingles, first of forests only; each is checked on the
+    texts. Where checks fail and leave a forest in pieces, all pairs within the radius between the pieces are checked too, since
+    a forest may lack a pair that would pass. The search is not
     exact: of pairs at a resemblance of just 0.8 it finds 99.6 % to 99.97 % (3,000 pairs of random sets each of 9 to 900
     shingles), of closer ones more. Texts of equal words are linked without a check. Documents without a link have no row. Null keys are not linked.
     """
@@ -322,16 +326,107 @@ def resembling(df: DataFrame, n: int = 5, least: float = 0.8, key: str = "doc_id
     def verified(batches):
         d = zstandard.ZstdDecompressor()
         for x in batches:
-            keep = []
-            for p, q in zip(x["_za"], x["_zb"]):
-                s, t = (np.unique(shingle_hashes(d.decompress(z.as_py()), n)) for z in (p, q))
-                both = len(np.intersect1d(s, t, assume_unique=True))
-                union = len(s) + len(t) - both
-                keep.append(union > 0 and both >= least * union)
-            yield pa.RecordBatch.from_arrays([x["a"].filter(pa.array(keep)), x["b"].filter(pa.array(keep))], ["a", "b"])
-
-    sure = both.select("a", "b", "_za", "_zb").mapInArrow(lean(verified), "a long, b long")
-    return connected_components(sure.unionByName(copies), thin=False).withColumnRenamed("node", key).withColumnRenamed("component", "component_id")
+            keep = [alike(*(np.unique(shingle_hashes(d.decompress(z.as_py()), n)) for z in pair), least) for pair in zip(x["_za"], x["_zb"])]
+            yield pa.RecordBatch.from_arrays([x["a"].filter(pa.array(keep, pa.bool_())), x["b"].filter(pa.array(keep, pa.bool_()))], ["a", "b"])
+
+    sure = checkpoint(both.select("a", "b", "_za", "_zb").mapInArrow(lean(verified), "a long, b long"))
+    prints = unique.select(F.col("id").alias(key), *names[:WIDE_COMPARED]).dropDuplicates([key])
+    more = links_between_pieces(links, sure, texts.join(prints, key), n, least, key)
+    return connected_components(sure.unionByName(more).unionByName(copies), thin=False).withColumnRenamed("node", key).withColumnRenamed("component", "component_id")
+
+
+def alike(s: np.ndarray, t: np.ndarray, least: float) -> bool:
+    """Whether two sets of hashes, each sorted, have a Jaccard resemblance of at least `least`."""
+    if min(len(s), len(t)) < least * max(len(s), len(t)):
+        return False
+    both = len(np.intersect1d(s, t, assume_unique=True))
+    union = len(s) + len(t) - both
+    return union > 0 and both >= least * union
+
+
+def piece_sets(links: DataFrame, sure: DataFrame, key: str) -> DataFrame:
+    """set, key, piece: members of the groups that links connect and sure links leave in pieces, so that any two of different pieces of a group share a set.
+
+    Pieces of over PIECE_BLOCK documents are cut into blocks of their own, the others of a group are dealt to blocks
+    together; each two blocks that aren't of one piece are a set.
+    """
+    groups = connected_components(links, thin=False).select(F.col("node").alias(key), F.col("component").alias("_group"))
+    pieces = connected_components(sure, thin=False).select(F.col("node").alias(key), F.col("component").alias("_piece"))
+    nodes = groups.join(pieces, key, "left").withColumn("_piece", F.coalesce("_piece", key))
+    sizes = nodes.groupBy("_group", "_piece").agg(F.count("*").alias("_n"))
+    sizes = sizes.withColumn("_large", F.col("_n") > PIECE_BLOCK)
+    broken = sizes.groupBy("_group").agg(F.count("*").alias("_pieces"), F.sum(F.when(F.col("_large"), 0).otherwise(F.col("_n"))).alias("_rest")).where("_pieces > 1")
+    nodes = nodes.join(sizes.join(broken, "_group"), ["_group", "_piece"])
+    cuts = F.ceil(F.when(F.col("_large"), F.col("_n")).otherwise(F.col("_rest")) / PIECE_BLOCK)
+    of = F.when(F.col("_large"), F.col("_piece"))
+    nodes = checkpoint(nodes.select("_group", key, "_piece", of.alias("_of"), F.pmod(F.xxhash64(key), cuts).alias("_cut")))
+    blocks = nodes.select("_group", "_of", "_cut").distinct().withColumn("_block", F.struct("_of", "_cut"))
+    i, j = blocks.select("_group", F.col("_block").alias("_i")), blocks.select("_group", F.col("_block").alias("_j"))
+    pairs = i.join(j, "_group").where("_i < _j and not (_i._of is not null and _i._of <=> _j._of)")
+    alone = blocks.groupBy("_group").agg(F.count("*").alias("_n"), F.first("_block").alias("_i")).where("_n = 1").select("_group", "_i", F.col("_i").alias("_j"))
+    pairs = pairs.select("_group", "_i", "_j").unionByName(alone).withColumn("set", F.xxhash64("_group", "_i._of", "_i._cut", "_j._of", "_j._cut"))
+    asked = pairs.select("set", "_group", F.explode(F.array_distinct(F.array("_i", "_j"))).alias("_b")).select("set", "_group", F.col("_b._of").alias("_of"), F.col("_b._cut").alias("_cut"))
+    m = nodes.withColumnRenamed("_group", "_g").withColumnRenamed("_of", "_o").withColumnRenamed("_cut", "_c")
+    return m.join(asked, (F.col("_g") == F.col("_group")) & F.col("_o").eqNullSafe(F.col("_of")) & (F.col("_c") == F.col("_cut"))).select("set", key, "_piece")
+
+
+def links_between_pieces(links: DataFrame, sure: DataFrame, texts: DataFrame, n: int, least: float, key: str) -> DataFrame:
+    """a, b: verified links, by texts, of documents of a group of links that sure links leave in different pieces. texts: key, _z, f0.."""
+    sets = checkpoint(piece_sets(links, sure, key))
+    n_buckets = int(min(1 << 20, 1 + sets.count() * 1000 // PIECE_BYTES))
+    rows = sets.withColumn("bucket", F.pmod(F.xxhash64("set"), F.lit(n_buckets)).cast("int")).join(texts, key)
+    names = [f"f{i}" for i in range(WIDE_COMPARED)]
+
+    def search(batches):
+        for ids, piece, f, z in runs_of(batches, "set", key, names):
+            a, b = links_of_set(ids, piece, f, z, n, least)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    rows = rows.select("bucket", "set", F.col(key), "_piece", "_z", *names).repartition(max(partitions(links.sparkSession), min(n_buckets, 4096)), "bucket").sortWithinPartitions("bucket", "set", key)
+    return rows.mapInArrow(lean(search), "a long, b long")
+
+
+def runs_of(batches, set_: str, key: str, names: list[str]):
+    """Ids, pieces, fingerprints and compressed texts of each run of equal sets; one is held at a time."""
+    at, parts = None, []
+
+    def whole():
+        ids, piece, *f = (np.concatenate(c) for c in zip(*(p[:-1] for p in parts)))
+        return ids, piece, f, [z for p in parts for z in p[-1]]
+
+    for x in batches:
+        own = x[set_].to_numpy()
+        cuts = np.flatnonzero(np.r_[True, own[1:] != own[:-1]]) if len(own) else own
+        for s, e in zip(cuts, np.r_[cuts[1:], len(own)]):
+            if own[s] != at and parts:
+                yield whole()
+                parts = []
+            at = own[s]
+            part = x.slice(s, e - s)
+            parts.append((part[key].to_numpy(), part["_piece"].to_numpy(), *(part[c].to_numpy().view(np.uint64) for c in names), part["_z"].to_pylist()))
+    if parts:
+        yield whole()
+
+
+def links_of_set(ids: np.ndarray, piece: np.ndarray, f: list[np.ndarray], z: list[bytes], n: int, least: float) -> tuple[list[int], list[int]]:
+    """Links that join the pieces of a set as far as any two documents within the radius resemble each other."""
+    _, label = np.unique(piece, return_inverse=True)
+    d, hashed, a, b = zstandard.ZstdDecompressor(), {}, [], []
+
+    def shingles(i: int) -> np.ndarray:
+        if i not in hashed:
+            hashed[i] = np.unique(shingle_hashes(d.decompress(z[i]), n))
+        return hashed[i]
+
+    for i in range(1, len(ids)):
+        apart = sum(np.bitwise_count(x[:i] ^ x[i]).astype(np.int32) for x in f)
+        near = np.flatnonzero((apart <= WIDE_RADIUS) & (label[:i] != label[i]))
+        for j in near[np.argsort(apart[near], kind="stable")].tolist():
+            if label[i] != label[j] and alike(shingles(i), shingles(j), least):
+                a.append(int(ids[i]))
+                b.append(int(ids[j]))
+                label[label == label[j]] = label[i]
+    return a, b
 
 
 def squeeze_texts(df: DataFrame, key: str, text: str) -> DataFrame:

@@ -121,6 +121,28 @@ def test_resembling_finds_pairs_at_the_least_resemblance(spark):
     assert want > 200 and 0.985 * want <= found <= want, (found, want)
 
 
+@pytest.mark.parametrize("block", [500, 4])
+def test_resembling_looks_behind_failed_links(spark, monkeypatch, block):
+    """Groups whose forests have links that fail the check, while pairs that they lack would pass: as all pairs one by one."""
+    monkeypatch.setattr(simhash, "PIECE_BLOCK", block)
+    rng = random.Random(4)
+    rows = []
+    for g in range(12):
+        base = words(rng, 180, 10**9).split()
+        for _ in range(20):
+            t = list(base)
+            for i in rng.sample(range(180), 2 if g % 2 else 3):
+                t[i] = f"edit{rng.randrange(10**9)}"
+            rows.append((len(rows), " ".join(t)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    sets = [set(simhash.shingle_hashes(t.encode(), 5).tolist()) for _, t in rows]
+    prints = {r.doc_id: [r[f"f{w}"] & (1 << 64) - 1 for w in range(4)] for r in simhash.fingerprints(df, 5, 4, distinct=True).collect()}
+    links = [(a, b) for a in range(len(rows)) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) and sum((x ^ y).bit_count() for x, y in zip(prints[a], prints[b])) <= simhash.WIDE_RADIUS]
+    root = union_find(np.array([a for a, _ in links]), np.array([b for _, b in links]), len(rows))
+    want = {k: int(root[k]) for k in {x for p in links for x in p}}
+    assert {r.doc_id: r.component_id for r in simhash.resembling(df).collect()} == want
+
+
 def test_quality_rules(docs, rows, none):
     got = {r.doc_id: r for r in repetition.verdict(repetition.measure(docs)).collect()}
     for r in rows:
