@@ -16,6 +16,8 @@ from logspark.llm.common import checkpoint, shared_dir
 from logspark.llm.queries import VOCABULARY
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Lines with fewer characters stay in documents as they are: headings, marks and ends of paragraphs that many documents share.
+LEAST_LINE = 16
 #: Ids up to which a list of documents is broadcast (16 bytes each).
 BROADCAST_IDS = 1_000_000
 
@@ -32,7 +34,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that resemble an earlier one."""
-    out = lines.drop_lines(docs.select(*COLUMNS), lines.repeated_lines(docs))
+    out = lines.drop_lines(docs.select(*COLUMNS), lines.repeated_lines(docs, min_chars=LEAST_LINE))
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 

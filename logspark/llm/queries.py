@@ -52,9 +52,9 @@ def op5_chat_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of each document that go; documents without a line that takes part aren't listed."""
+    """Lines of each document that go, of all lines that have a word; documents without such a line aren't listed."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return lines.repeated_lines(docs).select(F.col("doc").alias("doc_id"), "n_lines", F.size("removed").cast("long").alias("n_removed"), "removed")
+    return lines.repeated_lines(docs, min_chars=1).select(F.col("doc").alias("doc_id"), "n_lines", F.size("removed").cast("long").alias("n_removed"), "removed")
 
 
 def op7_transport_streams(spark: SparkSession, sf_dir: str) -> DataFrame:

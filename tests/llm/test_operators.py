@@ -209,6 +209,18 @@ def test_line_dedup(docs, rows, none):
     assert lines.drop_lines(none, lines.repeated_lines(none)).count() == 0
 
 
+def test_short_lines_take_part(spark, tmp_path):
+    """The query's lines have no least length: equal ones go, of those that have a word."""
+    texts = ["ok\n好的，我明白了\n \n#1", None, "ok", "zz\nok", "好的，我明白了\n#2\n\t\n#1", "12345678\n123456789\nx"]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: (r.n_lines, list(r.removed)) for r in queries.op6_fuzzy_lines(spark, str(tmp_path)).collect()}
+    rest = got.pop(5)
+    assert got == {0: (3, []), 2: (1, [0]), 3: (2, [1]), 4: (3, [0, 3])}
+    # 4 of 5 shingles are common
+    assert rest == (3, [1])
+
+
 def test_line_dedup_in_blocks(docs, monkeypatch):
     whole = {r.doc: r.removed for r in lines.repeated_lines(docs).collect()}
     monkeypatch.setattr(lines, "BLOCK", 3)
