@@ -9,9 +9,10 @@ Template: <|im_start|>ROLE, a newline, the content, <|im_end|>, a newline. In ro
 string is broken by one backslash: <, any backslashes, | gets one more backslash before the |. Undoing
 this takes one away. Roles also have their newlines as \\n and backslashes doubled.
 
-Null texts, parts and roles are empty. Turns are ordered by turn (null last), then role, then text, so
-that equal turn numbers have one order; repeated rows stay repeated. An empty table gives an empty one.
-Turns with a null conversation id form one conversation with a null id.
+Null texts, parts and roles are empty. Turns are ordered by turn (null last), then role, then text (placeholders
+in their places), both as they were before escaping, so that equal turn numbers have one order; repeated rows stay
+repeated. An empty table gives an empty one. Turns with a null conversation id form one conversation with a null id.
+A text of any length is one value of one row; columns besides those named do not pass, so none can clash.
 """
 
 from __future__ import annotations
@@ -149,6 +150,15 @@ def format_turns(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role:
     return src.mapInArrow(lean(run), schema)
 
 
+def role_and_text(formatted: Column) -> tuple[Column, Column]:
+    """What parse_turn and unescape give, as columns: by these equal turn numbers are ordered."""
+    plain = lambda c: F.regexp_replace(c, r"<\\(\\*)\|", "<$1|")
+    head = F.substring_index(formatted, "\n", 1)
+    role = F.split(plain(F.substring(head, F.lit(len(START) + 1), F.length(head))), r"\\\\")
+    content = F.substring(formatted, F.length(head) + 2, F.length(formatted) - F.length(head) - len(END) - 2)
+    return F.array_join(F.transform(role, lambda x: F.replace(x, F.lit("\\n"), F.lit("\n"))), "\\"), plain(content)
+
+
 def parse_turn(formatted: str) -> tuple[str, str]:
     """The role and the escaped content of a formatted turn."""
     if not formatted.startswith(START) or not formatted.endswith(f"{END}\n"):
@@ -204,6 +214,8 @@ def read_back(formatted: DataFrame, conv: str = "conv_id", turn: str = "turn") -
         kinds = [kind, pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names)
 
-    df = formatted.select(conv, turn, "formatted", "loss_spans")
-    df = df.repartition(partitions(df.sparkSession), conv).sortWithinPartitions(F.col(conv), F.col(turn).asc_nulls_last(), F.col("formatted"))
+    df = formatted.select(conv, turn, "formatted", "loss_spans").repartition(partitions(formatted.sparkSession), conv)
+    role, text = role_and_text(F.col("formatted"))
+    # after the shuffle, so that only the sort carries the text twice
+    df = df.withColumns({"_role": role, "_said": text}).sortWithinPartitions(F.col(conv), F.col(turn).asc_nulls_last(), "_role", "_said").drop("_role", "_said")
     return df.mapInArrow(lean(run), f"`{conv}` {df.schema[conv].dataType.simpleString()}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")

@@ -13,6 +13,11 @@ def _at(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(uri)
 
 
+def make_folder(uri: str) -> None:
+    system, path = _at(uri)
+    system.create_dir(path, recursive=True)
+
+
 @contextmanager
 def writing(uri: str, attempt: int):
     """A file that appears under its name when it is complete; a repeated task puts the same bytes in its place."""

@@ -11,7 +11,8 @@ two components is lost. Sets over `BLOCK` lines are cut into blocks and every pa
 components by distributed union-find. The first line of a component, by key and line number, stays.
 
 Rows that share a key count as one document. Rows without a key, blank lines and short lines stay as they are and
-remove nothing. Null texts have no lines. Empty tables give empty ones.
+remove nothing. Null texts have no lines. A line of any length is compared whole. Empty tables give empty ones. Of other
+columns `drop_lines` keeps all, whatever their names (but for `_doc` and `_removed`).
 """
 
 from __future__ import annotations
@@ -410,16 +411,15 @@ def repeated_lines(df: DataFrame, key: str = "doc_id", text: str = "text", min_c
 
 def drop_lines(df: DataFrame, repeated: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents without their removed lines; those with no word left go. repeated: doc, removed."""
-    gone = checkpoint(repeated.where(F.size("removed") > 0).select(F.col("doc").alias("_doc"), "removed"))
-    n = gone.agg(F.sum(F.size("removed") + 2)).first()[0] or 0
+    schema, names = df.schema, df.columns
+    gone = checkpoint(repeated.where(F.size("removed") > 0).select(F.col("doc").alias("_doc"), F.col("removed").alias("_removed")))
+    n = gone.agg(F.sum(F.size("_removed") + 2)).first()[0] or 0
     df = df.join(F.broadcast(gone) if n <= BROADCAST_LINES else gone, F.col(key) == F.col("_doc"), "left").drop("_doc")
-    names = [f.name for f in df.schema if f.name != "removed"]
-    schema = df.drop("removed").schema
 
     def run(batches):
         for b in batches:
             texts = []
-            for t, out in zip(b[text], b["removed"].to_pylist()):
+            for t, out in zip(b[text], b["_removed"].to_pylist()):
                 if out:
                     less = set(out)
                     texts.append("\n".join(x for i, x in enumerate(t.as_py().split("\n")) if i not in less))
@@ -428,4 +428,4 @@ def drop_lines(df: DataFrame, repeated: DataFrame, key: str = "doc_id", text: st
             b = b.set_column(b.schema.get_field_index(text), b.schema.field(text), pa.array(texts, b.schema.field(text).type)).select(names)
             yield b.filter(pc.fill_null(pc.match_substring_regex(b[text], r"[^ \t-\r]"), False))
 
-    return df.select(*names, "removed").mapInArrow(lean(run), schema)
+    return df.select(*names, "_removed").mapInArrow(lean(run), schema)

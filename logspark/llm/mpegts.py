@@ -7,8 +7,11 @@ nothing but the bytes: it checks sync bytes and table checksums, finds the strea
 checks continuity counters, puts elementary packets together, checks their lengths, and keeps the
 timestamp and byte offset of every random-access point.
 
+Packets without payload (an adaptation field alone) are passed over, as is one repeat of a packet; both are legal.
+
 A null payload is an empty one. An empty payload makes a stream of tables alone. Rows are independent,
-so repeated rows, ties and empty tables need no care; other columns pass unchanged.
+so repeated rows, ties and empty tables need no care; a payload of any length is one row's stream. In writing, other
+columns pass unchanged and one named like the stream's column is replaced; in reading, only those named pass.
 """
 
 from __future__ import annotations
@@ -129,6 +132,26 @@ def _read_section(packet: np.ndarray, table_id: int) -> bytes:
     return section[8:-4]
 
 
+def continued(p: np.ndarray) -> np.ndarray:
+    """Which of a stream's packets hold new payload: counters grow by one from payload to payload; a packet may come twice."""
+    control = p[:, 3]
+    if ((control & 0x30) == 0).any():
+        raise BadStream("a packet has neither payload nor adaptation field")
+    full = np.flatnonzero(control & 0x10)
+    # a packet with an adaptation field alone has the counter of the last payload
+    before = np.maximum.accumulate(np.where(control & 0x10, np.arange(len(p)), -1))
+    bare = np.flatnonzero(((control & 0x10) == 0) & (before >= 0))
+    step = (control[full[1:]] - control[full[:-1]]) & 15
+    again = step == 0
+    # what may differ in a repeat is its clock: the six bytes after the flags
+    timed = (control[full[1:]] & 0x20 != 0) & (p[full[1:], 4] >= 7) & (p[full[1:], 5] & 0x10 != 0)
+    same = p[full[1:]] == p[full[:-1]]
+    same[:, 6:12] |= timed[:, None]
+    if (step > 1).any() or (again & ~same.all(1)).any() or (again[1:] & again[:-1]).any() or ((control[bare] ^ control[before[bare]]) & 15).any():
+        raise BadStream("continuity counters don't follow one another")
+    return full[np.r_[True, ~again]] if len(full) else full
+
+
 def read_stream(data: bytes) -> Stream:
     if len(data) % PACKET:
         raise BadStream("the length isn't a multiple of 188")
@@ -155,12 +178,13 @@ def read_stream(data: bytes) -> Stream:
         raise BadStream("there is no private elementary stream")
     own = np.flatnonzero(pid == media_pid)
     out = Stream(packets=len(m))
+    if not len(own):
+        return out
+    own = own[continued(m[own])]
     if not len(own):
         return out
     p = m[own]
-    control, adapted = p[:, 3], (p[:, 3] & 0x20) != 0
-    if not (control & 0x10).all() or ((control[1:] - control[:-1]) & 15 != 1).any():
-        raise BadStream("continuity counters don't follow one another")
+    adapted = (p[:, 3] & 0x20) != 0
     begin = np.where(adapted, 5 + p[:, 4].astype(np.int64), 4)
     if (begin > PACKET).any() or not starts[own[0]]:
         raise BadStream("an adaptation field is too long, or the first unit has no start")

@@ -96,7 +96,7 @@ OP3_SQL = f"""
 WITH words AS (SELECT doc_id, text, {_WORDS} AS w, len({_WORDS}) AS n_words FROM documents),
 {_COVER.format(name="three", m=3)},
 {_COVER.format(name="eight", m=8)},
-long_grams AS (SELECT doc_id, unnest(range(1, greatest(n_words - m + 2, 1))) AS i, m, w FROM (SELECT *, greatest(51, n_words * 20 // 100 + 1) AS m FROM words)),
+long_grams AS (SELECT doc_id, unnest(range(1, greatest(n_words - m + 2, 1))) AS i, m, w FROM (SELECT *, greatest(13, n_words * 15 // 100 + 1) AS m FROM words)),
 long_repeats AS (SELECT DISTINCT doc_id FROM (SELECT doc_id FROM long_grams GROUP BY doc_id, array_to_string(w[i:i+m-1], ' ') HAVING count(*) > 1)),
 lines AS (SELECT doc_id, l, count(*) - 1 AS extra FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l FROM documents) WHERE regexp_matches(l, '[^\\x20\\x09-\\x0D]') GROUP BY ALL),
 dups AS (SELECT doc_id, sum(extra) AS c FROM lines GROUP BY doc_id),
@@ -105,7 +105,7 @@ m AS (SELECT w.doc_id, w.n_words, length(array_to_string(w.w, '')) AS word_chars
  coalesce(t.c, 0) AS n_repeat_words, coalesce(e.c, 0) AS covered, r.doc_id IS NOT NULL AS long_repeat
  FROM words w LEFT JOIN three t USING (doc_id) LEFT JOIN eight e USING (doc_id) LEFT JOIN dups d USING (doc_id) LEFT JOIN long_repeats r ON r.doc_id = w.doc_id)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
- NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND NOT (100 * covered > 45 * n_words) AND NOT long_repeat AS kept FROM m"""
+ NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND NOT (100 * covered > 20 * n_words) AND NOT long_repeat AS kept FROM m"""
 
 #: Base32 of a hex digest of 20 bytes: 32 groups of five of its bits.
 _BASE32 = """array_to_string(list_transform(range(32), lambda g: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1 + list_sum(list_transform(range(5), lambda b: CAST(substr({bits}, CAST(g * 5 + b + 1 AS BIGINT), 1) AS INT) * (1 << (4 - b)))) AS BIGINT), 1)), '')"""

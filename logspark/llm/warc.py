@@ -7,7 +7,8 @@ the closing line ends and both digests; what breaks a rule raises BadArchive.
 
 Of pages with equal payloads of at least `min_revisit` bytes, the one with the largest id is a response
 and the others are revisits that name it. Rows that share the largest id are all responses; a null id is
-smaller than any other. A null payload is empty, a null URL leaves the field out. Empty tables write nothing.
+smaller than any other. A null payload is empty, a null URL leaves the field out. Empty tables leave an empty folder,
+which reads as an empty table. A payload of any length is one record of an archive that ends with it. Other columns do not pass.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logspark.llm.common import checkpoint, lean
-from logspark.llm.files import writing
+from logspark.llm.files import make_folder, writing
 
 #: Fixed values of the formats.
 DICTIONARY_FRAME, ZSTD_FRAME, ZSTD_DICTIONARY = 0x184D2A5D, 0xFD2FB528, 0xEC30A437
@@ -184,6 +185,7 @@ def write_archives(pages: DataFrame, folder: str, page_id: str = "page_id", url:
     df = pages.select(F.col(page_id).cast("long").alias("id"), F.col(url).cast("string").alias("url"), F.coalesce(F.col(payload).cast("binary"), F.lit(b"")).alias("payload"))
     df = with_revisits(df, "id", "payload", min_revisit).select("id", "url", "payload", F.when(F.col("_last").isNotNull() & ~F.col("id").eqNullSafe(F.col("_last")), F.col("_last")).alias("refers_to"))
     df = df.sortWithinPartitions("id", "url")
+    make_folder(folder)
 
     def run(batches):
         task = TaskContext.get()
