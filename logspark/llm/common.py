@@ -13,6 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that a vectorised step holds at once; its temporaries are about 60 times as large.
 SLICE_BYTES = 1 << 20
@@ -85,6 +86,14 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Reduce tasks of a packed shuffle at most. A task takes its buckets one after another, so this is no bound on what is held.
+MOST_TASKS = 32_768
+
+
+def tasks(spark: SparkSession, n_buckets: int) -> int:
+    return max(partitions(spark), min(n_buckets, MOST_TASKS))
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a text column and the n + 1 offsets of its rows (null: empty)."""
     if isinstance(column, pa.ChunkedArray):
@@ -162,6 +171,28 @@ def packed_groups(batches: Iterator[pa.RecordBatch], dtypes: list) -> Iterator[t
         yield at, [np.concatenate(c) for c in zip(*parts)]
 
 
+#: Bits of a map of wanted ids, 32 MB.
+BITMAP_BITS = 1 << 28
+
+
+def membership(wanted: DataFrame, column: str, n: int) -> Callable[[np.ndarray], np.ndarray]:
+    """Says of ids whether they may be among the n wanted ones: a bitmap of 16 bits an id and at most `BITMAP_BITS`.
+
+    What it hasn't isn't wanted. With more ids than it has room for it only leaves out less, so callers still join."""
+    bits = min(BITMAP_BITS, 1 << max(12, (16 * n - 1).bit_length()))
+    spot = F.pmod(column, F.lit(bits))
+    # a row for each word of the bitmap, so never more than BITMAP_BITS / 64
+    words = wanted.groupBy(F.shiftright(spot, 6).alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (spot % 64).cast("int"))).alias("v")).toArrow()
+    bitmap = np.zeros(bits // 64, np.uint64)
+    bitmap[words["w"].to_numpy()] = words["v"].to_numpy().view(np.uint64)
+
+    def has(ids: np.ndarray) -> np.ndarray:
+        at = ids % bits
+        return ((bitmap[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1)) == 1
+
+    return has
+
+
 def deal(df: DataFrame, n: int) -> DataFrame:
     """Packed rows to n tasks by bucket, sorted by bucket."""
     return df.repartition(n, "bucket").sortWithinPartitions("bucket")

@@ -15,7 +15,12 @@ from pyspark.sql import functions as F
 
 from logspark.llm.common import checkpoint, lean
 
+#: Rounds at most: links that touch fall by a constant factor in a round or two, so 60 are for far more links than can be stored.
 ROUNDS = 60
+#: Tasks that the rows of one component are dealt to in a join by component.
+SALTS = 16
+#: Members of a block of a group whose pieces are compared.
+PIECE_BLOCK = 500
 
 
 def union_find(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
@@ -63,3 +68,32 @@ def connected_components(links: DataFrame, thin: bool = True) -> DataFrame:
         small = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b"))).distinct()
         e = checkpoint(small)
     raise RuntimeError(f"no fixed point after {ROUNDS} rounds")
+
+
+def join_components(rows: DataFrame, dim: DataFrame, on: str) -> DataFrame:
+    """rows joined with dim, which has one row for each value of `on`: the rows of one component, which may be a third of all, are dealt to SALTS tasks."""
+    salt = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    return rows.withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)).cast("int")).join(dim.withColumn("_salt", salt), [on, "_salt"]).drop("_salt")
+
+
+def sets_between_pieces(nodes: DataFrame, key: str) -> DataFrame:
+    """set, key, _piece: members of the groups that are in pieces, so that any two members of different pieces of a group share a set. nodes: _group, key, _piece.
+
+    Pieces of over PIECE_BLOCK members are cut into blocks of their own, the others of a group are dealt to blocks
+    together; each two blocks that aren't of one piece are a set. A group in one piece gives none.
+    """
+    sizes = nodes.groupBy("_group", "_piece").agg(F.count("*").alias("_n"))
+    sizes = sizes.withColumn("_large", F.col("_n") > PIECE_BLOCK)
+    broken = sizes.groupBy("_group").agg(F.count("*").alias("_pieces"), F.sum(F.when(F.col("_large"), 0).otherwise(F.col("_n"))).alias("_rest")).where("_pieces > 1")
+    nodes = nodes.join(sizes.join(broken, "_group"), ["_group", "_piece"])
+    cuts = F.ceil(F.when(F.col("_large"), F.col("_n")).otherwise(F.col("_rest")) / PIECE_BLOCK)
+    of = F.when(F.col("_large"), F.col("_piece"))
+    nodes = checkpoint(nodes.select("_group", key, "_piece", of.alias("_of"), F.pmod(F.xxhash64(key), cuts).alias("_cut")))
+    blocks = nodes.select("_group", "_of", "_cut").distinct().withColumn("_block", F.struct("_of", "_cut"))
+    i, j = blocks.select("_group", F.col("_block").alias("_i")), blocks.select("_group", F.col("_block").alias("_j"))
+    pairs = i.join(j, "_group").where("_i < _j and not (_i._of is not null and _i._of <=> _j._of)")
+    alone = blocks.groupBy("_group").agg(F.count("*").alias("_n"), F.first("_block").alias("_i")).where("_n = 1").select("_group", "_i", F.col("_i").alias("_j"))
+    pairs = pairs.select("_group", "_i", "_j").unionByName(alone).withColumn("set", F.xxhash64("_group", "_i._of", "_i._cut", "_j._of", "_j._cut"))
+    asked = pairs.select("set", "_group", F.explode(F.array_distinct(F.array("_i", "_j"))).alias("_b")).select("set", "_group", F.col("_b._of").alias("_of"), F.col("_b._cut").alias("_cut"))
+    m = nodes.withColumnRenamed("_group", "_g").withColumnRenamed("_of", "_o").withColumnRenamed("_cut", "_c")
+    return m.join(asked, (F.col("_g") == F.col("_group")) & F.col("_o").eqNullSafe(F.col("_of")) & (F.col("_c") == F.col("_cut"))).select("set", key, "_piece")

@@ -3,13 +3,16 @@
 Lines of at least `min_chars` code points that have a word take part; equal lines are one by their 64-bit
 hash. A line's signature is one permutation of its character shingles cut into bins: the least hash in each
 bin, empty bins filled from others in an order that all lines share. Bands of bins become keys; lines that
-share a key are candidates, if 32 further bits of their signatures don't speak against it: without these, chance meetings in
+share a key are candidates, if their sketches, 32 bits of their signatures, agree in 22 at least: without these, chance meetings in
 keys would grow with the square of the lines. Keys and line ids travel packed; equal sets of candidates, which near copies give
-for many keys, are one set. Every set is verified on the texts by exact Jaccard resemblance: a line is compared
+for many keys, are one set. Every set is verified on the texts, by sketches and exact Jaccard resemblance: a line is compared
 with those of the set that it isn't yet connected to, so the links are no more than the lines, and none that joins
-two components is lost. Sets over `BLOCK` lines are cut into blocks and every pair of blocks is a set. Links become
+two components is lost. Sets over `BLOCK` lines are cut into blocks, each of which is verified together with the set's first
+lines; only the pieces in which this leaves a set are compared pairwise by blocks. Links become
 components by distributed union-find. The first line of a component, by key and line number, stays.
 
+The search is not exact: of pairs at a resemblance of just 0.8, 99 % share a key and agree (see the tests), of closer ones more.
+
 Rows that share a key count as one document. Rows without a key, blank lines and short lines stay as they are and
 remove nothing. Null texts have no lines. A line of any length is compared whole. Empty tables give empty ones. Of other
 columns `drop_lines` keeps all, whatever their names (but for `_doc` and `_removed`).
@@ -25,19 +28,19 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logspark.llm.common import PACKED, checkpoint, deal, lean, lean_groups, mix64, pack, packed_groups, partitions, ragged, slices, unpack, utf8
-from logspark.llm.components import connected_components, union_find
+from logspark.llm.common import PACKED, checkpoint, deal, lean, lean_groups, membership, mix64, pack, packed_groups, ragged, slices, tasks, unpack, utf8
+from logspark.llm.components import connected_components, sets_between_pieces, union_find
 
 BANDS, ROWS = 12, 5
 SHINGLE, LEAST, MIN_CHARS = 5, 0.8, 16
-BLOCK = 1000
-#: Of 32 sketch bits, so many must agree for two lines of a key to be candidates; keys with more lines than SKETCHED aren't thinned.
+#: Lines of a block of a larger set, and of its first lines, which are verified with each block.
+BLOCK, HUB = 1000, 200
+#: Of 32 sketch bits, so many must agree for two lines of a key to be candidates. Keys with more lines than SKETCHED aren't
+#: split by sketches before they are verified: that only saves work.
 AGREEING, SKETCHED = 22, 64
 #: Bytes of lines that a bucket of sets should hold, a line being taken for 1000 bytes; their hashes take eight times as much.
 SET_BYTES = 4 << 20
 BUCKET_KEYS, BUCKET_BYTES = 400_000, 8 << 20
-#: Bits of the map of lines that verification wants, 32 MB.
-BITMAP_BITS = 1 << 28
 #: Line numbers up to which the table of removed lines is broadcast (16 bytes each).
 BROADCAST_LINES = 1_000_000
 
@@ -131,10 +134,10 @@ def distinct(h: np.ndarray) -> np.ndarray:
 
 
 class Verifier:
-    """Exact resemblance of lines (sorted distinct shingle hashes), with the components found so far: lines of one component aren't compared again."""
+    """Resemblance of lines by sketches and sorted distinct shingle hashes, with the components found so far: lines of one component aren't compared again."""
 
-    def __init__(self, hashed: list[np.ndarray], least: float):
-        self.hashed, self.least, self.parent = hashed, least, list(range(len(hashed)))
+    def __init__(self, hashed: list[np.ndarray], sketch: np.ndarray, least: float):
+        self.hashed, self.sketch, self.least, self.parent = hashed, sketch.tolist(), least, list(range(len(hashed)))
         self.links: list[tuple[int, int]] = []
 
     def find(self, i: int) -> int:
@@ -143,6 +146,8 @@ class Verifier:
         return i
 
     def alike(self, i: int, j: int) -> bool:
+        if (self.sketch[i] ^ self.sketch[j]).bit_count() > 32 - AGREEING:
+            return False
         s, t = self.hashed[i], self.hashed[j]
         if len(s) > len(t):
             s, t = t, s
@@ -176,7 +181,7 @@ def sketches(s: np.ndarray) -> np.ndarray:
 
 
 def alike_groups(first: np.ndarray, size: np.ndarray, sketch: np.ndarray) -> np.ndarray:
-    """A label for each row of the runs [first, first + size): rows of a run that agreeing sketches connect share one. Runs over SKETCHED rows stay whole."""
+    """A label for each row of the runs [first, first + size): rows of a run that agreeing sketches connect share one. Runs over SKETCHED rows stay whole, as sets that are verified by the same sketches."""
     label = np.repeat(first, size)
     small = np.flatnonzero(size <= SKETCHED)
     rows = ragged(first[small], size[small])
@@ -225,10 +230,13 @@ def _unique_lines(batches, min_chars: int, size: int = 1 << 20, wanted=None):
 
 
 def candidate_sets(df: DataFrame, total: int, key: str, text: str, min_chars: int, n: int, bands: int, rows: int) -> DataFrame:
-    """set, line, home: lines that share a band's key; equal sets are one. home: the least line of the set, which near copies' sets have in common."""
+    """set, line, home, part_of: lines that share a band's key; equal sets are one. home: the least line of the set, which near copies' sets have in common.
+
+    part_of: the larger set that this one is a block of; null for sets of up to BLOCK lines.
+    """
     docs = _keyed(df, key, text)
     # a line has about 300 bytes; only the size of buckets depends on that
-    n_buckets = int(min(65_535, 1 + total // 300 * bands // BUCKET_KEYS))
+    n_buckets = int(min(1 << 24, 1 + total // 300 * bands // BUCKET_KEYS))
 
     def keys(batches):
         for ids, lines in _unique_lines(batches, min_chars):
@@ -253,49 +261,34 @@ def candidate_sets(df: DataFrame, total: int, key: str, text: str, min_chars: in
             _, some = np.unique(name[keep], return_index=True)
             keep = keep[some]
             small, large = keep[size[keep] <= BLOCK], keep[size[keep] > BLOCK]
-            member = np.zeros(len(k), bool)
             set_of = np.repeat(np.arange(len(first)), size)
             chosen = np.zeros(len(first), bool)
             chosen[small] = True
             member = chosen[set_of]
-            yield pa.RecordBatch.from_arrays([pa.array(name[set_of[member]].view(np.int64)), pa.array(line[member]), pa.array(line[first][set_of[member]])], ["set", "line", "home"])
+            yield _set_rows(name[set_of[member]].view(np.int64), line[member], line[first][set_of[member]], None)
             for g in large.tolist():
                 own = line[first[g] : first[g] + size[g]]
-                blocks = -(-len(own) // BLOCK)
-                of = (mix64(own.view(np.uint64) + name[g]) % np.uint64(blocks)).astype(np.int64)
-                for i in range(blocks):
-                    for j in range(i, blocks):
-                        if i == j and blocks > 1:
-                            continue
-                        both = own[(of == i) | (of == j)]
-                        pair = int(mix64(np.array([(int(name[g]) + i * 65_537 + j * 2_147_483_659) & 0xFFFFFFFFFFFFFFFF], np.uint64)).view(np.int64)[0])
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(both), pair)), pa.array(both), pa.array(np.full(len(both), pair))], ["set", "line", "home"])
+                # in an order that has nothing to do with the lines' order elsewhere
+                own = own[np.argsort(mix64(own.view(np.uint64) + name[g]))]
+                for i in range(HUB, len(own), BLOCK):
+                    both = np.r_[own[:HUB], own[i : i + BLOCK]]
+                    block = mix64(np.array([name[g]], np.uint64) + np.uint64(i)).view(np.int64)
+                    yield _set_rows(np.full(len(both), block), both, np.full(len(both), block), name[g : g + 1].view(np.int64))
 
     packed = docs.mapInArrow(lean(keys), PACKED)
-    return deal(packed, max(partitions(df.sparkSession), min(n_buckets, 4096))).mapInArrow(lean(sets), "set long, line long, home long").distinct()
-
-
-def _membership(wanted: DataFrame, n: int):
-    """A bitmap of the wanted lines' hashes, 16 bits a line and at most `BITMAP_BITS`: what it has not isn't wanted. With more lines than it has room for it only leaves out less."""
-    bits = min(BITMAP_BITS, 1 << max(12, (16 * n - 1).bit_length()))
-    spot = F.pmod("line", F.lit(bits))
-    # a row for each word of the bitmap, so never more than BITMAP_BITS / 64
-    words = wanted.groupBy(F.shiftright(spot, 6).alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (spot % 64).cast("int"))).alias("v")).toArrow()
-    bitmap = np.zeros(bits // 64, np.uint64)
-    bitmap[words["w"].to_numpy()] = words["v"].to_numpy().view(np.uint64)
+    return deal(packed, tasks(df.sparkSession, n_buckets)).mapInArrow(lean(sets), "set long, line long, home long, part_of long").distinct()
 
-    def has(ids: np.ndarray) -> np.ndarray:
-        at = ids % bits
-        return ((bitmap[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1)) == 1
 
-    return has
+def _set_rows(name: np.ndarray, line: np.ndarray, home: np.ndarray, part_of: np.ndarray | None) -> pa.RecordBatch:
+    parts = pa.nulls(len(line), pa.int64()) if part_of is None else pa.array(np.repeat(part_of, len(line)))
+    return pa.RecordBatch.from_arrays([pa.array(name), pa.array(line), pa.array(home), parts], ["set", "line", "home", "part_of"])
 
 
 def line_texts(df: DataFrame, wanted: DataFrame, n: int, total: int, key: str, text: str, min_chars: int) -> DataFrame:
     """line, body of the n wanted lines, out of `total` bytes of text. The lines that may be wanted travel compressed."""
     docs = _keyed(df, key, text)
     n_buckets = int(min(1 << 20, 1 + total // BUCKET_BYTES))
-    may_be_wanted = _membership(wanted, n)
+    may_be_wanted = membership(wanted, "line", n)
     bucket = lambda ids: (mix64(ids.view(np.uint64)) % np.uint64(n_buckets)).astype(np.int64)
 
     def squeezed(batches):
@@ -341,10 +334,26 @@ def resembling_lines(df: DataFrame, key: str = "doc_id", text: str = "text", lea
     """line and component (the least id) of lines that resemble another line."""
     total = df.agg(F.sum(F.octet_length(text))).first()[0] or 0
     sets = checkpoint(candidate_sets(df, total, key, text, min_chars, n, bands, rows))
-    n_buckets = int(min(1 << 20, 1 + sets.count() * 1000 // SET_BYTES))
+
+    def texts_of(sets: DataFrame) -> DataFrame:
+        wanted = checkpoint(sets.select("line").distinct())
+        return line_texts(df, wanted, wanted.count(), total, key, text, min_chars)
+
+    found = verified_links(sets, texts_of(sets), least, n, bands * rows)
+    parts = sets.where("part_of is not null").select(F.col("part_of").alias("_group"), "line").distinct()
+    if parts.limit(1).count():
+        found = checkpoint(found)
+        pieces = connected_components(found, thin=False).select(F.col("node").alias("line"), F.col("component").alias("_piece"))
+        nodes = parts.join(pieces, "line", "left").withColumn("_piece", F.coalesce("_piece", "line"))
+        apart = checkpoint(sets_between_pieces(nodes, "line").select("set", "line", F.col("set").alias("home")))
+        found = found.unionByName(verified_links(apart, texts_of(apart), least, n, bands * rows))
+    return connected_components(found, thin=False).select(F.col("node").alias("line"), "component")
+
+
+def verified_links(sets: DataFrame, texts: DataFrame, least: float, n: int, bins: int) -> DataFrame:
+    """a, b: links of lines of a set that resemble each other, as far as they join what isn't yet connected. sets: set, line, home."""
+    n_buckets = int(min(1 << 30, 1 + sets.count() * 1000 // SET_BYTES))
     sets = sets.withColumn("bucket", F.pmod(F.xxhash64("home"), F.lit(n_buckets)).cast("int"))
-    wanted = checkpoint(sets.select("line").distinct())
-    texts = line_texts(df, wanted, wanted.count(), total, key, text, min_chars)
     # a line's text goes once to each bucket that has a set with it
     bodies_of = sets.select("bucket", "line").distinct().join(texts, "line").select("bucket", "line", "body")
 
@@ -375,16 +384,18 @@ def resembling_lines(df: DataFrame, key: str = "doc_id", text: str = "text", lea
             ids += np.frombuffer(raw, np.int64, k, 8).tolist()
             lines += [raw[e - z : e] for z, e in zip(size.tolist(), ends)]
         hashed: list[np.ndarray] = []
+        sketch = [np.zeros(0, np.uint32)]
         first, total = 0, 0
         for i in range(len(lines) + 1):
             if i == len(lines) or total > 1 << 20:
-                h, count = shingles(lines[first:i], n) if i > first else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-                ends = np.cumsum(count)
-                hashed += [distinct(h[e - k : e]) for e, k in zip(ends.tolist(), count.tolist())]
+                if i > first:
+                    h, count = shingles(lines[first:i], n)
+                    hashed += [distinct(h[e - k : e]) for e, k in zip(np.cumsum(count).tolist(), count.tolist())]
+                    sketch.append(sketches(signatures(lines[first:i], n, bins)))
                 first, total = i, 0
             total += len(lines[i]) if i < len(lines) else 0
         at = {x: i for i, x in enumerate(ids)}
-        v = Verifier(hashed, least)
+        v = Verifier(hashed, np.concatenate(sketch), least)
         parts = [unpack(x.as_py(), [np.int64, np.int64]) for x in members["body"]]
         names, line = (np.concatenate(c) for c in zip(*parts)) if parts else (np.zeros(0, np.int64),) * 2
         order = np.lexsort((line, names))
@@ -395,8 +406,7 @@ def resembling_lines(df: DataFrame, key: str = "doc_id", text: str = "text", lea
         return pa.table([pa.array([ids[i] for i, _ in v.links], pa.int64()), pa.array([ids[j] for _, j in v.links], pa.int64())], ["a", "b"])
 
     have, members = bodies_of.mapInArrow(lean(packed_texts), PACKED), sets.mapInArrow(lean(packed_sets), PACKED)
-    found = have.groupBy("bucket").cogroup(members.groupBy("bucket")).applyInArrow(lean_groups(verified), "a long, b long")
-    return connected_components(found, thin=False).select(F.col("node").alias("line"), "component")
+    return have.groupBy("bucket").cogroup(members.groupBy("bucket")).applyInArrow(lean_groups(verified), "a long, b long")
 
 
 def repeated_lines(df: DataFrame, key: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS, **how) -> DataFrame:

@@ -11,7 +11,9 @@ bit by bit over the whole fingerprint, so the pairs are exact for any radius.
 
 Per shard only a minimum spanning forest of the near pairs is returned (shortest first): no group, however
 large, gives more links than it has members, and no connection is lost. Hot shards are dealt to several
-tasks by their visitors. Equal fingerprints are one.
+tasks by their visitors: blocks of residents against blocks of visitors, which is what comparing them takes.
+Equal fingerprints are one. Texts of any length are hashed whole, and all their words; columns besides key and
+text don't pass, so none can clash. Empty tables give empty ones.
 """
 
 from __future__ import annotations
@@ -25,12 +27,13 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logspark.llm.common import PACKED, checkpoint, deal, lean, mix64, pack, packed_groups, partitions, slices, utf8
-from logspark.llm.components import connected_components, union_find
+from logspark.llm.common import PACKED, checkpoint, deal, lean, membership, mix64, pack, packed_groups, partitions, slices, tasks, utf8
+from logspark.llm.components import connected_components, join_components, sets_between_pieces, union_find
 
 #: Fingerprints that a shard should hold; compared pairs from which a shard is dealt to several tasks.
 SHARD, HOT_SHARD = 4096, 60_000
-MOST_LEVELS = 16
+#: Levels above tasks at most; shards that would need more are dealt to several tasks.
+MOST_LEVELS = 24
 THIRDS = ((0, 21), (21, 42), (42, 64))
 
 
@@ -47,6 +50,11 @@ def shingle_hashes(raw: bytes, n: int, hash_=xxhash.xxh64_intdigest) -> np.ndarr
     return np.fromiter((hash_(text[s:e], 42) for s, e in zip(starts, (ends[n - 1 :] - 1).tolist())), np.uint64, len(starts))
 
 
+def norm_hash(raw: bytes) -> int:
+    """XXH3 of a text's words, A-Z lower-cased: the name of all texts of these words."""
+    return xxhash.xxh3_64_intdigest(b" ".join(raw.lower().split()))
+
+
 def majority_bits(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """The fingerprint of each run of counts[i] hashes: bits set in over half of them."""
     out = np.zeros(len(counts), np.uint64)
@@ -81,7 +89,7 @@ def fingerprints(df: DataFrame, n: int, words: int = 1, key: str = "doc_id", tex
                 found = [np.unique(shingle_hashes(r, n)) if distinct else shingle_hashes(r, n) for r in raws]
                 counts = np.array([len(x) for x in found], np.int64)
                 h = np.concatenate(found)
-                out[0].append(np.fromiter((xxhash.xxh3_64_intdigest(b" ".join(r.lower().split())) for r in raws), np.uint64, len(raws)))
+                out[0].append(np.fromiter(map(norm_hash, raws), np.uint64, len(raws)))
                 for w in range(words):
                     out[w + 1].append(majority_bits(h if w == 0 else mix64(h + np.uint64(w * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)), counts))
             cols = [np.concatenate(c).view(np.int64) if c else np.zeros(0, np.int64) for c in out]
@@ -231,13 +239,11 @@ def near_links(df: DataFrame, radius: int, words: int = 1, id_: str = "id", bloc
                 yield row, (block << levels) + code, home, [*f[:compared], *own], ids
 
     def counted(batches):
-        n = np.zeros(len(blocks.blocks) << levels, np.int64)
         for _, shard, home, _, _ in shards(batches):
-            np.add.at(n, shard[home], 1)
-        full = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array(n[full])], ["bucket", "n"])
+            full, n = np.unique(shard[home], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array(n)], ["bucket", "n"])
 
-    # at most one row for each shard whose number is bounded by the levels
+    # shards over HOT_SHARD only: their number is at most that of the fingerprints over HOT_SHARD
     for r in df.mapInArrow(lean(counted), "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).where(F.col("n") > HOT_SHARD).collect():
         hot_of[r["bucket"]] = -(-r["n"] // HOT_SHARD)
     n_shards = len(blocks.blocks) << levels
@@ -277,7 +283,7 @@ def near_links(df: DataFrame, radius: int, words: int = 1, id_: str = "id", bloc
             yield pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(ids[b]), pa.array(d.astype(np.int32))], ["a", "b", "distance"])
 
     packed = df.repartition(max(1, min(partitions(spark), 1 + n_shards // 2))).mapInArrow(lean(dealt), PACKED)
-    return deal(packed, max(partitions(spark), min(n_shards, 4096))).mapInArrow(lean(search), "a long, b long, distance int")
+    return deal(packed, tasks(spark, n_shards)).mapInArrow(lean(search), "a long, b long, distance int")
 
 
 def near_duplicates(df: DataFrame, n: int = 4, radius: int = 4, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -286,20 +292,21 @@ def near_duplicates(df: DataFrame, n: int = 4, radius: int = 4, key: str = "doc_
     Null and blank texts have the fingerprint zero and are linked like others. Repeated rows stay; a null key is in its component, but its id is the least key that isn't null.
     """
     docs = checkpoint(fingerprints(df, n, 1, key, text).select(key, "f0"))
-    least = docs.groupBy("f0").agg(F.min(key).alias("_least"))
+    least = checkpoint(docs.groupBy("f0").agg(F.min(key).alias("_least")))
     links = near_links(least.select(F.col("f0").alias("id"), "f0"), radius)
-    found = connected_components(links, thin=False)
-    least = least.join(found, F.col("f0") == F.col("node"), "left").select("f0", "_least", F.coalesce("component", "f0").alias("_root"))
-    roots = least.groupBy("_root").agg(F.min("_least").alias("component_id"))
-    by_print = least.join(roots, "_root").select("f0", "component_id")
+    found = checkpoint(connected_components(links, thin=False))
+    members = found.join(least, F.col("node") == F.col("f0")).select("f0", "_least", "component")
+    roots = members.groupBy("component").agg(F.min("_least").alias("_all"))
+    linked = join_components(members, roots, "component").select("f0", "_all")
+    by_print = least.join(linked, "f0", "left").select("f0", F.coalesce("_all", "_least").alias("component_id"))
     return docs.join(by_print, "f0").select(key, F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 #: For copies by resemblance: links up to 62 differing bits of 256, with at most 1 in one of 36 blocks of 768 bits. At a
 #: Jaccard resemblance of 0.8 a bit differs with probability 0.15, so 38 of 256 bits differ on average (deviation 6).
 WIDE_WORDS, WIDE_COMPARED, WIDE_RADIUS, WIDE_BLOCK_RADIUS = 12, 4, 62, 1
-#: Documents of a block of a group whose pieces are compared again; bytes of texts, one being taken for 1000, in a bucket.
-PIECE_BLOCK, PIECE_BYTES = 500, 4 << 20
+#: Bytes of texts, one being taken for 1000, in a bucket of groups whose pieces are compared again.
+PIECE_BYTES = 4 << 20
 
 
 def resembling(df: DataFrame, n: int = 5, least: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -309,19 +316,19 @@ def resembling(df: DataFrame, n: int = 5, least: float = 0.8, key: str = "doc_id
     texts. Where checks fail and leave a forest in pieces, all pairs within the radius between the pieces are checked too, since
     a forest may lack a pair that would pass. The search is not
     exact: of pairs at a resemblance of just 0.8 it finds 99.6 % to 99.97 % (3,000 pairs of random sets each of 9 to 900
-    shingles), of closer ones more. Texts of equal words are linked without a check. Documents without a link have no row. Null keys are not linked.
+    shingles), of closer ones more.
+
+    The nodes are texts, by a 64-bit hash of their words: texts of equal words, blank and null ones too, are one node.
+    Rows that share a key are one document, which links what any of its texts resembles. One row for each such document;
+    those without a link have none. Null keys are not linked. Texts of any length are hashed whole. Other columns don't pass.
     """
-    docs = checkpoint(fingerprints(df.where(F.col(key).isNotNull()), n, WIDE_WORDS, key, text, distinct=True))
+    docs = checkpoint(fingerprints(df.where(F.col(key).isNotNull()).withColumn(key, F.col(key).cast("long")), n, WIDE_WORDS, key, text, distinct=True))
     names = [f"f{i}" for i in range(WIDE_WORDS)]
-    same = ["norm", *names]
-    unique = docs.groupBy(*same).agg(F.min(key).alias("id"), F.count("*").alias("_n"))
-    unique = checkpoint(unique)
-    copies = docs.join(unique.where("_n > 1"), same).where(F.col(key) > F.col("id")).select(F.col(key).alias("a"), F.col("id").alias("b"))
-    links = checkpoint(near_links(unique, WIDE_RADIUS, WIDE_WORDS, "id", WIDE_BLOCK_RADIUS, WIDE_COMPARED).select("a", "b").distinct())
-    ends = links.select(F.explode(F.array("a", "b")).alias(key)).distinct()
-    squeezed = squeeze_texts(df.select(key, text), key, text)
-    texts = checkpoint(squeezed.join(ends, key).dropDuplicates([key]))
-    both = links.join(texts.select(F.col(key).alias("a"), F.col("_z").alias("_za")), "a").join(texts.select(F.col(key).alias("b"), F.col("_z").alias("_zb")), "b")
+    unique = checkpoint(docs.select("norm", *names).dropDuplicates(["norm"]))
+    links = checkpoint(near_links(unique, WIDE_RADIUS, WIDE_WORDS, "norm", WIDE_BLOCK_RADIUS, WIDE_COMPARED).select("a", "b").distinct())
+    ends = links.select(F.explode(F.array("a", "b")).alias("norm")).distinct()
+    texts = checkpoint(texts_of(df, docs, ends, key, text))
+    both = links.join(texts.select(F.col("norm").alias("a"), F.col("_z").alias("_za")), "a").join(texts.select(F.col("norm").alias("b"), F.col("_z").alias("_zb")), "b")
 
     def verified(batches):
         d = zstandard.ZstdDecompressor()
@@ -330,9 +337,33 @@ def resembling(df: DataFrame, n: int = 5, least: float = 0.8, key: str = "doc_id
             yield pa.RecordBatch.from_arrays([x["a"].filter(pa.array(keep, pa.bool_())), x["b"].filter(pa.array(keep, pa.bool_()))], ["a", "b"])
 
     sure = checkpoint(both.select("a", "b", "_za", "_zb").mapInArrow(lean(verified), "a long, b long"))
-    prints = unique.select(F.col("id").alias(key), *names[:WIDE_COMPARED]).dropDuplicates([key])
-    more = links_between_pieces(links, sure, texts.join(prints, key), n, least, key)
-    return connected_components(sure.unionByName(more).unionByName(copies), thin=False).withColumnRenamed("node", key).withColumnRenamed("component", "component_id")
+    more = links_between_pieces(links, sure, texts.join(unique.select("norm", *names[:WIDE_COMPARED]), "norm"), n, least)
+    # texts of one document belong together
+    several = docs.groupBy(key).agg(F.min("norm").alias("_low"), F.max("norm").alias("_high")).where("_low < _high")
+    same = docs.select(key, "norm").join(several, key).where("norm > _low").select(F.col("norm").alias("a"), F.col("_low").alias("b"))
+    found = connected_components(sure.unionByName(more).unionByName(same), thin=False)
+    rows = docs.select(key, "norm").join(found, F.col("norm") == F.col("node"), "left").select(key, F.coalesce("component", "norm").alias("component"))
+    groups = rows.groupBy("component").agg(F.min(key).alias("component_id"), F.max(key).alias("_last")).where("component_id < _last").drop("_last")
+    return join_components(rows.distinct(), groups, "component").select(key, "component_id")
+
+
+def texts_of(df: DataFrame, docs: DataFrame, ends: DataFrame, key: str, text: str) -> DataFrame:
+    """norm and _z, the compressed text of one row of each of the wanted norms. Only rows whose key may be wanted travel."""
+    keys = checkpoint(docs.select(key, "norm").join(ends, "norm").groupBy("norm").agg(F.min(key).alias(key)).select(key).distinct())
+    may_be_wanted = membership(keys, key, keys.count())
+    src = df.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("_key"), F.col(text).alias("_text"))
+
+    def run(batches):
+        c = zstandard.ZstdCompressor(level=3)
+        for b in batches:
+            b = b.filter(pa.array(may_be_wanted(b["_key"].to_numpy())))
+            data, off = utf8(b["_text"])
+            raws = [data[s:e].tobytes() for s, e in zip(off, off[1:])]
+            norm = np.fromiter((norm_hash(r) for r in raws), np.uint64, len(raws)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b["_key"], pa.array(norm), pa.array([c.compress(r) for r in raws], pa.binary())], ["_key", "norm", "_z"])
+
+    found = src.mapInArrow(lean(run), "_key long, norm long, _z binary")
+    return found.join(keys.withColumnRenamed(key, "_key"), "_key", "left_semi").join(ends, "norm", "left_semi").select("norm", "_z").dropDuplicates(["norm"])
 
 
 def alike(s: np.ndarray, t: np.ndarray, least: float) -> bool:
@@ -344,45 +375,21 @@ def alike(s: np.ndarray, t: np.ndarray, least: float) -> bool:
     return union > 0 and both >= least * union
 
 
-def piece_sets(links: DataFrame, sure: DataFrame, key: str) -> DataFrame:
-    """set, key, piece: members of the groups that links connect and sure links leave in pieces, so that any two of different pieces of a group share a set.
-
-    Pieces of over PIECE_BLOCK documents are cut into blocks of their own, the others of a group are dealt to blocks
-    together; each two blocks that aren't of one piece are a set.
-    """
-    groups = connected_components(links, thin=False).select(F.col("node").alias(key), F.col("component").alias("_group"))
-    pieces = connected_components(sure, thin=False).select(F.col("node").alias(key), F.col("component").alias("_piece"))
-    nodes = groups.join(pieces, key, "left").withColumn("_piece", F.coalesce("_piece", key))
-    sizes = nodes.groupBy("_group", "_piece").agg(F.count("*").alias("_n"))
-    sizes = sizes.withColumn("_large", F.col("_n") > PIECE_BLOCK)
-    broken = sizes.groupBy("_group").agg(F.count("*").alias("_pieces"), F.sum(F.when(F.col("_large"), 0).otherwise(F.col("_n"))).alias("_rest")).where("_pieces > 1")
-    nodes = nodes.join(sizes.join(broken, "_group"), ["_group", "_piece"])
-    cuts = F.ceil(F.when(F.col("_large"), F.col("_n")).otherwise(F.col("_rest")) / PIECE_BLOCK)
-    of = F.when(F.col("_large"), F.col("_piece"))
-    nodes = checkpoint(nodes.select("_group", key, "_piece", of.alias("_of"), F.pmod(F.xxhash64(key), cuts).alias("_cut")))
-    blocks = nodes.select("_group", "_of", "_cut").distinct().withColumn("_block", F.struct("_of", "_cut"))
-    i, j = blocks.select("_group", F.col("_block").alias("_i")), blocks.select("_group", F.col("_block").alias("_j"))
-    pairs = i.join(j, "_group").where("_i < _j and not (_i._of is not null and _i._of <=> _j._of)")
-    alone = blocks.groupBy("_group").agg(F.count("*").alias("_n"), F.first("_block").alias("_i")).where("_n = 1").select("_group", "_i", F.col("_i").alias("_j"))
-    pairs = pairs.select("_group", "_i", "_j").unionByName(alone).withColumn("set", F.xxhash64("_group", "_i._of", "_i._cut", "_j._of", "_j._cut"))
-    asked = pairs.select("set", "_group", F.explode(F.array_distinct(F.array("_i", "_j"))).alias("_b")).select("set", "_group", F.col("_b._of").alias("_of"), F.col("_b._cut").alias("_cut"))
-    m = nodes.withColumnRenamed("_group", "_g").withColumnRenamed("_of", "_o").withColumnRenamed("_cut", "_c")
-    return m.join(asked, (F.col("_g") == F.col("_group")) & F.col("_o").eqNullSafe(F.col("_of")) & (F.col("_c") == F.col("_cut"))).select("set", key, "_piece")
-
-
-def links_between_pieces(links: DataFrame, sure: DataFrame, texts: DataFrame, n: int, least: float, key: str) -> DataFrame:
-    """a, b: verified links, by texts, of documents of a group of links that sure links leave in different pieces. texts: key, _z, f0.."""
-    sets = checkpoint(piece_sets(links, sure, key))
-    n_buckets = int(min(1 << 20, 1 + sets.count() * 1000 // PIECE_BYTES))
-    rows = sets.withColumn("bucket", F.pmod(F.xxhash64("set"), F.lit(n_buckets)).cast("int")).join(texts, key)
+def links_between_pieces(links: DataFrame, sure: DataFrame, texts: DataFrame, n: int, least: float) -> DataFrame:
+    """a, b: verified links, by texts, of members of a group of links that sure links leave in different pieces. texts: norm, _z, f0.."""
+    groups = connected_components(links, thin=False).select(F.col("node").alias("norm"), F.col("component").alias("_group"))
+    pieces = connected_components(sure, thin=False).select(F.col("node").alias("norm"), F.col("component").alias("_piece"))
+    sets = checkpoint(sets_between_pieces(groups.join(pieces, "norm", "left").withColumn("_piece", F.coalesce("_piece", "norm")), "norm"))
+    n_buckets = int(min(1 << 30, 1 + sets.count() * 1000 // PIECE_BYTES))
+    rows = sets.withColumn("bucket", F.pmod(F.xxhash64("set"), F.lit(n_buckets)).cast("int")).join(texts, "norm")
     names = [f"f{i}" for i in range(WIDE_COMPARED)]
 
     def search(batches):
-        for ids, piece, f, z in runs_of(batches, "set", key, names):
+        for ids, piece, f, z in runs_of(batches, "set", "norm", names):
             a, b = links_of_set(ids, piece, f, z, n, least)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    rows = rows.select("bucket", "set", F.col(key), "_piece", "_z", *names).repartition(max(partitions(links.sparkSession), min(n_buckets, 4096)), "bucket").sortWithinPartitions("bucket", "set", key)
+    rows = rows.select("bucket", "set", "norm", "_piece", "_z", *names).repartition(tasks(links.sparkSession, n_buckets), "bucket").sortWithinPartitions("bucket", "set", "norm")
     return rows.mapInArrow(lean(search), "a long, b long")
 
 
@@ -427,16 +434,3 @@ def links_of_set(ids: np.ndarray, piece: np.ndarray, f: list[np.ndarray], z: lis
                 b.append(int(ids[j]))
                 label[label == label[j]] = label[i]
     return a, b
-
-
-def squeeze_texts(df: DataFrame, key: str, text: str) -> DataFrame:
-    """key and _z, the compressed text: a third of the bytes to shuffle."""
-    src = df.select(F.col(key), F.col(text).alias("_text"))
-
-    def run(batches):
-        c = zstandard.ZstdCompressor(level=3)
-        for b in batches:
-            data, off = utf8(b["_text"])
-            yield pa.RecordBatch.from_arrays([b[key], pa.array([c.compress(data[s:e].tobytes()) for s, e in zip(off, off[1:])], pa.binary())], [key, "_z"])
-
-    return src.mapInArrow(lean(run), src.select(key, F.lit(None).cast("binary").alias("_z")).schema)

@@ -15,10 +15,16 @@ first, without loss, and only contested ones are sorted, one bucket at a time:
    each shift of the window; those windows over one suffix that are covered form one span.
 4. Spans meet their documents, are united, and the remaining bytes are put together.
 
-Whatever the number of copies, a suffix is one row in one bucket. Rows travel packed, and a task holds one bucket.
+Whatever the number of copies, a suffix is one row in one bucket. Rows travel packed, and a task holds one bucket: the
+suffixes of one sampled string, however common, are in one, and take about 100 bytes each there.
+
+Strings are compared by hashes: sampled strings by 64 bits at most (40 and the bucket), contexts by 48 more, windows of a contested
+string by 64. Of 10^13 sampled suffixes (200 TB of text) two different ones would be taken for equal with a
+probability of about 10^-8; in contested buckets, where only windows over one string meet, of 2^-64 a pair.
 
 Null texts are empty. Rows without a key neither lose bytes nor make others lose any. Rows that share a key are
-not smaller than one another; equal texts among them get the same spans. Empty tables give empty ones.
+not smaller than one another; equal texts among them get the same spans. Empty tables give empty ones. Texts of any
+length are sampled whole. Columns besides key and text don't pass, so none can clash.
 """
 
 from __future__ import annotations
@@ -33,7 +39,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logspark.llm.common import PACKED, checkpoint, deal, delta, lean, lean_groups, mix64, pack, packed_groups, partitions, slices, unpack, utf8
+from logspark.llm.common import PACKED, checkpoint, deal, delta, lean, lean_groups, mix64, pack, packed_groups, slices, tasks, unpack, utf8
 
 #: Sampled suffixes and text bytes that a bucket should hold.
 BUCKET_SUFFIXES, BUCKET_BYTES = 250_000, 8 << 20
@@ -175,7 +181,7 @@ def covered_spans(df: DataFrame, length: int = 50, key: str = "doc_id", text: st
     g = Windows(length)
     docs = df.select(F.col(key).cast("long").alias(key), F.col(text).alias("_text"))
     total = docs.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
-    n_suffix = int(min(65_535, 1 + total * 2 // (g.side + 2) // BUCKET_SUFFIXES))
+    n_suffix = int(min(1 << 24, 1 + total * 2 // (g.side + 2) // BUCKET_SUFFIXES))
     n_docs = int(1 + total // BUCKET_BYTES)
     spark = df.sparkSession
     matters = keys_repeat(docs, key)
@@ -188,7 +194,7 @@ def covered_spans(df: DataFrame, length: int = 50, key: str = "doc_id", text: st
                     yield _pack_suffixes(((h & np.uint64(0xFFFFFF)) % np.uint64(n_suffix)).astype(np.int64), h, rank, ids[text], np.array([row_hash(x, matters) for x in texts], np.uint64)[text], pos, before, after)
 
     def sorted_buckets(batches):
-        """Spans (tie 0, size over 0) and contested suffixes (tie over 0, size 0), by bucket of documents."""
+        """Spans (size over 0) and contested suffixes (size 0, with a tie of 40 bits of the hash and the bucket), by bucket of documents."""
         for bucket, (h, rank, doc, row, pos, before, after) in _suffix_groups(batches):
             order = np.lexsort((doc, rank, h))
             h, rank, doc, row, pos, before, after = (x[order] for x in (h, rank, doc, row, pos, before, after))
@@ -204,13 +210,13 @@ def covered_spans(df: DataFrame, length: int = 50, key: str = "doc_id", text: st
             contested = ~full & (ranks_in_tie > 1) & (low[tie] < high[tie])
             take = np.flatnonzero(full | contested)
             if len(take):
-                ties = np.where(full, np.uint64(0), (h << np.uint64(16)) | np.uint64(bucket) | np.uint64(1 << 62))[take]
+                ties = np.where(full, np.uint64(0), (h << np.uint64(24)) | np.uint64(bucket))[take]
                 start = np.where(full, pos - before, pos)[take]
                 size = np.where(full, before.astype(np.int64) + after, 0)[take]
                 yield _found(doc[take], row[take], ties, start, size, n_docs)
 
     suffixes = docs.where(F.col(key).isNotNull() & (F.octet_length("_text") >= length)).mapInArrow(lean(sampled), PACKED)
-    found = checkpoint(deal(suffixes, max(partitions(spark), min(n_suffix, 4096))).mapInArrow(lean(sorted_buckets), PACKED))
+    found = checkpoint(deal(suffixes, tasks(spark, n_suffix)).mapInArrow(lean(sorted_buckets), PACKED))
 
     def squeezed(batches):
         c = zstandard.ZstdCompressor(level=3)
@@ -261,10 +267,12 @@ def covered_spans(df: DataFrame, length: int = 50, key: str = "doc_id", text: st
         if not out:
             return empty
         own, before, after, near = (np.concatenate(x) for x in zip(*out))
-        to = (tie[own] & np.uint64(0xFFFF)).astype(np.int64)
+        to = (tie[own] & np.uint64(0xFFFFFF)).astype(np.int64)
         near = np.ascontiguousarray(near).view(f"V{2 * g.side}").ravel()
         return pa.Table.from_batches([pack(to, [tie[own], doc[own], row[own], pos[own], before.astype(np.uint8), after.astype(np.uint8), near])])
 
+    # a random number for each byte at each place of the context
+    table = mix64(np.arange(2 * g.side * 256, dtype=np.uint64) + np.uint64(0x5851F42D4C957F2D)).reshape(2 * g.side, 256)
     tied = [np.uint64, np.int64, np.uint64, np.int32, np.uint8, np.uint8, f"V{2 * g.side}"]
 
     def cut(batches):
@@ -275,19 +283,18 @@ def covered_spans(df: DataFrame, length: int = 50, key: str = "doc_id", text: st
             before, after = before[order].astype(np.int64), after[order].astype(np.int64)
             bytes_ = near.view(np.uint8).reshape(len(near), -1)
             left, right = bytes_[:, : g.side], bytes_[:, g.side :]
-            # ranks of what lies before (by length) and after (by length)
-            lower = np.empty((g.side + 1, len(tie)), np.uint64)
-            upper = np.empty((g.side + 1, len(tie)), np.uint64)
-            lower[0] = upper[0] = mix64(tie)
-            for n in range(1, g.side + 1):
-                lower[n] = mix64(lower[n - 1] * np.uint64(0x9E3779B97F4A7C15) + left[:, g.side - n] + np.uint64(1))
-                upper[n] = mix64(upper[n - 1] * np.uint64(0xC2B2AE3D27D4EB4F) + right[:, n - 1] + np.uint64(1))
+            # a window's hash: of the tie, and a random number for each byte at each place; a shift adds a byte on the left and takes one on the right
+            window = mix64(tie)
+            for n in range(g.side):
+                window += table[g.side + n][right[:, n]]
             far, close = np.full(len(tie), -1, np.int64), np.full(len(tie), g.length, np.int64)
             for shift in range(g.side + 1):
+                if shift:
+                    window += table[g.side - shift][left[:, g.side - shift]] - table[2 * g.side - shift][right[:, g.side - shift]]
                 rows = np.flatnonzero((before >= shift) & (after >= length - shift))
                 if len(rows) < 2:
                     continue
-                seen = mix64(lower[shift][rows] + np.uint64(3) * upper[g.side - shift][rows])
+                seen = window[rows]
                 by = np.lexsort((doc[rows], seen))
                 run = _runs(seen[by])
                 least = doc[rows[by]][np.flatnonzero(np.r_[True, run[1:] != run[:-1]])][run]
@@ -300,7 +307,7 @@ def covered_spans(df: DataFrame, length: int = 50, key: str = "doc_id", text: st
 
     by_bucket = packed.groupBy("bucket")
     seen = by_bucket.cogroup(found.groupBy("bucket")).applyInArrow(lean_groups(contexts), PACKED)
-    spans = deal(seen, max(partitions(spark), min(n_suffix, 4096))).mapInArrow(lean(cut), PACKED)
+    spans = deal(seen, tasks(spark, n_suffix)).mapInArrow(lean(cut), PACKED)
     return found.unionByName(spans), packed, matters
 
 

@@ -11,7 +11,7 @@ import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
-from logspark.llm import bpe, chat, lines, mixing, mpegts, queries, repetition, separators, simhash, substrings, warc
+from logspark.llm import bpe, chat, components, lines, mixing, mpegts, queries, repetition, separators, simhash, substrings, warc
 from logspark.llm.common import shared_dir
 from logspark.llm.components import connected_components, union_find
 
@@ -124,7 +124,7 @@ def test_resembling_finds_pairs_at_the_least_resemblance(spark):
 @pytest.mark.parametrize("block", [500, 4])
 def test_resembling_looks_behind_failed_links(spark, monkeypatch, block):
     """Groups whose forests have links that fail the check, while pairs that they lack would pass: as all pairs one by one."""
-    monkeypatch.setattr(simhash, "PIECE_BLOCK", block)
+    monkeypatch.setattr(components, "PIECE_BLOCK", block)
     rng = random.Random(4)
     rows = []
     for g in range(12):
@@ -224,6 +224,8 @@ def test_short_lines_take_part(spark, tmp_path):
 def test_line_dedup_in_blocks(docs, monkeypatch):
     whole = {r.doc: r.removed for r in lines.repeated_lines(docs).collect()}
     monkeypatch.setattr(lines, "BLOCK", 3)
+    monkeypatch.setattr(lines, "HUB", 1)
+    monkeypatch.setattr(components, "PIECE_BLOCK", 2)
     assert {r.doc: r.removed for r in lines.repeated_lines(docs).collect()} == whole
 
 

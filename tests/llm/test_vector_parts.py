@@ -132,7 +132,7 @@ def test_line_table_and_verification():
     data = b"".join(raw)
     assert [(r, n, data[s:e].decode()) for r, n, s, e in zip(row, number, start, end)] == [(i, k, x) for i, t in enumerate(texts) for k, x in enumerate(t.split("\n"))]
     assert part.tolist() == [True, False, False, False, False, True, False]
-    v = lines.Verifier([np.arange(100), np.arange(3, 103), np.arange(50, 150), np.arange(6, 106)], 0.8)
+    v = lines.Verifier([np.arange(100), np.arange(3, 103), np.arange(50, 150), np.arange(6, 106)], np.zeros(4, np.uint32), 0.8)
     v.add_set([0, 1, 2, 3])
     assert len(v.links) == 2 and v.find(0) == v.find(1) == v.find(3) != v.find(2)
 
