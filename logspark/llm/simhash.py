@@ -30,8 +30,9 @@ from pyspark.sql import functions as F
 from logspark.llm.common import PACKED, checkpoint, deal, lean, membership, mix64, pack, packed_groups, partitions, slices, tasks, utf8
 from logspark.llm.components import connected_components, join_components, sets_between_pieces, union_find
 
-#: Fingerprints that a shard should hold; compared pairs from which a shard is dealt to several tasks.
-SHARD, HOT_SHARD = 4096, 60_000
+#: Fingerprints that a shard should hold (a few megabytes; every level above tasks costs visits, so shards are large), and from
+#: which on it is dealt to several tasks.
+SHARD, HOT_SHARD = 1 << 16, 1 << 17
 #: Levels above tasks at most; shards that would need more are dealt to several tasks.
 MOST_LEVELS = 24
 THIRDS = ((0, 21), (21, 42), (42, 64))
@@ -153,7 +154,7 @@ def light_forest(a: np.ndarray, b: np.ndarray, d: np.ndarray, n: int) -> np.ndar
 class Search:
     """Near pairs of a shard between those that live in it, and between them and its visitors."""
 
-    LEAF = 1 << 19
+    LEAF = 1 << 16
 
     def __init__(self, blocks: Blocks, block: int, f: list[np.ndarray], home: np.ndarray):
         self.blocks, self.block, self.f, self.home = blocks, block, f, home
@@ -225,7 +226,7 @@ def near_links(df: DataFrame, radius: int, words: int = 1, id_: str = "id", bloc
     df = checkpoint(df.select(F.col(id_).cast("long").alias("id"), *names))
     levels = min(MOST_LEVELS, max(0, math.ceil(math.log2(max(1, df.count()) / SHARD))))
     extra = int(words > compared)
-    kinds = [np.int64, *[np.uint64] * (compared + extra), np.uint8, np.uint32]
+    kinds = [np.int64, *[np.uint64] * (compared + extra), np.uint8]
     hot_of: dict[int, int] = {}
 
     def shards(batches):
@@ -269,10 +270,10 @@ def near_links(df: DataFrame, radius: int, words: int = 1, id_: str = "id", bloc
             parts.append((plain, bucket[plain], asks[plain]))
             take, to, asks = (np.concatenate(x) for x in zip(*parts))
             if len(take):
-                yield pack(to, [ids[row[take]], *(x[row[take]] for x in f), (home[take] | asks).astype(np.uint8), salt[take]])
+                yield pack(to, [ids[row[take]], *(x[row[take]] for x in f), (home[take] | asks).astype(np.uint8)])
 
     def search(batches):
-        for bucket, (ids, *f, flags, _) in packed_groups(batches, kinds):
+        for bucket, (ids, *f, flags) in packed_groups(batches, kinds):
             home, asks = (flags & 1) == 1, (flags & 2) == 2
             order = np.argsort(ids, kind="stable")
             ids, home, asks, f = ids[order], home[order], asks[order], [x[order] for x in f]
@@ -302,9 +303,10 @@ def near_duplicates(df: DataFrame, n: int = 4, radius: int = 4, key: str = "doc_
     return docs.join(by_print, "f0").select(key, F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: For copies by resemblance: links up to 62 differing bits of 256, with at most 1 in one of 36 blocks of 768 bits. At a
-#: Jaccard resemblance of 0.8 a bit differs with probability 0.15, so 38 of 256 bits differ on average (deviation 6).
-WIDE_WORDS, WIDE_COMPARED, WIDE_RADIUS, WIDE_BLOCK_RADIUS = 12, 4, 62, 1
+#: For copies by resemblance: links up to 36 differing bits of 128, with at most 1 in one of 36 blocks of 768 bits. At a
+#: Jaccard resemblance of 0.8 a bit differs with probability 0.15, so 19 of 128 bits differ on average (deviation 4); of
+#: unrelated texts 64 (deviation 6).
+WIDE_WORDS, WIDE_COMPARED, WIDE_RADIUS, WIDE_BLOCK_RADIUS = 12, 2, 36, 1
 #: Bytes of texts, one being taken for 1000, in a bucket of groups whose pieces are compared again.
 PIECE_BYTES = 4 << 20
 

@@ -136,7 +136,7 @@ def test_resembling_looks_behind_failed_links(spark, monkeypatch, block):
             rows.append((len(rows), " ".join(t)))
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     sets = [set(simhash.shingle_hashes(t.encode(), 5).tolist()) for _, t in rows]
-    prints = {r.doc_id: [r[f"f{w}"] & (1 << 64) - 1 for w in range(4)] for r in simhash.fingerprints(df, 5, 4, distinct=True).collect()}
+    prints = {r.doc_id: [r[f"f{w}"] & (1 << 64) - 1 for w in range(simhash.WIDE_COMPARED)] for r in simhash.fingerprints(df, 5, 4, distinct=True).collect()}
     links = [(a, b) for a in range(len(rows)) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) and sum((x ^ y).bit_count() for x, y in zip(prints[a], prints[b])) <= simhash.WIDE_RADIUS]
     root = union_find(np.array([a for a, _ in links]), np.array([b for _, b in links]), len(rows))
     want = {k: int(root[k]) for k in {x for p in links for x in p}}
