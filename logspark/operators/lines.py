@@ -6,50 +6,49 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logspark.functions.dates import rfc3339_nanos
-from logspark.functions.patterns import java_regex
+from logspark.functions.patterns import found
 from logspark.model import MAX_LINE_BYTES, Grouper
-from logspark.operators.ordered import Fold, automaton, in_blocks, ordered_fold, previous, running
+from logspark.operators.ordered import Fold, automaton, in_blocks, ordered_fold, running
 
 KEY, ORDER = ["log_path"], ["line_seq"]
 
 
-def _found(c: Column, pattern: str) -> Column:
-    java = java_regex(pattern)
-    if java is None:
-        raise ValueError(f"no Java equivalent of the pattern {pattern}")
-    return F.coalesce(c.rlike(java), F.lit(False))
-
-
 def number_groups(lines: DataFrame, grouper: Grouper, block: Column | None = None) -> DataFrame:
     """Adds group_id, from 0 in each log: lines of one group share it; a line outside groups has its own.
 
-    A line is absorbed into an open group depending on itself, on the line before, and on whether that was
-    absorbed: a step of a one-bit automaton.
+    What a line leaves behind is one bit: whether a next line may be absorbed. So grouping is a one-bit automaton.
+    With blocks, _block and edge (whether the group may go on in another block) stay as columns.
     """
-    start, pattern = _found(F.col("raw"), grouper.start), _found(F.col("raw"), grouper.pattern)
-    go = pattern if grouper.kind.startswith("continue") else ~pattern
-    df, by = in_blocks(lines.withColumn("_go", go), block)
-    df = previous(df, KEY, ORDER, F.struct(start.alias("start"), go.alias("go")), "_before", by)
-    after_start = F.coalesce(F.col("_before.start"), F.lit(False))
+    df, by = in_blocks(lines, block)
+    pattern = found(F.col("raw"), grouper.pattern)
+    df = df.withColumns({"_start": found(F.col("raw"), grouper.start), "_go": pattern if grouper.kind.startswith("continue") else ~pattern})
     if grouper.kind in ("continueThrough", "haltBefore"):
-        # absorbed if it goes on and the line before was absorbed or is a start
-        step = F.when(~F.col("_go"), "0").when(after_start, "1").otherwise("i")
+        # open after a start, or after a line that was absorbed; a line is absorbed if it goes on in an open group
+        step = F.when(F.col("_start"), "1").when(F.col("_go"), "i").otherwise("0")
+        outside = lambda open_: ~(open_ & F.col("_go"))
     else:
-        # after an absorbed line, that line decides; after another, whether it is a start
-        on = F.coalesce(F.col("_before.go"), F.lit(False))
-        step = F.when(on & after_start, "1").when(on, "i").when(after_start, "f").otherwise("0")
-    df = automaton(df, KEY, ORDER, step, "_absorbed", by)
-    df = running(df, KEY, ORDER, F.when(F.col("_absorbed"), 0).otherwise(1), "group_id", block=by)
-    return df.withColumn("group_id", F.col("group_id") - 1).drop("_go", "_before", "_absorbed", "_block")
+        # every line is absorbed by an open group, which stays open by what the line says; outside a group a start opens one
+        step = F.when(F.col("_start"), F.when(F.col("_go"), "1").otherwise("f")).when(F.col("_go"), "i").otherwise("0")
+        outside = lambda open_: ~open_
+    df = automaton(df, KEY, ORDER, step, outside, "_open", "group_id", by)
+    return df.withColumn("group_id", F.col("group_id") - 1).drop("_go", "_start", "_open")
 
 
 def group_lines(lines: DataFrame, grouper: Grouper, separator: str = "\n", max_bytes: int | None = None, block: Column | None = None) -> DataFrame:
     """One row per group: log_path, line_seq (of its first line), n_lines, message.
 
+    Groups within a block are put together where their lines are; only those at a block's edges are shuffled once more.
     Logs in which a group would exceed max_bytes are grouped by the fold that cuts groups at that size; all others stay native.
     """
     numbered = number_groups(lines, grouper, block)
-    grouped = numbered.groupBy("log_path", "group_id").agg(F.min("line_seq").alias("line_seq"), F.count("*").alias("n_lines"), F.sum(F.octet_length("raw") + len(separator)).alias("_bytes"), _joined(separator).alias("message"))
+    columns = ["log_path", "line_seq", "n_lines", "message", "_bytes"]
+    size = F.sum(F.octet_length("raw") + len(separator)).alias("_bytes")
+    if block is None:
+        grouped = numbered.groupBy("log_path", "group_id").agg(F.min("line_seq").alias("line_seq"), F.count("*").alias("n_lines"), size, _joined(separator, "line_seq", "raw").alias("message"))
+    else:
+        parts = numbered.groupBy("log_path", "_block", "group_id", "edge").agg(F.min("line_seq").alias("line_seq"), F.count("*").alias("n_lines"), size, _joined(separator, "line_seq", "raw").alias("message"))
+        edges = parts.where("edge").groupBy("log_path", "group_id").agg(_joined(separator, "line_seq", "message").alias("message"), F.min("line_seq").alias("line_seq"), F.sum("n_lines").alias("n_lines"), F.sum("_bytes").alias("_bytes"))
+        grouped = parts.where("not edge").select(*columns).unionByName(edges.select(*columns))
     if max_bytes is None:
         return grouped.select("log_path", "line_seq", "n_lines", "message")
     large = grouped.where(F.col("_bytes") > max_bytes).select("log_path").distinct()
@@ -57,9 +56,9 @@ def group_lines(lines: DataFrame, grouper: Grouper, separator: str = "\n", max_b
     return native.unionByName(group_lines_by(lines.join(large, "log_path", "left_semi"), [grouper], separator, max_bytes))
 
 
-def _joined(separator: str) -> Column:
-    rows = F.array_sort(F.collect_list(F.struct("line_seq", "raw")))
-    return F.array_join(F.transform(rows, lambda r: r["raw"]), separator)
+def _joined(separator: str, order: str, text: str) -> Column:
+    rows = F.array_sort(F.collect_list(F.struct(order, text)))
+    return F.array_join(F.transform(rows, lambda r: r[text]), separator)
 
 
 class _Groupers(Fold):
@@ -103,7 +102,7 @@ class _Groupers(Fold):
 
 def group_lines_by(lines: DataFrame, groupers: list[Grouper], separator: str = "\n", max_bytes: int = MAX_LINE_BYTES) -> DataFrame:
     """Several groupers: at each line outside a group the first that matches opens one. Patterns are matched by Spark, the fold only keeps state."""
-    flags = F.array(*(x for g in groupers for x in (_found(F.col("raw"), g.start), _found(F.col("raw"), g.pattern))))
+    flags = F.array(*(x for g in groupers for x in (found(F.col("raw"), g.start), found(F.col("raw"), g.pattern))))
     df = lines.select("log_path", "line_seq", "raw", flags.alias("flags"))
     return ordered_fold(df, KEY, ORDER, lambda: _Groupers(groupers, separator, max_bytes), "log_path string, line_seq bigint, n_lines bigint, message string")
 

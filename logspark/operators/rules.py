@@ -10,18 +10,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logspark.functions.patterns import java_regex, java_replacement
-from logspark.model import RedactionRule, SamplingRule
+from logspark.functions.patterns import found, java_regex, java_replacement, never_empty
+from logspark.model import LogConfig, RedactionRule, SamplingRule
 
 
 def sample_rate(c: Column, rules: list[SamplingRule] | tuple[SamplingRule, ...]) -> Column:
     """The rate of the first rule whose pattern is found; 1 if none is."""
     out = F.lit(1.0)
     for r in reversed(rules):
-        java = java_regex(r.match)
-        if java is None:
-            raise ValueError(f"no Java equivalent of the pattern {r.match}")
-        out = F.when(c.rlike(java), float(r.rate)).otherwise(out)
+        out = F.when(found(c, r.match), float(r.rate)).otherwise(out)
     return out
 
 
@@ -70,27 +67,27 @@ def _python_rule(c: Column, rule: RedactionRule) -> tuple[Column, Column]:
     return out["text"], out["n"]
 
 
-def _native_rule(c: Column, rule: RedactionRule) -> tuple[Column, Column] | None:
-    java = java_regex(rule.match)
-    if java is None or re.compile(rule.match).search(""):
+def _native_rule(df: DataFrame, column: str, rule: RedactionRule) -> tuple[DataFrame, Column, Column] | None:
+    """df, perhaps with a column _pieces, and the expressions of the new text and of the number of matches; None where Spark can't do it."""
+    java, c = java_regex(rule.match), F.col(column)
+    if java is None or not never_empty(rule.match):
         return None
-    count = F.regexp_count(c, F.lit(java))
     if not _HASH.search(rule.replacement):
         replacement = java_replacement(rule.replacement)
-        return None if replacement is None else (F.regexp_replace(c, java, replacement), count)
-    groups = {n for p in _parts(rule.replacement) if not isinstance(p, str) for n in [p[1]]}
+        return None if replacement is None else (df, F.regexp_replace(c, java, replacement), F.regexp_count(c, F.lit(java)))
+    parts = _parts(rule.replacement)
+    groups = sorted({p[1] for p in parts if not isinstance(p, str)})
     if any(n > re.compile(rule.match).groups for n in groups):
         return None
-    # the texts between matches, and a replacement made of each match's groups
-    between = F.split(c, java, -1)
-    found = {n: F.regexp_extract_all(c, F.lit(java), F.lit(n)) for n in groups}
+    # what lies before each match, with the match's groups; what lies after the last has none. Each array is made once for a text.
+    zipped = F.arrays_zip(F.split(c, java, -1).alias("before"), *(F.regexp_extract_all(c, F.lit(java), F.lit(n)).alias(f"g{n}") for n in groups))
 
-    def one(i: Column) -> Column:
-        made = [F.lit(p) if isinstance(p, str) else F.get(found[p[1]], i) if p[0] == "g" else F.md5(F.concat(F.get(found[p[1]], i), F.lit(rule.hash_salt)).cast("binary")) for p in _parts(rule.replacement)]
-        return F.concat(*made, F.get(between, i + 1))
+    def one(x: Column) -> Column:
+        made = [F.lit(p) if isinstance(p, str) else x[f"g{p[1]}"] if p[0] == "g" else F.md5(F.concat(x[f"g{p[1]}"], F.lit(rule.hash_salt)).cast("binary")) for p in parts]
+        return F.concat(x["before"], F.coalesce(F.concat(*made), F.lit("")))
 
-    pieces = F.transform(F.sequence(F.lit(0), F.size(between) - 2), one)
-    return F.when(F.size(between) < 2, c).otherwise(F.concat(F.get(between, F.lit(0)), F.array_join(pieces, ""))), count
+    # two uses of a column keep Spark from computing it where it is used
+    return df.withColumn("_pieces", zipped), F.array_join(F.transform("_pieces", one), ""), F.size("_pieces") - 1
 
 
 def redact(lines: DataFrame, rules: list[RedactionRule] | tuple[RedactionRule, ...], column: str = "message") -> DataFrame:
@@ -99,15 +96,68 @@ def redact(lines: DataFrame, rules: list[RedactionRule] | tuple[RedactionRule, .
         return lines.withColumns({"redactions": F.lit(0), "redacted": F.lit(False), "rule_matches": F.array().cast("array<int>")})
     df, counts = lines, []
     for i, rule in enumerate(rules):
-        text, n = _native_rule(F.col(column), rule) or _python_rule(F.col(column), rule)
+        df, text, n = _native_rule(df, column, rule) or (df, *_python_rule(F.col(column), rule))
         # the count comes first: it is of the text before the rule
-        df = df.withColumns({f"_m{i}": F.coalesce(n, F.lit(0)), "_text": text}).drop(column).withColumnRenamed("_text", column)
+        df = df.withColumns({f"_m{i}": F.coalesce(n, F.lit(0)), "_text": text}).drop(column, "_pieces").withColumnRenamed("_text", column)
         counts.append(f"_m{i}")
     total = reduce(lambda a, b: a + b, map(F.col, counts))
     df = df.withColumns({"redactions": total, "redacted": total > 0, "rule_matches": F.array(*counts)}).drop(*counts)
     return df.select(*lines.columns, "redactions", "redacted", "rule_matches")
 
 
-def hash_redactions(matches: Column, groups: int) -> Column:
-    """The count that matches times groups gives, as reports of hashing rules have it."""
-    return matches * groups
+def apply_configs(lines: DataFrame, configs: list[LogConfig], key: list[str], column: str = "message", config: str = "config", seed: int = 42) -> DataFrame:
+    """Each line treated by the rules of its config (see first_matching): sampled, then redacted. Adds sample_rate, redactions, redacted. Lines without a config, or whose config has no rules, stay as they are."""
+    rate, own = F.lit(1.0), F.col(config)
+    for c in configs:
+        if c.sampling:
+            rate = F.when(own == c.name, sample_rate(F.col(column), c.sampling)).otherwise(rate)
+    df = lines.withColumn("sample_rate", rate).where(kept(F.col("sample_rate"), key, seed)).withColumn("redactions", F.lit(0))
+    for c in configs:
+        if c.redaction:
+            # lines of other configs are null for this config's rules
+            mine = df.withColumnRenamed("redactions", "_so_far").withColumn("_own", F.when(own == c.name, F.col(column)))
+            mine = redact(mine, c.redaction, "_own").withColumns({"redactions": F.col("redactions") + F.col("_so_far"), column: F.coalesce("_own", column)})
+            df = mine.drop("_own", "_so_far", "redacted", "rule_matches")
+    return df.withColumn("redacted", F.col("redactions") > 0)
+
+
+def rule_tables(rows: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Annotation rows (keys, path, value: see annotation_rules) as tables of sampling rules, redaction rules and attributes.
+
+    keys, sampling: array of match, rate; keys, redaction: array of match, replacement, hash_salt; keys, attributes: map. Rules are in
+    the order of their numbers. Paths: sampling_rules.N.match_expression and sampling_rate; redaction_rules.N.match_expression,
+    replacement and hash_salt; attributes.NAME. A rule without a pattern, or with one that Java lacks, is left out.
+    """
+    @F.pandas_udf("string")
+    def java(patterns: pd.Series) -> pd.Series:
+        return patterns.map(_java_or_none)
+
+    part = lambda i: F.get("path", F.lit(i))
+    long = rows.select(*keys, part(0).alias("_kind"), part(1).try_cast("int").alias("_n"), part(2).alias("_field"), "value")
+    field = lambda f: F.max(F.when(F.col("_field") == f, F.col("value")))
+    rules = long.where(F.col("_kind").isin("sampling_rules", "redaction_rules") & F.col("_n").isNotNull()).groupBy(*keys, "_kind", "_n").agg(field("match_expression").alias("match"), field("sampling_rate").try_cast("double").alias("rate"), F.coalesce(field("replacement"), F.lit("")).alias("replacement"), F.coalesce(field("hash_salt"), F.lit("")).alias("hash_salt"))
+    rules = rules.withColumn("match", java("match")).where("match is not null")
+
+    def listed(kind: str, name: str, *columns: str) -> DataFrame:
+        own = rules.where(F.col("_kind") == kind).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_n", *columns))).alias("_r"))
+        return own.select(*keys, F.transform("_r", lambda r: F.struct(*(r[c].alias(c) for c in columns))).alias(name))
+
+    attributes = rows.where((part(0) == "attributes") & (F.size("path") > 1)).groupBy(*keys).agg(F.map_from_entries(F.array_sort(F.collect_set(F.struct(F.array_join(F.slice("path", F.lit(2), F.size("path")), ".").alias("k"), "value")))).alias("attributes"))
+    return listed("sampling_rules", "sampling", "match", "rate"), listed("redaction_rules", "redaction", "match", "replacement", "hash_salt"), attributes
+
+
+def _java_or_none(pattern: str | None) -> str | None:
+    try:
+        return java_regex(pattern) if pattern is not None and never_empty(pattern) else None
+    except re.error:
+        return None
+
+
+def apply_rule_tables(lines: DataFrame, sampling: DataFrame, redaction: DataFrame, on: list[str], key: list[str], column: str = "message", seed: int = 42) -> DataFrame:
+    """Lines sampled and redacted by the rules of their pod (see rule_tables): adds sample_rate, and redacted. Replacements have no references to groups here."""
+    df = lines.join(sampling, on, "left").join(redaction, on, "left")
+    first = F.get(F.filter("sampling", lambda r: F.regexp_like(F.col(column), r["match"])), F.lit(0))
+    df = df.withColumn("sample_rate", F.coalesce(first["rate"], F.lit(1.0))).where(kept(F.col("sample_rate"), key, seed))
+    plain = F.aggregate("redaction", F.col(column), lambda t, r: F.regexp_replace(t, r["match"], F.regexp_replace(r["replacement"], r"([\\$])", r"\\$1")))
+    df = df.withColumn("_new", F.coalesce(plain, F.col(column)))
+    return df.withColumn("redacted", F.coalesce(F.col("_new") != F.col(column), F.lit(False))).withColumn(column, F.col("_new")).drop("_new", "sampling", "redaction")

@@ -17,7 +17,8 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from logspark.operators.metrics import _Bucket, _Once, _Rate, with_series
 from logspark.operators.ordered import Fold, _fields
 from logspark.operators.parse import _Frames
-from logspark.operators.lines import _Groupers, _Pieces, _found
+from logspark.operators.lines import _Groupers, _Pieces
+from logspark.functions.patterns import found
 from logspark.model import MAX_LINE_BYTES, RATE_GAP_SECONDS, Grouper
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -62,7 +63,7 @@ def stream_fold(df: DataFrame, keys: list[str], order: list[str], new: Callable[
 
 def stream_groups(lines: DataFrame, groupers: list[Grouper], wait_ms: int | None = 5_000, separator: str = "\n", max_bytes: int = MAX_LINE_BYTES) -> DataFrame:
     """group_lines_by on a stream: an open group is held until a line closes it, or for wait_ms."""
-    flags = F.array(*(x for g in groupers for x in (_found(F.col("raw"), g.start), _found(F.col("raw"), g.pattern))))
+    flags = F.array(*(x for g in groupers for x in (found(F.col("raw"), g.start), found(F.col("raw"), g.pattern))))
     df = lines.select("log_path", "line_seq", "raw", flags.alias("flags"))
     return stream_fold(df, ["log_path"], ["line_seq"], lambda: _Groupers(groupers, separator, max_bytes), "log_path string, line_seq bigint, n_lines bigint, message string", wait_ms)
 

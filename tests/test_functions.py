@@ -1,6 +1,7 @@
 """Scalar functions and rules on small inputs."""
 
 import hashlib
+import random
 import re
 
 import pytest
@@ -30,8 +31,9 @@ def test_globs():
 
 
 def test_java_patterns():
-    assert patterns.java_regex(r"(?P<a>x)\Z") == r"(?<a>x)\z"
-    assert patterns.java_regex(r"(?P<a>x)(?P=a)") is None
+    assert patterns.java_regex(r"(?P<a_b>x)\Z") == r"(x)\z"
+    assert patterns.java_regex(r"(a)?(?(1)b|c)") is None
+    assert patterns.never_empty("a|b+") and not patterns.never_empty(r"a*|b") and not patterns.never_empty(r"\b")
     assert patterns.java_replacement(r"\2$\1") == r"$2\$$1"
     with pytest.raises(re.error):
         patterns.java_regex("(")
@@ -56,6 +58,24 @@ def test_redaction(spark, line, rules, expected, count):
     assert (row.message, row.redactions, row.redacted) == (expected, count, count > 0)
 
 
+PATTERNS = [r"user=\w+", r"tok=.*", r"\d+", r"\s+x", r"\bé\w", r"(?P<user_id>\w+)@", r"[[]a", r"[^\W\d]+", r"[\w.-]+@[^\s@]+", r"^a|z$", r"(?m)^\w", r"(?m)x$", r"(?i)É+", r"(?s)a.b", r"(?a:\w+)é", r"a(?=\d)", r"(?<!=)b", r"(a|b)\1", r"[a-c&&b]", r"\Bx", r"x{2,3}?", r"\$\{[^}]*\}", r"#\S", "(?x) a b # c"]
+
+
+def test_patterns_match_as_in_python(spark):
+    """Redaction by 24 patterns of random lines with all kinds of spaces, digits, letters and line ends, against Python's re."""
+    rng = random.Random(5)
+    letters = "ab xyz=@.-_[]&#${}0٣²éÉßñ日k\u212a\r\n\t\x0b\x1c\x85\xa0\u2003\u2028\u0301\U0001d7d9"
+    lines = ["user=béa", "tok=a\rb", "tok=a\nb", "", "x\n"] + ["".join(rng.choice(letters) for _ in range(rng.randint(1, 14))) for _ in range(1200)] + ["user=" + "".join(rng.choice(letters) for _ in range(5)) for _ in range(100)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(lines)], "id int, message string").coalesce(2)
+    for p in PATTERNS:
+        for rule in (RedactionRule(p, "<X>"), RedactionRule(p, r"\H1", "s") if re.compile(p).groups else RedactionRule(p)):
+            made = (lambda m: hashlib.md5(((m.group(1) or "") + "s").encode()).hexdigest()) if "H" in rule.replacement else rule.replacement
+            want = [re.subn(p, made, t) for t in lines]
+            got = [(r.message, r.redactions) for r in redact(df, [rule]).orderBy("id").collect()]
+            assert got == want, (p, rule.replacement, next((t, a, b) for t, a, b in zip(lines, got, want) if a != b))
+        assert [r[0] for r in df.orderBy("id").select(patterns.found(F.col("message"), p)).collect()] == [re.search(p, t) is not None for t in lines], p
+
+
 def test_redaction_of_many_groups_is_an_error(spark):
     with pytest.raises(ValueError):
         redact(spark.createDataFrame([("a",)], "message string"), [RedactionRule("(a)", r"\H12")]).collect()
