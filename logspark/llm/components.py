@@ -17,6 +17,7 @@ from logspark.llm.common import checkpoint, lean
 
 #: Rounds at most: links that touch fall by a constant factor in a round or two, so 60 are for far more links than can be stored.
 ROUNDS = 60
+LINKS_OF_A_TASK = 500_000
 #: Tasks that the rows of one component are dealt to in a join by component.
 SALTS = 16
 #: Members of a block of a group whose pieces are compared.
@@ -54,13 +55,14 @@ def connected_components(links: DataFrame, thin: bool = True) -> DataFrame:
     """node and component (its least node) of all nodes that have a link. links: a, b (long); nulls and loops are ignored."""
     e = links.select("a", "b").where("a is not null and b is not null and a <> b")
     e = e.mapInArrow(lean(_thin), "a long, b long") if thin else e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    e = checkpoint(e.distinct())
-    seen = None
+    e, seen = checkpoint(e.distinct()), None
     for _ in range(ROUNDS):
         state = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state[0] == 0 or state == seen:
             return e.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
         seen = state
+        # as many tasks as the links need: a shuffle writes files for each of them, in every round
+        e = e.coalesce(1 + state[0] // LINKS_OF_A_TASK)
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"))
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()

@@ -33,8 +33,8 @@ from logspark.llm.components import connected_components, sets_between_pieces, u
 
 BANDS, ROWS = 12, 5
 SHINGLE, LEAST, MIN_CHARS = 5, 0.8, 16
-#: Lines of a block of a larger set, and of its first lines, which are verified with each block.
-BLOCK, HUB = 1000, 200
+#: Lines of a block of a larger set (its hashes take some 40 MB), and of its first lines, which are verified with each block.
+BLOCK, HUB = 4000, 200
 #: Of 32 sketch bits, so many must agree for two lines of a key to be candidates. Keys with more lines than SKETCHED aren't
 #: split by sketches before they are verified: that only saves work.
 AGREEING, SKETCHED = 22, 64
