@@ -10,7 +10,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logspark.functions.patterns import glob_regex, globbed
+from logspark.functions.patterns import glob_regex
 from logspark.functions.text import empty_map, merge_attrs
 from logspark.functions.values import to_bool
 from logspark.model import LogConfig
@@ -31,19 +31,20 @@ def attach_attributes(lines: DataFrame, containers: DataFrame, on: str = "log_pa
     return lines.join(dim, on, "left").withColumn("attrs", merge_attrs(F.col("_container"), own)).drop("_container")
 
 
-def _rounds(df: DataFrame, limit: int = 40):
+def _rounds(df: DataFrame):
     """Doubling rounds: enough for every acyclic graph, and an end for one with cycles."""
-    return range(max(1, min(limit, df.count().bit_length() + 1)))
+    return range(df.count().bit_length() + 1)
 
 
 def root_owner(owners: DataFrame, standard: list[str]) -> DataFrame:
     """name, root, root_kind of each owner: up while the parent is known and its kind is standard. owners: name, kind, parent.
 
-    Every round doubles the steps up, so a chain of any depth takes the logarithm of it in joins.
+    Every round doubles the steps up, so a chain of any depth takes the logarithm of it in joins. What leads into a cycle has no root: null.
     """
     known = owners.select(F.col("name").alias("_p"), F.col("kind").alias("_pk"))
     df = owners.join(known, (F.col("parent") == F.col("_p")) & F.col("_pk").isin(*standard) & (F.col("parent") != F.col("name")), "left")
     df = saved(df.select("name", "kind", F.coalesce("_p", "name").alias("up")))
+    roots = df.where("up = name").select(F.col("name").alias("root")).distinct()
     for _ in _rounds(df):
         step = df.select(F.col("name").alias("_n"), F.col("up").alias("_u"))
         after = saved(df.join(step, df["up"] == step["_n"], "left").select("name", "kind", F.coalesce("_u", "up").alias("up"), (F.coalesce("_u", "up") != F.col("up")).alias("_moved")))
@@ -51,8 +52,8 @@ def root_owner(owners: DataFrame, standard: list[str]) -> DataFrame:
         df = after.drop("_moved")
         if not moved:
             break
-    kinds = owners.select(F.col("name").alias("up"), F.col("kind").alias("root_kind"))
-    return df.join(kinds, "up", "left").select("name", F.col("up").alias("root"), "root_kind")
+    kinds = owners.select(F.col("name").alias("root"), F.col("kind").alias("root_kind"))
+    return df.join(roots, F.col("up") == F.col("root"), "left").join(kinds, "root", "left").select("name", "root", "root_kind")
 
 
 def descendants(processes: DataFrame, matched: Column, pid: str = "pid", ppid: str = "ppid") -> DataFrame:
@@ -62,12 +63,19 @@ def descendants(processes: DataFrame, matched: Column, pid: str = "pid", ppid: s
     """
     parent = F.when(F.col(ppid) != F.col(pid), F.col(ppid))
     df = saved(processes.select(F.col(pid).alias("pid"), parent.alias("up"), F.coalesce(matched, F.lit(False)).alias("hit")))
+    # hits, and what has no unknown ancestor left, stay as they are; only open rows are joined and saved again
+    open_, hits = df.where("up is not null and not hit"), df.where("hit").select("pid")
+    step = df.select(F.col("pid").alias("_n"), F.when(~F.col("hit"), F.col("up")).alias("_u"), F.col("hit").alias("_h"))
     for _ in _rounds(df):
-        if not df.where("up is not null and not hit").limit(1).count():
+        after = saved(open_.join(step, F.col("up") == F.col("_n"), "left").select("pid", F.col("_u").alias("up"), F.coalesce("_h", F.lit(False)).alias("hit")))
+        hits = hits.unionByName(after.where("hit").select("pid"))
+        open_ = after.where("up is not null and not hit")
+        if not open_.limit(1).count():
             break
-        far = df.select(F.col("pid").alias("_n"), F.col("up").alias("_u"), F.col("hit").alias("_h"))
-        df = saved(df.join(far, df["up"] == far["_n"], "left").select("pid", F.col("_u").alias("up"), (F.col("hit") | F.coalesce("_h", F.lit(False))).alias("hit")))
-    return df.where("hit").select("pid")
+        # an open row asks its ancestor, which was open itself, or knew already
+        new = after.select(F.col("pid").alias("_n"), F.when(~F.col("hit"), F.col("up")).alias("_u"), F.col("hit").alias("_h"))
+        step = step.where("_h or _u is null").unionByName(new)
+    return hits
 
 
 def first_matching(df: DataFrame, configs: list[LogConfig], columns: dict[str, str] | None = None) -> DataFrame:
@@ -88,10 +96,15 @@ def first_matching(df: DataFrame, configs: list[LogConfig], columns: dict[str, s
     return df.withColumn("_c", chosen).withColumns({"config": F.col("_c.name"), "config_parser": F.col("_c.parser"), "config_attributes": F.col("_c.attributes")}).drop("_c")
 
 
-def first_matching_table(df: DataFrame, configs: DataFrame, key: list[str], column: str) -> DataFrame:
-    """The same with configs in a table of position, pattern (Java) and config: every row with the matching config of the least position."""
-    hits = df.select(*key, column).join(configs, F.regexp_like(F.col(column), F.col("pattern"))).groupBy(*key).agg(F.min_by("config", "position").alias("config"))
-    return df.join(hits, key, "left")
+def first_matching_table(df: DataFrame, configs: DataFrame, column: str) -> DataFrame:
+    """The same with configs in a table of position, pattern (Java) and config: every row with the matching config of the least position.
+
+    The configs, which people write, come as one row with a sorted array, so lines are neither multiplied nor shuffled.
+    """
+    all_ = configs.where("pattern is not null").agg(F.array_sort(F.collect_list(F.struct("position", "pattern", "config"))).alias("_configs"))
+    hit = F.get(F.filter("_configs", lambda c: F.regexp_like(F.col(column), c["pattern"])), F.lit(0))
+    # one row
+    return df.join(F.broadcast(all_)).withColumn("config", hit["config"]).drop("_configs")
 
 
 def match_journal(rows: DataFrame, configs: list[dict], fields: str = "fields") -> DataFrame:
@@ -176,10 +189,6 @@ def match_processes(processes: DataFrame, pattern: str, column: str = "cmd") ->
     return processes.where(F.col(column).rlike(pattern))
 
 
-def label_passes(c: Column, include: list[str], exclude: list[str]) -> Column:
-    return globbed(c, include, exclude)
-
-
 def dead_processes(history: DataFrame, running: DataFrame, pid: str = "pid") -> DataFrame:
     """pids of the history that run no more."""
     return history.select(pid).distinct().join(running.select(pid), pid, "left_anti")

@@ -149,11 +149,12 @@ class _Pieces(Fold):
 
     def _close(self, partial: bool):
         if self.parts:
-            yield self.first.log_path, self.first.stream, self.first.line_seq, self.first.ts_nanos, len(self.parts), "".join(self.parts), partial
+            yield *self.first, len(self.parts), "".join(self.parts), partial
         self.first, self.parts, self.size = None, [], 0
 
     def add(self, row):
-        self.first = self.first or row
+        # plain values: a stream keeps the fold between batches
+        self.first = self.first or (row.log_path, row.stream, row.line_seq, row.ts_nanos)
         self.parts.append(row.piece)
         self.size += len(row.piece.encode())
         return self._close(False) if row.full or self.size >= self.max_bytes else ()
@@ -181,8 +182,9 @@ def reassemble_cri(parsed: DataFrame, max_bytes: int | None = None, block: Colum
 
 
 def fragment_lines(lines: DataFrame, max_bytes: int = MAX_LINE_BYTES) -> DataFrame:
-    """Cuts messages of over max_bytes bytes: rows with fragment (from 0), fragment_offset (bytes) and the piece as message (bytes that no longer are a character become U+FFFD)."""
+    """Cuts messages of over max_bytes bytes: rows with fragment (from 0), fragment_offset (bytes), the piece's bytes, which put together are the message's, and message, the piece as text (half a character becomes U+FFFD)."""
     size = F.octet_length("message")
     df = lines.withColumn("fragment", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(size / max_bytes).cast("int") - 1))))
     piece = F.substring(F.col("message").cast("binary"), F.col("fragment") * max_bytes + 1, F.lit(max_bytes))
-    return df.withColumn("fragment_offset", (F.col("fragment") * max_bytes).cast("long")).withColumn("message", F.when(size > max_bytes, F.make_valid_utf8(piece.cast("string"))).otherwise(F.col("message")))
+    df = df.withColumns({"fragment_offset": (F.col("fragment") * max_bytes).cast("long"), "piece": piece})
+    return df.withColumn("message", F.when(size > max_bytes, F.make_valid_utf8(F.col("piece").cast("string"))).otherwise(F.col("message")))

@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from logspark.functions.patterns import globbed, matches_any
+from logspark.functions.patterns import matches_any
 from logspark.functions.text import empty_map, json_text, sorted_map
 from logspark.functions.values import typed_value, valid_metric_name
 from logspark.model import RATE_GAP_SECONDS
@@ -39,8 +39,9 @@ def parse_exposition(texts: DataFrame, key: str = "scrape_id", text: str = "text
     number = F.when(~F.isnan(number) & (F.abs(number) < float("inf")), number)
     pairs = F.split(F.regexp_extract("raw", _SAMPLE, 2), r'"\s*,\s*')
     entries = F.filter(F.transform(pairs, lambda p: F.struct(F.trim(F.substring_index(p, "=", 1)).alias("key"), F.regexp_replace(F.regexp_replace(p, r"(?s)^[^=]*=", ""), r'^"|"\s*,?\s*$', "").alias("value"))), lambda e: e["key"] != "")
-    last_of_key = F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, F.size(entries) + 1), lambda x: x["key"] == e["key"]))
-    out = df.select(key, "line", F.col("_name").alias("metric"), number.alias("value"), F.when(raw == "+Inf", raw).alias("value_str"), F.map_from_entries(last_of_key).alias("extra"), F.regexp_extract("raw", _SAMPLE, 4).try_cast("long").alias("sample_ts"), "type")
+    # a label given twice has its last value; labels are few, and parsed once
+    extra = F.aggregate(entries, empty_map(), lambda m, e: F.map_concat(F.map_filter(m, lambda k, _: k != e["key"]), F.create_map(e["key"], e["value"])))
+    out = df.select(key, "line", F.col("_name").alias("metric"), number.alias("value"), F.when(raw == "+Inf", raw).alias("value_str"), extra.alias("extra"), F.regexp_extract("raw", _SAMPLE, 4).try_cast("long").alias("sample_ts"), "type")
     return out.where("value is not null or value_str is not null")
 
 
@@ -232,10 +233,6 @@ def typed_metrics(rows: DataFrame, metric: str, text: str) -> DataFrame:
     return rows.withColumn("_v", typed_value(F.col(text))).withColumns({"metric": F.col(metric), "value": F.col("_v.value"), "value_str": F.col("_v.value_str")}).drop("_v")
 
 
-def globbed_metrics(metrics: DataFrame, include: list[str], exclude: list[str]) -> DataFrame:
-    return metrics.where(globbed(F.col("metric"), include, exclude))
-
-
 class _Bucket(Fold):
     def __init__(self, burst: float, per_second: float):
         self.burst, self.rate, self.level, self.time, self.dropped = burst, per_second, burst, None, 0

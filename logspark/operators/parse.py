@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logspark.functions.patterns import java_regex
-from logspark.functions.text import decode_lenient
 from logspark.functions.values import to_megabytes, to_milliseconds, typed_value
 from logspark.operators.ordered import Fold, ordered_fold
 
@@ -225,7 +224,3 @@ def annotation_rules(pods: DataFrame, keys: list[str], prefix: str, column: str
     mixed = levels.groupBy(*keys, "parent").agg(F.count_if(number).alias("numbers"), F.count_if(~number).alias("names")).where("numbers > 0 and names > 0").select(*keys).distinct()
     ordered = F.array_join(F.transform("path", lambda p: F.when(p.rlike(r"^\d+$"), F.lpad(p, 9, "0")).otherwise(p)), ".")
     return df.join(mixed, keys, "left_anti").select(*keys, "path", ordered.alias("sort_key"), "value")
-
-
-def lenient_text(lines: DataFrame, column: str) -> DataFrame:
-    return lines.withColumn(column, decode_lenient(F.col(column)))

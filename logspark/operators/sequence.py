@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from logspark.model import REQUEST_BYTES, SEQUENCE_LIMIT
+from logspark.model import KNOWN_BACKLOG_BYTES, NEW_BACKLOG_BYTES, REQUEST_BYTES, SEQUENCE_LIMIT
 from logspark.operators.ordered import Fold, in_blocks, ordered_fold, running
 
 KEY, ORDER = ["log_path"], ["line_seq"]
@@ -60,15 +60,19 @@ def pack_batches(events: DataFrame, session: str, position: str, size: Column, m
     return ordered_fold(df, ["session"], ["position"], lambda: _Batches(max_bytes), "session string, position bigint, size bigint, batch_id bigint")
 
 
-def trim_backlog(lines: DataFrame, max_bytes: int, block: Column | None = None) -> DataFrame:
-    """Lines of logs whose unread bytes are at most max_bytes; all lines of others are skipped."""
-    totals = lines.groupBy("log_path").agg(F.sum("raw_len").alias("_bytes")).where(F.col("_bytes") > max_bytes)
-    return lines.join(totals.select("log_path"), "log_path", "left_anti")
+def backlog(lines: DataFrame, known: DataFrame | None = None, new_bytes: int = NEW_BACKLOG_BYTES, known_bytes: int = KNOWN_BACKLOG_BYTES) -> DataFrame:
+    """log_path, bytes, lines and skipped of each log: whether what is unread is over the limit, that of known logs (a table of log_path) or of new ones."""
+    totals = lines.groupBy("log_path").agg(F.sum("raw_len").alias("bytes"), F.count("*").alias("lines"))
+    if known is None:
+        return totals.withColumn("skipped", F.col("bytes") > new_bytes)
+    totals = totals.join(known.select("log_path", F.lit(True).alias("_known")).distinct(), "log_path", "left")
+    return totals.withColumn("skipped", F.col("bytes") > F.when(F.col("_known"), known_bytes).otherwise(new_bytes)).drop("_known")
 
 
-def skipped_backlog(lines: DataFrame, max_bytes: int) -> DataFrame:
-    """log_path, bytes and lines of logs that trim_backlog skips."""
-    return lines.groupBy("log_path").agg(F.sum("raw_len").alias("bytes"), F.count("*").alias("lines")).where(F.col("bytes") > max_bytes)
+def trim_backlog(lines: DataFrame, known: DataFrame | None = None, new_bytes: int = NEW_BACKLOG_BYTES, known_bytes: int = KNOWN_BACKLOG_BYTES) -> DataFrame:
+    """Lines of logs whose unread bytes are within their limit (see backlog); all lines of others are skipped."""
+    gone = backlog(lines, known, new_bytes, known_bytes).where("skipped").select("log_path")
+    return lines.join(gone, "log_path", "left_anti")
 
 
 def cap_outputs(lines: DataFrame, output: str, order: list[str], max_files: int, base: str) -> DataFrame:

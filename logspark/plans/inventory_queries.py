@@ -56,7 +56,7 @@ def first_matching_table(spark, sf_dir):
     """Configs from a table: a pattern for each region, of which the first that is found counts."""
     c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("cid"), F.rpad(F.lit(""), F.col("c_nationkey") % 5, F.lit("x")).alias("path"))
     r = table(spark, sf_dir, "region").where("r_regionkey > 1").select(F.col("r_regionkey").alias("position"), F.concat(F.lit("^x{"), F.col("r_regionkey").cast("string"), F.lit(",}$")).alias("pattern"), F.concat(F.lit("r"), F.col("r_regionkey").cast("string")).alias("config"))
-    return J.first_matching_table(c, r, ["cid"], "path").select("cid", F.coalesce("config", F.lit("")).alias("config"))
+    return J.first_matching_table(c, r, "path").select("cid", F.coalesce("config", F.lit("")).alias("config"))
 
 
 @query("""SELECT event_id, CASE WHEN regexp_matches(event_type, '^(?:cl)') THEN 'unit' WHEN CAST(user_id AS VARCHAR) LIKE '1%' AND event_type LIKE '%e%' THEN 'globs' ELSE 'default' END AS config FROM events""")

@@ -6,16 +6,17 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from logspark.functions import dates, text
-from logspark.model import Grouper, RedactionRule, SamplingRule
+from logspark.model import Grouper, LogConfig, RedactionRule, SamplingRule
 from logspark.operators import lines as L
 from logspark.operators import parse, sequence
+from logspark.operators.joins import first_matching
 from logspark.operators.reports import rule_report
-from logspark.operators.rules import redact, sample
+from logspark.operators.rules import apply_configs, apply_rule_tables, redact, rule_tables, sample
 from logspark.plans import pipelines
 from logspark.plans.registry import query, table
 from logspark.sources.files import document_lines, line_block, newest_rotation, order_rotations
 
-LINES = """L AS (SELECT coalesce(source, '') AS log_path, doc_id * 1000000 + pos AS line_seq, raw, strlen(raw) + 1 AS raw_len FROM
+LINES = """L AS (SELECT coalesce(source, '') AS log_path, doc_id * 2147483648 + pos AS line_seq, raw, strlen(raw) + 1 AS raw_len FROM
  (SELECT source, doc_id, unnest(string_split(text, chr(10))) AS raw, unnest(range(len(string_split(text, chr(10))))) AS pos FROM documents WHERE text IS NOT NULL))"""
 
 
@@ -116,9 +117,49 @@ def fresh_versions(spark, sf_dir):
     return sequence.fresh_versions(e, ["user_id"], ["event_id"], "v").select("event_id", F.coalesce("v", F.lit(-1)).alias("v"))
 
 
-@query(f"WITH {LINES} SELECT log_path, count(*) AS lines FROM L WHERE log_path IN (SELECT log_path FROM L GROUP BY 1 HAVING sum(raw_len) <= 120000) GROUP BY 1")
+_BACKLOG = "sum(raw_len) > CASE WHEN log_path LIKE 'src1%' THEN 150000 ELSE 120000 END"
+
+
+@query(f"WITH {LINES} SELECT log_path, count(*) AS lines FROM L GROUP BY 1 HAVING NOT ({_BACKLOG})")
 def trim_backlog(spark, sf_dir):
-    return sequence.trim_backlog(document_lines(spark, sf_dir), 120_000).groupBy("log_path").agg(F.count("*").alias("lines"))
+    """Logs that begin with src1 are known, others new."""
+    df = document_lines(spark, sf_dir)
+    known = df.select("log_path").distinct().where("log_path like 'src1%'")
+    return sequence.trim_backlog(df, known, 120_000, 150_000).groupBy("log_path").agg(F.count("*").alias("lines"))
+
+
+@query(f"WITH {LINES} SELECT log_path, CAST(sum(raw_len) AS BIGINT) AS bytes, count(*) AS lines, {_BACKLOG} AS skipped FROM L GROUP BY 1")
+def backlog(spark, sf_dir):
+    df = document_lines(spark, sf_dir)
+    known = df.select("log_path").distinct().where("log_path like 'src1%'")
+    return sequence.backlog(df, known, 120_000, 150_000)
+
+
+@query(f"""WITH {LINES}, M AS (SELECT log_path, line_seq, raw, CASE WHEN log_path LIKE 'src1%' THEN 'one' WHEN log_path LIKE 'src2%' THEN 'two' ELSE '' END AS config FROM L)
+ SELECT log_path, line_seq, config, CASE config WHEN 'one' THEN regexp_replace(raw, '[A-Z]', 'X', 'g') WHEN 'two' THEN regexp_replace(raw, '[0-9]+', '#', 'g') ELSE raw END AS message,
+  CASE config WHEN 'one' THEN len(regexp_extract_all(raw, '[A-Z]')) WHEN 'two' THEN len(regexp_extract_all(raw, '[0-9]+')) ELSE 0 END AS redactions FROM M WHERE NOT (config = 'one' AND regexp_matches(raw, '^[A-C]'))""")
+def config_rules(spark, sf_dir):
+    """Each log is sampled and redacted by the rules of its own config."""
+    configs = [LogConfig("one", path="src1*", sampling=(SamplingRule("^[A-C]", 0),), redaction=(RedactionRule("[A-Z]", "X"),)), LogConfig("two", path="src2*", redaction=(RedactionRule("[0-9]+", "#"),))]
+    df = first_matching(document_lines(spark, sf_dir).withColumnRenamed("raw", "message"), configs)
+    out = apply_configs(df, configs, ["log_path", "line_seq"])
+    return out.select("log_path", "line_seq", F.coalesce("config", F.lit("")).alias("config"), "message", F.col("redactions").cast("long").alias("redactions"))
+
+
+@query("""WITH T AS (SELECT conv_id, turn, coalesce(text, '') AS t, conv_id % 3 AS k FROM conversations)
+ SELECT conv_id, turn, CASE WHEN k = 0 THEN replace(replace(t, 'the', '*'), 'a', '$1') ELSE t END AS message, 1.0::DOUBLE AS sample_rate, k = 0 AND (contains(t, 'the') OR contains(t, 'a')) AS redacted
+ FROM T WHERE NOT (k = 1 AND contains(t, 'is') AND NOT contains(t, 'e'))""")
+def annotation_rule_tables(spark, sf_dir):
+    """Conversations as pods whose annotations carry sampling and redaction rules, applied to their turns."""
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("message"))
+    key = lambda k: F.lit("log.config/" + k)
+    red = F.create_map(key("redaction_rules.1.match_expression"), F.lit("a"), key("redaction_rules.1.replacement"), F.lit("$1"), key("redaction_rules.0.match-expression"), F.lit("the"), key("redaction_rules.0.replacement"), F.lit("*"))
+    sam = F.create_map(key("sampling_rules.0.match_expression"), F.lit("e"), key("sampling_rules.0.sampling_rate"), F.lit("1"), key("sampling_rules.1.match_expression"), F.lit("is"), key("sampling_rules.1.sampling_rate"), F.lit("0"))
+    k = F.col("conv_id") % 3
+    pods = c.select("conv_id").distinct().withColumn("annotations", F.when(k == 0, red).when(k == 1, sam))
+    sampling, redaction, _ = rule_tables(parse.annotation_rules(pods, ["conv_id"], "log.config/"), ["conv_id"])
+    out = apply_rule_tables(c, sampling, redaction, ["conv_id"], ["conv_id", "turn"])
+    return out.select("conv_id", "turn", "message", "sample_rate", "redacted")
 
 
 @query("""WITH F AS (SELECT doc_id, coalesce(lang, '') || '/' || coalesce(source, '') AS output FROM documents), K AS (SELECT output FROM F GROUP BY 1 ORDER BY min(doc_id) LIMIT 25)
@@ -137,10 +178,11 @@ def pack_batches(spark, sf_dir):
     return sequence.pack_batches(d, "source", "doc_id", F.octet_length("text"), 20_000)
 
 
-@query("""SELECT doc_id, CAST(i AS INT) AS fragment, CAST(i * 1000 AS BIGINT) AS fragment_offset, least(1000, octet_length(encode(text)) - i * 1000) AS bytes FROM (SELECT doc_id, text, unnest(range(greatest(1, (octet_length(encode(text)) + 999) // 1000))) AS i FROM documents WHERE regexp_matches(text, '^[\\x00-\\x7f]*$'))""")
+@query("""SELECT doc_id, CAST(i AS INT) AS fragment, CAST(i * 1000 AS BIGINT) AS fragment_offset, md5(substr(h, i * 2000 + 1, 2000)) AS piece FROM (SELECT doc_id, hex(encode(text)) AS h, unnest(range(greatest(1, (strlen(text) + 999) // 1000))) AS i FROM documents WHERE text IS NOT NULL)""")
 def fragment_lines(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").where(F.col("text").rlike(r"^[\x00-\x7f]*$")).select("doc_id", F.col("text").alias("message"))
-    return L.fragment_lines(d, 1000).select("doc_id", "fragment", "fragment_offset", F.octet_length("message").cast("long").alias("bytes"))
+    """The bytes of every piece of every document, cut characters included."""
+    d = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.col("text").alias("message"))
+    return L.fragment_lines(d, 1000).select("doc_id", "fragment", "fragment_offset", F.md5(F.hex("piece").cast("binary")).alias("piece"))
 
 
 def _json_lines(spark, sf_dir):
@@ -249,12 +291,12 @@ def one_line(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", text.one_line(F.col("text"), 80).alias("line"))
 
 
-@query("""SELECT page_id, regexp_replace(coalesce(string_split(regexp_replace(url, '^[a-z]+:', ''), '/')[3], ''), '^$', 'none') || '/log/' || split_part(regexp_replace(regexp_replace(url, '^[a-z]+:', ''), '[?#].*', ''), '/', -1) AS logfile FROM pages
- WHERE len(list_filter(string_split(regexp_replace(regexp_replace(url, '^[a-z]+:', ''), '[?#].*', ''), '/'), lambda x: x <> '')) >= 2 AND url NOT LIKE '%/'""")
+@query("""WITH P AS (SELECT page_id, regexp_replace(regexp_replace(url, '^[a-z]+:', ''), '[?#].*', '') AS p FROM pages), S AS (SELECT *, list_filter(string_split(p, '/'), lambda x: x <> '') AS s FROM P)
+ SELECT page_id, CASE WHEN len(s) >= 2 THEN s[2] || '/log/' || s[len(s)] ELSE p END AS logfile FROM S""")
 def rename_logs(spark, sf_dir):
+    """Paths without the template's parts stay as they are."""
     p = table(spark, sf_dir, "pages").withColumn("log_path", F.regexp_replace(F.regexp_replace("url", "^[a-z]+:", ""), r"[?#].*", ""))
-    p = p.where((F.size(F.filter(F.split("log_path", "/"), lambda x: x != "")) >= 2) & ~F.col("url").endswith("/"))
-    return text.rename_log(p, "${PATH1}/log/${BASENAME}").select("page_id", "logfile")
+    return text.rename_log(p, "${PATH2}/log/${BASENAME}").select("page_id", "logfile")
 
 
 @query("""WITH F AS (SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'c' || o_custkey || '.log' WHEN 1 THEN 'c' || o_custkey || '.log.' || (o_orderkey % 9 + 1) WHEN 2 THEN 'c' || o_custkey || '-' || strftime(o_orderdate, '%Y%m%d') || '.log' ELSE 'c' || o_custkey || '.log.1.gz' END AS path, o_orderdate AS m, o_custkey FROM orders)
@@ -266,13 +308,20 @@ def newest_rotations(spark, sf_dir):
     return newest_rotation(order_rotations(o.select(path.alias("path"), F.col("o_orderdate").alias("modified"))))
 
 
-@query(f"""WITH {LINES}, K AS (SELECT log_path, raw_len, raw, regexp_matches(raw, '^[A-C]') AS dropped, regexp_matches(raw, '[0-9]+') AS red FROM L)
- SELECT log_path, count(*) AS lines_read, CAST(sum(raw_len) AS BIGINT) AS bytes_read, count(*) FILTER (WHERE NOT dropped) AS lines_copied, CAST(coalesce(sum(CASE WHEN NOT dropped THEN raw_len END), 0) AS BIGINT) AS bytes_copied,
- count(*) FILTER (WHERE dropped) AS lines_dropped, CAST(coalesce(sum(CASE WHEN dropped THEN raw_len END), 0) AS BIGINT) AS bytes_dropped, count(*) FILTER (WHERE red AND NOT dropped) AS lines_redacted, 0::BIGINT AS lines_failed, 0::BIGINT AS bytes_failed, 0::BIGINT AS lines_skipped, 0::BIGINT AS bytes_skipped FROM K GROUP BY log_path""")
+_EVENTS = _grouped_sql("^[A-E]", "^[A-P]", "n.p AND (R.g OR b.s)").replace("SELECT log_path, min(line_seq) AS line_seq, count(*) AS n_lines, string_agg", ", EV AS (SELECT log_path, string_agg")
+_SKIPPED = "log_path LIKE '%9'"
+
+
+@query(f"""{_EVENTS}), K AS (SELECT log_path, strlen(message) + 1 AS raw_len, regexp_matches(message, '^[A-C]') AS dropped, regexp_matches(message, '[0-9]+') AS red, strlen(message) + 1 > 1000 AS failed, {_SKIPPED} AS skipped FROM EV),
+ C AS (SELECT *, NOT dropped AND NOT failed AND NOT skipped AS copied FROM K)
+ SELECT log_path, count(*) AS lines_read, CAST(sum(raw_len) AS BIGINT) AS bytes_read, count(*) FILTER (WHERE copied) AS lines_copied, CAST(coalesce(sum(CASE WHEN copied THEN raw_len END), 0) AS BIGINT) AS bytes_copied,
+ count(*) FILTER (WHERE dropped) AS lines_dropped, CAST(coalesce(sum(CASE WHEN dropped THEN raw_len END), 0) AS BIGINT) AS bytes_dropped, count(*) FILTER (WHERE red AND copied) AS lines_redacted,
+ count(*) FILTER (WHERE failed) AS lines_failed, CAST(coalesce(sum(CASE WHEN failed THEN raw_len END), 0) AS BIGINT) AS bytes_failed, count(*) FILTER (WHERE skipped) AS lines_skipped, CAST(coalesce(sum(CASE WHEN skipped THEN raw_len END), 0) AS BIGINT) AS bytes_skipped FROM C GROUP BY log_path""")
 def log_pipeline_report(spark, sf_dir):
-    """The flagship: lines are grouped (here one by one), sampled, redacted and counted for each log."""
+    """The flagship: lines are grouped, sampled, redacted and counted for each log. Events over 1000 bytes fail, logs whose name ends in 9 are skipped."""
     rules = (SamplingRule("^[A-C]", 0),)
-    return pipelines.log_report(document_lines(spark, sf_dir), Grouper("continueThrough", "^$a", "^$a"), rules, (RedactionRule("[0-9]+", "#"),), block=line_block())
+    grouper = Grouper("continueThrough", "^[A-E]", "^[A-P]")
+    return pipelines.log_report(document_lines(spark, sf_dir), grouper, rules, (RedactionRule("[0-9]+", "#"),), block=line_block(), max_bytes=1000, skipped=F.col("log_path").like("%9"))
 
 
 @query(f"""WITH {LINES}, M AS (SELECT log_path, len(regexp_extract_all(raw, '[0-9]+')) AS a, len(regexp_extract_all(regexp_replace(raw, '[0-9]+', '#', 'g'), 'the')) AS b FROM L)

@@ -81,15 +81,15 @@ def last_two(spark, sf_dir):
     return M.last_n(samples(spark, sf_dir), ["instance", "metric"], "event_id", 2).select("event_id")
 
 
-@query("""WITH S AS (SELECT user_id % 10 AS app, day(ts) AS epoch, user_id AS pid, CASE event_type WHEN 'view' THEN 'cpu' ELSE 'mem' END AS metric, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS DOUBLE) AS value FROM events WHERE event_type IN ('view', 'click') AND day(ts) NOT IN (9, 20) GROUP BY ALL),
+@query("""WITH S AS (SELECT user_id % 10 AS app, day(ts) AS epoch, user_id AS pid, CASE event_type WHEN 'view' THEN 'cpu' ELSE 'mem' END AS metric, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS DOUBLE) AS value FROM (SELECT * REPLACE (ts + CASE WHEN day(ts) IN (9, 20) THEN INTERVAL '1 day' ELSE INTERVAL '0 days' END AS ts) FROM events) GROUP BY ALL),
  D AS (SELECT *, CASE WHEN lag(epoch) OVER w = epoch - 1 THEN value - lag(value) OVER w ELSE 0 END AS grown FROM S WINDOW w AS (PARTITION BY app, pid, metric ORDER BY epoch)),
  T AS (SELECT app, epoch, metric, sum(value) AS v, sum(grown) AS g FROM D GROUP BY ALL),
  B AS (SELECT *, CASE WHEN lag(epoch) OVER w = epoch - 1 THEN 0 ELSE 1 END AS b FROM T WINDOW w AS (PARTITION BY app, metric ORDER BY epoch)),
  N AS (SELECT *, sum(b) OVER (PARTITION BY app, metric ORDER BY epoch) AS r FROM B)
  SELECT app, epoch, metric, CASE WHEN metric = 'cpu' THEN sum(g) OVER (PARTITION BY app, metric, r ORDER BY epoch) ELSE v END AS total FROM N""")
 def process_totals(spark, sf_dir):
-    """Users as processes of ten applications, days as epochs; two days without any."""
-    e = table(spark, sf_dir, "events").where(F.col("event_type").isin("view", "click") & ~F.dayofmonth("ts").isin(9, 20))
+    """Users as processes of ten applications, days as epochs; what two of the days had is put on the next, so that they have none."""
+    e = table(spark, sf_dir, "events").withColumn("ts", F.expr("ts + CASE WHEN day(ts) IN (9, 20) THEN INTERVAL 1 DAY ELSE INTERVAL 0 DAY END"))
     s = e.groupBy((F.col("user_id") % 10).alias("app"), F.dayofmonth("ts").cast("long").alias("epoch"), F.col("user_id").alias("pid"), F.when(F.col("event_type") == "view", "cpu").otherwise("mem").alias("metric")).agg(F.sum(F.round(F.col("value") * 100).cast("long")).cast("double").alias("value"))
     return M.process_totals(s, ["cpu"])
 
@@ -256,9 +256,9 @@ def retransmits(spark, sf_dir):
     return parse.sum_retransmits(parse.pair_header_values(_netstat(spark, sf_dir), ["o_custkey"], ["line"]), ["o_custkey"])
 
 
-@query("""SELECT l_orderkey, l_linenumber, unnest(['app.cpu', 'app.cpu', 'app.nice', 'app.threads', 'app.mem.majflt', 'app.io.wait', 'app.start']) AS metric, unnest(['user', 'system', '', '', '', '', '']) AS type, unnest([l_partkey, l_suppkey, 16, l_linenumber, 9, 390, 190])::DOUBLE AS value FROM lineitem WHERE l_orderkey % 10 = l_linenumber""")
+@query("""SELECT l_orderkey, l_linenumber, unnest(['app.cpu', 'app.cpu', 'app.nice', 'app.threads', 'app.mem.majflt', 'app.io.wait', 'app.start']) AS metric, unnest(['user', 'system', '', '', '', '', '']) AS type, unnest([l_partkey, l_suppkey, 16, l_linenumber, 9, 390, 190])::DOUBLE AS value FROM lineitem""")
 def parse_proc_stat(spark, sf_dir):
-    li = table(spark, sf_dir, "lineitem").where("l_orderkey % 10 = l_linenumber")
+    li = table(spark, sf_dir, "lineitem")
     place = {11: F.col("l_partkey").cast("string"), 12: F.col("l_suppkey").cast("string"), 17: F.col("l_linenumber").cast("string")}
     raw = F.concat(F.lit("77 (a b) "), F.concat_ws(" ", *(place.get(i, F.lit("S" if i == 0 else str(i))) for i in range(45))))
     return parse.parse_proc_stat(li.select("l_orderkey", "l_linenumber", raw.alias("raw"))).select("l_orderkey", "l_linenumber", "metric", F.coalesce("type", F.lit("")).alias("type"), "value")
@@ -321,12 +321,15 @@ def format_details(spark, sf_dir):
     return e.select("event_id", text.format_details(F.concat(F.lit("it is "), "event_type"), user).alias("a"), text.format_details(F.col("event_type"), quoted, raw=True, detect_escaped=True).alias("b"))
 
 
-@query("""SELECT event_id, 'ab' || chr(65533) || 'c' AS lenient, 'k... (3 more bytes)' AS cut FROM events""")
+@query("""WITH K AS (SELECT doc_id, text, (SELECT max(k) FROM (SELECT unnest(range(101)) AS k) WHERE strlen(left(text, k)) <= 100) AS k FROM documents),
+ C AS (SELECT doc_id, left(text, k) AS whole, CASE WHEN strlen(text) > 100 AND strlen(left(text, k)) < 100 THEN chr(65533) ELSE '' END AS half FROM K)
+ SELECT doc_id, whole || half AS lenient, whole || '... (3 more bytes)' AS cut FROM C WHERE whole IS NOT NULL""")
 def lenient_bytes(spark, sf_dir):
-    e = table(spark, sf_dir, "events")
-    bad = F.unhex(F.lit("6162FF63"))
-    half = F.unhex(F.concat(F.lit("6BC3"), F.hex(F.lit("... (3 more bytes)"))))
-    return e.select("event_id", text.decode_lenient(bad).alias("lenient"), text.clean_truncated(half).alias("cut"))
+    """The first hundred bytes of documents, which may end in half a character."""
+    d = table(spark, sf_dir, "documents").where("text is not null")
+    first = F.substring(F.col("text").cast("binary"), F.lit(1), F.lit(100))
+    marked = F.unhex(F.concat(F.hex(first), F.hex(F.lit("... (3 more bytes)"))))
+    return d.select("doc_id", text.decode_lenient(first).alias("lenient"), text.clean_truncated(marked).alias("cut"))
 
 
 @query("""SELECT event_id, (3 << 16) | user_id AS instance_id, event_type || ',b' AS keywords, strftime(ts, '%Y-%m-%d %H:%M:%S') AS time, 'u' || user_id AS user, 'v' AS named, event_type AS placed, '2nd' AS doubled FROM events""")
@@ -338,9 +341,11 @@ def event_log_rows(spark, sf_dir):
     return out.select(F.col("_id").alias("event_id"), "instance_id", "keywords", "time", "user", F.col("d")["Name"].alias("named"), F.col("d")["1"].alias("placed"), F.col("d")["Name2"].alias("doubled"))
 
 
-@query("""SELECT app, metric, sum(value) AS total FROM (SELECT user_id % 5 AS app, event_type AS metric, CAST(round(value * 100) AS BIGINT) AS value FROM events WHERE value <> floor(value) OR true) GROUP BY ALL""".replace("sum(value)", "CAST(sum(value) AS DOUBLE)"))
+@query("""SELECT event_id, event_type AS metric, CASE event_id % 3 WHEN 0 THEN event_id WHEN 1 THEN CAST(event_id || '.25' AS DOUBLE) ELSE -1 END::DOUBLE AS value, CASE WHEN event_id % 3 = 2 THEN 'n' || event_id ELSE '' END AS value_str FROM events""")
 def typed_values(spark, sf_dir):
-    e = table(spark, sf_dir, "events")
-    t = M.typed_metrics(e.select((F.col("user_id") % 5).alias("app"), "event_type", F.round(F.col("value") * 100).cast("long").cast("string").alias("v")), "event_type", "v")
-    return t.groupBy("app", "metric").agg(F.sum("value").alias("total"))
+    """Whole numbers, fractions and texts."""
+    n, k = F.col("event_id").cast("string"), F.col("event_id") % 3
+    v = F.when(k == 0, n).when(k == 1, F.concat(n, F.lit(".25"))).otherwise(F.concat(F.lit("n"), n))
+    t = M.typed_metrics(table(spark, sf_dir, "events").select("event_id", "event_type", v.alias("v")), "event_type", "v")
+    return t.select("event_id", "metric", F.coalesce("value", F.lit(-1.0)).alias("value"), F.coalesce("value_str", F.lit("")).alias("value_str"))
 

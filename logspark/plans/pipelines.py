@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logspark.model import Grouper, RedactionRule, SamplingRule
+from logspark.model import REQUEST_BYTES, Grouper, RedactionRule, SamplingRule
 from logspark.operators import lines as line_ops
 from logspark.operators.inventory import diff_snapshots
 from logspark.operators.joins import attach_attributes, attach_pod, first_matching
@@ -24,13 +24,13 @@ def log_events(lines: DataFrame, grouper: Grouper | None, sampling: tuple[Sampli
     return sequence(df.withColumn("raw_len", F.octet_length("message") + 1), block=block)
 
 
-def log_report(lines: DataFrame, grouper: Grouper, sampling: tuple[SamplingRule, ...], redaction: tuple[RedactionRule, ...], block: Column | None = None) -> DataFrame:
-    """What log_events did with each log."""
+def log_report(lines: DataFrame, grouper: Grouper, sampling: tuple[SamplingRule, ...], redaction: tuple[RedactionRule, ...], block: Column | None = None, max_bytes: int = REQUEST_BYTES, skipped: Column | None = None) -> DataFrame:
+    """What log_events did with each log. Events over max_bytes fail; skipped: of which logs the backlog isn't read."""
     df = line_ops.group_lines(lines, grouper, block=block).withColumn("raw_len", F.octet_length("message") + 1)
     # flags instead of filters, so that one pass counts what stays and what goes
     df = df.withColumn("_kept", kept(sample_rate(F.col("message"), sampling), ["log_path", "line_seq"]))
-    no = F.lit(False)
-    return processing_report(redact(df, redaction), ["log_path"], F.col("_kept"), F.col("redacted"), no, no)
+    df = df.withColumns({"_failed": F.col("raw_len") > max_bytes, "_skipped": F.lit(False) if skipped is None else F.coalesce(skipped, F.lit(False))})
+    return processing_report(redact(df, redaction), ["log_path"], F.col("_kept"), F.col("redacted"), F.col("_failed"), F.col("_skipped"))
 
 
 def scrape_metrics(scrapes: DataFrame, monitor: str, include: list[str], exclude: list[str], components: dict | None = None, dropped: tuple[str, ...] = ()) -> DataFrame:
@@ -45,7 +45,7 @@ def scrape_rates(scrapes: DataFrame, monitor: str, specs: list[str]) -> DataFram
 
 
 def container_configs(previous: DataFrame, current: DataFrame, pods: DataFrame, configs: list) -> DataFrame:
-    """cid, status and config of containers that started, stopped or changed between two snapshots."""
+    """cid, status and config of containers that started, stopped or changed between two snapshots; rules.apply_configs treats their lines by the config."""
     changes = diff_snapshots(previous, current, "cid", F.col("digest"))
     known = current.unionByName(previous.join(current.select("cid"), "cid", "left_anti"))
     rows = attach_pod(changes.join(known, "cid"), pods)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyarrow import fs
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from logspark.operators import inventory, parse
@@ -14,13 +16,15 @@ from logspark.sources import files, sinks
 from logspark.sources.files import document_lines
 
 
-@query(f"WITH {LINES} SELECT log_path, count(*) AS lines, CAST(sum(raw_len) AS BIGINT) AS bytes, count(DISTINCT line_seq) AS places FROM L WHERE raw NOT LIKE '%' || chr(13) || '%' AND log_path NOT IN ('src7', '') GROUP BY 1")
+@query(f"WITH {LINES} SELECT log_path, count(*) AS lines, CAST(sum(raw_len) AS BIGINT) AS bytes, count(DISTINCT line_seq) AS places FROM L WHERE log_path <> 'src7' GROUP BY 1")
 def read_log_lines(spark, sf_dir):
     """A folder of text files for each log; one log is excluded."""
     folder = shared_folder(spark, "logs")
-    document_lines(spark, sf_dir).where(~F.col("raw").contains("\r") & (F.col("log_path") != "")).select("log_path", "raw").write.partitionBy("log_path").text(folder)
-    lines = files.read_log_lines(spark, [folder], exclude=["*/log_path=src7/*"])
-    log = F.regexp_extract("log_path", "log_path=([^/]*)", 1)
+    # Spark writes an empty value of a partition under another name
+    named = F.concat(F.lit("log-"), "log_path").alias("log_path")
+    document_lines(spark, sf_dir).select(named, "raw").write.option("lineSep", "\n").partitionBy("log_path").text(folder)
+    lines = files.read_log_lines(spark, [folder], exclude=["*/log_path=log-src7/*"])
+    log = F.regexp_extract("log_path", "log_path=log-([^/]*)", 1)
     place = F.struct("log_path", "line_seq")
     return lines.select(log.alias("log"), "raw_len", place.alias("place")).groupBy(F.col("log").alias("log_path")).agg(F.count("*").alias("lines"), F.sum("raw_len").alias("bytes"), F.count_distinct("place").alias("places"))
 
@@ -64,9 +68,40 @@ def read_db_status(spark, sf_dir):
     return files.read_db_status(spark, f"{sf_dir}/orders.parquet").groupBy(F.col("o_orderstatus").alias("status")).agg(F.count("*").alias("rows"))
 
 
-@query(f"WITH {LINES} SELECT count(*) AS lines, CAST(sum(strlen(raw)) AS BIGINT) AS bytes FROM L WHERE raw NOT LIKE '%' || chr(13) || '%'")
+@query(f"WITH {LINES} SELECT count(*) AS lines, CAST(sum(strlen(raw)) AS BIGINT) AS bytes FROM L")
 def stream_log_lines(spark, sf_dir):
     folder = shared_folder(spark, "landed")
-    document_lines(spark, sf_dir).where(~F.col("raw").contains("\r")).select("raw").write.text(folder)
+    document_lines(spark, sf_dir).select("raw").write.option("lineSep", "\n").text(folder)
     out = run_to_end(files.stream_log_lines(spark, folder, per_trigger=3), "lines")
     return out.agg(F.count("*").alias("lines"), F.sum(F.octet_length("raw")).alias("bytes"))
+
+
+@query(f"""WITH {LINES}, B AS (SELECT *, row_number() OVER (PARTITION BY log_path ORDER BY line_seq) AS rn, count(*) OVER (PARTITION BY log_path) AS n FROM L WHERE log_path <> ''),
+ P AS (SELECT *, CASE WHEN rn * 3 > n * 2 THEN 0 WHEN rn * 3 > n THEN 1 ELSE 2 END AS g FROM B)
+ SELECT log_path, count(*) AS lines, sha256(string_agg(raw, chr(10) ORDER BY line_seq)) AS digest FROM P GROUP BY 1""")
+def read_rotated_lines(spark, sf_dir):
+    """Each log in three files, x.log.2, x.log.1 and x.log, written apart and read as one log, oldest file first."""
+    folder = shared_folder(spark, "rotated")
+    w = Window.partitionBy("log_path")
+    rn, n = F.row_number().over(w.orderBy("line_seq")), F.count("*").over(w)
+    df = document_lines(spark, sf_dir).where("log_path <> ''").withColumn("_g", F.when(rn * 3 > n * 2, 0).when(rn * 3 > n, 1).otherwise(2))
+    # a file is one task's rows in order; its name comes from the folder it is written to
+    for g, suffix in enumerate(("", ".1", ".2")):
+        own = df.where(F.col("_g") == g).select(F.col("log_path").alias("d"), "line_seq", "raw")
+        own.groupBy("d").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_seq", "raw"))), lambda x: x["raw"]), "\n").alias("raw")).foreachPartition(_files_of(folder, suffix))
+    lines = files.read_log_lines(spark, [f"{folder}/*"], rotations=True)
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_seq", "raw"))), lambda x: x["raw"]), "\n")
+    return lines.groupBy(F.regexp_extract("log_path", r"([^/]*)\.log$", 1).alias("log_path")).agg(F.count("*").alias("lines"), F.sha2(text, 256).alias("digest"))
+
+
+def _files_of(folder: str, suffix: str):
+    """Writes each row as a file of the log of that name."""
+
+    def run(rows):
+        system, path = fs.FileSystem.from_uri(folder if "://" in folder else "file://" + folder)
+        system.create_dir(path, recursive=True)
+        for r in rows:
+            with system.open_output_stream(f"{path}/{r.d}.log{suffix}", compression=None) as out:
+                out.write(r.raw.encode())
+
+    return run

@@ -2,22 +2,26 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from logspark.model import Grouper
+from logspark.operators import lines as L
+from logspark.operators.ordered import shared_top
 from logspark.operators.reports import session_expiry
 from logspark.plans.metric_queries import _LIMIT_SQL, _RATE_SQL
 from logspark.plans.registry import query, table
+from logspark.sources import sinks
 from logspark.streaming import stateful
 
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder where all executors can read and write: below spark.checkpoint.dir, or a temporary one where that is unset."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="spark-stream-")
-    return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new folder where all executors can read and write."""
+    return f"{shared_top(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def stream_of(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,17 +30,26 @@ def stream_of(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def run_to_end(df: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Runs a stream over all that is there into Parquet, and reads it. mode complete or update goes by batches."""
+    """Runs a stream over all that is there into Parquet, and reads it. mode complete: what the last batch gave."""
     spark = df.sparkSession
     folder = shared_folder(spark, name)
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", stateful.ROCKSDB)
-    writer = df.writeStream.trigger(availableNow=True).option("checkpointLocation", f"{folder}/checkpoint")
-    if mode == "append":
-        q = writer.format("parquet").option("path", f"{folder}/out").start()
-    else:
-        q = writer.outputMode(mode).foreachBatch(lambda batch, n: batch.write.mode("overwrite").parquet(f"{folder}/out/batch_id={n}")).start()
-    q.awaitTermination()
-    return spark.read.schema(df.schema).parquet(f"{folder}/out" if mode == "append" else f"{folder}/out/batch_id=0")
+    provider, last = spark.conf.get(PROVIDER), [0]
+    spark.conf.set(PROVIDER, stateful.ROCKSDB)
+    try:
+        writer = df.writeStream.trigger(availableNow=True).option("checkpointLocation", f"{folder}/checkpoint")
+        if mode == "append":
+            q = writer.format("parquet").option("path", f"{folder}/out").start()
+        else:
+
+            def put(batch: DataFrame, n: int) -> None:
+                batch.write.mode("overwrite").parquet(f"{folder}/out/batch_id={n}")
+                last[0] = n
+
+            q = writer.outputMode(mode).foreachBatch(put).start()
+        q.awaitTermination()
+    finally:
+        spark.conf.set(PROVIDER, provider)
+    return spark.read.schema(df.schema).parquet(f"{folder}/out" if mode == "append" else f"{folder}/out/batch_id={last[0]}")
 
 
 @query("SELECT event_type, epoch_us(time_bucket(INTERVAL '1 day', ts)) AS window_start, count(*) AS rows, round(sum(value), 4) AS total FROM events GROUP BY ALL")
@@ -75,3 +88,64 @@ def stream_rate_limit(spark, sf_dir):
 def session_periods(spark, sf_dir):
     out = session_expiry(table(spark, sf_dir, "events"), "user_id", "ts", "12 hours")
     return out.select("user_id", F.unix_micros("opened").alias("opened"), F.unix_micros("last_seen").alias("last_seen"), "lines")
+
+
+@query("SELECT event_type, epoch_us(time_bucket(INTERVAL '1 day', ts)) AS window_start, count(*) AS rows FROM events WHERE ts < TIMESTAMP '2024-01-20' GROUP BY ALL")
+def stream_stale_rows(spark, sf_dir):
+    """Rows too old to be copied, counted by interval."""
+    now = F.lit("2024-01-25 00:00:00").cast("timestamp")
+    _, stale = stateful.skip_stale(stream_of(spark, sf_dir, "events"), "ts", "5 days", now)
+    out = run_to_end(stateful.interval_report(stale, "ts", ["event_type"], "1 day"), "stale", "complete")
+    return out.select("event_type", F.unix_micros("window_start").alias("window_start"), "rows")
+
+
+@query("SELECT strftime(ts, '%Y-%m-%d') AS date, count(*) AS events, CAST(sum(event_id) AS BIGINT) AS ids FROM events GROUP BY 1")
+def stream_events(spark, sf_dir):
+    folder = shared_folder(spark, "stream-events")
+    e = stream_of(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"))
+    sinks.stream_events(e, f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
+    back = spark.read.parquet(f"{folder}/out")
+    return back.groupBy(F.col("date").cast("string").alias("date")).agg(F.count("*").alias("events"), F.sum("event_id").alias("ids"))
+
+
+@query("SELECT count(*) AS events, CAST(sum(event_id) AS BIGINT) AS ids, count(DISTINCT event_id) AS different FROM events")
+def write_batches(spark, sf_dir):
+    """Batches under their numbers; the stream runs twice, and the second time finds nothing new."""
+    folder = shared_folder(spark, "batches")
+    for _ in range(2):
+        sinks.write_batches(stream_of(spark, sf_dir, "events").select("event_id"), f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{folder}/out").agg(F.count("*").alias("events"), F.sum("event_id").alias("ids"), F.count_distinct("event_id").alias("different"))
+
+
+@query("""WITH E AS (SELECT user_id, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn FROM events),
+ M AS (SELECT *, max(CASE WHEN event_type <> 'click' THEN rn END) OVER (PARTITION BY user_id ORDER BY rn) AS head FROM E),
+ K AS (SELECT M.user_id, M.event_id, CASE WHEN M.event_type = 'click' AND h.event_type = 'view' THEN M.head ELSE M.rn END AS k FROM M LEFT JOIN E h ON h.user_id = M.user_id AND h.rn = M.head),
+ R AS (SELECT user_id, min(event_id) AS line_seq, count(*) AS n_lines FROM K GROUP BY user_id, k)
+ SELECT CAST(R.user_id AS VARCHAR) AS log_path, line_seq, n_lines FROM R JOIN events e ON e.event_id = R.line_seq QUALIFY row_number() OVER (PARTITION BY R.user_id ORDER BY line_seq DESC) > 1 OR event_type <> 'view'""")
+def stream_groups(spark, sf_dir):
+    """A view and the clicks after it are a group; the last group of each log, if a view began it, is still open and not among the rows."""
+    e = stream_of(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("log_path"), F.col("event_id").alias("line_seq"), F.col("event_type").alias("raw"))
+    out = run_to_end(stateful.stream_groups(e, [Grouper("continueThrough", "^view$", "^click$")], wait_ms=None), "groups")
+    return out.select("log_path", "line_seq", "n_lines")
+
+
+@query("""WITH C AS (SELECT user_id, event_id, event_id % 4 = 3 AS whole FROM events),
+ G AS (SELECT *, coalesce(sum(whole::INT) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS g FROM C)
+ SELECT CAST(user_id AS VARCHAR) AS log_path, min(event_id) AS line_seq, count(*) AS n_pieces, string_agg(CAST(event_id AS VARCHAR), '' ORDER BY event_id) AS message FROM G GROUP BY user_id, g HAVING bool_or(whole)""")
+def stream_pieces(spark, sf_dir):
+    """Pieces up to a full one; those of a message that isn't whole yet are held."""
+    e = stream_of(spark, sf_dir, "events")
+    raw = F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.lit(" stdout "), F.when(F.col("event_id") % 4 == 3, "F").otherwise("P"), F.lit(" "), F.col("event_id").cast("string"))
+    parsed = L.parse_cri(e.select(F.col("user_id").cast("string").alias("log_path"), F.col("event_id").alias("line_seq"), raw.alias("raw")))
+    return run_to_end(stateful.stream_pieces(parsed, wait_ms=None), "pieces").select("log_path", "line_seq", "n_pieces", "message")
+
+
+@query("SELECT CAST(user_id AS VARCHAR) AS conn_id, count(*) AS frames, CAST(sum(strlen(event_type || ' ' || event_id)) AS BIGINT) AS bytes FROM events GROUP BY 1")
+def stream_frames(spark, sf_dir):
+    """Frames by line of each user's connection, of chunks that end in the middle of a frame."""
+    e = stream_of(spark, sf_dir, "events").withColumn("m", F.concat("event_type", F.lit(" "), F.col("event_id").cast("string"), F.lit("\n")))
+    half = F.floor(F.length("m") / 2).cast("int")
+    chunks = e.select(F.col("user_id").cast("string").alias("conn_id"), F.posexplode(F.array(F.substring("m", F.lit(1), half), F.substring("m", half + 1, F.length("m")))).alias("k", "part"), "event_id")
+    chunks = chunks.select("conn_id", (F.col("event_id") * 2 + F.col("k")).alias("chunk_seq"), F.col("part").cast("binary").alias("payload"))
+    out = run_to_end(stateful.stream_frames(chunks, wait_ms=None), "frames")
+    return out.where("complete").groupBy("conn_id").agg(F.count("*").alias("frames"), F.sum(F.octet_length("frame")).alias("bytes"))

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from logspark.functions.patterns import matches_any
@@ -17,32 +18,67 @@ _ROTATED = (
 )
 
 
-def read_log_lines(spark: SparkSession, globs: list[str], exclude: list[str] = (), modified_after: str | None = None) -> DataFrame:
+def _reader(spark: SparkSession, modified_after: str | None):
+    reader = spark.read.option("recursiveFileLookup", "true")
+    return reader.option("modifiedAfter", modified_after) if modified_after else reader
+
+
+#: A line's number: a file's rank in its log (7 bits), its split's start in units of 4096 bytes (26), its place among the rows of the task (30).
+_RANK_BITS, _START_BITS, _PLACE_BITS, _UNIT = 7, 26, 30, 12
+
+
+def _line_seq(start: Column, place: Column, rank: Column | None = None) -> Column:
+    seq = F.shiftleft(F.shiftright(start, _UNIT), _PLACE_BITS).bitwiseOR(place.bitwiseAND(F.lit((1 << _PLACE_BITS) - 1)))
+    return seq if rank is None else seq.bitwiseOR(F.shiftleft(rank.cast("long"), _START_BITS + _PLACE_BITS))
+
+
+def read_log_lines(spark: SparkSession, globs: list[str], exclude: list[str] = (), modified_after: str | None = None, rotations: bool = False) -> DataFrame:
     """log_path, line_seq, byte_offset (of the file split), raw, raw_len of the files that the globs find.
 
-    line_seq grows along a file: splits are numbered by their start, lines by their place in the split. A carriage return stays.
+    line_seq grows along a file, though not by one: it is the split's start and the line's place in its task, so nothing is
+    shuffled. Splits begin at multiples of 4096 bytes at least, files are below 256 GB. A carriage return stays.
+    rotations: rotated files are one log under its name, oldest first, compressed ones are left out (see order_rotations).
     """
-    reader = spark.read.option("lineSep", "\n").option("recursiveFileLookup", "true")
-    if modified_after:
-        reader = reader.option("modifiedAfter", modified_after)
-    df = reader.text(globs).select("value", F.col("_metadata.file_path").alias("log_path"), F.col("_metadata.file_block_start").alias("byte_offset"))
+    small = int(spark.conf.get("spark.sql.files.maxPartitionBytes").rstrip("bBkKmMgG") or 0)
+    if spark.conf.get("spark.sql.files.maxPartitionBytes").rstrip("b").isdigit() and small < 1 << _UNIT:
+        raise ValueError("splits are 4096 bytes at least")
+    df = _reader(spark, modified_after).option("lineSep", "\n").text(globs).select("value", F.col("_metadata.file_path").alias("log_path"), F.col("_metadata.file_block_start").alias("byte_offset"))
     if exclude:
         df = df.where(~matches_any(F.col("log_path"), exclude))
-    # the low 33 bits count a task's rows; a split begins at most every byte
-    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    df = df.withColumn("_place", place)
-    first = Window.partitionBy("log_path", "byte_offset")
-    seq = F.shiftleft(F.col("byte_offset"), 12) + (F.col("_place") - F.min("_place").over(first))
-    return df.withColumn("line_seq", seq).select("log_path", "line_seq", "byte_offset", F.col("value").alias("raw"), (F.octet_length("value") + 1).alias("raw_len"))
+    df = df.withColumn("_place", F.monotonically_increasing_id())
+    rank = None
+    if rotations:
+        # a row for each file; contents aren't read
+        files = _reader(spark, modified_after).format("binaryFile").load(globs).select("path", F.col("modificationTime").alias("modified"))
+        files = order_rotations(files).where("not ignored")
+        oldest = Window.partitionBy("base").orderBy(F.desc("generation"), "path")
+        files = files.select(F.col("path").alias("log_path"), "base", (F.row_number().over(oldest) - 1).alias("_rank"))
+        df = df.join(files, "log_path").drop("log_path").withColumnRenamed("base", "log_path")
+        rank = F.col("_rank")
+    df = df.withColumn("line_seq", _line_seq(F.col("byte_offset"), F.col("_place"), rank))
+    return df.select("log_path", "line_seq", "byte_offset", F.col("value").alias("raw"), (F.octet_length("value") + 1).alias("raw_len"))
 
 
 def stream_log_lines(spark: SparkSession, path: str, from_end_after: str | None = None, per_trigger: int | None = None) -> DataFrame:
-    """Lines of files as they land; the query's checkpoint remembers what was read. from_end_after: older files are passed over."""
+    """log_path, line_seq, byte_offset, modified, raw, raw_len of files as they land; the query's checkpoint remembers what was read. from_end_after: older files are passed over.
+
+    line_seq is that of read_log_lines; Spark numbers no rows of a stream, so they are counted as they pass.
+    """
     reader = spark.readStream.option("lineSep", "\n")
     if per_trigger:
         reader = reader.option("maxFilesPerTrigger", per_trigger)
-    df = reader.text(path).select(F.col("_metadata.file_path").alias("log_path"), F.col("_metadata.file_modification_time").alias("modified"), F.col("value").alias("raw"))
-    return df.where(F.col("modified") > F.lit(from_end_after).cast("timestamp")) if from_end_after else df
+    df = reader.text(path).select(F.col("_metadata.file_path").alias("log_path"), F.col("_metadata.file_block_start").alias("byte_offset"), F.col("_metadata.file_modification_time").alias("modified"), F.col("value").alias("raw"))
+    if from_end_after:
+        df = df.where(F.col("modified") > F.lit(from_end_after).cast("timestamp"))
+
+    def counted(batches):
+        n = 0
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(range(n, n + len(b)), pa.int64())], [*b.schema.names, "_place"])
+            n += len(b)
+
+    df = df.mapInArrow(counted, "log_path string, byte_offset long, modified timestamp, raw string, _place long")
+    return df.select("log_path", _line_seq(F.col("byte_offset"), F.col("_place")).alias("line_seq"), "byte_offset", "modified", "raw", (F.octet_length("raw") + 1).alias("raw_len"))
 
 
 def order_rotations(files: DataFrame, path: str = "path", modified: str = "modified", recent_seconds: int = 300) -> DataFrame:
@@ -86,13 +122,23 @@ def read_db_status(spark: SparkSession, path: str | None = None, url: str | None
     return spark.read.format("jdbc").options(url=url, dbtable=table, **options).load()
 
 
+#: Lines of a document are numbered below this.
+LINES_OF_A_DOCUMENT = 1 << 31
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deals rows to all cores where a scan has fewer tasks than there are cores, as with one small file; else leaves them where they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The lines of `documents` as a log for each source, in the order of documents."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("text is not null")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").where("text is not null").select("source", "doc_id", "text"))
     df = docs.select(F.coalesce("source", F.lit("")).alias("log_path"), "doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "raw"))
-    return df.select("log_path", (F.col("doc_id") * 1_000_000 + F.col("pos")).alias("line_seq"), F.lit(0).cast("long").alias("byte_offset"), "raw", (F.octet_length("raw") + 1).alias("raw_len"))
+    return df.select("log_path", (F.col("doc_id") * LINES_OF_A_DOCUMENT + F.col("pos")).alias("line_seq"), F.lit(0).cast("long").alias("byte_offset"), "raw", (F.octet_length("raw") + 1).alias("raw_len"))
 
 
 def line_block():
     """A block of such lines: those of a thousand documents."""
-    return F.floor(F.col("line_seq") / 1_000_000_000)
+    return F.floor(F.col("line_seq") / (1000 * LINES_OF_A_DOCUMENT))

@@ -10,7 +10,7 @@ import pickle
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -103,6 +103,13 @@ def interval_report(stream: DataFrame, ts: str, keys: list[str], every: str, lat
     return s.groupBy(*keys, F.window("_ts", every).alias("w")).agg(F.count("*").alias("rows"), F.sum("value").alias("total")).select(*keys, F.col("w.start").alias("window_start"), "rows", "total")
 
 
-def skip_stale(stream: DataFrame, ts: str, newest_allowed_age: str) -> DataFrame:
-    """Adds stale: older than what may still be copied, against the stream's clock."""
-    return stream.withColumn("stale", F.col(ts).cast("timestamp") < F.current_timestamp() - F.expr(f"interval {newest_allowed_age}"))
+def skip_stale(stream: DataFrame, ts: str, newest_allowed_age: str, now: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """Rows that may still be copied, and those that are older than that against the stream's clock (or `now`): count the latter by interval_report."""
+    old = F.coalesce(F.col(ts).cast("timestamp") < (F.current_timestamp() if now is None else now) - F.expr(f"interval {newest_allowed_age}"), F.lit(False))
+    return stream.where(~old), stream.where(old)
+
+
+def series_count(metrics: DataFrame, ts: str, every: str, late: str = "1 hour", precision: float = 0.02) -> DataFrame:
+    """window_start and series, the number of series (about) that had a sample in each interval: what a limit on series is compared with."""
+    m = with_series(metrics).withColumn("_ts", F.col(ts).cast("timestamp")).withWatermark("_ts", late)
+    return m.groupBy(F.window("_ts", every).alias("w")).agg(F.approx_count_distinct("series", precision).alias("series")).select(F.col("w.start").alias("window_start"), "series")

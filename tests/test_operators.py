@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from logspark.model import Grouper
 from logspark.operators import lines as L
+from logspark.operators import joins, sequence
 from logspark.operators import metrics as M
-from logspark.operators import sequence
-from logspark.operators.ordered import Fold, ordered_fold
+from logspark.operators.ordered import Fold, in_blocks, ordered_fold, running
 from logspark.sources.files import read_log_lines
 from logspark.sources.sinks import write_events
 
@@ -121,3 +121,42 @@ def test_events_are_written_by_date(spark, tmp_path):
     write_events(spark.sql("select timestamp'2024-01-02 03:00:00' ts, 'm' message union all select null, 'n'"), str(tmp_path / "e"))
     back = spark.read.parquet(str(tmp_path / "e"))
     assert sorted((str(r.date), r.message) for r in back.collect()) == [("2024-01-02", "m"), ("None", "n")]
+
+
+def test_fragments_keep_all_bytes(spark):
+    texts = ["aééb", "", "日本" * 9, "plain"]
+    out = L.fragment_lines(spark.createDataFrame(list(enumerate(texts)), "i int, message string"), 2).orderBy("i", "fragment").collect()
+    for i, t in enumerate(texts):
+        own = [r for r in out if r.i == i]
+        assert b"".join(bytes(r.piece) for r in own) == t.encode() and all(len(r.piece) <= 2 for r in own)
+
+
+def test_owners_in_cycles_have_no_root(spark):
+    rows = [("a", "Job", "b"), ("b", "Job", "a"), ("c", "Job", "a"), ("x", "Job", None), ("y", "Job", "x"), ("z", "Job", "y"), ("s", "Job", "s"), *((f"k{i}", "Job", f"k{(i + 1) % 3}") for i in range(3))]
+    got = {r.name: r.root for r in joins.root_owner(spark.createDataFrame(rows, "name string, kind string, parent string"), ["Job"]).collect()}
+    assert got == {"a": None, "b": None, "c": None, "x": "x", "y": "x", "z": "x", "s": "s", "k0": None, "k1": None, "k2": None}
+
+
+def test_descendants_of_chains_and_cycles(spark):
+    rng = random.Random(3)
+    rows = [(k, rng.randrange(max(1, k)) if k % 9 else None, k % 13 == 5) for k in range(200)] + [(1000 + k, 1000 + (k + 1) % 4, k == 2) for k in range(4)] + [(2000 + k, 2000 + k - 1 if k else 2000, k == 3) for k in range(60)] + [(3000, 3001, False), (3001, 3000, False)]
+    up, hit = {p: q for p, q, _ in rows}, {p for p, _, h in rows if h}
+    want = set()
+    for p in up:
+        q, seen = p, set()
+        while q is not None and q not in seen:
+            if q in hit:
+                want.add(p)
+                break
+            seen.add(q)
+            q = up.get(q)
+    df = spark.createDataFrame(rows, "pid long, ppid long, h boolean")
+    got = [r.pid for r in joins.descendants(df, F.col("h")).collect()]
+    assert sorted(got) == sorted(want)
+
+
+def test_null_keys_carry_over_blocks(spark):
+    rows = [(k, i, 1) for k in ("a", None) for i in range(10)]
+    df, by = in_blocks(spark.createDataFrame(rows, "k string, i int, v int"), F.floor(F.col("i") / 3))
+    out = running(df, ["k"], ["i"], F.col("v"), "n", block=by)
+    assert sorted((r.k or "", r.i, r.n) for r in out.collect()) == sorted((k or "", i, i + 1) for k, i, _ in rows)

@@ -1,11 +1,15 @@
 """Streams over files in several steps give what the batch operators give."""
 
+import os
+import time
+
 from pyspark.sql import functions as F
 
 from logspark.model import Grouper
 from logspark.operators import lines as L
 from logspark.operators import parse
-from logspark.plans.stream_queries import run_to_end
+from logspark.plans.stream_queries import PROVIDER, run_to_end
+from logspark.sources import files, sinks
 from logspark.streaming import stateful
 
 
@@ -40,4 +44,83 @@ def test_late_rows_are_dropped(spark, tmp_path):
     df = spark.createDataFrame(rows, "id long, t string, value double").withColumn("ts", F.col("t").cast("timestamp_ntz")).coalesce(1)
     report = stateful.interval_report(_stream(spark, df, tmp_path / "in", "id", 4), "ts", [], "1 day", "1 day")
     got = run_to_end(report, "late")
-    assert {r.total for r in got.collect()} <= {1.0, 2.0}
+    # the third row is later than a day, the last one's interval isn't over
+    assert sorted(r.total for r in got.collect()) == [1.0, 2.0]
+
+
+def _until(df, path, enough, seconds=90):
+    """Runs a stream on processing time until its output satisfies `enough`, and returns that."""
+    spark = df.sparkSession
+    provider = spark.conf.get(PROVIDER)
+    spark.conf.set(PROVIDER, stateful.ROCKSDB)
+    q = df.writeStream.trigger(processingTime="500 milliseconds").option("checkpointLocation", str(path / "checkpoint")).format("parquet").option("path", str(path / "out")).start()
+    try:
+        end = time.time() + seconds
+        while time.time() < end and q.exception() is None:
+            if os.path.isdir(path / "out" / "_spark_metadata"):
+                got = spark.read.schema(df.schema).parquet(str(path / "out")).collect()
+                if enough(got):
+                    return got
+            time.sleep(1)
+        raise AssertionError(q.exception() or "not in time")
+    finally:
+        q.stop()
+        spark.conf.set(PROVIDER, provider)
+
+
+def test_held_groups_are_released_by_a_timer(spark, tmp_path):
+    df = spark.range(10).select(F.lit("log").alias("log_path"), F.col("id").alias("line_seq"), F.when(F.col("id") % 7 == 0, "start").otherwise("  more").alias("raw"))
+    g = [Grouper("continueThrough", "^start", "^ ")]
+    got = _until(stateful.stream_groups(_stream(spark, df, tmp_path / "in", "line_seq"), g, wait_ms=3000), tmp_path, lambda rows: sum(r.n_lines for r in rows) == 10)
+    # what waits for three seconds is released: all lines come out, each once, in as many groups as the waits made
+    assert sorted(r.line_seq for r in got)[0] == 0 and all(r.message.count("\n") == r.n_lines - 1 for r in got)
+    assert {7} <= {r.line_seq for r in got}
+
+
+def test_held_pieces_are_released_by_a_timer(spark, tmp_path):
+    rows = [("a", k, f"2024-01-01T00:00:0{k}Z stdout {'F' if k == 2 else 'P'} p{k}") for k in range(5)]
+    parsed = L.parse_cri(_stream(spark, spark.createDataFrame(rows, "log_path string, line_seq long, raw string"), tmp_path / "in", "line_seq", 1))
+    got = _until(stateful.stream_pieces(parsed, wait_ms=1500), tmp_path, lambda rows: len(rows) == 2)
+    assert sorted((r.line_seq, r.message, r.partial) for r in got) == [(0, "p0p1p2", False), (3, "p3p4", True)]
+
+
+def test_unfinished_frames_are_released_by_a_timer(spark, tmp_path):
+    df = spark.createDataFrame([("c", 0, bytearray(b"3 abc5 he"))], "conn_id string, chunk_seq long, payload binary")
+    got = _until(stateful.stream_frames(_stream(spark, df, tmp_path / "in", "chunk_seq", 1), wait_ms=1500), tmp_path, lambda rows: len(rows) == 2)
+    assert sorted((r.frame_seq, bytes(r.frame), r.complete) for r in got) == [(0, b"abc", True), (1, b"5 he", False)]
+
+
+def test_series_are_counted(spark, tmp_path):
+    rows = [(k, "app", str(k % 5), "m", float(k), "2024-01-01 00:00:00") for k in range(20)]
+    df = spark.createDataFrame(rows, "id long, monitor string, instance string, metric string, value double, t string").withColumns({"extra": F.lit(None).cast("map<string,string>"), "ts": F.col("t").cast("timestamp")})
+    out = run_to_end(stateful.series_count(_stream(spark, df, tmp_path / "in", "id"), "ts", "1 day"), "series", "complete")
+    assert [r.series for r in out.collect()] == [5]
+
+
+def test_the_last_batch_is_read(spark, tmp_path):
+    """Complete results of a stream of three batches are those of the last."""
+    df = spark.range(9).select("id", F.lit(1.0).alias("value"), F.lit("2024-01-01 00:00:00").cast("timestamp").alias("ts"))
+    out = run_to_end(stateful.interval_report(_stream(spark, df, tmp_path / "in", "id"), "ts", [], "1 day"), "complete", "complete")
+    assert [r.rows for r in out.collect()] == [9]
+
+
+def test_a_repeated_batch_replaces_itself(spark, tmp_path):
+    """A batch whose commit is lost is run again, under the same number."""
+    df = spark.range(9).select("id")
+    for k in range(2):
+        sinks.write_batches(_stream(spark, df, tmp_path / "in", "id", 1 if k == 0 else 0) if k == 0 else spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "c")).awaitTermination()
+        if k == 0:
+            for f in os.listdir(tmp_path / "c" / "commits"):
+                os.remove(tmp_path / "c" / "commits" / f)
+    assert sorted(r.id for r in spark.read.parquet(str(tmp_path / "out")).collect()) == list(range(9))
+
+
+def test_lines_of_a_stream_are_in_order(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.log").write_bytes(b"".join(b"line %d\r\n" % i for i in range(3000)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8192")
+    try:
+        out = run_to_end(files.stream_log_lines(spark, str(tmp_path / "in")), "lines")
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert [r.raw for r in out.orderBy("line_seq").collect()] == [f"line {i}\r" for i in range(3000)]
