@@ -38,6 +38,10 @@ BLOCK, HUB = 4000, 200
 #: Of 32 sketch bits, so many must agree for two lines of a key to be candidates. Keys with more lines than SKETCHED aren't
 #: split by sketches before they are verified: that only saves work.
 AGREEING, SKETCHED = 22, 64
+#: Sets of more lines don't share a bucket with the others of their home: their lines hardly profit from links found there.
+APART = 256
+#: Lines of sets of over MAPPED lines get a map of so many bits, one for each shingle.
+MAPPED, MAP_BITS = 16, 4096
 #: Bytes of lines that a bucket of sets should hold, a line being taken for 1000 bytes; their hashes take eight times as much.
 SET_BYTES = 4 << 20
 BUCKET_KEYS, BUCKET_BYTES = 400_000, 8 << 20
@@ -134,10 +138,14 @@ def distinct(h: np.ndarray) -> np.ndarray:
 
 
 class Verifier:
-    """Resemblance of lines by sketches and sorted distinct shingle hashes, with the components found so far: lines of one component aren't compared again."""
+    """Resemblance of lines by sketches and sorted distinct shingle hashes, with the components found so far: lines of one component aren't compared again.
+
+    Bits of one map that another hasn't are shingles that the other line hasn't: where there are too many, the hashes needn't be compared.
+    """
 
     def __init__(self, hashed: list[np.ndarray], sketch: np.ndarray, least: float):
         self.hashed, self.sketch, self.least, self.parent = hashed, sketch.tolist(), least, list(range(len(hashed)))
+        self.maps: list[int | None] = [None] * len(hashed)
         self.links: list[tuple[int, int]] = []
 
     def find(self, i: int) -> int:
@@ -153,6 +161,14 @@ class Verifier:
             s, t = t, s
         if len(s) < self.least * len(t):
             return False
+        a, b = self.maps[i], self.maps[j]
+        if a is not None and b is not None:
+            if len(self.hashed[i]) > len(self.hashed[j]):
+                a, b = b, a
+            same = a & b
+            most = min(len(s) - (a ^ same).bit_count(), len(t) - (b ^ same).bit_count())
+            if most < self.least * (len(s) + len(t) - most):
+                return False
         both = np.concatenate((s, t))
         both.sort()
         both = int((both[1:] == both[:-1]).sum())
@@ -161,6 +177,12 @@ class Verifier:
     def add_set(self, members: list[int]) -> None:
         """Links the components of the members as far as any two of them resemble each other."""
         groups: dict[int, list[int]] = {}
+        if len(members) > MAPPED:
+            for i in members:
+                if self.maps[i] is None:
+                    bits = np.zeros(MAP_BITS, bool)
+                    bits[self.hashed[i] % MAP_BITS] = True
+                    self.maps[i] = int.from_bytes(np.packbits(bits).tobytes())
         for i in members:
             mine = groups.setdefault(self.find(i), [])
             mine.append(i)
@@ -230,7 +252,7 @@ def _unique_lines(batches, min_chars: int, size: int = 1 << 20, wanted=None):
 
 
 def candidate_sets(df: DataFrame, total: int, key: str, text: str, min_chars: int, n: int, bands: int, rows: int) -> DataFrame:
-    """set, line, home, part_of: lines that share a band's key; equal sets are one. home: the least line of the set, which near copies' sets have in common.
+    """set, line, home, part_of: lines that share a band's key; equal sets are one. home: the least line of the set, which near copies' sets have in common; of sets over APART lines the set.
 
     part_of: the larger set that this one is a block of; null for sets of up to BLOCK lines.
     """
@@ -265,7 +287,8 @@ def candidate_sets(df: DataFrame, total: int, key: str, text: str, min_chars: in
             chosen = np.zeros(len(first), bool)
             chosen[small] = True
             member = chosen[set_of]
-            yield _set_rows(name[set_of[member]].view(np.int64), line[member], line[first][set_of[member]], None)
+            home = np.where(size > APART, name.view(np.int64), line[first])
+            yield _set_rows(name[set_of[member]].view(np.int64), line[member], home[set_of[member]], None)
             for g in large.tolist():
                 own = line[first[g] : first[g] + size[g]]
                 # in an order that has nothing to do with the lines' order elsewhere

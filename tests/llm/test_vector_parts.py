@@ -137,6 +137,23 @@ def test_line_table_and_verification():
     assert len(v.links) == 2 and v.find(0) == v.find(1) == v.find(3) != v.find(2)
 
 
+def test_maps_of_large_sets_lose_no_pair():
+    rng = np.random.default_rng(7)
+    base = rng.integers(0, 1 << 62, 300)
+    hashed = []
+    for _ in range(60):
+        own = base[: rng.integers(1, 300)].copy()
+        gone = rng.random(len(own)) < rng.choice([0.02, 0.08, 0.12, 0.3])
+        own[gone] = rng.integers(0, 1 << 62, gone.sum())
+        hashed.append(np.unique(own))
+    v = lines.Verifier(hashed, np.zeros(60, np.uint32), 0.8)
+    v.add_set(list(range(60)))
+    assert None not in v.maps
+    pairs = [(i, j) for i in range(60) for j in range(i)]
+    want = [len(np.intersect1d(hashed[i], hashed[j])) >= 0.8 * len(np.union1d(hashed[i], hashed[j])) for i, j in pairs]
+    assert [v.alike(i, j) for i, j in pairs] == want and any(want) and not all(want)
+
+
 def test_sampling_meets_equal_windows():
     g = substrings.Windows(50)
     rng = random.Random(4)
