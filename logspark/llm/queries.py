@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logspark.llm import bpe, chat, lines, mixing, mpegts, repetition, separators, simhash, substrings, warc
+from logspark.llm import bpe, chat, collocations, lines, mixing, mpegts, negatives, ranges, repetition, separators, simhash, substrings, warc
 from logspark.llm.common import shared_dir
 
 #: Paths of vocabularies are parameters; this one is the queries'.
@@ -82,7 +82,22 @@ def op10_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return written.join(counts, ["file", "ordinal"]).select("doc_id", "file", "ordinal", "start_token", "n_tokens")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pivotal_mix, op2_simhash_trees, op3_repetition_rules, op4_warc_archives, op5_chat_parts, op6_fuzzy_lines, op7_transport_streams, op8_repeated_bytes, op9_byte_bpe, op10_separator_scan)}
+def op11_quotient_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return collocations.collocations(docs)
+
+
+def op12_residue_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(vectors.withColumn("label", label), anchor=F.col("vec_id") % 100 == 0)
+
+
+def op13_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranges.range_links(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), least=0.9)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pivotal_mix, op2_simhash_trees, op3_repetition_rules, op4_warc_archives, op5_chat_parts, op6_fuzzy_lines, op7_transport_streams, op8_repeated_bytes, op9_byte_bpe, op10_separator_scan, op11_quotient_collocations, op12_residue_negatives, op13_range_join)}
 
 _WORDS = "list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
 
@@ -127,4 +142,38 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
  CAST(sum(length('<|im_start|>') + length(head) + 1 + length(escaped) + length('<|im_end|>') + 1) AS BIGINT) AS formatted_chars
 FROM e GROUP BY conv_id"""
 
-SQL: dict[str, str] = {"op3_repetition_rules": OP3_SQL, "op4_warc_archives": OP4_SQL, "op5_chat_parts": OP5_SQL}
+#: Phrases of words within pieces, each language for itself. Products are of 128 bits.
+OP11_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+p AS (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM d),
+w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM p),
+g AS (SELECT lang, m, unnest(list_transform(range(1, greatest(len(w) - m + 2, 1)), lambda i: array_to_string(w[i:i+m-1], ' '))) AS phrase FROM w, (SELECT unnest([1, 2, 3]) AS m)),
+f AS MATERIALIZED (SELECT lang, m, phrase, count(*) AS f FROM g GROUP BY ALL),
+n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE m = 1 GROUP BY lang),
+e AS MATERIALIZED (SELECT * FROM f WHERE f >= 10),
+c AS MATERIALIZED (SELECT *, string_split(phrase, ' ') AS x FROM e WHERE m > 1),
+parts AS (SELECT lang, phrase, m, f AS a, 1 AS k, x[1] AS p, array_to_string(x[2:], ' ') AS q FROM c UNION ALL SELECT lang, phrase, m, f, 2, array_to_string(x[1:2], ' '), x[3] FROM c WHERE m = 3),
+cuts AS (SELECT parts.*, l.f AS l, r.f AS r, 1000000 * CAST(a AS HUGEINT) * a // (CAST(l.f AS HUGEINT) * r.f) AS score
+ FROM parts JOIN e AS l ON l.lang = parts.lang AND l.phrase = p AND l.m = k JOIN e AS r ON r.lang = parts.lang AND r.phrase = q AND r.m = parts.m - k),
+s AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, phrase, m ORDER BY score, k) AS nth FROM cuts) WHERE nth = 1),
+inside AS (SELECT lang, phrase, max(f) AS longer FROM (SELECT lang, unnest([array_to_string(x[1:2], ' '), array_to_string(x[2:3], ' ')]) AS phrase, f FROM c WHERE m = 3) GROUP BY ALL),
+k AS (SELECT s.* FROM s LEFT JOIN inside i ON i.lang = s.lang AND i.phrase = s.phrase AND s.m = 2 WHERE i.longer IS NULL OR 100 * i.longer < 50 * s.a)
+SELECT lang, rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM k) JOIN n USING (lang) WHERE rank <= 2000"""
+
+OP12_SQL = """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS c FROM embeddings
+ WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS other, a.label = b.label AS same, CAST(list_dot_product(a.c, b.c) AS BIGINT) AS score FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+p AS (SELECT anchor_id, other AS positive_id, score AS positive_score FROM (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) AS r FROM s WHERE same) WHERE r <= 5)
+SELECT * FROM (SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other) AS INT) AS rank, other AS negative_id, positive_score, score AS negative_score
+ FROM p JOIN s USING (anchor_id) WHERE NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score) WHERE rank <= 5"""
+
+OP13_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings
+ WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.9),
+reach AS (SELECT a AS node, a AS root FROM l UNION SELECT l.b, reach.root FROM reach JOIN l ON l.a = reach.node),
+c AS (SELECT node, min(root) AS root FROM reach GROUP BY node), n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, coalesce(root, vec_id) AS component_id, coalesce(root, vec_id) = vec_id AS kept FROM embeddings LEFT JOIN c ON node = vec_id LEFT JOIN n ON n.a = vec_id"""
+
+SQL: dict[str, str] = {"op3_repetition_rules": OP3_SQL, "op4_warc_archives": OP4_SQL, "op5_chat_parts": OP5_SQL, "op11_quotient_collocations": OP11_SQL, "op12_residue_negatives": OP12_SQL, "op13_range_join": OP13_SQL}
