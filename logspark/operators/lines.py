@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from logspark.functions.dates import rfc3339_nanos
 from logspark.functions.patterns import found
 from logspark.model import MAX_LINE_BYTES, Grouper
-from logspark.operators.ordered import Fold, automaton, in_blocks, ordered_fold, running
+from logspark.operators.chains import Groups, Pieces, chained
+from logspark.operators.ordered import Fold, automaton, in_blocks, running
 
 KEY, ORDER = ["log_path"], ["line_seq"]
 
@@ -101,10 +102,12 @@ class _Groupers(Fold):
 
 
 def group_lines_by(lines: DataFrame, groupers: list[Grouper], separator: str = "\n", max_bytes: int = MAX_LINE_BYTES) -> DataFrame:
-    """Several groupers: at each line outside a group the first that matches opens one. Patterns are matched by Spark, the fold only keeps state."""
+    """Several groupers: at each line outside a group the first that matches opens one. Patterns are matched by Spark; a log may be many tasks' (see chains)."""
     flags = F.array(*(x for g in groupers for x in (found(F.col("raw"), g.start), found(F.col("raw"), g.pattern))))
-    df = lines.select("log_path", "line_seq", "raw", flags.alias("flags"))
-    return ordered_fold(df, KEY, ORDER, lambda: _Groupers(groupers, separator, max_bytes), "log_path string, line_seq bigint, n_lines bigint, message string")
+    df = lines.select("log_path", "line_seq", "raw", flags.alias("flags"), (F.octet_length("raw") + len(separator)).alias("size"))
+    chained_ = chained(df, KEY, ORDER, Groups([g.kind for g in groupers], max_bytes))
+    out = chained_.groupBy("log_path", "nth").agg(F.min("line_seq").alias("line_seq"), F.count("*").alias("n_lines"), _joined(separator, "line_seq", "raw").alias("message"))
+    return out.drop("nth")
 
 
 def parse_json_lines(lines: DataFrame, message_field: str = "log", time_field: str = "time", keep_raw_time: bool = False) -> DataFrame:
@@ -169,15 +172,22 @@ _CRI = "log_path string, stream string, line_seq bigint, ts_nanos bigint, n_piec
 def reassemble_cri(parsed: DataFrame, max_bytes: int | None = None, block: Column | None = None) -> DataFrame:
     """Joins the pieces of each (log_path, stream) up to a full one: the first piece's time, one line end off each piece. partial: no full piece came.
 
-    max_bytes: a message is also complete when it reaches that size; this needs the fold.
+    max_bytes: a message is also complete when it reaches that size.
     """
     ok = parsed.where("error is null").select("log_path", "stream", "line_seq", "ts_nanos", F.regexp_replace("message", r"\r?\n$", "").alias("piece"), F.array_contains("tags", "F").alias("full"))
     if max_bytes is not None:
-        return ordered_fold(ok, ["log_path", "stream"], ORDER, lambda: _Pieces(max_bytes), _CRI)
+        sized = ok.withColumn("size", F.octet_length("piece"))
+        # a log may be many tasks' (see chains)
+        df = chained(sized, ["log_path", "stream"], ORDER, Pieces(max_bytes)).withColumnRenamed("nth", "_group")
+        return _put_together(df, F.sum("size") < max_bytes)
     df, by = in_blocks(ok, block)
     df = running(df, ["log_path", "stream"], ORDER, F.when(F.col("full"), 1).otherwise(0), "_group", before=True, block=by).withColumn("_group", F.coalesce("_group", F.lit(0)))
+    return _put_together(df, F.lit(True))
+
+
+def _put_together(df: DataFrame, small: Column) -> DataFrame:
     rows = F.array_sort(F.collect_list(F.struct("line_seq", "piece")))
-    out = df.groupBy("log_path", "stream", "_group").agg(F.min("line_seq").alias("line_seq"), F.min_by("ts_nanos", "line_seq").alias("ts_nanos"), F.count("*").alias("n_pieces"), F.array_join(F.transform(rows, lambda r: r["piece"]), "").alias("message"), (~F.bool_or("full")).alias("partial"))
+    out = df.groupBy("log_path", "stream", "_group").agg(F.min("line_seq").alias("line_seq"), F.min_by("ts_nanos", "line_seq").alias("ts_nanos"), F.count("*").alias("n_pieces"), F.array_join(F.transform(rows, lambda r: r["piece"]), "").alias("message"), (~F.bool_or("full") & small).alias("partial"))
     return out.drop("_group")
 
 

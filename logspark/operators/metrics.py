@@ -13,6 +13,7 @@ from logspark.functions.patterns import matches_any
 from logspark.functions.text import empty_map, json_text, sorted_map
 from logspark.functions.values import typed_value, valid_metric_name
 from logspark.model import RATE_GAP_SECONDS
+from logspark.operators.chains import Accepted, Spaced, chained
 from logspark.operators.ordered import Fold, ordered_fold
 
 _SAMPLE = r"^([^{\s]+)(?:\{(.*)\})?\s+(\S+)(?:\s+(-?\d+))?\s*$"
@@ -149,7 +150,10 @@ def rate(metrics: DataFrame, specs: list[str] | None = None, gap_seconds: float
         m = m.withColumn("_s", seconds).withColumn("_d", F.col("value") - F.lag("value").over(w))
         out = m.where(F.col("_s") < gap_seconds).select("series", "ts_ms", (F.col("_d") / F.col("_s")).alias("rate"))
     else:
-        out = ordered_fold(m, ["series"], ["ts_ms", "value"], lambda: _Rate(gap_seconds), "series string, ts_ms bigint, rate double")
+        # samples that count are a chain, so a series may be many tasks'
+        m = chained(m.where(F.col("value").isNotNull() & ~F.isnan("value") & F.col("ts_ms").isNotNull()), ["series"], ["ts_ms", "value"], Accepted(gap_seconds), apart=1)
+        seconds = F.col("ts_ms") / 1000 - F.col("since") / 1000
+        out = m.where(F.col("since").isNotNull()).select("series", "ts_ms", ((F.col("value") - F.col("base")) / seconds).alias("rate"))
     return out.withColumn("rate", F.round("rate", digits))
 
 
@@ -267,6 +271,6 @@ class _Once(Fold):
 
 
 def once_per(rows: DataFrame, key: Column, t: Column, seconds: float) -> DataFrame:
-    """key, t of the first row of each key and of each that is `seconds` after the last one kept."""
-    df = rows.select(key.cast("string").alias("key"), t.cast("double").alias("t"))
-    return ordered_fold(df, ["key"], ["t"], lambda: _Once(seconds), "key string, t double")
+    """key, t of the first row of each key and of each that is `seconds` after the last one kept. Rows without a time are left out. A key may be many tasks' (see chains)."""
+    df = rows.select(key.cast("string").alias("key"), t.cast("double").alias("t")).where("t is not null and not isnan(t)")
+    return chained(df, ["key"], ["t"], Spaced("t", seconds)).where("start").select("key", "t")

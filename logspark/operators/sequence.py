@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logspark.model import KNOWN_BACKLOG_BYTES, NEW_BACKLOG_BYTES, REQUEST_BYTES, SEQUENCE_LIMIT
-from logspark.operators.ordered import Fold, in_blocks, ordered_fold, running
+from logspark.operators.chains import SizeCuts, chained
+from logspark.operators.ordered import in_blocks, running
 
 KEY, ORDER = ["log_path"], ["line_seq"]
 
@@ -43,21 +44,11 @@ def fresh_versions(rows: DataFrame, keys: list[str], order: list[str], version:
     return df.withColumn("_seen", seen).where(F.col(version).isNull() | F.col("_seen").isNull() | (F.col(version) > F.col("_seen"))).drop("_segment", "_seen")
 
 
-class _Batches(Fold):
-    def __init__(self, limit: int):
-        self.limit, self.batch, self.size = limit, 0, 0
-
-    def add(self, row):
-        if self.size and self.size + row.size > self.limit:
-            self.batch, self.size = self.batch + 1, 0
-        self.size += row.size
-        yield row.session, row.position, row.size, self.batch
-
-
 def pack_batches(events: DataFrame, session: str, position: str, size: Column, max_bytes: int = REQUEST_BYTES) -> DataFrame:
-    """session, position, size, batch_id: events in order go into one batch until the next would overflow it. A larger event is a batch alone."""
+    """session, position, size, batch_id: events in order go into one batch until the next would overflow it. A larger event is a batch alone, a null size is 0. A session may be many tasks' (see chains)."""
     df = events.select(F.col(session).cast("string").alias("session"), F.col(position).cast("long").alias("position"), size.cast("long").alias("size"))
-    return ordered_fold(df, ["session"], ["position"], lambda: _Batches(max_bytes), "session string, position bigint, size bigint, batch_id bigint")
+    out = chained(df, ["session"], ["position", "size"], SizeCuts("size", max_bytes))
+    return out.select("session", "position", "size", (F.col("nth") - 1).alias("batch_id"))
 
 
 def backlog(lines: DataFrame, known: DataFrame | None = None, new_bytes: int = NEW_BACKLOG_BYTES, known_bytes: int = KNOWN_BACKLOG_BYTES) -> DataFrame:
