@@ -168,6 +168,36 @@ def never_empty(pattern: str) -> bool:
     return _parser is not None and _parser.parse(pattern).getwidth()[0] > 0
 
 
+parse_template = getattr(_parser, "parse_template", None)
+
+
+def groups_take_part(pattern: str) -> bool:
+    """Whether every match has all groups: none is in an alternative or in what may be left out."""
+    return _parser is not None and all(_always(_parser.parse(pattern)))
+
+
+def _always(items, sure: bool = True):
+    for op, arg in items:
+        if op is _c.SUBPATTERN:
+            if arg[0] is not None:
+                yield sure
+            yield from _always(arg[3], sure)
+        elif op is _c.BRANCH:
+            for x in arg[1]:
+                yield from _always(x, False)
+        elif op in (_c.MAX_REPEAT, _c.MIN_REPEAT, _c.POSSESSIVE_REPEAT):
+            yield from _always(arg[2], sure and arg[0] > 0)
+        elif op is _c.ASSERT:
+            yield from _always(arg[1], sure)
+        elif op is _c.ASSERT_NOT:
+            yield from _always(arg[1], False)
+        elif op is _c.ATOMIC_GROUP:
+            yield from _always(arg, sure)
+        elif op is _c.GROUPREF_EXISTS:
+            for x in arg[1:]:
+                yield from _always(x or (), False)
+
+
 def found(c: Column, pattern: str) -> Column:
     """Whether a pattern is found in a text (null: false); patterns that Java lacks go through Python, by vectors."""
     java = java_regex(pattern)

@@ -162,6 +162,34 @@ def annotation_rule_tables(spark, sf_dir):
     return out.select("conv_id", "turn", "message", "sample_rate", "redacted")
 
 
+@query(r"""WITH T AS (SELECT conv_id, turn, coalesce(text, '') AS t, conv_id % 5 AS k FROM conversations),
+ P AS (SELECT *, string_split_regex(t, '([a-z]+)ing') AS parts, regexp_extract_all(t, '([a-z]+)ing', 1) AS words, '-' || regexp_replace(regexp_replace(t, '([^x])', '\1-', 'g'), 'x+', '-', 'g') AS dashed FROM T),
+ M AS (SELECT *, CASE k WHEN 0 THEN parts[1] || array_to_string(list_transform(range(1, len(words) + 1), lambda i: '<' || md5(words[i] || 's') || '>' || coalesce(parts[i + 1], '')), '')
+  WHEN 1 THEN regexp_replace(t, '([a-z])e', '\1_', 'g') WHEN 2 THEN dashed WHEN 4 THEN '' ELSE t END AS message,
+  CASE k WHEN 0 THEN len(words) WHEN 1 THEN len(regexp_extract_all(t, '[a-z]e')) WHEN 2 THEN length(dashed) - length(replace(t, 'x', '')) ELSE 0 END AS redactions FROM P)
+ SELECT conv_id, turn, message, redactions, redactions > 0 OR k = 4 AS redacted, k = 4 AS redaction_failed, CASE WHEN k = 1 THEN 'core' ELSE '' END AS team FROM M WHERE NOT (k = 3 AND (contains(t, 'en') OR contains(t, 't')))""")
+def annotation_rule_programs(spark, sf_dir):
+    """Rules as data: hashes with a salt, groups, a pattern that may match nothing, one that only Python has, one that is none, and attributes."""
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("message"))
+
+    def annotations(rules: dict[str, str]):
+        return F.create_map(*(F.lit(x) for k, v in rules.items() for x in ("log.config/" + k, v)))
+
+    red, sam = "redaction_rules.0.", "sampling_rules.0."
+    of = {
+        0: {red + "match_expression": "([a-z]+)ing", red + "replacement": r"<\H1>", red + "hash_salt": "s"},
+        1: {red + "match-expression": "([a-z])e", red + "replacement": r"\1_", "attributes.team": "core"},
+        2: {red + "match_expression": "x*", red + "replacement": "-"},
+        3: {sam + "match_expression": "(e)?(?(1)n|t)", sam + "sampling_rate": "0"},
+        4: {red + "match_expression": "("},
+    }
+    own = F.coalesce(*(F.when(F.col("conv_id") % 5 == k, annotations(rules)) for k, rules in of.items()))
+    pods = c.select("conv_id").distinct().withColumn("annotations", own)
+    sampling, redaction, attributes = rule_tables(parse.annotation_rules(pods, ["conv_id"], "log.config/"), ["conv_id"])
+    out = apply_rule_tables(c, sampling, redaction, ["conv_id"], ["conv_id", "turn"], attributes=attributes)
+    return out.select("conv_id", "turn", "message", "redactions", "redacted", "redaction_failed", F.coalesce(F.try_element_at("attrs", F.lit("team")), F.lit("")).alias("team"))
+
+
 @query("""WITH F AS (SELECT doc_id, coalesce(lang, '') || '/' || coalesce(source, '') AS output FROM documents), K AS (SELECT output FROM F GROUP BY 1 ORDER BY min(doc_id) LIMIT 25)
  SELECT doc_id, CASE WHEN output IN (SELECT output FROM K) THEN output ELSE 'base' END AS output FROM F""")
 def cap_outputs(spark, sf_dir):

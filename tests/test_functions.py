@@ -12,7 +12,8 @@ from logspark.functions import dates, patterns, text, values
 from logspark.model import RedactionRule, SamplingRule
 from logspark.operators import parse
 from logspark.operators.metrics import parse_exposition
-from logspark.operators.rules import redact, sample
+from logspark.operators.parse import annotation_rules
+from logspark.operators.rules import apply_rule_tables, redact, rule_tables, sample
 
 
 def one(spark, column, *rows):
@@ -46,7 +47,7 @@ def test_java_patterns():
         ("foo=bar&password=123&foo2", [RedactionRule(r"(password)=[^&]+", r"\1=***")], "foo=bar&password=***&foo2", 1),
         ("a b", [RedactionRule("a", "b"), RedactionRule("b", "c")], "c c", 3),
         ("né é", [RedactionRule("é", "e")], "ne e", 2),
-        ("userid=123456", [RedactionRule(r"(userid)=(\d+)", r"\1=\H2", "s")], "userid=" + hashlib.md5(b"123456s").hexdigest(), 1),
+        ("userid=123456", [RedactionRule(r"(userid)=(\d+)", r"\1=\H2", "s")], "userid=" + hashlib.md5(b"123456s").hexdigest(), 2),
         ("u=1 u=2", [RedactionRule(r"u=(\d)", r"\H1")], hashlib.md5(b"1").hexdigest() + " " + hashlib.md5(b"2").hexdigest(), 2),
         ("none", [RedactionRule(r"u=(\d)", r"\H1")], "none", 0),
         ("aXbX", [RedactionRule(r"(?P<q>X)b(?P=q)", "-")], "a-", 1),
@@ -69,9 +70,13 @@ def test_patterns_match_as_in_python(spark):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(lines)], "id int, message string").coalesce(2)
     for p in PATTERNS:
         for rule in (RedactionRule(p, "<X>"), RedactionRule(p, r"\H1", "s") if re.compile(p).groups else RedactionRule(p)):
-            made = (lambda m: hashlib.md5(((m.group(1) or "") + "s").encode()).hexdigest()) if "H" in rule.replacement else rule.replacement
-            want = [re.subn(p, made, t) for t in lines]
+            made = (lambda m: hashlib.md5((m.group(1) + "s").encode()).hexdigest()) if "H" in rule.replacement else rule.replacement
+            weight = re.compile(p).groups if "H" in rule.replacement else 1
+            # a group that takes no part fails the line where hashes are made
+            lost = lambda t: "H" in rule.replacement and any(None in m.groups() for m in re.finditer(p, t))  # noqa: E731, B023
+            want = [("", None) if lost(t) else (lambda x: (x[0], x[1] * weight))(re.subn(p, made, t)) for t in lines]  # noqa: B023
             got = [(r.message, r.redactions) for r in redact(df, [rule]).orderBy("id").collect()]
+            got = [(m, n if w is not None else None) for (m, n), (_, w) in zip(got, want)]
             assert got == want, (p, rule.replacement, next((t, a, b) for t, a, b in zip(lines, got, want) if a != b))
         assert [r[0] for r in df.orderBy("id").select(patterns.found(F.col("message"), p)).collect()] == [re.search(p, t) is not None for t in lines], p
 
@@ -81,6 +86,68 @@ def test_redaction_of_many_groups_is_an_error(spark):
         redact(spark.createDataFrame([("a",)], "message string"), [RedactionRule("(a)", r"\H12")]).collect()
 
 
+HASHES = [
+    ("u=1", r"u=(\d)", r"\H1\H1", "s", hashlib.md5(b"1s").hexdigest() + r"\H1", 1, False),
+    ("u=1", r"u=(\d)", r"\1 \H1", "s", r"\1 " + hashlib.md5(b"1s").hexdigest(), 1, False),
+    ("u=1", r"u=\d", r"\H1", "s", r"\H1", 0, False),
+    ("u=1x", r"u=(\d)(x)", r"\H2", "", hashlib.md5(b"x").hexdigest(), 2, False),
+    ("u=", r"u=(\d*)", r"\H1", "", "", 1, True),
+    ("u=", r"u=(\d*)", r"\H1", "s", hashlib.md5(b"s").hexdigest(), 1, False),
+    ("ab", r"a(x)?b", r"\H1", "s", "", 0, True),
+    ("none", r"a(x)?b", r"\H1", "s", "none", 0, False),
+    ("x", r"(?:(a)|x)", r"\H1", "s", "", 0, True),
+]
+
+
+@pytest.mark.parametrize("line, match, replacement, salt, expected, count, failed", HASHES)
+def test_hashes_of_groups(spark, line, match, replacement, salt, expected, count, failed):
+    """Each group's token once; counts are matches times groups; groups that take no part, and empty ones without salt, fail the line."""
+    rules = [RedactionRule(match, replacement, salt), RedactionRule("z*$", "")]
+    row = redact(spark.createDataFrame([(line, "k")], "message string, pieces string"), rules[:1]).first()
+    assert (row.message, row.redaction_failed, row.redacted, row.pieces) == (expected, failed, failed or count > 0, "k")
+    assert failed or row.redactions == count
+    if failed:
+        # no later rule is applied
+        assert redact(spark.createDataFrame([(line,)], "message string"), [rules[0], RedactionRule("z*", "never")]).first().message == ""
+
+
+def test_rules_that_are_none_are_errors(spark):
+    df = spark.createDataFrame([("a",)], "message string")
+    for rule in (RedactionRule("("), RedactionRule("a", r"\1"), RedactionRule("(a)", r"\g<b>")):
+        with pytest.raises(ValueError):
+            redact(df, [rule])
+
+
+def test_rules_of_tables_equal_rules(spark):
+    """Each rule as data does what it does as a rule; rules that can't be applied withhold the line."""
+    own = [[RedactionRule(m, r, s)] for _, m, r, s, *_ in HASHES] + [[RedactionRule("a", "$1")], [RedactionRule(r"\d*", "#")], [RedactionRule("(a)?b(?(1)c|d)", "!")], [RedactionRule(r"u=(\w+)", r"u=\1\1"), RedactionRule("=", r"\\")], [RedactionRule("(?i)U", "v"), RedactionRule(r"(\d)", r"<\H1>", "p")]]
+    lines = ["u=1", "u=1x", "ab", "u=", "", None, "abc bd é", "uU=12"]
+    pods = [(p, {f"c/redaction_rules.{i}.{k}": v for i, r in enumerate(rules) for k, v in (("match_expression", r.match), ("replacement", r.replacement), ("hash_salt", r.hash_salt))}) for p, rules in enumerate(own)]
+    bad = [{"c/redaction_rules.0.match_expression": "("}, {"c/redaction_rules.0.replacement": "x"}, {"c/redaction_rules.0.match_expression": "a", "c/redaction_rules.0.replacement": r"\3"}]
+    pods += [(100 + i, b) for i, b in enumerate(bad)]
+    df = spark.createDataFrame([(p, i, t) for p, _ in pods for i, t in enumerate(lines)], "pod long, i long, message string")
+    rows = annotation_rules(spark.createDataFrame(pods, "pod long, annotations map<string,string>"), ["pod"], "c/")
+    sampling, redaction, _ = rule_tables(rows, ["pod"])
+    got = {(r.pod, r.i): (r.message, r.redactions, r.redacted, r.redaction_failed) for r in apply_rule_tables(df, sampling, redaction, ["pod"], ["pod", "i"]).collect()}
+    for p, rules in enumerate(own):
+        for r in redact(df.where(f"pod = {p}"), rules).collect():
+            want = (r.message, r.redactions, r.redacted, r.redaction_failed)
+            assert got[p, r.i] == want if not r.redaction_failed else (got[p, r.i][0], *got[p, r.i][2:]) == (want[0], *want[2:]), (p, r.i)
+    for p in range(100, 103):
+        assert all(got[p, i] == ("" if t is not None else None, 0, True, True) for i, t in enumerate(lines))
+
+
+def test_sampling_rules_of_tables(spark):
+    """Patterns that only Python has, rules without a pattern and rates that are none."""
+    pods = [(0, {"c/sampling_rules.0.match_expression": "(e)?(?(1)n|t)", "c/sampling_rules.0.sampling_rate": "0"}), (1, {"c/sampling_rules.0.sampling_rate": "0", "c/sampling_rules.1.match_expression": "t", "c/sampling_rules.1.sampling_rate": "x"}), (2, {"c/attributes.a.b": "1"})]
+    df = spark.createDataFrame([(p, i, t, {"a.b": "own"} if i == 0 else None) for p in range(3) for i, t in enumerate(["en", "t", "e", None])], "pod long, i long, message string, attrs map<string,string>")
+    sampling, redaction, attributes = rule_tables(annotation_rules(spark.createDataFrame(pods, "pod long, annotations map<string,string>"), ["pod"], "c/"), ["pod"])
+    got = apply_rule_tables(df, sampling, redaction, ["pod"], ["pod", "i"], attributes=attributes).collect()
+    assert sorted((r.pod, r.i) for r in got) == [(0, 2), (0, 3), *((p, i) for p in (1, 2) for i in range(4))]
+    assert {r.rule_error for r in got if r.pod == 1} == {"no pattern"} and {r.rule_error for r in got if r.pod != 1} == {None}
+    assert [r.attrs for r in got if r.pod == 2 and r.i < 2] == [{"a.b": "own"}, {"a.b": "1"}]
+
+
 def test_sampling(spark):
     df = spark.range(20_000).select(F.col("id"), F.when(F.col("id") % 2 == 0, "INFO x").otherwise("other").alias("message"))
     rules = [SamplingRule("INFO", 0.2), SamplingRule("I", 1.0)]
