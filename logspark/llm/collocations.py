@@ -1,12 +1,13 @@
 """Phrase collocations: counts of word n-grams in counting quotient filters, and how fast the words of a phrase stick together.
 
-A first pass splits texts into pieces and words. Each chunk of texts is written once, as its own vocabulary and the run of its words'
-numbers in it, so that texts are read once. The vocabularies' counts give the corpus's dictionary: words that are frequent
-enough for a phrase have an id, and each chunk gets its numbers' ids by a join. A second pass packs the ids of
-each n-gram and permutes them invertibly; the upper part of the result is the quotient, the lower part the remainder. A chunk's filter keeps its n-grams
-in order of quotients, as the number of remainders of each quotient, the remainders in full, and counters of one byte with an overflow:
-nothing is lost, and the permutation undone gives the ids back. Filters are cut into shards by quotient; sorted filters
-of a shard are merged, a shard at a time, and n-grams that are frequent enough leave as rows.
+A first pass splits texts into pieces and words. Each chunk of texts is written once, as the run of its words' numbers in its own vocabulary,
+and that vocabulary, packed by buckets of words; so texts are read once. A bucket's task adds up its words' counts, gives those that are frequent
+enough for a phrase an id, and tells every chunk the ids of its words. A second pass puts ids into the runs (0 for other words) and writes those.
+Then the ids of each pair are packed and permuted invertibly; the upper part of the result is the quotient, the lower part the remainder. A chunk's filter
+keeps its n-grams in order of quotients, as the number of remainders of each quotient, the remainders in full, and counters of one byte with an
+overflow: nothing is lost, and the permutation undone gives the ids back. Filters are cut into shards by quotient; sorted filters of a
+shard are merged, a shard at a time, and n-grams that are frequent enough leave as rows. Triples are counted after pairs, in the same way: a triple can only be frequent if
+both its pairs are, so a bitmap of the frequent pairs keeps most others from travelling; it lets some pass, and the counts decide.
 
 The permutation spreads frequent words over the shards, and a chunk has one entry for an n-gram however often it occurs, so no word or phrase makes a
 shard hot. Cuts, scores and ranks are joins and windows over the phrases that are left, with exact decimals.
@@ -15,21 +16,27 @@ shard hot. Cuts, scores and ranks are joins and windows over the phrases that ar
 from __future__ import annotations
 
 import itertools
+import uuid
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from logspark.llm.common import checkpoint, deal, lean, mix64, partitions, tasks
+from logspark.llm.common import checkpoint, deal, lean, membership, mix64, partitions, tasks
 
 #: Bytes of texts in a chunk (a longer text is a chunk of its own), and of those that wait for more.
 CHUNK, WAITING = 8 << 20, 64 << 20
 #: Entries that a shard should have, and from which on filters that wait are merged.
 SHARD = 1 << 21
-#: Words of a bucket that is numbered together; ids up to so many bits (three of them are packed).
-NUMBERED, MOST_BITS = 1 << 16, 32
+#: Entries of vocabularies in a bucket of words (about 12 bytes each), ids up to so many bits (three of them are packed).
+WORDS, MOST_BITS = 1 << 20, 32
+#: Buckets of words that chunks are packed by; where they hold too much, each is split further before it is dealt.
+FINE = 1 << 8
+#: Parts of a language that are ranked apart, one set of parts after another.
+SALTS = (64, 8)
 #: Rows up to which the dictionary is broadcast (about 60 bytes each); above it is joined by shuffles.
 BROADCAST_WORDS = 200_000
 
@@ -159,23 +166,34 @@ def _integers(raw: np.ndarray) -> np.ndarray:
     return np.add.reduceat((raw & 127).astype(np.int64) << (7 * place), starts)
 
 
-def ngrams(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The pairs (0, a, b) and triples (a, b, c) of a run of ids in which 0 stands for what no phrase holds."""
-    a, b = ids[:-1], ids[1:]
-    two = (a != 0) & (b != 0)
-    three = two[:-1] & two[1:]
-    zero = np.zeros(int(two.sum()), ids.dtype)
-    return np.r_[zero, ids[:-2][three]], np.r_[a[two], ids[1:-1][three]], np.r_[b[two], ids[2:][three]]
-
-
 def chunks(df: DataFrame, text: str, lang: str) -> DataFrame:
-    """chunk, lang, words, counts, run (see numbered): whole texts, one chunk after another, written in the shared folder."""
+    """chunk, lang, bucket, n, body, written in the shared folder: whole texts, one chunk after another.
+
+    A chunk has a row with bucket -1, whose body is the run of its words (see numbered) and n their number, and a row for each bucket of its words:
+    the words (as text with spaces), their numbers and counts.
+    """
     src = df.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.col(text).cast("binary").alias("text"))
 
     def one(lang: str, texts: list[bytes]) -> pa.RecordBatch:
         words, counts, run = numbered(texts)
-        columns = [pa.array([lang]), pa.array([words], pa.list_(pa.binary())), pa.array([counts.tolist()], pa.list_(pa.int64())), pa.array([zstandard.ZstdCompressor(level=1).compress(run.tobytes())], pa.binary())]
-        return pa.RecordBatch.from_arrays(columns, ["lang", "words", "counts", "run"])
+        squeeze = zstandard.ZstdCompressor(level=3)
+        # the chunk's own word numbers by frequency, so that small numbers are common
+        order = np.argsort(-counts, kind="stable")
+        place = np.zeros(len(words) + 1, np.int32)
+        place[order + 1] = np.arange(1, len(words) + 1)
+        run = place[run]
+        name = uuid.uuid4().hex
+        of = _hashes([words[i] for i in order]) % np.uint64(FINE)
+        by = np.argsort(of, kind="stable")
+        cut = np.flatnonzero(np.r_[True, np.diff(of[by]) != 0]) if len(by) else np.zeros(0, np.int64)
+        buckets, bodies = [-1], [squeeze.compress(np.ascontiguousarray(run.view(np.uint8).reshape(-1, 4).T).tobytes())]
+        for s, e in zip(cut, np.r_[cut[1:], len(by)]):
+            own = by[s:e]
+            numbers, n = np.sort(own).astype("<i4"), counts[order[np.sort(own)]].astype("<i8")
+            buckets.append(int(of[own[0]]))
+            bodies.append(_packed(numbers, n, [words[order[i]] for i in numbers]))
+        size = [int(counts.sum()), *np.diff(np.r_[cut, len(by)]).tolist()]
+        return pa.RecordBatch.from_arrays([pa.array([name] * len(buckets)), pa.array([lang] * len(buckets)), pa.array(buckets, pa.int32()), pa.array(size, pa.int64()), pa.array(bodies, pa.binary())], ["chunk", "lang", "bucket", "n", "body"])
 
     def run(batches):
         held: dict[str, list[bytes]] = {}
@@ -197,53 +215,139 @@ def chunks(df: DataFrame, text: str, lang: str) -> DataFrame:
         for k in list(held):
             yield one(k, held.pop(k))
 
-    out = src.mapInArrow(lean(run), "lang string, words array<binary>, counts array<bigint>, run binary")
-    return checkpoint(out.select(F.monotonically_increasing_id().alias("chunk"), "*"))
+    # a chunk's name is its own; it is written once
+    return checkpoint(src.mapInArrow(lean(run), "chunk string, lang string, bucket int, n bigint, body binary"))
 
 
-def dictionary(counts: DataFrame, least: int) -> DataFrame:
-    """id, lang, word, f of the words that occur `least` times. Ids are from 1, each once, and close together; no order is needed for that.
+def _hashes(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+
+
+def _packed(numbers: np.ndarray, counts: np.ndarray, words: list[bytes]) -> bytes:
+    """Words, which hold no spaces, with their numbers in rising order and their counts."""
+    parts = [np.int64(len(words)).tobytes(), np.diff(numbers, prepend=0).astype("<i4").tobytes(), counts.astype("<i8").tobytes(), b" ".join(words)]
+    return zstandard.ZstdCompressor(level=3).compress(b"".join(parts))
+
+
+def _vocabulary(body: bytes) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    raw = zstandard.ZstdDecompressor().decompress(body)
+    n = int(np.frombuffer(raw, "<i8", 1)[0])
+    return np.cumsum(np.frombuffer(raw, "<i4", n, 8)), np.frombuffer(raw, "<i8", n, 8 + 4 * n), raw[8 + 12 * n :].split(b" ")
 
-    Words are numbered in buckets, and the buckets' numbers interleave.
-    """
-    frequent = checkpoint(counts.groupBy("lang", "word").agg(F.sum("n").alias("f")).where(F.col("f") >= least))
-    n_buckets = max(1, -(-frequent.count() // NUMBERED))
-    bucket = F.pmod(F.xxhash64("lang", "word"), F.lit(n_buckets))
-    nth = F.row_number().over(Window.partitionBy("_bucket").orderBy("lang", "word"))
-    return checkpoint(frequent.withColumn("_bucket", bucket).select((nth.cast("long") * n_buckets - F.col("_bucket")).alias("id"), "lang", "word", "f"))
 
+def dictionary(texts: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
+    """id, lang, word, f of the words that occur `least` times; and chunk, known: for each bucket of a chunk's words the numbers and ids of those.
 
-def count_phrases(texts: DataFrame, words: DataFrame, least: int) -> DataFrame:
-    """x, y, z, f: the ids of each pair (x is 0) and triple of words that occurs `least` times within pieces. texts: see chunks; words: see dictionary."""
+    Ids are from 1, each once: a bucket numbers its words, and the buckets' numbers interleave. A task holds one bucket's vocabularies, compressed.
+    """
     spark = texts.sparkSession
-    top = words.agg(F.max("id")).first()[0] or 1
-    bits = top.bit_length()
-    if bits > MOST_BITS:
-        raise ValueError(f"ids of {bits} bits")
+    words = texts.where("bucket >= 0").select("bucket", "lang", "chunk", "body")
+    entries = texts.where("bucket >= 0").agg(F.sum("n")).first()[0] or 0
+
+    # with more vocabularies than the buckets should hold, a bucket is k
+    k = max(1, -(-entries // (FINE * WORDS)))
+    n_buckets = FINE * k
+
+    def split(batches):
+        for b in batches:
+            for bucket, lang, chunk, body in zip(b["bucket"].to_pylist(), b["lang"].to_pylist(), b["chunk"].to_pylist(), b["body"]):
+                numbers, counts, own = _vocabulary(body.as_py())
+                of = _hashes(own) // np.uint64(FINE) % np.uint64(k)
+                parts = np.unique(of)
+                bodies = [_packed(numbers[of == p], counts[of == p], [own[i] for i in np.flatnonzero(of == p)]) for p in parts]
+                columns = [pa.array((bucket + FINE * parts.astype(np.int64)).astype(np.int32)), pa.array([lang] * len(parts), pa.string()), pa.array([chunk] * len(parts), pa.string()), pa.array(bodies, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["bucket", "lang", "chunk", "body"])
+
+    if k > 1:
+        words = words.mapInArrow(lean(split), "bucket int, lang string, chunk string, body binary")
+
+    def one(bucket: int, held: list[tuple[str, str, bytes]]):
+        total: dict[tuple[str, bytes], int] = {}
+        for lang, _, body in held:
+            _, counts, own = _vocabulary(body)
+            for w, n in zip(own, counts.tolist()):
+                total[lang, w] = total.get((lang, w), 0) + n
+        frequent = sorted(w for w, n in total.items() if n >= least)
+        ids = {w: i * n_buckets + bucket + 1 for i, w in enumerate(frequent)}
+        # frequent words come back as rows, and to each chunk as its numbers and their ids
+        n = len(frequent)
+        yield pa.RecordBatch.from_arrays([pa.array(ids.values(), pa.int64()), pa.array([w[0] for w in frequent], pa.string()), pa.array([w[1] for w in frequent], pa.binary()), pa.array([total[w] for w in frequent], pa.int64()), pa.nulls(n, pa.string()), pa.nulls(n, pa.binary())], names)
+        for lang, chunk, body in held:
+            numbers, _, own = _vocabulary(body)
+            of = np.fromiter((ids.get((lang, w), 0) for w in own), np.int64, len(own))
+            numbers, of = numbers[of > 0].astype("<i4"), of[of > 0].astype("<i8")
+            packed = zstandard.ZstdCompressor(level=1).compress(np.int64(len(of)).tobytes() + numbers.tobytes() + of.tobytes())
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.string()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.int64()), pa.array([chunk]), pa.array([packed], pa.binary())], names)
+
+    names = ["id", "lang", "word", "f", "chunk", "known"]
+
+    def run(batches):
+        rows = ((bucket, lang, chunk, body.as_py()) for b in batches for bucket, lang, chunk, body in zip(b["bucket"].to_pylist(), b["lang"].to_pylist(), b["chunk"].to_pylist(), b["body"]))
+        for bucket, group in itertools.groupby(rows, key=lambda r: r[0]):
+            yield from one(bucket, [r[1:] for r in group])
+
+    dealt = deal(words, min(tasks(spark, n_buckets), max(partitions(spark), -(-entries // WORDS))))
+    out = checkpoint(dealt.mapInArrow(lean(run), "id long, lang string, word binary, f long, chunk string, known binary"))
+    return out.where("id is not null").select("id", "lang", "word", "f"), out.where("chunk is not null").select("chunk", "known")
+
+
+def with_ids(texts: DataFrame, known: DataFrame) -> DataFrame:
+    """n, run: the run of each chunk with ids in place of its own numbers, 0 for words that no phrase can hold, compressed; written in the shared folder."""
+    # as many rows for a chunk as there are buckets at most
+    of = known.groupBy("chunk").agg(F.collect_list("known").alias("known"))
+
+    def run(batches):
+        for b in batches:
+            runs = []
+            for body, known, n in zip(b["body"], b["known"].to_pylist(), b["n"].to_pylist()):
+                ids, got = np.zeros(n + 1, np.int64), zstandard.ZstdDecompressor()
+                for k in known or ():
+                    raw = got.decompress(k)
+                    m = int(np.frombuffer(raw, "<i8", 1)[0])
+                    ids[np.frombuffer(raw, "<i4", m, 8) + 1] = np.frombuffer(raw, "<i8", m, 8 + 4 * m)
+                flat = np.frombuffer(got.decompress(body.as_py()), np.uint8)
+                own = np.ascontiguousarray(flat.reshape(4, -1).T).view(np.int32).ravel()
+                of = ids[own]
+                # a run of words outside phrases is one gap
+                of = of[np.r_[True, (of[1:] != 0) | (of[:-1] != 0)]] if len(of) else of
+                runs.append(zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(of.astype("<i8").view(np.uint8).reshape(-1, 8).T).tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array(runs, pa.binary())], ["run"])
+
+    both = texts.where("bucket = -1").select("chunk", "n", "body").join(of, "chunk", "left")
+    return checkpoint(both.select("n", "body", "known").mapInArrow(lean(run), "run binary"))
+
+
+def count_phrases(runs: DataFrame, bits: int, least: int, n_words: int, size: int, may_hold=None) -> DataFrame:
+    """x, y, z, f: the ids of each pair (size 2, x is 0) or triple of words that occurs `least` times within pieces. runs: see with_ids.
+
+    may_hold: whether a pair, by its hash, may be frequent; triples with another pair don't count.
+    """
+    spark = runs.sparkSession
     permute, width = Permutation(bits), -(-2 * bits // 8)
-    own = texts.select("chunk", "lang", F.posexplode("words").alias("at", "word"))
-    # a list is as long as its chunk's vocabulary at most
-    known = _with_words(own, words.select("id", "lang", "word"), ["lang", "word"], words.count()).groupBy("chunk").agg(F.collect_list(F.struct("at", "id")).alias("known"))
-    n_words = texts.agg(F.sum(F.aggregate("counts", F.lit(0).cast("long"), lambda s, x: s + x))).first()[0] or 0
-    n_shards = max(1, min(1 << bits, max(partitions(spark), -(-2 * n_words // SHARD))))
+    n_shards = max(1, min(1 << bits, max(partitions(spark), -(-n_words // SHARD))))
     # shards are ranges of quotients
     bounds = np.array([-(-s * (1 << bits) // n_shards) for s in range(n_shards + 1)], np.int64)
 
+    def ngrams(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        two = (ids[:-1] != 0) & (ids[1:] != 0)
+        if size == 2:
+            return np.zeros(int(two.sum()), np.int64), ids[:-1][two], ids[1:][two]
+        if may_hold is not None:
+            two[two] = may_hold(pair_hash(ids[:-1][two], ids[1:][two], bits))
+        three = two[:-1] & two[1:]
+        return ids[:-2][three], ids[1:-1][three], ids[2:][three]
+
     def filtered(batches):
         for b in batches:
-            for run, size, known in zip(b["run"], b["size"].to_pylist(), b["known"]):
-                of = np.zeros(size + 1, np.int64)
-                known = known.values
-                of[known.field("at").to_numpy() + 1] = known.field("id").to_numpy()
-                ids = of[np.frombuffer(zstandard.ZstdDecompressor().decompress(run.as_py()), np.int32)]
+            for run in b["run"]:
+                flat = np.frombuffer(zstandard.ZstdDecompressor().decompress(run.as_py()), np.uint8)
+                ids = np.ascontiguousarray(flat.reshape(8, -1).T).view(np.int64).ravel()
                 f = QuotientFilter.of(*permute.forth(*ngrams(ids)))
                 cut = np.searchsorted(f.quotient, bounds.astype(np.uint64))
                 full = np.flatnonzero(np.diff(cut))
                 body = [QuotientFilter(f.quotient[cut[s] : cut[s + 1]], f.remainder[cut[s] : cut[s + 1]], f.count[cut[s] : cut[s + 1]]).encoded(int(bounds[s]), int(bounds[s + 1] - bounds[s]), width) for s in full]
                 yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array(body, pa.binary())], ["bucket", "body"])
 
-    packed = texts.select("chunk", "run", F.size("words").alias("size")).join(known, "chunk").select("run", "size", "known").mapInArrow(lean(filtered), "bucket int, body binary")
-
     def merged(batches):
         rows = ((bucket, body.as_py()) for b in batches for bucket, body in zip(b["bucket"].to_pylist(), b["body"]))
         for s, group in itertools.groupby(rows, key=lambda r: r[0]):
@@ -257,7 +361,12 @@ def count_phrases(texts: DataFrame, words: DataFrame, least: int) -> DataFrame:
             ids = permute.back(f.quotient[keep], f.remainder[keep])
             yield pa.RecordBatch.from_arrays([*(pa.array(x.astype(np.int64)) for x in ids), pa.array(f.count[keep])], ["x", "y", "z", "f"])
 
-    return deal(packed, tasks(spark, n_shards)).mapInArrow(lean(merged), "x long, y long, z long, f long")
+    return deal(runs.mapInArrow(lean(filtered), "bucket int, body binary"), tasks(spark, n_shards)).mapInArrow(lean(merged), "x long, y long, z long, f long")
+
+
+def pair_hash(a: np.ndarray, b: np.ndarray, bits: int) -> np.ndarray:
+    """A hash of pairs of ids, not negative."""
+    return (mix64((a.astype(np.uint64) << np.uint64(bits)) | b.astype(np.uint64)) >> np.uint64(1)).astype(np.int64)
 
 
 def _with_words(df: DataFrame, words: DataFrame, on: list[str] | str, n_words: int) -> DataFrame:
@@ -280,11 +389,23 @@ def collocations(df: DataFrame, text: str = "text", lang: str = "lang", least: i
     Texts of any length are whole: a text longer than a chunk is a chunk of its own, one task's. Empty tables give empty ones. Other columns don't pass, so none can clash.
     """
     texts = chunks(df, text, lang)
-    counts = texts.select("lang", F.explode(F.arrays_zip("words", "counts")).alias("w")).select("lang", F.col("w.words").alias("word"), F.col("w.counts").alias("n"))
-    sizes = texts.groupBy("lang").agg(F.sum(F.aggregate("counts", F.lit(0).cast("long"), lambda s, x: s + x)).alias("n"))
-    words = dictionary(counts, least)
-    n_words = words.count()
-    found = checkpoint(count_phrases(texts, words, least))
+    sizes = texts.where("bucket = -1").groupBy("lang").agg(F.sum("n").alias("n"))
+    words, known = dictionary(texts, least)
+    n_words, top_id = words.agg(F.count("*"), F.max("id")).first()
+    bits = (top_id or 1).bit_length()
+    if bits > MOST_BITS:
+        raise ValueError(f"ids of {bits} bits")
+    runs = with_ids(texts, known)
+    n_all = sizes.agg(F.sum("n")).first()[0] or 0
+    found = checkpoint(count_phrases(runs, bits, least, n_all, 2))
+
+    def hashed(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(pair_hash(b["y"].to_numpy(), b["z"].to_numpy(), bits))], ["pair"])
+
+    # a bitmap of the frequent pairs, of bounded size; more pairs than it has room for only let more triples travel
+    may_hold = membership(found.mapInArrow(lean(hashed), "pair long"), "pair", found.count())
+    found = found.unionByName(checkpoint(count_phrases(runs, bits, least, n_all, 3, may_hold)))
     single = words.select("id", F.col("f").alias("own"))
     pairs = found.where("x = 0").select(F.col("y").alias("x"), F.col("z").alias("y"), F.col("f").alias("a"))
     triples = found.where("x > 0").withColumnRenamed("f", "a")
@@ -304,7 +425,9 @@ def collocations(df: DataFrame, text: str = "text", lang: str = "lang", least: i
     best = _with_words(two.unionByName(three), words.select(F.col("id").alias("x"), "lang"), "x", n_words)
     # those that may be among the first by score and count, before they get their words: ties stay
     order = [F.col("score").desc(), F.col("a").desc()]
-    best = best.withColumn("rank", F.rank().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("rank") <= top).drop("rank")
+    for salts in SALTS:
+        salt = F.pmod(F.xxhash64("x", "y", "z"), F.lit(salts))
+        best = best.withColumn("rank", F.rank().over(Window.partitionBy("lang", salt).orderBy(*order))).where(F.col("rank") <= top).drop("rank")
     for c in "xyz":
         of = words.select(F.col("id").alias(c), F.col("word").cast("string").alias(f"w{c}"))
         best = best.join(F.broadcast(of) if n_words <= BROADCAST_WORDS else of, c, "left")
