@@ -14,9 +14,17 @@ from logspark.plans.registry import query, table
 from logspark.plans.stream_queries import run_to_end, shared_folder
 from logspark.sources import files, sinks
 from logspark.sources.files import document_lines
+from logspark.sources.tailing import LogTail, Monitor
 
+#: A sum that tells whether lines have the same texts, in any order: of 32 bits of each one's MD5.
+_DIGEST_SQL = "CAST(sum(CAST('0x' || substr(md5({0}), 1, 8) AS BIGINT)) AS BIGINT)"
 
-@query(f"WITH {LINES} SELECT log_path, count(*) AS lines, CAST(sum(raw_len) AS BIGINT) AS bytes, count(DISTINCT line_seq) AS places FROM L WHERE log_path <> 'src7' GROUP BY 1")
+
+def _digest(c: str):
+    return F.sum(F.conv(F.substring(F.md5(F.col(c).cast("binary")), 1, 8), 16, 10).cast("long")).alias("digest")
+
+
+@query(f"WITH {LINES} SELECT log_path, count(*) AS lines, CAST(sum(raw_len) AS BIGINT) AS bytes, count(DISTINCT line_seq) AS places, {_DIGEST_SQL.format('raw')} AS digest FROM L WHERE log_path <> 'src7' GROUP BY 1")
 def read_log_lines(spark, sf_dir):
     """A folder of text files for each log; one log is excluded."""
     folder = shared_folder(spark, "logs")
@@ -26,7 +34,7 @@ def read_log_lines(spark, sf_dir):
     lines = files.read_log_lines(spark, [folder], exclude=["*/log_path=log-src7/*"])
     log = F.regexp_extract("log_path", "log_path=log-([^/]*)", 1)
     place = F.struct("log_path", "line_seq")
-    return lines.select(log.alias("log"), "raw_len", place.alias("place")).groupBy(F.col("log").alias("log_path")).agg(F.count("*").alias("lines"), F.sum("raw_len").alias("bytes"), F.count_distinct("place").alias("places"))
+    return lines.select(log.alias("log"), "raw_len", "raw", place.alias("place")).groupBy(F.col("log").alias("log_path")).agg(F.count("*").alias("lines"), F.sum("raw_len").alias("bytes"), F.count_distinct("place").alias("places"), _digest("raw"))
 
 
 @query("SELECT strftime(ts, '%Y-%m-%d') AS date, count(*) AS events, CAST(sum(event_id) AS BIGINT) AS ids FROM events GROUP BY 1")
@@ -68,12 +76,70 @@ def read_db_status(spark, sf_dir):
     return files.read_db_status(spark, f"{sf_dir}/orders.parquet").groupBy(F.col("o_orderstatus").alias("status")).agg(F.count("*").alias("rows"))
 
 
-@query(f"WITH {LINES} SELECT count(*) AS lines, CAST(sum(strlen(raw)) AS BIGINT) AS bytes FROM L")
+@query(f"WITH {LINES} SELECT count(*) AS lines, CAST(sum(strlen(raw)) AS BIGINT) AS bytes, {_DIGEST_SQL.format('raw')} AS digest FROM L")
 def stream_log_lines(spark, sf_dir):
     folder = shared_folder(spark, "landed")
     document_lines(spark, sf_dir).select("raw").write.option("lineSep", "\n").text(folder)
     out = run_to_end(files.stream_log_lines(spark, folder, per_trigger=3), "lines")
-    return out.agg(F.count("*").alias("lines"), F.sum(F.octet_length("raw")).alias("bytes"))
+    return out.agg(F.count("*").alias("lines"), F.sum(F.octet_length("raw")).alias("bytes"), _digest("raw"))
+
+
+_TAILED_SQL = f"WITH {LINES} SELECT log_path, count(*) AS lines, CAST(sum(raw_len) AS BIGINT) AS bytes, {_DIGEST_SQL.format('raw')} AS digest FROM L GROUP BY 1"
+
+
+def _tailed(lines):
+    log = F.regexp_extract("log_path", "log_path=log-([^/]*)", 1)
+    return lines.groupBy(log.alias("log_path")).agg(F.count("*").alias("lines"), F.sum("raw_len").cast("long").alias("bytes"), _digest("raw"))
+
+
+def _written_logs(spark, sf_dir) -> str:
+    folder = shared_folder(spark, "tailed")
+    named = F.concat(F.lit("log-"), "log_path").alias("log_path")
+    document_lines(spark, sf_dir).select(named, "raw").write.option("lineSep", "\n").partitionBy("log_path").text(folder)
+    return folder
+
+
+@query(_TAILED_SQL)
+def tail_log_lines(spark, sf_dir):
+    """Files of lines through the registered source, in ranges of 64 KB."""
+    spark.dataSource.register(LogTail)
+    return _tailed(spark.read.format("log_tail").options(path=_written_logs(spark, sf_dir), rangeBytes=str(1 << 16)).load())
+
+
+@query(_TAILED_SQL)
+def tail_log_stream(spark, sf_dir):
+    """The same as a stream, which is started twice from one checkpoint and reads nothing twice."""
+    spark.dataSource.register(LogTail)
+    source, folder = _written_logs(spark, sf_dir), shared_folder(spark, "tail")
+    for _ in range(2):
+        lines = spark.readStream.format("log_tail").option("path", source).load()
+        lines.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return _tailed(spark.read.schema(lines.schema).parquet(f"{folder}/out"))
+
+
+class LogSizes(Monitor):
+    """Bytes of each of the folders below a path, as a plugin: an instance is a folder."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "log_sizes"
+
+    def instances(self) -> list[str]:
+        system, path = fs.FileSystem.from_uri(self.options["path"])
+        return [f.path for f in system.get_file_info(fs.FileSelector(path)) if f.type == fs.FileType.Directory]
+
+    def gather(self, instance: str):
+        system, _ = fs.FileSystem.from_uri(self.options["path"])
+        sizes = [f.size for f in system.get_file_info(fs.FileSelector(instance, recursive=True)) if f.type == fs.FileType.File and not f.base_name.startswith((".", "_"))]
+        yield "log.bytes", sum(sizes), None, None
+
+
+@query(f"WITH {LINES} SELECT log_path, 'log.bytes' AS metric, CAST(sum(raw_len) AS DOUBLE) AS value FROM L GROUP BY 1")
+def plugin_metrics(spark, sf_dir):
+    """Metrics that a plugin gathers, a task for each log."""
+    spark.dataSource.register(LogSizes)
+    m = spark.read.format("log_sizes").option("path", _written_logs(spark, sf_dir)).load()
+    return m.select(F.regexp_extract("instance", "log_path=log-([^/]*)", 1).alias("log_path"), "metric", "value")
 
 
 @query(f"""WITH {LINES}, B AS (SELECT *, row_number() OVER (PARTITION BY log_path ORDER BY line_seq) AS rn, count(*) OVER (PARTITION BY log_path) AS n FROM L WHERE log_path <> ''),

@@ -13,8 +13,8 @@ from logspark.operators.ordered import shared_top
 from logspark.operators.reports import session_expiry
 from logspark.plans.metric_queries import _LIMIT_SQL, _RATE_SQL
 from logspark.plans.registry import query, table
-from logspark.sources import sinks
-from logspark.streaming import stateful
+from logspark.sources import delivery, sinks
+from logspark.streaming import reports, stateful
 
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 
@@ -149,3 +149,52 @@ def stream_frames(spark, sf_dir):
     chunks = chunks.select("conn_id", (F.col("event_id") * 2 + F.col("k")).alias("chunk_seq"), F.col("part").cast("binary").alias("payload"))
     out = run_to_end(stateful.stream_frames(chunks, wait_ms=None), "frames")
     return out.where("complete").groupBy("conn_id").agg(F.count("*").alias("frames"), F.sum(F.octet_length("frame")).alias("bytes"))
+
+
+@query("""SELECT count(*) AS lines_read, CAST(sum(event_id) AS BIGINT) AS bytes_read, count(*) FILTER (c) AS lines_copied, CAST(coalesce(sum(event_id) FILTER (c), 0) AS BIGINT) AS bytes_copied,
+ count(*) FILTER (NOT k) AS lines_dropped, CAST(coalesce(sum(event_id) FILTER (NOT k), 0) AS BIGINT) AS bytes_dropped, count(*) FILTER (c AND event_type = 'view') AS lines_redacted,
+ count(*) FILTER (f) AS lines_failed, CAST(coalesce(sum(event_id) FILTER (f), 0) AS BIGINT) AS bytes_failed, count(*) FILTER (s) AS lines_skipped, CAST(coalesce(sum(event_id) FILTER (s), 0) AS BIGINT) AS bytes_skipped
+ FROM (SELECT *, k AND NOT f AND NOT s AS c FROM (SELECT *, event_id % 3 <> 0 AS k, event_id % 11 = 1 AS f, user_id % 10 = 1 AS s FROM events))""")
+def stream_observed_report(spark, sf_dir):
+    """What a stream's batches observed as they passed, all batches together."""
+    e = stream_of(spark, sf_dir, "events")
+    flags = (F.col("event_id") % 3 != 0, F.col("event_type") == "view", F.col("event_id") % 11 == 1, F.col("user_id") % 10 == 1)
+    name = f"lines-{uuid.uuid4().hex}"
+    listener = reports.BatchReports(name)
+    spark.streams.addListener(listener)
+    try:
+        run_to_end(reports.observed(e, name, *flags, size="event_id").select("event_id"), "observed")
+        reports.settled(spark)
+    finally:
+        spark.streams.removeListener(listener)
+    return listener.table(spark).agg(*(F.sum(c).alias(c) for c in reports.COUNTS))
+
+
+@query("""WITH S AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w >= INTERVAL '12 hours' OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+ G AS (SELECT *, sum(n) OVER (PARTITION BY user_id ORDER BY ts) AS g FROM S)
+ SELECT user_id, epoch_us(min(ts)) AS opened, epoch_us(max(ts)) AS last_seen, count(*) AS lines FROM G GROUP BY user_id, g HAVING max(ts) + INTERVAL '12 hours' <= (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL '1 hour' FROM events)""")
+def stream_session_periods(spark, sf_dir):
+    """Sessions that are over when the stream ends; the others are held."""
+    out = run_to_end(reports.stream_sessions(stream_of(spark, sf_dir, "events"), "user_id", "ts", "12 hours", "1 hour"), "sessions")
+    return out.select("user_id", F.unix_micros("opened").alias("opened"), F.unix_micros("last_seen").alias("last_seen"), "lines")
+
+
+@query("""SELECT unnest(['done', 'retried']) AS state, unnest([1, 1]) AS batches, unnest([1, 2]) AS attempts, unnest([count(*), 2 * count(*)]) AS rows, CAST(unnest([sum(event_id), 2 * sum(event_id)]) AS BIGINT) AS bytes,
+ unnest([count(*), 0]) AS seen FROM events""")
+def deliver_batches(spark, sf_dir):
+    """A receiver that fails twice after it wrote: readers see each row once, the ledger has all attempts."""
+    folder = shared_folder(spark, "delivery")
+    failures = [2]
+
+    def send(batch: DataFrame, part: str) -> None:
+        batch.write.parquet(part)
+        if failures[0]:
+            failures[0] -= 1
+            raise OSError("no answer")
+
+    e = stream_of(spark, sf_dir, "events").select("event_id")
+    delivery.deliver(e, send, f"{folder}/out", f"{folder}/checkpoint", size="event_id").awaitTermination()
+    report = delivery.delivery_report(delivery.read_ledger(spark, f"{folder}/out"))
+    seen = delivery.delivered(spark, f"{folder}/out", "event_id bigint").agg(F.count("*").alias("n"))
+    # one row
+    return report.join(F.broadcast(seen)).withColumn("seen", F.when(F.col("state") == "done", F.col("n")).otherwise(0)).drop("n")

@@ -3,14 +3,16 @@
 import os
 import time
 
+import pytest
 from pyspark.sql import functions as F
 
 from logspark.model import Grouper
 from logspark.operators import lines as L
 from logspark.operators import parse
 from logspark.plans.stream_queries import PROVIDER, run_to_end
-from logspark.sources import files, sinks
-from logspark.streaming import stateful
+from logspark.sources import delivery, files, sinks
+from logspark.operators.reports import processing_report, session_expiry
+from logspark.streaming import reports, stateful
 
 
 def _stream(spark, df, path, order, parts=3):
@@ -124,3 +126,72 @@ def test_lines_of_a_stream_are_in_order(spark, tmp_path):
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
     assert [r.raw for r in out.orderBy("line_seq").collect()] == [f"line {i}\r" for i in range(3000)]
+
+
+def test_batches_report_what_they_did(spark, tmp_path):
+    """The observed counts of each batch are those of the batch report over its rows."""
+    df = spark.range(40).select("id", (F.col("id") * 3).alias("raw_len"))
+    flags = lambda: (F.col("id") % 4 != 0, F.col("id") % 5 == 0, F.col("id") % 7 == 0, F.col("id") % 9 == 0)
+    listener = reports.BatchReports("mine")
+    spark.streams.addListener(listener)
+    try:
+        run_to_end(reports.observed(_stream(spark, df, tmp_path / "in", "id", 4), "mine", *flags()), "observed")
+        reports.settled(spark)
+    finally:
+        spark.streams.removeListener(listener)
+    got = listener.table(spark).orderBy("batch_id").select(*reports.COUNTS).collect()
+    files_ = df.withColumn("part", F.floor(F.col("id") / 10))
+    want = processing_report(files_, ["part"], *flags()).select(*reports.COUNTS).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and len(got) == 4
+
+
+def test_sessions_end_as_their_logs_fall_silent(spark, tmp_path):
+    rows = [(i, k, f"2024-01-01 {h:02d}:{m:02d}:00") for i, (k, h, m) in enumerate([("a", 0, 0), ("b", 0, 5), ("a", 0, 8), ("a", 0, 30), ("b", 0, 14), ("a", 2, 0), ("b", 5, 0), ("c", 9, 0)])]
+    df = spark.createDataFrame(rows, "id long, key string, t string").withColumn("ts", F.col("t").cast("timestamp_ntz")).coalesce(1)
+    got = run_to_end(reports.stream_sessions(_stream(spark, df, tmp_path / "in", "id", 4), "key", "ts", "10 minutes", "1 hour"), "sessions")
+    want = session_expiry(df, "key", "ts", "10 minutes").where("key <> 'c'")
+    assert sorted(got.collect()) == sorted(want.collect()) and want.count() == 5
+
+
+def _deliver(spark, tmp_path, fails, **options):
+    """Two batches through a receiver that fails as told: by batch, how often, and with what."""
+    source = tmp_path / "in"
+    stream = _stream(spark, spark.range(8).select("id"), source, "id", 2) if not source.exists() else spark.readStream.schema("id long").option("maxFilesPerTrigger", 1).parquet(str(source))
+
+    def send(batch, part):
+        batch.write.parquet(part)
+        key = 0 if batch.where("id = 0").count() else 1
+        if fails.get(key):
+            raise fails[key].pop()
+
+    return delivery.deliver(stream, send, str(tmp_path / "out"), str(tmp_path / "c"), size="id", **options)
+
+
+def _seen(spark, tmp_path):
+    ledger = [(r.batch_id, r.attempt, r.state, r.rows, r.bytes) for r in delivery.read_ledger(spark, str(tmp_path / "out")).orderBy("batch_id", "attempt").collect()]
+    return ledger, sorted(r.id for r in delivery.delivered(spark, str(tmp_path / "out"), "id long").collect())
+
+
+def test_a_failed_delivery_is_repeated(spark, tmp_path):
+    _deliver(spark, tmp_path, {0: [OSError("x")]}).awaitTermination()
+    assert _seen(spark, tmp_path) == ([(0, 1, "retried", 4, 6), (0, 2, "done", 4, 6), (1, 1, "done", 4, 22)], list(range(8)))
+    # a lost commit doesn't send it again
+    for f in os.listdir(tmp_path / "c" / "commits"):
+        os.remove(tmp_path / "c" / "commits" / f)
+    _deliver(spark, tmp_path, {}).awaitTermination()
+    assert len(_seen(spark, tmp_path)[0]) == 3 and _seen(spark, tmp_path)[1] == list(range(8))
+
+
+def test_what_is_never_taken_is_dropped_and_counted(spark, tmp_path):
+    _deliver(spark, tmp_path, {0: [OSError("x")] * 9, 1: [delivery.Drop("no")]}, attempts=2).awaitTermination()
+    ledger, ids = _seen(spark, tmp_path)
+    assert ledger == [(0, 1, "retried", 4, 6), (0, 2, "dropped", 4, 6), (1, 1, "dropped", 4, 22)] and ids == []
+    report = {r.state: (r.batches, r.attempts, r.rows, r.bytes) for r in delivery.delivery_report(delivery.read_ledger(spark, str(tmp_path / "out"))).collect()}
+    assert report == {"retried": (1, 1, 4, 6), "dropped": (2, 2, 8, 28)}
+
+
+def test_a_query_that_may_not_drop_ends_and_goes_on(spark, tmp_path):
+    with pytest.raises(Exception, match="gone"):
+        _deliver(spark, tmp_path, {0: [OSError("gone")] * 2}, attempts=2, give_up="fail").awaitTermination()
+    _deliver(spark, tmp_path, {}, attempts=2, give_up="fail").awaitTermination()
+    assert _seen(spark, tmp_path) == ([(0, 1, "retried", 4, 6), (0, 2, "retried", 4, 6), (0, 3, "done", 4, 6), (1, 1, "done", 4, 22)], list(range(8)))
