@@ -88,6 +88,8 @@ class _Translation:
 
     def one(self, op, arg, flags: int) -> str:
         if op is _c.LITERAL:
+            if arg > 127 and flags & re.IGNORECASE:
+                raise _NoJava(op)  # the cases of some letters differ
             return _literal(arg)
         if op is _c.NOT_LITERAL:
             return f"[^{_literal(arg)}]"
@@ -198,16 +200,44 @@ def _always(items, sure: bool = True):
                 yield from _always(x or (), False)
 
 
-def found(c: Column, pattern: str) -> Column:
-    """Whether a pattern is found in a text (null: false); patterns that Java lacks go through Python, by vectors."""
+def found(c: Column, pattern: str, at_start: bool = False) -> Column:
+    """Whether a pattern is found in a text (at_start: at its beginning; null: false); patterns that Java lacks go through Python, by vectors."""
     java = java_regex(pattern)
     if java is not None:
-        return F.coalesce(c.rlike(java), F.lit(False))
-    compiled = re.compile(pattern)
+        return F.coalesce(c.rlike(f"\\A(?:{java})" if at_start else java), F.lit(False))
+    search = re.compile(pattern).match if at_start else re.compile(pattern).search
 
     @F.pandas_udf("boolean")
     def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: t is not None and compiled.search(t) is not None).astype(bool)
+        return texts.map(lambda t: t is not None and search(t) is not None).astype(bool)
+
+    return run(c)
+
+
+def extracted(c: Column, pattern: str, group: int = 1) -> Column:
+    """A group of the first match, as Python's re has it; empty where there is no match or the group takes no part."""
+    java = java_regex(pattern)
+    if java is not None:
+        return F.regexp_extract(c, java, group)
+    search = re.compile(pattern).search
+
+    @F.pandas_udf("string")
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else ((m := search(t)) and m.group(group)) or "")
+
+    return run(c)
+
+
+def replaced(c: Column, pattern: str, replacement: str) -> Column:
+    """re.sub(pattern, replacement, c)."""
+    java, new = java_regex(pattern), java_replacement(replacement)
+    if java is not None and new is not None and never_empty(pattern):
+        return F.regexp_replace(c, java, new)
+    compiled = re.compile(pattern)
+
+    @F.pandas_udf("string")
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else compiled.sub(replacement, t))
 
     return run(c)
 

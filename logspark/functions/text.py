@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from logspark.functions.patterns import extracted, found, globbed, replaced
+
 def empty_map() -> Column:
     return F.from_json(F.lit("{}"), "map<string,string>")
 
@@ -84,8 +86,6 @@ def pick_fields(values: Column, names: dict[str, str], fixed: dict[str, str] | N
 
 def label_filter(labels: Column, include: list[str], exclude: list[str], prefix: str = "") -> Column:
     """The labels whose keys pass the globs, with a prefix."""
-    from logspark.functions.patterns import globbed
-
     kept = F.map_filter(F.coalesce(labels, empty_map()), lambda k, _: globbed(k, include, exclude))
     return F.transform_keys(kept, lambda k, _: F.concat(F.lit(prefix), k)) if prefix else kept
 
@@ -110,7 +110,7 @@ def summarise_output(c: Column, extract: str | None = None, all_lines: bool = Fa
     plain = c if all_lines else F.substring_index(F.ltrim(c), "\n", 1)
     text = F.trim(plain)
     if extract:
-        text = F.when(c.rlike(extract), F.regexp_extract(c, extract, 1)).otherwise(text)
+        text = F.when(found(c, extract), extracted(c, extract)).otherwise(text)
     cut = F.when(F.length(text) > max_chars, F.concat(F.substring(text, 1, max_chars), F.lit("..."))).otherwise(text)
     return F.struct(cut.alias("output"), F.length(text).cast("long").alias("output_chars"))
 
@@ -129,6 +129,6 @@ def rename_log(df, template: str | None = None, match: str | None = None, replac
             at = m.end()
         new = F.concat(*made, F.lit(template[at:]))
     else:
-        new = F.regexp_replace(c, match, replacement)
+        new = replaced(c, match, replacement)
     df = df.withColumn("logfile", F.coalesce(new, c))
     return df.withColumn("original_file", F.when(F.col("logfile") != c, c))

@@ -10,7 +10,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logspark.functions.patterns import glob_regex
+from logspark.functions.patterns import found, glob_regex
 from logspark.functions.text import empty_map, merge_attrs
 from logspark.functions.values import to_bool
 from logspark.model import LogConfig
@@ -113,7 +113,7 @@ def match_journal(rows: DataFrame, configs: list[dict], fields: str = "fields")
     for c in reversed(configs):
         value = lambda k: F.try_element_at(fields, F.lit(k))
         if "unit" in c:
-            hit = F.coalesce(value("unit").rlike(f"^(?:{c['unit']})"), F.lit(False))
+            hit = found(value("unit"), c["unit"], at_start=True)
         else:
             hit = reduce(lambda a, b: a & b, [F.coalesce(value(k).rlike(glob_regex(g)), F.lit(False)) for k, g in c.get("globs", {}).items()], F.lit(True))
         chosen = F.when(hit, c["name"]).otherwise(chosen)
@@ -142,11 +142,17 @@ def resolve_placeholders(events: DataFrame, messages: DataFrame, key: list[str],
 
 
 def resolve_container(lines: DataFrame, containers: DataFrame, short: int = 12) -> DataFrame:
-    """Adds container_name and container_labels by id, in full or its first characters."""
-    dim = containers.select(F.substring("cid", 1, short).alias("_short"), F.col("cid").alias("_full"), F.col("name").alias("container_name"), F.col("labels").alias("container_labels"))
-    df = lines.withColumn("_short", F.substring("cid", 1, short)).join(dim, "_short", "left")
-    same = F.col("_full").startswith(F.col("cid"))
-    return df.withColumns({c: F.when(same, F.col(c)) for c in ("container_name", "container_labels")}).drop("_short", "_full")
+    """Adds container_name and container_labels by id: in full, or by its first characters (`short` or more), where just one container's id begins so; else null. Lines are never doubled."""
+    named = F.struct(F.col("name").alias("container_name"), F.col("labels").alias("container_labels"))
+    # of rows with one id the one with the least name
+    whole = containers.groupBy("cid").agg(F.min_by(named, F.coalesce("name", F.lit(""))).alias("_named"))
+    begun = whole.groupBy(F.substring("cid", 1, short).alias("_short")).agg(F.collect_list(F.struct("cid", "_named")).alias("_all"))
+    df = lines.withColumn("_short", F.substring("cid", 1, short)).join(begun, "_short", "left")
+    exact = F.get(F.filter("_all", lambda x: x["cid"] == F.col("cid")), F.lit(0))["_named"]
+    fits = F.filter("_all", lambda x: x["cid"].startswith(F.col("cid")))
+    only = F.when((F.size(fits) == 1) & (F.length("cid") >= short), F.get(fits, F.lit(0))["_named"])
+    out = df.withColumn("_named", F.coalesce(exact, only))
+    return out.withColumns({c: F.col("_named")[c] for c in ("container_name", "container_labels")}).drop("_short", "_all", "_named")
 
 
 def namespace_passes(c: Column, include: list[str], ignore: list[str], local_ignore: list[str] | None = None, default_ignore: tuple[str, ...] = ("kube-system",)) -> Column:
@@ -186,7 +192,8 @@ def new_rows_since(rows: DataFrame, state: DataFrame, key: str = "host") -> Data
 
 
 def match_processes(processes: DataFrame, pattern: str, column: str = "cmd") -> DataFrame:
-    return processes.where(F.col(column).rlike(pattern))
+    """Processes in whose command the pattern is found, as by Python's re."""
+    return processes.where(found(F.col(column), pattern))
 
 
 def dead_processes(history: DataFrame, running: DataFrame, pid: str = "pid") -> DataFrame:

@@ -19,11 +19,15 @@ from logspark.operators.ordered import Fold, ordered_fold
 _SAMPLE = r"^([^{\s]+)(?:\{(.*)\})?\s+(\S+)(?:\s+(-?\d+))?\s*$"
 
 
+def _whole(x: Column) -> Column:
+    return F.when(x < 0, F.ceil(x)).otherwise(F.floor(x)).cast("double")
+
+
 def parse_exposition(texts: DataFrame, key: str = "scrape_id", text: str = "text") -> DataFrame:
     """Samples of exposition texts: key, line, metric, value, value_str, extra, sample_ts, type.
 
     Names are lower-cased, without quotes, spaces and dashes as _. A value with a point is a fraction, one with e+ or e-
-    a whole number, +Inf stays text; NaN and what else isn't a whole number is dropped. Only counters, gauges, untyped and
+    a whole number (cut towards zero), +Inf stays text; NaN and what else isn't a whole number is dropped. Only counters, gauges, untyped and
     undeclared metrics are kept; the type is the last declared before the sample in its scrape.
     """
     lines = texts.select(key, F.posexplode(F.split(text, "\n")).alias("line", "raw")).withColumn("raw", F.trim("raw")).where("raw <> ''")
@@ -36,7 +40,7 @@ def parse_exposition(texts: DataFrame, key: str = "scrape_id", text: str = "text
     df = df.withColumn("type", F.last(kind, ignorenulls=True).over(w)).where("_name is not null")
     df = df.where(F.col("type").isNull() | F.col("type").isin("counter", "gauge", "untyped"))
     raw = F.regexp_extract("raw", _SAMPLE, 3)
-    number = F.when(raw.contains("."), raw.try_cast("double")).when(raw.rlike("(?i)e[+-]"), F.floor(raw.try_cast("double")).cast("double")).otherwise(raw.try_cast("long").cast("double"))
+    number = F.when(raw.contains("."), raw.try_cast("double")).when(raw.rlike("e[+-]"), _whole(raw.try_cast("double"))).otherwise(raw.try_cast("long").cast("double"))
     number = F.when(~F.isnan(number) & (F.abs(number) < float("inf")), number)
     pairs = F.split(F.regexp_extract("raw", _SAMPLE, 2), r'"\s*,\s*')
     entries = F.filter(F.transform(pairs, lambda p: F.struct(F.trim(F.substring_index(p, "=", 1)).alias("key"), F.regexp_replace(F.regexp_replace(p, r"(?s)^[^=]*=", ""), r'^"|"\s*,?\s*$', "").alias("value"))), lambda e: e["key"] != "")

@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from logspark.functions.patterns import java_regex
+from logspark.functions.patterns import extracted, found, java_regex, replaced
 from logspark.functions.values import to_megabytes, to_milliseconds, typed_value
 from logspark.operators.ordered import Fold, ordered_fold
 
@@ -29,8 +29,8 @@ def parse_syslog(lines: DataFrame, column: str = "raw") -> DataFrame:
 def extract_container(c: Column, id_pattern: str | None, full_pattern: str | None) -> Column:
     """struct(cid, name, rest): an id (its name is then looked up), or else a name and id, and the rest of the line."""
     null = F.lit(None).cast("string")
-    by_id = F.when(c.rlike(id_pattern), F.struct(F.regexp_extract(c, id_pattern, 1).alias("cid"), null.alias("name"), F.regexp_replace(c, id_pattern, "").alias("rest"))) if id_pattern else None
-    by_name = F.when(c.rlike(full_pattern), F.struct(F.regexp_extract(c, full_pattern, 2).alias("cid"), F.regexp_extract(c, full_pattern, 1).alias("name"), F.regexp_replace(c, full_pattern, "").alias("rest"))) if full_pattern else None
+    by_id = F.when(found(c, id_pattern), F.struct(extracted(c, id_pattern).alias("cid"), null.alias("name"), replaced(c, id_pattern, "").alias("rest"))) if id_pattern else None
+    by_name = F.when(found(c, full_pattern), F.struct(extracted(c, full_pattern, 2).alias("cid"), extracted(c, full_pattern).alias("name"), replaced(c, full_pattern, "").alias("rest"))) if full_pattern else None
     none = F.struct(null.alias("cid"), null.alias("name"), c.alias("rest"))
     return F.coalesce(*(x for x in (by_id, by_name) if x is not None), none)
 

@@ -98,6 +98,13 @@ def match_processes(spark, sf_dir):
     return J.match_processes(_processes(spark, sf_dir), "^[12]-").select("pid")
 
 
+@query("SELECT doc_id FROM documents WHERE regexp_matches(coalesce(text, ''), '^[\\p{L}\\p{N}_]+[\\x09-\\x0D\\x1C-\\x20\\x85\\xA0][\\p{L}\\p{N}_]*[^\\x00-\\x7F][\\p{L}\\p{N}_]*([^\\p{L}\\p{N}_]|$)')")
+def match_unicode_processes(spark, sf_dir):
+    """Commands (texts of documents) whose second word has a letter that isn't ASCII; the pattern's group has a name that Java lacks."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("cmd"))
+    return J.match_processes(d, r"^\w+\s(?P<second_word>\w*[^\x00-\x7f]\w*)(?:\W|$)").select("doc_id")
+
+
 @query("""SELECT c_custkey AS cid, unnest(CASE WHEN c_custkey % 4 = 0 THEN ['own'] WHEN c_nationkey % 3 = 0 THEN ['pod', 'pod' || c_nationkey] WHEN r_regionkey = 1 THEN ['ns'] ELSE [''] END) AS destination FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey""")
 def fan_out(spark, sf_dir):
     c, n = table(spark, sf_dir, "customer"), table(spark, sf_dir, "nation")

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from logspark.functions import text, values
+from logspark.functions.dates import epoch_seconds
 from logspark.operators import parse, reports
 from logspark.operators import metrics as M
 from logspark.plans import pipelines
@@ -190,14 +191,14 @@ def valid_metric_names(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", values.valid_metric_name(n).alias("name"))
 
 
-@query("""SELECT event_id, CASE event_id % 5 WHEN 0 THEN event_id / 1000 WHEN 1 THEN event_id WHEN 2 THEN event_id * 1000 WHEN 3 THEN -1 ELSE event_id * 1000000 END::DOUBLE AS mb, CASE event_id % 3 WHEN 0 THEN event_id WHEN 1 THEN event_id * 1000 ELSE -1 END::DOUBLE AS ms, event_id % 4 > 2 OR event_id % 4 = 0 AS flag FROM events""")
+@query("""SELECT event_id, CASE event_id % 5 WHEN 0 THEN event_id / 1000 WHEN 1 THEN event_id WHEN 2 THEN event_id * 1000 WHEN 3 THEN -1 ELSE event_id * 1000000 END::DOUBLE AS mb, CASE event_id % 3 WHEN 0 THEN event_id WHEN 1 THEN event_id * 1000 ELSE -1 END::DOUBLE AS ms, event_id % 4 > 2 OR event_id % 4 = 0 AS flag, event_id % 2 = 1 AS odd FROM events""")
 def units(spark, sf_dir):
     n = F.col("event_id").cast("string")
     k, t, b = F.col("event_id") % 5, F.col("event_id") % 3, F.col("event_id") % 4
     size = F.concat(n, F.when(k == 0, " KB").when(k == 1, " mb").when(k == 2, " GB").when(k == 3, " pb").otherwise(" tb"))
     time = F.concat(n, F.when(t == 0, " ms").when(t == 1, " s").otherwise(""))
     flag = F.when(b == 0, "yes").when(b == 1, "False").when(b == 2, "f").otherwise("true")
-    return table(spark, sf_dir, "events").select("event_id", F.coalesce(F.round(values.to_megabytes(size), 6), F.lit(-1.0)).alias("mb"), F.coalesce(values.to_milliseconds(time), F.lit(-1.0)).alias("ms"), values.to_bool(flag).alias("flag"))
+    return table(spark, sf_dir, "events").select("event_id", F.coalesce(F.round(values.to_megabytes(size), 6), F.lit(-1.0)).alias("mb"), F.coalesce(values.to_milliseconds(time), F.lit(-1.0)).alias("ms"), values.to_bool(flag).alias("flag"), values.number_to_bool(F.col("event_id") % 2).alias("odd"))
 
 
 _LIMIT_SQL = """WITH RECURSIVE E AS (SELECT user_id, epoch_us(ts) / 1e6 AS t, event_id % 5 + 1 AS cost, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts) / 1e6, event_id % 5 + 1) AS rn FROM events),
@@ -209,14 +210,14 @@ _LIMIT_SQL = """WITH RECURSIVE E AS (SELECT user_id, epoch_us(ts) / 1e6 AS t, ev
 
 @query(_LIMIT_SQL)
 def rate_limit(spark, sf_dir):
-    return M.rate_limit(table(spark, sf_dir, "events"), F.col("user_id"), F.unix_micros(F.col("ts").cast("timestamp")) / 1e6, F.col("event_id") % 5 + 1, 6, 0.00005)
+    return M.rate_limit(table(spark, sf_dir, "events"), F.col("user_id"), epoch_seconds(F.col("ts")), F.col("event_id") % 5 + 1, 6, 0.00005)
 
 
 @query("""WITH RECURSIVE E AS (SELECT user_id, epoch_us(ts) / 1e6 AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS rn FROM events),
  R AS (SELECT user_id, rn, t, t AS last FROM E WHERE rn = 1 UNION ALL SELECT e.user_id, e.rn, e.t, CASE WHEN e.t - R.last >= 100000 THEN e.t ELSE R.last END FROM R JOIN E e ON e.user_id = R.user_id AND e.rn = R.rn + 1)
  SELECT CAST(user_id AS VARCHAR) AS key, t FROM R WHERE t = last""")
 def once_per_key(spark, sf_dir):
-    return M.once_per(table(spark, sf_dir, "events"), F.col("user_id"), F.unix_micros(F.col("ts").cast("timestamp")) / 1e6, 100_000)
+    return M.once_per(table(spark, sf_dir, "events"), F.col("user_id"), epoch_seconds(F.col("ts")), 100_000)
 
 
 def _status_text(spark, sf_dir):

@@ -9,7 +9,7 @@ from logspark.model import REQUEST_BYTES, Grouper, RedactionRule, SamplingRule
 from logspark.operators import lines as line_ops
 from logspark.operators.inventory import diff_snapshots
 from logspark.operators.joins import attach_attributes, attach_pod, first_matching
-from logspark.operators.metrics import as_metrics, filter_metrics, parse_exposition, rate
+from logspark.operators.metrics import as_metrics, filter_metrics, parse_exposition
 from logspark.operators.reports import processing_report
 from logspark.operators.rules import kept, redact, sample, sample_rate
 from logspark.operators.sequence import sequence
@@ -40,10 +40,6 @@ def scrape_metrics(scrapes: DataFrame, monitor: str, include: list[str], exclude
     return as_metrics(m.withColumn("monitor", F.lit(monitor)), dropped)
 
 
-def scrape_rates(scrapes: DataFrame, monitor: str, specs: list[str]) -> DataFrame:
-    return rate(scrape_metrics(scrapes, monitor, ["*"], []), specs)
-
-
 def container_configs(previous: DataFrame, current: DataFrame, pods: DataFrame, configs: list) -> DataFrame:
     """cid, status and config of containers that started, stopped or changed between two snapshots; rules.apply_configs treats their lines by the config."""
     changes = diff_snapshots(previous, current, "cid", F.col("digest"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -23,25 +25,47 @@ def _reader(spark: SparkSession, modified_after: str | None):
     return reader.option("modifiedAfter", modified_after) if modified_after else reader
 
 
-#: A line's number: a file's rank in its log (7 bits), its split's start in units of 4096 bytes (26), its place among the rows of the task (30).
-_RANK_BITS, _START_BITS, _PLACE_BITS, _UNIT = 7, 26, 30, 12
+#: Bits of a line's number that a file's rank among the rotations of its log has: 8,192 files.
+_RANK_BITS = 13
+_SUFFIXES = {s: 1 << (10 * i) for i, s in enumerate(("", "k", "m", "g", "t", "p"))}
+
+
+def byte_size(text: str) -> int:
+    """A size as Spark writes it: digits, and b, k, kb, m, mb and so on; without a suffix bytes."""
+    m = re.fullmatch(r"\s*(\d+)\s*([kmgtp]?)b?\s*", text.lower())
+    if m is None:
+        raise ValueError(f"not a size: {text}")
+    return int(m[1]) * _SUFFIXES[m[2]]
 
 
-def _line_seq(start: Column, place: Column, rank: Column | None = None) -> Column:
-    seq = F.shiftleft(F.shiftright(start, _UNIT), _PLACE_BITS).bitwiseOR(place.bitwiseAND(F.lit((1 << _PLACE_BITS) - 1)))
-    return seq if rank is None else seq.bitwiseOR(F.shiftleft(rank.cast("long"), _START_BITS + _PLACE_BITS))
+def _line_seq(spark: SparkSession, start: Column, place: Column, rank: Column | None = None) -> Column:
+    """A line's number: its file's rank, its split's start in units no larger than a split, and its place among the rows of the task; as many bits as the session's splits need.
+
+    What doesn't fit is an error, never a wrong order: files over some terabytes (4 MB splits: 16 TB), ranks over 8,191, more rows in a task than a split has bytes.
+    """
+    most, least = byte_size(spark.conf.get("spark.sql.files.maxPartitionBytes")), byte_size(spark.conf.get("spark.sql.files.openCostInBytes"))
+    unit, place_bits = min(most, max(least, 1)).bit_length() - 1, max(20, most.bit_length() + 1)
+    start_bits = 63 - _RANK_BITS - place_bits
+    if start_bits < 1:
+        raise ValueError("spark.sql.files.maxPartitionBytes is too large to number lines")
+    start, place = start.cast("long"), place.cast("long").bitwiseAND(F.lit((1 << 33) - 1))  # a task's rows, without the task's number
+    limits = [(F.shiftright(start, unit + start_bits) > 0, "a file is too long for its lines to be numbered"), (F.shiftright(place, place_bits) > 0, "a task has too many lines to number them")]
+    seq = F.shiftleft(F.shiftright(start, unit), place_bits).bitwiseOR(place)
+    if rank is not None:
+        limits.append((rank >= 1 << _RANK_BITS, "a log has too many rotated files for its lines to be numbered"))
+        seq = seq.bitwiseOR(F.shiftleft(rank.cast("long"), start_bits + place_bits))
+    for wrong, why in limits:
+        seq = F.when(wrong, F.raise_error(F.lit(why)).cast("long")).otherwise(seq)
+    return seq
 
 
 def read_log_lines(spark: SparkSession, globs: list[str], exclude: list[str] = (), modified_after: str | None = None, rotations: bool = False) -> DataFrame:
     """log_path, line_seq, byte_offset (of the file split), raw, raw_len of the files that the globs find.
 
     line_seq grows along a file, though not by one: it is the split's start and the line's place in its task, so nothing is
-    shuffled. Splits begin at multiples of 4096 bytes at least, files are below 256 GB. A carriage return stays.
+    shuffled (see _line_seq for its limits, which are checked). A carriage return stays.
     rotations: rotated files are one log under its name, oldest first, compressed ones are left out (see order_rotations).
     """
-    small = int(spark.conf.get("spark.sql.files.maxPartitionBytes").rstrip("bBkKmMgG") or 0)
-    if spark.conf.get("spark.sql.files.maxPartitionBytes").rstrip("b").isdigit() and small < 1 << _UNIT:
-        raise ValueError("splits are 4096 bytes at least")
     df = _reader(spark, modified_after).option("lineSep", "\n").text(globs).select("value", F.col("_metadata.file_path").alias("log_path"), F.col("_metadata.file_block_start").alias("byte_offset"))
     if exclude:
         df = df.where(~matches_any(F.col("log_path"), exclude))
@@ -55,7 +79,7 @@ def read_log_lines(spark: SparkSession, globs: list[str], exclude: list[str] = (
         files = files.select(F.col("path").alias("log_path"), "base", (F.row_number().over(oldest) - 1).alias("_rank"))
         df = df.join(files, "log_path").drop("log_path").withColumnRenamed("base", "log_path")
         rank = F.col("_rank")
-    df = df.withColumn("line_seq", _line_seq(F.col("byte_offset"), F.col("_place"), rank))
+    df = df.withColumn("line_seq", _line_seq(spark, F.col("byte_offset"), F.col("_place"), rank))
     return df.select("log_path", "line_seq", "byte_offset", F.col("value").alias("raw"), (F.octet_length("value") + 1).alias("raw_len"))
 
 
@@ -78,7 +102,7 @@ def stream_log_lines(spark: SparkSession, path: str, from_end_after: str | None
             n += len(b)
 
     df = df.mapInArrow(counted, "log_path string, byte_offset long, modified timestamp, raw string, _place long")
-    return df.select("log_path", _line_seq(F.col("byte_offset"), F.col("_place")).alias("line_seq"), "byte_offset", "modified", "raw", (F.octet_length("raw") + 1).alias("raw_len"))
+    return df.select("log_path", _line_seq(spark, F.col("byte_offset"), F.col("_place")).alias("line_seq"), "byte_offset", "modified", "raw", (F.octet_length("raw") + 1).alias("raw_len"))
 
 
 def order_rotations(files: DataFrame, path: str = "path", modified: str = "modified", recent_seconds: int = 300) -> DataFrame:

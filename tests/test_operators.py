@@ -5,11 +5,13 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from logspark.functions import text
 from logspark.model import Grouper
 from logspark.operators import lines as L
-from logspark.operators import joins, sequence
+from logspark.operators import joins, parse, sequence
 from logspark.operators import metrics as M
 from logspark.operators.ordered import Fold, in_blocks, ordered_fold, running
+from logspark.sources import files
 from logspark.sources.files import read_log_lines
 from logspark.sources.sinks import write_events
 
@@ -160,3 +162,53 @@ def test_null_keys_carry_over_blocks(spark):
     df, by = in_blocks(spark.createDataFrame(rows, "k string, i int, v int"), F.floor(F.col("i") / 3))
     out = running(df, ["k"], ["i"], F.col("v"), "n", block=by)
     assert sorted((r.k or "", r.i, r.n) for r in out.collect()) == sorted((k or "", i, i + 1) for k, i, _ in rows)
+
+
+def test_rotations_beyond_a_hundred(spark, tmp_path):
+    """200 rotated files are one log in order; more than the numbers hold is an error."""
+    for g in range(200):
+        (tmp_path / ("x.log" if g == 0 else f"x.log.{g}")).write_text(f"line {g}\n")
+    got = files.read_log_lines(spark, [str(tmp_path)], rotations=True).orderBy("line_seq").collect()
+    assert [r.raw for r in got] == [f"line {g}" for g in reversed(range(200))] and min(r.line_seq for r in got) >= 0
+    seq = lambda start, place, rank: spark.range(1).select(files._line_seq(spark, F.lit(start), F.lit(place), F.lit(rank)).alias("s")).first().s
+    assert seq(1 << 42, 5, 8191) > seq(4 << 20, 9, 8191) > seq(1 << 42, 0, 8190) >= 0
+    for start, place, rank in ((1 << 44, 0, 0), (0, 1 << 32, 0), (0, 0, 8192)):
+        with pytest.raises(Exception, match="numbered|number them"):
+            seq(start, place, rank)
+
+
+def test_sizes_of_the_session():
+    assert [files.byte_size(x) for x in ("8192", "128MB", "1tb", "3k", "134217728b")] == [8192, 128 << 20, 1 << 40, 3072, 134217728]
+    with pytest.raises(ValueError):
+        files.byte_size("some")
+
+
+def test_containers_by_id(spark):
+    """Ids that share their first characters, copies of a container, and ids that are too short."""
+    own = [("a" * 12 + "1" * 4, "one", {"k": "1"}), ("a" * 12 + "2" * 4, "two", None), ("b" * 16, "bee", None), ("b" * 16, "ant", None), ("c" * 16, "sea", None)]
+    c = spark.createDataFrame(own, "cid string, name string, labels map<string,string>")
+    ids = ["a" * 12 + "1" * 4, "a" * 12 + "2" * 4, "a" * 12, "a" * 12 + "1", "b" * 16, "b" * 13, "c" * 12, "c" * 5, "d" * 16, None]
+    lines = spark.createDataFrame(list(enumerate(ids)), "i int, cid string")
+    got = joins.resolve_container(lines, c).orderBy("i").collect()
+    assert [r.container_name for r in got] == ["one", "two", None, "one", "ant", "ant", "sea", None, None, None]
+    assert got[0].container_labels == {"k": "1"} and len(got) == len(ids)
+
+
+def test_patterns_of_callers_are_pythons(spark):
+    df = spark.createDataFrame([("café au lait",), ("cafe",), (None,)], "cmd string")
+    assert [r.cmd for r in joins.match_processes(df, r"^caf\w\s").collect()] == ["café au lait"]
+    assert [r.cmd for r in joins.match_processes(df, r"(?P<a_b>f)?(?(a_b)e|x)$").collect()] == ["cafe"]
+    x = parse.extract_container(F.col("cmd"), r"^(?P<id_x>\w+) ", None)
+    assert [(r.x.cid, r.x.rest) for r in df.select(x.alias("x")).collect()] == [("café", "au lait"), (None, "cafe"), (None, None)]
+    j = joins.match_journal(df.select(F.create_map(F.lit("unit"), F.coalesce("cmd", F.lit("none"))).alias("fields")), [{"name": "u", "unit": r"caf\w\b"}])
+    assert [r.config for r in j.collect()] == ["u", "u", "default"]
+    out = text.rename_log(df, match=r"(?P<w>\w+)$", replacement=r"<\g<w>>", path="cmd").collect()
+    assert [r.logfile for r in out] == ["café au <lait>", "<cafe>", None]
+    s = df.select(text.summarise_output(F.col("cmd"), r"(?i)(É)").alias("s")).collect()
+    assert [r.s.output for r in s] == ["é", "cafe", None]
+
+
+def test_numbers_of_expositions(spark):
+    df = spark.createDataFrame([(1, "a -15e-1\nb 1E+2\nc 25e-1\nd 1e+2\ne -1.5E+1\nf 7")], "scrape_id int, text string")
+    got = {r.metric: r.value for r in M.parse_exposition(df).collect()}
+    assert got == {"a": -1.0, "c": 2.0, "d": 100.0, "e": -15.0, "f": 7.0}
