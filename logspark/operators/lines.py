@@ -63,12 +63,21 @@ def _joined(separator: str, order: str, text: str) -> Column:
 
 
 class _Groupers(Fold):
-    """The first grouper whose start matches opens a group; groups end by rule or at max_bytes."""
+    """The first grouper whose start matches opens a group; groups end by rule or at max_bytes, which bounds the state."""
+
+    state = "lines array<string>, path string, seq bigint, kind int, size bigint, open boolean"
+
+    def saved(self):
+        return self.lines, self.path, None if self.seq is None else int(self.seq), int(self.kind), int(self.size), bool(self.open)
+
+    def restore(self, values):
+        lines, self.path, self.seq, self.kind, self.size, self.open = values
+        self.lines = list(lines)
 
     def __init__(self, groupers: list[Grouper], separator: str, max_bytes: int):
         self.groupers, self.separator, self.max_bytes = groupers, separator, max_bytes
         self.lines: list[str] = []
-        self.path, self.seq, self.kind, self.size = None, None, -1, 0
+        self.path, self.seq, self.kind, self.size, self.open = None, None, -1, 0, False
 
     def _close(self):
         if self.lines:
@@ -147,6 +156,17 @@ def parse_cri(lines: DataFrame) -> DataFrame:
 
 
 class _Pieces(Fold):
+    state = "path string, stream string, seq bigint, nanos bigint, parts array<string>, size bigint"
+
+    def saved(self):
+        path, stream, seq, nanos = self.first or (None, None, None, None)
+        return path, stream, None if seq is None else int(seq), None if nanos is None else int(nanos), self.parts, int(self.size)
+
+    def restore(self, values):
+        *first, parts, self.size = values
+        self.parts = list(parts)
+        self.first = tuple(first) if self.parts else None
+
     def __init__(self, max_bytes: int):
         self.max_bytes, self.first, self.parts, self.size = max_bytes, None, [], 0
 

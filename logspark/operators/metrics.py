@@ -118,9 +118,17 @@ def match_rate_specs(metrics: DataFrame, specs: list[str]) -> DataFrame:
 class _Rate(Fold):
     """The last accepted sample. A sample not later, or less, is skipped and changes nothing; after a long gap the next one begins anew."""
 
+    state = "time double, value double"
+
     def __init__(self, gap: float):
         self.gap, self.time, self.value = gap, None, None
 
+    def saved(self):
+        return _float(self.time), _float(self.value)
+
+    def restore(self, values):
+        self.time, self.value = values
+
     def add(self, row):
         if row.value is None or math.isnan(row.value):
             return
@@ -241,7 +249,19 @@ def typed_metrics(rows: DataFrame, metric: str, text: str) -> DataFrame:
     return rows.withColumn("_v", typed_value(F.col(text))).withColumns({"metric": F.col(metric), "value": F.col("_v.value"), "value_str": F.col("_v.value_str")}).drop("_v")
 
 
+def _float(x) -> float | None:
+    return None if x is None else float(x)
+
+
 class _Bucket(Fold):
+    state = "level double, time double, dropped bigint"
+
+    def saved(self):
+        return float(self.level), _float(self.time), int(self.dropped)
+
+    def restore(self, values):
+        self.level, self.time, self.dropped = values
+
     def __init__(self, burst: float, per_second: float):
         self.burst, self.rate, self.level, self.time, self.dropped = burst, per_second, burst, None, 0
 
@@ -265,6 +285,14 @@ def rate_limit(rows: DataFrame, key: Column, t: Column, cost: Column, burst: flo
 
 
 class _Once(Fold):
+    state = "last double"
+
+    def saved(self):
+        return (_float(self.last),)
+
+    def restore(self, values):
+        (self.last,) = values
+
     def __init__(self, seconds: float):
         self.seconds, self.last = seconds, None
 

@@ -99,7 +99,18 @@ def automaton(df: DataFrame, keys: list[str], order: list[str], step: Column, co
 
 
 class Fold:
-    """The state of one key. add() gets a row and returns rows to emit; end() is called after a key's last row."""
+    """The state of one key. add() gets a row and returns rows to emit; end() is called after a key's last row.
+
+    state: columns that hold it between the batches of a stream, as a schema; saved() gives their values and restore() takes them. Without, it is kept as a whole.
+    """
+
+    state = ""
+
+    def saved(self) -> tuple:
+        raise NotImplementedError
+
+    def restore(self, values: tuple) -> None:
+        raise NotImplementedError
 
     def add(self, row) -> Iterable[tuple]:
         return ()

@@ -36,7 +36,16 @@ def extract_container(c: Column, id_pattern: str | None, full_pattern: str | Non
 
 
 class _Frames(Fold):
-    """Splits a connection's bytes: octet-counted frames, lines, or frames with a 4-byte length."""
+    """Splits a connection's bytes: octet-counted frames, lines, or frames with a 4-byte length. The state is bounded by max_frame and a chunk."""
+
+    state = "conn string, n bigint, held binary"
+
+    def saved(self):
+        return self.conn, int(self.n), bytes(self.held)
+
+    def restore(self, values):
+        self.conn, self.n, held = values
+        self.held = bytes(held)
 
     def __init__(self, prefixed: bool, max_frame: int):
         self.prefixed, self.max_frame, self.held, self.n, self.conn = prefixed, max_frame, b"", 0, None

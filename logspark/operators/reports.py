@@ -61,3 +61,13 @@ def session_expiry(lines: DataFrame, key: str, ts: str, gap: str = "10 minutes")
     """key, opened, last_seen, lines of each period in which a log was seen at least every `gap`."""
     s = lines.withColumn("_ts", F.col(ts).cast("timestamp"))
     return s.groupBy(key, F.session_window("_ts", gap).alias("w")).agg(F.min("_ts").alias("opened"), F.max("_ts").alias("last_seen"), F.count("*").alias("lines")).drop("w")
+
+
+def mark_stale(lines: DataFrame, threshold: str, log: str = "log_path", scan: str = "scan") -> DataFrame:
+    """Adds skipped: whether the log's scan before the one that saw a line was longer ago than `threshold` (the first scan of a log skips nothing). Windows are over scans, of which a log has far fewer than lines."""
+    w = Window.partitionBy(log).orderBy(scan)
+    before = F.lag(scan).over(w)
+    scans = lines.select(log, scan).distinct().withColumn("skipped", F.coalesce(F.col(scan) - before > F.expr(f"interval {threshold}"), F.lit(False)))
+    names = {log: "_log", scan: "_scan"}
+    scans = scans.withColumnsRenamed(names)
+    return lines.join(scans, F.col(log).eqNullSafe(F.col("_log")) & F.col(scan).eqNullSafe(F.col("_scan")), "left").drop("_log", "_scan")

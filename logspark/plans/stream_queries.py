@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from logspark.model import Grouper
 from logspark.operators import lines as L
 from logspark.operators.ordered import shared_top
-from logspark.operators.reports import session_expiry
+from logspark.operators.reports import mark_stale, session_expiry
 from logspark.plans.metric_queries import _LIMIT_SQL, _RATE_SQL
 from logspark.plans.registry import query, table
 from logspark.sources import delivery, sinks
@@ -198,3 +198,48 @@ def deliver_batches(spark, sf_dir):
     seen = delivery.delivered(spark, f"{folder}/out", "event_id bigint").agg(F.count("*").alias("n"))
     # one row
     return report.join(F.broadcast(seen)).withColumn("seen", F.when(F.col("state") == "done", F.col("n")).otherwise(0)).drop("n")
+
+
+_STALE_SQL = """WITH S AS (SELECT user_id, ts, coalesce(ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) > INTERVAL '2 days', false) AS s FROM (SELECT DISTINCT user_id, date_trunc('milliseconds', ts) AS ts FROM events))
+ SELECT CAST(user_id AS VARCHAR) AS log_path, count(*) FILTER (NOT s) AS copied, count(*) FILTER (s) AS skipped, CAST(coalesce(sum(event_id) FILTER (s), 0) AS BIGINT) AS skipped_bytes
+ FROM events e JOIN S USING (user_id) WHERE S.ts = date_trunc('milliseconds', e.ts) GROUP BY 1"""
+
+
+def _scanned(e):
+    """Users as logs, whose events are lines that are seen when they happen."""
+    return e.select(F.col("user_id").cast("string").alias("log_path"), F.col("event_id").alias("line_seq"), F.date_trunc("millisecond", F.col("ts").cast("timestamp")).alias("scan"), F.col("event_id").alias("raw_len"))
+
+
+def _stale_counts(df):
+    n = F.count_if
+    return df.groupBy("log_path").agg(n(~F.col("skipped")).alias("copied"), n("skipped").alias("skipped"), F.coalesce(F.sum(F.when(F.col("skipped"), F.col("raw_len"))), F.lit(0)).alias("skipped_bytes"))
+
+
+@query(_STALE_SQL)
+def stale_logs(spark, sf_dir):
+    return _stale_counts(mark_stale(_scanned(table(spark, sf_dir, "events")), "2 days"))
+
+
+@query(_STALE_SQL)
+def stream_stale_logs(spark, sf_dir):
+    """Logs that were left alone for two days skip to their ends."""
+    out = run_to_end(stateful.skip_stale_logs(_scanned(stream_of(spark, sf_dir, "events")), "2 days"), "stale-logs")
+    return _stale_counts(out.where("skipped is not null"))
+
+
+@query("SELECT count(DISTINCT (user_id, event_type)) AS series, CAST(sum(t) AS BIGINT) AS latest FROM (SELECT user_id, event_type, 1 AS t FROM events GROUP BY ALL)")
+def stream_series_state(spark, sf_dir):
+    """The series that a stream of rates holds, counted in its state."""
+    e = stream_of(spark, sf_dir, "events")
+    m = e.select(F.lit("app").alias("monitor"), F.col("user_id").cast("string").alias("instance"), F.col("event_type").alias("metric"), "value", F.lit(None).cast("map<string,string>").alias("extra"), F.unix_millis(F.col("ts").cast("timestamp")).alias("ts_ms"))
+    folder = shared_folder(spark, "series")
+    provider = spark.conf.get(PROVIDER)
+    spark.conf.set(PROVIDER, stateful.ROCKSDB)
+    try:
+        out = stateful.stream_rate(m, gap_seconds=86_400 * 3, ttl_ms=None)
+        out.writeStream.trigger(availableNow=True).option("checkpointLocation", f"{folder}/checkpoint").format("parquet").option("path", f"{folder}/out").start().awaitTermination()
+        # the state is read while the session still names its store
+        held = stateful.state_of(spark, f"{folder}/checkpoint")
+        return spark.createDataFrame(held.agg(F.count("*").alias("series"), F.count("value.time").alias("latest")).collect(), "series bigint, latest bigint")
+    finally:
+        spark.conf.set(PROVIDER, provider)

@@ -1,7 +1,8 @@
 """Stateful streams: the folds of the batch operators, with their state kept between batches.
 
-State is one value for each key, in the state store that the session names (RocksDB is advised). Rows of a key that
-arrive in one batch are put in order first. What a fold would emit at the end of its input is emitted by a timer.
+State is one value for each key, with columns of its own, in the state store that the session names (RocksDB is advised); so what a checkpoint
+holds can be read as a table (see state_of). Rows of a key that arrive in one batch are put in order first. What a fold would emit at the end
+of its input is emitted by a timer.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ import pickle
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -24,22 +25,32 @@ from logspark.model import MAX_LINE_BYTES, RATE_GAP_SECONDS, Grouper
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+#: The name of the state.
+STATE = "fold"
+
+
 class _Processor(StatefulProcessor):
     def __init__(self, new: Callable[[], Fold], order: list[str], names: list[str], wait_ms: int | None, ttl_ms: int | None):
         self.new, self.order, self.names, self.wait_ms, self.ttl_ms = new, order, names, wait_ms, ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("fold", "body binary", self.ttl_ms)
+        # a fold that names no columns is kept as a whole
+        self.state = handle.getValueState(STATE, self.new().state or "body binary", self.ttl_ms)
 
     def _load(self) -> Fold:
-        return pickle.loads(bytes(self.state.get()[0])) if self.state.exists() else self.new()
+        fold = self.new()
+        if self.state.exists():
+            if not fold.state:
+                return pickle.loads(bytes(self.state.get()[0]))
+            fold.restore(tuple(self.state.get()))
+        return fold
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         fold, out = self._load(), []
         for row in pd.concat(list(rows)).sort_values(self.order, kind="stable").itertuples(index=False):
             out += fold.add(row)
-        self.state.update((pickle.dumps(fold),))
+        self.state.update(fold.saved() if fold.state else (pickle.dumps(fold),))
         if self.wait_ms is not None:
             for t in list(self.handle.listTimers()):
                 self.handle.deleteTimer(t if isinstance(t, int) else t[0])
@@ -113,3 +124,68 @@ def series_count(metrics: DataFrame, ts: str, every: str, late: str = "1 hour",
     """window_start and series, the number of series (about) that had a sample in each interval: what a limit on series is compared with."""
     m = with_series(metrics).withColumn("_ts", F.col(ts).cast("timestamp")).withWatermark("_ts", late)
     return m.groupBy(F.window("_ts", every).alias("w")).agg(F.approx_count_distinct("series", precision).alias("series")).select(F.col("w.start").alias("window_start"), "series")
+
+
+def state_of(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """key and value (columns) of what a stopped stream of this module holds, from its checkpoint: a row for each key, for rates each series, that isn't forgotten."""
+    return spark.read.format("statestore").option("stateVarName", STATE).load(checkpoint).select("key", "value")
+
+
+class _Stale(StatefulProcessor):
+    def __init__(self, threshold_ms: int, names: list[str]):
+        self.threshold_ms, self.names = threshold_ms, names
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "scan_ms bigint, stale boolean, skipped boolean")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        df = pd.concat(list(rows)).sort_values(["scan_ms", "line_seq"], kind="stable")
+        last, stale, skipping = self.last.get() if self.last.exists() else (None, False, False)
+        scans = df["scan_ms"].unique()
+        skips = set()
+        for scan in map(int, scans):
+            # a scan may go on in a later batch
+            if last is None or scan != last:
+                skipping = bool(stale) or (last is not None and scan - last > self.threshold_ms)
+            if skipping:
+                skips.add(scan)
+            last, stale = max(scan, last or scan), False
+        self.last.update((last, False, skipping))
+        for t in list(self.handle.listTimers()):
+            self.handle.deleteTimer(t if isinstance(t, int) else t[0])
+        self.handle.registerTimer(last + self.threshold_ms + 1)
+        df["skipped"], df["stale_since_ms"] = df["scan_ms"].isin(skips), None
+        yield df[self.names]
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        last, _, skipped = self.last.get()
+        self.last.update((last, True, skipped))
+        notice = {"log_path": key[0], "stale_since_ms": last}
+        yield pd.DataFrame([[notice.get(n) for n in self.names]], columns=self.names)
+
+    def close(self) -> None:
+        pass
+
+
+def skip_stale_logs(lines: DataFrame, threshold: str, late: str = "10 minutes") -> DataFrame:
+    """Lines of logs: log_path, line_seq, scan (when they were seen) and raw_len, with skipped: whether the log had been left alone for longer than `threshold` when the scan found them.
+
+    Then all that it found is passed over, as the log skips to its end; count it by processing_report or reports.observed. Time is the scans', a timer for each log tells when it
+    has become stale: a row with stale_since alone. Scans that are later than `late` no longer count. See reports.mark_stale for the same on tables.
+    """
+    ms = F.unix_millis(F.col("scan").cast("timestamp"))
+    df = lines.withColumn("_at", F.col("scan").cast("timestamp")).withWatermark("_at", late).select(F.col("log_path").cast("string").alias("log_path"), F.col("line_seq").cast("long").alias("line_seq"), F.col("raw_len").cast("long").alias("raw_len"), ms.alias("scan_ms"), "_at")
+    names = ["log_path", "line_seq", "raw_len", "scan_ms", "skipped", "stale_since_ms"]
+    schema = "log_path string, line_seq bigint, raw_len bigint, scan_ms bigint, skipped boolean, stale_since_ms bigint"
+    out = df.groupBy("log_path").transformWithStateInPandas(_Stale(_milliseconds(threshold), names), outputStructType=schema, outputMode="append", timeMode="eventTime")
+    return out.select("log_path", "line_seq", "raw_len", F.timestamp_millis("scan_ms").alias("scan"), "skipped", F.timestamp_millis("stale_since_ms").alias("stale_since"))
+
+
+_UNITS = {"millisecond": 1, "second": 1000, "minute": 60_000, "hour": 3_600_000, "day": 86_400_000}
+
+
+def _milliseconds(text: str) -> int:
+    """`5 minutes` and the like."""
+    n, unit = text.split()
+    return int(n) * _UNITS[unit.rstrip("s")]

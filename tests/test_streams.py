@@ -11,7 +11,7 @@ from logspark.operators import lines as L
 from logspark.operators import parse
 from logspark.plans.stream_queries import PROVIDER, run_to_end
 from logspark.sources import delivery, files, sinks
-from logspark.operators.reports import processing_report, session_expiry
+from logspark.operators.reports import mark_stale, processing_report, session_expiry
 from logspark.streaming import reports, stateful
 
 
@@ -195,3 +195,68 @@ def test_a_query_that_may_not_drop_ends_and_goes_on(spark, tmp_path):
         _deliver(spark, tmp_path, {0: [OSError("gone")] * 2}, attempts=2, give_up="fail").awaitTermination()
     _deliver(spark, tmp_path, {}, attempts=2, give_up="fail").awaitTermination()
     assert _seen(spark, tmp_path) == ([(0, 1, "retried", 4, 6), (0, 2, "retried", 4, 6), (0, 3, "done", 4, 6), (1, 1, "done", 4, 22)], list(range(8)))
+
+
+def test_state_is_a_table(spark, tmp_path):
+    """What folds hold can be read from the checkpoint, by its columns."""
+    df = spark.createDataFrame([("a", 0, "start"), ("a", 1, "  more"), ("b", 2, "single"), ("a", 3, "  end")], "log_path string, line_seq long, raw string")
+    provider = spark.conf.get(PROVIDER)
+    spark.conf.set(PROVIDER, stateful.ROCKSDB)
+    try:
+        out = stateful.stream_groups(_stream(spark, df, tmp_path / "in", "line_seq", 4), [Grouper("continueThrough", "^start", "^ ")], wait_ms=None)
+        out.writeStream.trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c")).format("parquet").option("path", str(tmp_path / "out")).start().awaitTermination()
+        held = {r.key.log_path: (list(r.value.lines), r.value.seq, r.value.size) for r in stateful.state_of(spark, str(tmp_path / "c")).collect()}
+    finally:
+        spark.conf.set(PROVIDER, provider)
+    assert held == {"a": (["start", "  more", "  end"], 0, 19), "b": ([], 2, 0)}
+
+
+def test_series_are_forgotten_after_their_time_to_live(spark, tmp_path):
+    """A series without samples for the time to live begins anew; another one, which goes on, doesn't."""
+    columns = "id long, instance string, ts_ms long, value double"
+    full = lambda rows: spark.createDataFrame(rows, columns).withColumns({"monitor": F.lit("app"), "metric": F.lit("m"), "extra": F.lit(None).cast("map<string,string>")})
+    add = lambda rows: full(rows).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    add([(0, "old", 1000, 1.0), (1, "new", 1000, 1.0)])
+    stream = spark.readStream.schema(full([]).schema).parquet(str(tmp_path / "in"))
+    df = stateful.stream_rate(stream, ttl_ms=15_000)
+    provider = spark.conf.get(PROVIDER)
+    spark.conf.set(PROVIDER, stateful.ROCKSDB)
+    q = df.writeStream.trigger(processingTime="500 milliseconds").option("checkpointLocation", str(tmp_path / "c")).format("parquet").option("path", str(tmp_path / "out")).start()
+
+    def rates(wanted):
+        """The rates once that one is there: a stream on processing time has no end to wait for."""
+        for _ in range(60):
+            if os.path.isdir(tmp_path / "out" / "_spark_metadata"):
+                got = {(x.split('"instance":"')[1][:3], t): r for x, t, r in map(tuple, spark.read.schema(df.schema).parquet(str(tmp_path / "out")).collect())}
+                if wanted in got:
+                    return got
+            time.sleep(0.5)
+        raise AssertionError(q.exception() or "not in time")
+
+    try:
+        for k in range(1, 6):
+            add([(1 + k, "new", 1000 + 1000 * k, 1.0 + k)])
+            rates(("new", 1000 + 1000 * k))
+            time.sleep(5)
+        add([(9, "old", 9000, 9.0), (10, "new", 9000, 9.0)])
+        rates(("new", 9000))
+        add([(11, "old", 10_000, 12.0)])
+        got = rates(("old", 10_000))
+    finally:
+        q.stop()
+        spark.conf.set(PROVIDER, provider)
+    # the old series' sample at 9 s had nothing before it
+    assert ("old", 9000) not in got and got["old", 10_000] == 3.0
+    assert [got["new", 1000 + 1000 * k] for k in range(1, 6)] == [1.0] * 5 and got["new", 9000] == 1.0
+
+
+def test_stale_logs_skip_to_their_ends(spark, tmp_path):
+    times = [("a", "00:00"), ("a", "00:20"), ("b", "00:30"), ("a", "02:00"), ("a", "02:00"), ("a", "02:10"), ("b", "05:00"), ("c", "05:00"), ("b", "05:01"), ("d", "09:00")]
+    df = spark.createDataFrame([(k, i, f"2024-01-01 {t}:00", 10 + i) for i, (k, t) in enumerate(times)], "log_path string, line_seq long, t string, raw_len long").withColumn("scan", F.col("t").cast("timestamp")).coalesce(1)
+    want = {r.line_seq: r.skipped for r in mark_stale(df, "1 hour").collect()}
+    assert {i for i, s in want.items() if s} == {3, 4, 6}
+    out = run_to_end(stateful.skip_stale_logs(_stream(spark, df, tmp_path / "in", "line_seq", 5), "1 hour"), "stale").collect()
+    assert {r.line_seq: r.skipped for r in out if r.line_seq is not None} == want
+    # each log is told once when it has become stale
+    notices = sorted((r.log_path, str(r.stale_since)[11:16]) for r in out if r.line_seq is None)
+    assert {("b", "00:30"), ("a", "02:10"), ("b", "05:01"), ("c", "05:00")} <= set(notices)
