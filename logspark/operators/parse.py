@@ -213,6 +213,33 @@ def event_data_map(data: Column) -> Column:
     return F.map_from_entries(F.transform(data, entry))
 
 
+#: The elements of an event's XML. Data of unknown depth stays text.
+EVENT_XML = (
+    "System struct<Provider:struct<_Name:string>, EventID:struct<_Qualifiers:string,_VALUE:string>, Version:string, Level:string, Task:string, Opcode:string, Keywords:string, TimeCreated:struct<_SystemTime:string>, "
+    "EventRecordID:string, Execution:struct<_ProcessID:string,_ThreadID:string>, Channel:string, Computer:string, Security:struct<_UserID:string>>, "
+    "EventData struct<Data:array<struct<_Name:string,_VALUE:string>>>, RenderingInfo struct<Message:string, Level:string, Keywords:struct<Keyword:array<string>>>"
+)
+
+
+def parse_event_xml(rows: DataFrame, column: str = "xml") -> DataFrame:
+    """Adds the fields of events in XML: provider, qualifiers, event_id, level, task, opcode, record_id, channel, computer, user, ts, keywords (array), message, data (array of name and text, see event_data_map) and error.
+
+    error: whether the text isn't such XML, or has no number of the event; what it lacks is null. Namespaces don't matter. Numbers that are none are null.
+    """
+    x = F.from_xml(column, EVENT_XML, {"ignoreNamespace": "true", "mode": "PERMISSIVE", "ignoreSurroundingSpaces": "false"})
+    df = rows.withColumn("_event", x)
+    s = F.col("_event.System")
+    # read as text: one that is none would take its whole element with it
+    whole = lambda c, kind="int": F.trim(c).try_cast(kind)
+    data = F.transform(F.coalesce(F.col("_event.EventData.Data"), F.array().cast("array<struct<_Name:string,_VALUE:string>>")), lambda d: F.struct(d["_Name"].alias("name"), d["_VALUE"].alias("text")))
+    fields = {
+        "provider": s["Provider"]["_Name"], "qualifiers": whole(s["EventID"]["_Qualifiers"]), "event_id": whole(s["EventID"]["_VALUE"]), "level": whole(s["Level"]), "task": whole(s["Task"]), "opcode": whole(s["Opcode"]), "record_id": whole(s["EventRecordID"], "bigint"),
+        "channel": s["Channel"], "computer": s["Computer"], "user": s["Security"]["_UserID"], "ts": s["TimeCreated"]["_SystemTime"].try_cast("timestamp"),
+        "keywords": F.col("_event.RenderingInfo.Keywords.Keyword"), "message": F.col("_event.RenderingInfo.Message"), "data": F.when(s.isNotNull(), data), "error": F.col(column).isNotNull() & whole(s["EventID"]["_VALUE"]).isNull(),
+    }
+    return df.withColumns(fields).drop("_event")
+
+
 def event_log_fields(rows: DataFrame) -> DataFrame:
     """Adds instance_id (qualifiers in the upper half), keywords as text, a formatted time, and the user without its prefix."""
     return rows.withColumns({

@@ -342,6 +342,28 @@ def event_log_rows(spark, sf_dir):
     return out.select(F.col("_id").alias("event_id"), "instance_id", "keywords", "time", "user", F.col("d")["Name"].alias("named"), F.col("d")["1"].alias("placed"), F.col("d")["Name2"].alias("doubled"))
 
 
+@query("""SELECT event_id AS record_id, 'P&' || user_id AS provider, (2 << 16) | (event_id % 100) AS instance_id, 'Security' AS channel, epoch_us(date_trunc('seconds', ts)) AS at, 'S-1-' || user_id AS user, event_type || ',x' AS keywords,
+ CASE WHEN event_id % 4 = 0 THEN '' ELSE '<' || event_type || '> & "' END AS named, event_type AS placed, CAST(event_id AS VARCHAR) AS doubled, event_id % 7 = 0 AS error FROM events WHERE event_id % 7 <> 0
+ UNION ALL SELECT -1, '', -1, '', -1, '', '', '', '', '', true FROM events WHERE event_id % 7 = 0""")
+def event_xml_rows(spark, sf_dir):
+    """Events as XML text, with names, marks, empty data and doubled names; every seventh text is cut off."""
+    e = table(spark, sf_dir, "events")
+    c, n = (lambda x: F.col(x).cast("string")), F.col("event_id")
+    lit = F.lit
+    at = F.date_format(F.date_trunc("second", F.col("ts").cast("timestamp")), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    xml = F.concat(
+        lit('<Event xmlns="http://schemas.example/event"><System><Provider Name="P&amp;'), c("user_id"), lit('" Guid="{0}"/><EventID Qualifiers="2">'), (n % 100).cast("string"), lit("</EventID><Level>4</Level><TimeCreated SystemTime=\""), at,
+        lit('"/><EventRecordID>'), c("event_id"), lit('</EventRecordID><Channel>Security</Channel><Computer>host</Computer><Security UserID="S-1-'), c("user_id"), lit('"/></System><EventData><Data Name="first">'),
+        F.when(n % 4 == 0, "").otherwise(F.concat(lit("&lt;"), c("event_type"), lit('&gt; &amp; "'))), lit("</Data><Data>"), c("event_type"), lit('</Data><Data Name="first">'), c("event_id"), lit("</Data></EventData><RenderingInfo><Message>m</Message><Keywords><Keyword>"),
+        c("event_type"), lit("</Keyword><Keyword>x</Keyword></Keywords></RenderingInfo></Event>"),
+    )
+    rows = parse.parse_event_xml(e.select(F.when(n % 7 == 0, F.substring(xml, 1, 120)).otherwise(xml).alias("xml")))
+    out = parse.event_log_fields(rows.withColumn("d", parse.event_data_map(F.col("data"))))
+    some = lambda x, v: F.coalesce(x, F.lit(v))
+    key = lambda k: some(F.try_element_at("d", F.lit(k)), "")
+    return out.select(some(F.col("record_id"), -1).alias("record_id"), some(F.col("provider"), "").alias("provider"), some(F.col("instance_id"), -1).alias("instance_id"), some(F.col("channel"), "").alias("channel"), some(F.unix_micros("ts"), -1).alias("at"), some(F.col("user"), "").alias("user"), some(F.col("keywords"), "").alias("keywords"), key("first").alias("named"), key("1").alias("placed"), key("first2").alias("doubled"), "error")
+
+
 @query("""SELECT event_id, event_type AS metric, CASE event_id % 3 WHEN 0 THEN event_id WHEN 1 THEN CAST(event_id || '.25' AS DOUBLE) ELSE -1 END::DOUBLE AS value, CASE WHEN event_id % 3 = 2 THEN 'n' || event_id ELSE '' END AS value_str FROM events""")
 def typed_values(spark, sf_dir):
     """Whole numbers, fractions and texts."""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyarrow import fs
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -76,6 +78,17 @@ def read_db_status(spark, sf_dir):
     return files.read_db_status(spark, f"{sf_dir}/orders.parquet").groupBy(F.col("o_orderstatus").alias("status")).agg(F.count("*").alias("rows"))
 
 
+@query("SELECT o_orderstatus AS status, count(*) AS rows, CAST(sum(o_orderkey) AS BIGINT) AS keys FROM orders WHERE o_orderpriority <> '5-LOW' GROUP BY 1")
+def read_db_ranges(spark, sf_dir):
+    """Orders in a database in this process, read in ranges of their keys. Where executors are other processes they can't reach it, so there the table is read as a snapshot."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority")
+    if spark.sparkContext.master.startswith("local["):
+        url, driver = f"jdbc:derby:memory:db{uuid.uuid4().hex};create=true", "org.apache.derby.iapi.jdbc.AutoloadedDriver"
+        o.write.option("createTableColumnTypes", "o_orderstatus VARCHAR(64), o_orderpriority VARCHAR(64)").jdbc(url, "orders", properties={"driver": driver})
+        o = files.read_db_status(spark, url=url, table="orders", column="o_orderkey", rows_of_a_task=2000, driver=driver)
+    return o.where("o_orderpriority <> '5-LOW'").groupBy(F.col("o_orderstatus").alias("status")).agg(F.count("*").alias("rows"), F.sum("o_orderkey").alias("keys"))
+
+
 @query(f"WITH {LINES} SELECT count(*) AS lines, CAST(sum(strlen(raw)) AS BIGINT) AS bytes, {_DIGEST_SQL.format('raw')} AS digest FROM L")
 def stream_log_lines(spark, sf_dir):
     folder = shared_folder(spark, "landed")

@@ -139,11 +139,46 @@ def read_syslog_capture(df: DataFrame) -> DataFrame:
     return df.select(conn.alias("conn_id"), F.unix_micros(F.col("ts").cast("timestamp")).alias("chunk_seq"), F.col("payload").cast("binary").alias("payload"))
 
 
-def read_db_status(spark: SparkSession, path: str | None = None, url: str | None = None, table: str | None = None, **options: str) -> DataFrame:
-    """Status rows of a database: from a snapshot on disk, or by JDBC."""
+def read_db_status(spark: SparkSession, path: str | None = None, url: str | None = None, table: str | None = None, column: str | None = None, rows_of_a_task: int = 1_000_000, **options: str) -> DataFrame:
+    """Status rows of a database: from a snapshot on disk, or by JDBC.
+
+    column: a column of whole numbers or times by which a table is read in ranges, each a task's. Their bounds are quantiles of the column, found by the database where its
+    values are uneven: it counts them in 64 even steps, and steps are put together to about rows_of_a_task rows. Filters, columns and aggregates on the
+    result are the database's work as far as Spark pushes them down.
+    """
     if path:
         return spark.read.parquet(path)
-    return spark.read.format("jdbc").options(url=url, dbtable=table, **options).load()
+    source = {"url": url, **options}
+    load = lambda **o: spark.read.format("jdbc").options(**source, **o).load()
+    if column is None:
+        return load(dbtable=table)
+    whole = load(dbtable=table)
+    kind = whole.schema[column].dataType.simpleString()
+    # one row, counted by the database
+    n, low, high = whole.agg(F.count(F.lit(1)), F.min(column), F.max(column)).first()
+    if not n or low is None or n <= rows_of_a_task:
+        return whole
+    name = spark._jvm.org.apache.spark.sql.jdbc.JdbcDialects.get(url).quoteIdentifier(column)
+    if kind not in ("tinyint", "smallint", "int", "bigint"):
+        return load(dbtable=table, partitionColumn=column, lowerBound=str(low), upperBound=str(high), numPartitions=str(-(-n // rows_of_a_task)))
+    steps = min(STEPS, high - low + 1)
+    width = -(-(high - low + 1) // steps)
+    counts = {r["step"]: r["n"] for r in whole.where(F.col(column).isNotNull()).groupBy(((F.col(column) - low) / width).cast("long").alias("step")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    cuts, held = [], 0
+    for step in range(steps):
+        if held and held + counts.get(step, 0) > rows_of_a_task:
+            cuts.append(low + step * width)
+            held = 0
+        held += counts.get(step, 0)
+    bounds = [None, *cuts, None]
+    # rows without a value are the first range's
+    ranges = [" AND ".join([*([f"{name} >= {a}"] if a is not None else []), *([f"{name} < {b}"] if b is not None else [])]) for a, b in zip(bounds, bounds[1:])]
+    ranges[0] = f"({ranges[0]}) OR {name} IS NULL" if ranges[0] else "1 = 1"
+    return spark.read.jdbc(url, table, predicates=ranges, properties={k: v for k, v in options.items()})
+
+
+#: Even steps in which a database counts the values of a column.
+STEPS = 64
 
 
 #: Lines of a document are numbered below this.

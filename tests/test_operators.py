@@ -212,3 +212,31 @@ def test_numbers_of_expositions(spark):
     df = spark.createDataFrame([(1, "a -15e-1\nb 1E+2\nc 25e-1\nd 1e+2\ne -1.5E+1\nf 7")], "scrape_id int, text string")
     got = {r.metric: r.value for r in M.parse_exposition(df).collect()}
     assert got == {"a": -1.0, "c": 2.0, "d": 100.0, "e": -15.0, "f": 7.0}
+
+
+def test_event_xml(spark):
+    whole = '<Event xmlns="x"><System><Provider Name="p"/><EventID>7</EventID><TimeCreated SystemTime="2024-01-01T00:00:00Z"/></System><EventData><Data Name="a">1</Data></EventData></Event>'
+    rows = [(0, whole), (1, whole.replace("<EventData>", "<UserData>").replace("</EventData>", "</UserData>")), (2, "no xml"), (3, None), (4, ""), (5, whole.replace("<EventID>7", "<EventID Qualifiers='9'>x")), (6, whole.replace('<Data Name="a">1</Data>', "<Data/><Data> b </Data>"))]
+    got = parse.parse_event_xml(spark.createDataFrame(rows, "i int, xml string")).orderBy("i").collect()
+    assert [(r.event_id, r.provider, r.error) for r in got] == [(7, "p", False), (7, "p", False), (None, None, True), (None, None, False), (None, None, True), (None, "p", True), (7, "p", False)]
+    assert [tuple(x) for x in got[0].data] == [("a", "1")] and got[1].data == [] and got[2].data is None
+    assert [(x.name, (x.text or "").strip()) for x in got[6].data] == [(None, ""), (None, "b")]
+
+
+def test_tables_of_a_database_are_read_in_ranges(spark):
+    """Uneven keys, keys without a value, and filters that the database applies."""
+    driver = "org.apache.derby.iapi.jdbc.AutoloadedDriver"
+    url = f"jdbc:derby:memory:t{random.randrange(10**9)};create=true"
+    rows = [(k, f"v{(k or 0) % 3}") for k in [*range(900), *range(100_000, 100_100), 10**6, None, None]]
+    df = spark.createDataFrame(rows, "id long, v string")
+    df.write.option("createTableColumnTypes", "v VARCHAR(8)").jdbc(url, "status", properties={"driver": driver})
+    read = files.read_db_status(spark, url=url, table="status", column="id", rows_of_a_task=50, driver=driver)
+    sizes = [len(p) for p in read.rdd.glom().collect()]
+    assert sorted(map(tuple, read.collect()), key=repr) == sorted(rows, key=repr) and len(sizes) > 2
+    hit = read.where("v = 'v1' and id < 500").select("id")
+    assert hit.count() == len([1 for k, v in rows if k is not None and v == "v1" and k < 500])
+    plan = hit._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters" in plan and "EqualTo(v,v1)" in plan.replace("*", "")
+    assert files.read_db_status(spark, url=url, table="status", column="id", driver=driver).rdd.getNumPartitions() == 1
+    df.limit(0).write.jdbc(url, "bare", properties={"driver": driver})
+    assert files.read_db_status(spark, url=url, table="bare", column="id", driver=driver).count() == 0
