@@ -65,6 +65,19 @@ def running(df: DataFrame, keys: list[str], order: list[str], value: Column, nam
     return out.withColumn(name, F.when(F.col("_carried").isNull(), F.col(name)).when(F.col(name).isNull(), F.col("_carried")).otherwise(both)).drop("_value", "_carried")
 
 
+def previous(df: DataFrame, keys: list[str], order: list[str], columns: list[str], name: str, block: str | None = None) -> DataFrame:
+    """Adds name, a struct of the columns of the row before; null for a key's first row. block: see running; a row per block carries its last row on."""
+    by = [*keys, block] if block else keys
+    own = F.struct(*columns)
+    w = Window.partitionBy(*by).orderBy(*order)
+    out = df.withColumn(name, F.lag(own).over(w))
+    if block is None:
+        return out
+    ends = df.groupBy(*by).agg(F.max_by(own, F.struct(*order)).alias("_end"))
+    carried = ends.select(*by, F.lag("_end").over(Window.partitionBy(*keys).orderBy(block)).alias("_carried"))
+    return _carry(out, carried, by).withColumn(name, F.coalesce(name, "_carried")).drop("_carried")
+
+
 def automaton(df: DataFrame, keys: list[str], order: list[str], step: Column, counted: Callable[[Column], Column], name: str, total: str, block: str | None = None) -> DataFrame:
     """Runs a one-bit automaton that begins with false over rows in order. Adds name, the state before each row, and total, the running count of rows for which counted(state before) holds.
 

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logspark.model import KNOWN_BACKLOG_BYTES, NEW_BACKLOG_BYTES, REQUEST_BYTES, SEQUENCE_LIMIT
 from logspark.operators.chains import SizeCuts, chained
-from logspark.operators.ordered import in_blocks, running
+from logspark.operators.ordered import in_blocks, previous, running
 
 KEY, ORDER = ["log_path"], ["line_seq"]
 
@@ -20,28 +20,31 @@ def sequence(lines: DataFrame, limit: int = SEQUENCE_LIMIT, block: Column | None
     return df.withColumns({"seq_id": F.sha2(F.concat_ws("#", "log_path", epoch.cast("string")), 256), "seq_num": F.pmod("_before", F.lit(limit))}).drop("_before", "_block")
 
 
-def encode_sequence(events: DataFrame, session: list[str], order: list[str]) -> DataFrame:
-    """Adds si (the id, where it changed), sn (the number, then) and sd (else the difference to the number before)."""
-    w = Window.partitionBy(*session).orderBy(*order)
-    changed = ~F.col("seq_id").eqNullSafe(F.lag("seq_id").over(w)) | F.lag("seq_num").over(w).isNull()
-    df = events.withColumn("_changed", changed & F.col("seq_id").isNotNull()).withColumn("_last", F.lag("seq_num").over(w))
+def encode_sequence(events: DataFrame, session: list[str], order: list[str], block: Column | None = None) -> DataFrame:
+    """Adds si (the id, where it changed), sn (the number, then) and sd (else the difference to the number before). block: see ordered."""
+    df, by = in_blocks(events, block)
+    df = previous(df, session, order, ["seq_id", "seq_num"], "_before", by)
+    last = F.col("_before.seq_num")
+    changed = ~F.col("seq_id").eqNullSafe(F.col("_before.seq_id")) | last.isNull()
+    df = df.withColumn("_changed", changed & F.col("seq_id").isNotNull())
     new = F.col("_changed")
-    return df.withColumns({"si": F.when(new, F.col("seq_id")), "sn": F.when(new, F.col("seq_num")), "sd": F.when(~new, F.col("seq_num") - F.col("_last"))}).drop("_changed", "_last")
+    return df.withColumns({"si": F.when(new, F.col("seq_id")), "sn": F.when(new, F.col("seq_num")), "sd": F.when(~new, F.col("seq_num") - last)}).drop("_changed", "_before", "_block")
 
 
-def monotonic_time(events: DataFrame, session: list[str], order: list[str], column: str = "ts_nanos") -> DataFrame:
-    """Raises times so that each is at least one more than the one before: max(t - n) so far, plus n."""
-    w = Window.partitionBy(*session).orderBy(*order)
-    df = events.withColumn("_n", F.row_number().over(w))
-    return df.withColumn(column, F.max(F.col(column) - F.col("_n")).over(w.rowsBetween(Window.unboundedPreceding, 0)) + F.col("_n")).drop("_n")
+def monotonic_time(events: DataFrame, session: list[str], order: list[str], column: str = "ts_nanos", block: Column | None = None) -> DataFrame:
+    """Raises times so that each is at least one more than the one before: max(t - n) so far, plus n. block: see ordered."""
+    df, by = in_blocks(events, block)
+    df = running(df, session, order, F.lit(1).cast("long"), "_n", block=by)
+    df = running(df, session, order, F.col(column) - F.col("_n"), "_most", how="max", block=by)
+    return df.withColumn(column, F.col("_most") + F.col("_n")).drop("_n", "_most", "_block")
 
 
-def fresh_versions(rows: DataFrame, keys: list[str], order: list[str], version: str) -> DataFrame:
-    """Rows whose version is null or greater than all since the last null."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    df = rows.withColumn("_segment", F.count_if(F.col(version).isNull()).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    seen = F.max(version).over(Window.partitionBy(*keys, "_segment").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
-    return df.withColumn("_seen", seen).where(F.col(version).isNull() | F.col("_seen").isNull() | (F.col(version) > F.col("_seen"))).drop("_segment", "_seen")
+def fresh_versions(rows: DataFrame, keys: list[str], order: list[str], version: str, block: Column | None = None) -> DataFrame:
+    """Rows whose version is null or greater than all since the last null. block: see ordered."""
+    df, by = in_blocks(rows, block)
+    df = running(df, keys, order, F.when(F.col(version).isNull(), 1).otherwise(0).cast("long"), "_segment", block=by)
+    df = running(df, [*keys, "_segment"], order, F.col(version), "_seen", how="max", before=True, block=by)
+    return df.where(F.col(version).isNull() | F.col("_seen").isNull() | (F.col(version) > F.col("_seen"))).drop("_segment", "_seen", "_block")
 
 
 def pack_batches(events: DataFrame, session: str, position: str, size: Column, max_bytes: int = REQUEST_BYTES) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from logspark.functions import dates, text
@@ -10,6 +9,7 @@ from logspark.model import Grouper, LogConfig, RedactionRule, SamplingRule
 from logspark.operators import lines as L
 from logspark.operators import parse, sequence
 from logspark.operators.joins import first_matching
+from logspark.operators.ordered import running
 from logspark.operators.reports import rule_report
 from logspark.operators.rules import apply_configs, apply_rule_tables, redact, rule_tables, sample
 from logspark.plans import pipelines
@@ -94,18 +94,18 @@ def sequence_numbers(spark, sf_dir):
  P AS (SELECT *, b // 50000 AS e, b % 50000 AS n, lag(b // 50000) OVER w AS le, lag(b % 50000) OVER w AS ln FROM M WINDOW w AS (PARTITION BY log_path ORDER BY line_seq))
  SELECT log_path, line_seq, CASE WHEN le IS DISTINCT FROM e THEN e ELSE -1 END AS si, CASE WHEN le IS DISTINCT FROM e THEN n ELSE -1 END AS sn, CASE WHEN le = e THEN n - ln ELSE -1 END AS sd FROM P""")
 def encode_sequence(spark, sf_dir):
-    df = sequence.sequence(document_lines(spark, sf_dir), 50_000)
+    lines = running(document_lines(spark, sf_dir).withColumn("_b", line_block()), ["log_path"], ["line_seq"], F.col("raw_len").cast("long"), "_at", before=True, block="_b").drop("_b")
+    df = sequence.sequence(lines, 50_000, block=line_block())
     # the number of an id in its log stands for the id
-    order = F.floor(F.sum("raw_len").over(Window.partitionBy("log_path").orderBy("line_seq").rowsBetween(Window.unboundedPreceding, -1)) / 50_000)
-    df = df.withColumn("seq_id", F.coalesce(order, F.lit(0)))
-    return sequence.encode_sequence(df, ["log_path"], ["line_seq"]).select("log_path", "line_seq", *(F.coalesce(c, F.lit(-1)).alias(c) for c in ("si", "sn", "sd")))
+    df = df.withColumn("seq_id", F.coalesce(F.floor(F.col("_at") / 50_000), F.lit(0)))
+    return sequence.encode_sequence(df, ["log_path"], ["line_seq"], block=line_block()).select("log_path", "line_seq", *(F.coalesce(c, F.lit(-1)).alias(c) for c in ("si", "sn", "sd")))
 
 
 @query("""WITH E AS (SELECT event_id, user_id, epoch_us(ts) // 100000000 AS t, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events)
  SELECT event_id, CAST(max(t - n) OVER (PARTITION BY user_id ORDER BY event_id) + n AS BIGINT) AS t FROM E""")
 def monotonic_ts(spark, sf_dir):
     e = table(spark, sf_dir, "events").select("event_id", "user_id", F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 100_000_000).alias("t"))
-    return sequence.monotonic_time(e, ["user_id"], ["event_id"], "t").select("event_id", "t")
+    return sequence.monotonic_time(e, ["user_id"], ["event_id"], "t", block=F.floor(F.col("event_id") / 2000)).select("event_id", "t")
 
 
 @query("""WITH E AS (SELECT event_id, user_id, CASE WHEN event_id % 7 = 0 THEN NULL ELSE CAST(floor(value) AS BIGINT) END AS v FROM events),
@@ -114,7 +114,7 @@ def monotonic_ts(spark, sf_dir):
  SELECT event_id, coalesce(v, -1) AS v FROM M WHERE v IS NULL OR m IS NULL OR v > m""")
 def fresh_versions(spark, sf_dir):
     e = table(spark, sf_dir, "events").select("event_id", "user_id", F.when(F.col("event_id") % 7 != 0, F.floor("value")).alias("v"))
-    return sequence.fresh_versions(e, ["user_id"], ["event_id"], "v").select("event_id", F.coalesce("v", F.lit(-1)).alias("v"))
+    return sequence.fresh_versions(e, ["user_id"], ["event_id"], "v", block=F.floor(F.col("event_id") / 2000)).select("event_id", F.coalesce("v", F.lit(-1)).alias("v"))
 
 
 _BACKLOG = "sum(raw_len) > CASE WHEN log_path LIKE 'src1%' THEN 150000 ELSE 120000 END"

@@ -240,3 +240,18 @@ def test_tables_of_a_database_are_read_in_ranges(spark):
     assert files.read_db_status(spark, url=url, table="status", column="id", driver=driver).rdd.getNumPartitions() == 1
     df.limit(0).write.jdbc(url, "bare", properties={"driver": driver})
     assert files.read_db_status(spark, url=url, table="bare", column="id", driver=driver).count() == 0
+
+
+def test_blocks_of_sequences_times_and_versions(spark):
+    """In blocks of any size what comes out is what comes out in one piece."""
+    rng = random.Random(8)
+    rows = [(rng.choice(["a", "a", "a", "b", None]), i, rng.choice([None, *range(9)]), rng.choice(["x", "x", "y", None]), rng.randrange(50), i * 3 + rng.randrange(-20, 20)) for i in range(300)]
+    df = spark.createDataFrame(rows, "k string, i long, v long, seq_id string, seq_num long, t long").repartition(3)
+    for size in (1, 7, 100, 1000):
+        block = F.floor(F.col("i") / size)
+        for run in (
+            lambda **o: sequence.encode_sequence(df, ["k"], ["i"], **o),
+            lambda **o: sequence.monotonic_time(df, ["k"], ["i"], "t", **o),
+            lambda **o: sequence.fresh_versions(df, ["k"], ["i"], "v", **o),
+        ):
+            assert sorted(map(tuple, run(block=block).collect()), key=repr) == sorted(map(tuple, run().collect()), key=repr)
