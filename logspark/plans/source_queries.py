@@ -2,20 +2,21 @@
 
 from __future__ import annotations
 
+import itertools
 import uuid
 
 from pyarrow import fs
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from logspark.operators import inventory, parse
+from logspark.operators.ordered import running
 from logspark.plans.inventory_queries import _stats
 from logspark.plans.line_queries import LINES
 from logspark.plans.metric_queries import samples
 from logspark.plans.registry import query, table
 from logspark.plans.stream_queries import run_to_end, shared_folder
 from logspark.sources import files, sinks
-from logspark.sources.files import document_lines
+from logspark.sources.files import document_lines, line_block
 from logspark.sources.tailing import LogTail, Monitor
 
 #: A sum that tells whether lines have the same texts, in any order: of 32 bits of each one's MD5.
@@ -155,32 +156,33 @@ def plugin_metrics(spark, sf_dir):
     return m.select(F.regexp_extract("instance", "log_path=log-([^/]*)", 1).alias("log_path"), "metric", "value")
 
 
-@query(f"""WITH {LINES}, B AS (SELECT *, row_number() OVER (PARTITION BY log_path ORDER BY line_seq) AS rn, count(*) OVER (PARTITION BY log_path) AS n FROM L WHERE log_path <> ''),
- P AS (SELECT *, CASE WHEN rn * 3 > n * 2 THEN 0 WHEN rn * 3 > n THEN 1 ELSE 2 END AS g FROM B)
- SELECT log_path, count(*) AS lines, sha256(string_agg(raw, chr(10) ORDER BY line_seq)) AS digest FROM P GROUP BY 1""")
+@query(f"""WITH {LINES}, B AS (SELECT log_path, raw, row_number() OVER (PARTITION BY log_path ORDER BY line_seq) AS rn FROM L)
+ SELECT log_path, count(*) AS lines, CAST(sum(strlen(raw) + 1) AS BIGINT) AS bytes, CAST(sum(rn * CAST('0x' || substr(md5(raw), 1, 8) AS BIGINT) % 1000003) AS BIGINT) AS digest FROM B GROUP BY 1""")
 def read_rotated_lines(spark, sf_dir):
-    """Each log in three files, x.log.2, x.log.1 and x.log, written apart and read as one log, oldest file first."""
+    """Each log in three files, x.log.2, x.log.1 and x.log, written apart and read as one log, oldest file first. The digest has each line's place in its log."""
     folder = shared_folder(spark, "rotated")
-    w = Window.partitionBy("log_path")
-    rn, n = F.row_number().over(w.orderBy("line_seq")), F.count("*").over(w)
-    df = document_lines(spark, sf_dir).where("log_path <> ''").withColumn("_g", F.when(rn * 3 > n * 2, 0).when(rn * 3 > n, 1).otherwise(2))
-    # a file is one task's rows in order; its name comes from the folder it is written to
-    for g, suffix in enumerate(("", ".1", ".2")):
-        own = df.where(F.col("_g") == g).select(F.col("log_path").alias("d"), "line_seq", "raw")
-        own.groupBy("d").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_seq", "raw"))), lambda x: x["raw"]), "\n").alias("raw")).foreachPartition(_files_of(folder, suffix))
+    df = running(document_lines(spark, sf_dir).withColumn("_b", line_block()), ["log_path"], ["line_seq"], F.lit(1).cast("long"), "rn", block="_b")
+    n = df.groupBy("log_path").agg(F.max("rn").alias("n"))
+    third = F.when(F.col("rn") * 3 > F.col("n") * 2, "").when(F.col("rn") * 3 > F.col("n"), ".1").otherwise(".2")
+    named = df.join(n, "log_path").select(F.concat(F.lit("log-"), "log_path", F.lit(".log"), third).alias("file"), "line_seq", "raw")
+    # a file is one task's, line by line
+    named.repartition("file").sortWithinPartitions("file", "line_seq").foreachPartition(_files_in(folder))
     lines = files.read_log_lines(spark, [f"{folder}/*"], rotations=True)
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_seq", "raw"))), lambda x: x["raw"]), "\n")
-    return lines.groupBy(F.regexp_extract("log_path", r"([^/]*)\.log$", 1).alias("log_path")).agg(F.count("*").alias("lines"), F.sha2(text, 256).alias("digest"))
+    # a part of a file is a block: these never fall along the order
+    lines = running(lines.withColumn("_b", F.shiftright("line_seq", 29)), ["log_path"], ["line_seq"], F.lit(1).cast("long"), "rn", block="_b")
+    digest = F.sum(F.col("rn") * F.conv(F.substring(F.md5(F.col("raw").cast("binary")), 1, 8), 16, 10).cast("long") % 1000003)
+    return lines.groupBy(F.regexp_extract("log_path", r"log-([^/]*)\.log$", 1).alias("log_path")).agg(F.count("*").alias("lines"), F.sum("raw_len").cast("long").alias("bytes"), digest.alias("digest"))
 
 
-def _files_of(folder: str, suffix: str):
-    """Writes each row as a file of the log of that name."""
+def _files_in(folder: str):
+    """Writes rows of file and raw, which come in order, as lines of those files."""
 
     def run(rows):
         system, path = fs.FileSystem.from_uri(folder if "://" in folder else "file://" + folder)
         system.create_dir(path, recursive=True)
-        for r in rows:
-            with system.open_output_stream(f"{path}/{r.d}.log{suffix}", compression=None) as out:
-                out.write(r.raw.encode())
+        for file, own in itertools.groupby(rows, key=lambda r: r.file):
+            with system.open_output_stream(f"{path}/{file}", compression=None) as out:
+                for r in own:
+                    out.write(r.raw.encode() + b"\n")
 
     return run
