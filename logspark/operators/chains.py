@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from logspark.operators.ordered import Fold, ordered_fold, saved
 
 Rows = dict[str, Any]
+#: Rows of a batch that leaves.
+OUT_ROWS = 10_000
 
 
 class Chain:
@@ -174,6 +176,18 @@ def chained(df: DataFrame, keys: list[str], order: list[str], chain: Chain, apar
     before = {(r["block"], r["key"]): bytes(r["state"]) for r in composed.collect()}
 
     def marked(batches):
+        # small keys leave together
+        held, n = [], 0
+        for table in _marked(batches):
+            held.append(table)
+            n += table.num_rows
+            if n >= OUT_ROWS:
+                yield from pa.concat_tables(held).combine_chunks().to_batches()
+                held, n = [], 0
+        if held:
+            yield from pa.concat_tables(held).combine_chunks().to_batches()
+
+    def _marked(batches):
         for key, table in _runs(batches):
             rows, size = _rows(chain, table), table.num_rows
             state, count = pickle.loads(before[at]) if (at := (table["_block"][0].as_py(), key)) in before else (None, 0)
@@ -185,7 +199,7 @@ def chained(df: DataFrame, keys: list[str], order: list[str], chain: Chain, apar
             table = table.drop_columns(["_key", "_block"]).append_column("start", pa.array(start)).append_column("nth", pa.array(np.cumsum(start) + count))
             for name, column in chain.columns(rows, np.flatnonzero(start), state).items():
                 table = table.append_column(name, column)
-            yield from table.to_batches()
+            yield table
 
     added = [ranged.schema[c] for c in columns]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in added), "start boolean", "nth bigint", *([chain.adds] if chain.adds else [])])
