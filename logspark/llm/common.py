@@ -22,11 +22,13 @@ SLICE_BYTES = 1 << 20
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder below the one that the cluster shares (spark.checkpoint.dir).
 
-    Only where the session names none, as in tests on one machine, a temporary folder is set.
+    Only where the session names none and runs on one machine, as in tests, a temporary folder is set.
     """
     sc = spark.sparkContext
     top = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not top:
+        if not sc.master.startswith("local"):
+            raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
         top = "file://" + tempfile.mkdtemp(prefix="spark-checkpoint-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(top)
@@ -82,6 +84,14 @@ def give_back() -> None:
         pass
 
 
+def free(name: str, taken: list[str]) -> str:
+    """The name, with as many underscores behind it as it takes not to be one of those taken (Spark ignores case)."""
+    lower = {x.lower() for x in taken}
+    while name.lower() in lower:
+        name += "_"
+    return name
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
