@@ -33,6 +33,8 @@ DICTIONARY_FRAME, ZSTD_FRAME, ZSTD_DICTIONARY = 0x184D2A5D, 0xFD2FB528, 0xEC30A4
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: The dictionary of an archive is trained on at most so many of its first records and so many bytes of each.
 DICTIONARY_BYTES, SAMPLES, SAMPLE_BYTES = 32 << 10, 64, 16 << 10
+#: Rows up to which a table of repeated payloads is broadcast (about 100 bytes a row), and rows of one payload from which on they aren't shuffled by it.
+BROADCAST_ROWS, HOT_ROWS = 200_000, 100_000
 
 
 class BadArchive(ValueError):
@@ -173,17 +175,32 @@ def parse_archive(data: bytes) -> Iterator[Record]:
         at = end
 
 
-def with_revisits(pages: DataFrame, page_id: str, payload: str, min_revisit: int) -> DataFrame:
-    """Adds _sha (hex) and _last, the largest id among the rows of an equal payload; small payloads get their own id."""
-    df = pages.withColumn("_sha", F.concat(F.sha1(payload), F.lit(":"), F.octet_length(payload)))
-    last = df.where(F.octet_length(payload) >= min_revisit).groupBy("_sha").agg(F.max(page_id).alias("_last"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
-    return df.join(last, "_sha", "left")
+def with_revisits(rows: DataFrame, min_revisit: int) -> DataFrame:
+    """Adds _last, the largest id among the rows of an equal payload of at least min_revisit bytes that occurs more than once; else null. rows: id, url, payload.
+
+    Where such payloads are too many to be broadcast, digests and ids are joined by themselves; rows with a payload are then joined by id, so
+    that those of a hot payload are many tasks' (and those without an id by their URL).
+    """
+    rows = rows.withColumn("_sha", F.concat(F.sha1("payload"), F.lit(":"), F.octet_length("payload")))
+    large = rows.where(F.octet_length("payload") >= min_revisit)
+    last = checkpoint(large.groupBy("_sha").agg(F.max("id").alias("_last"), F.count("*").alias("_n")).where("_n > 1"))
+    n, total = last.agg(F.count("*"), F.sum("_n")).first()
+    if n <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(last.select("_sha", "_last")), "_sha", "left")
+    rows = rows.withColumn("_spot", F.pmod(F.xxhash64("id", "url"), F.lit(64)))
+    ids = checkpoint(large.select("_sha", "id", F.pmod(F.xxhash64("id", "url"), F.lit(64)).alias("_spot")).distinct())
+    # payloads of over total / BROADCAST_ROWS rows are fewer than BROADCAST_ROWS
+    hot = F.col("_n") > max(HOT_ROWS, total // max(1, BROADCAST_ROWS))
+    often, seldom = (F.broadcast(last.where(hot).select("_sha", "_last")), last.where(~hot).select("_sha", "_last"))
+    marks = ids.join(often, "_sha").unionByName(ids.join(often, "_sha", "left_anti").join(seldom, "_sha"))
+    marks = checkpoint(marks.select(F.col("_sha").alias("_s"), F.col("id").alias("_i"), F.col("_spot").alias("_p"), "_last"))
+    return rows.join(marks, (F.col("_sha") == F.col("_s")) & F.col("id").eqNullSafe(F.col("_i")) & (F.col("_spot") == F.col("_p")), "left")
 
 
 def write_archives(pages: DataFrame, folder: str, page_id: str = "page_id", url: str = "url", payload: str = "html", min_revisit: int = 0, date: str = "1970-01-01T00:00:00Z", archive_bytes: int = 8 << 20) -> DataFrame:
     """Writes the pages and returns the archives written: path, records, bytes. An archive ends when its payloads reach `archive_bytes`."""
     df = pages.select(F.col(page_id).cast("long").alias("id"), F.col(url).cast("string").alias("url"), F.coalesce(F.col(payload).cast("binary"), F.lit(b"")).alias("payload"))
-    df = with_revisits(df, "id", "payload", min_revisit).select("id", "url", "payload", F.when(F.col("_last").isNotNull() & ~F.col("id").eqNullSafe(F.col("_last")), F.col("_last")).alias("refers_to"))
+    df = with_revisits(df, min_revisit).select("id", "url", "payload", F.when(F.col("_last").isNotNull() & ~F.col("id").eqNullSafe(F.col("_last")), F.col("_last")).alias("refers_to"))
     df = df.sortWithinPartitions("id", "url")
     make_folder(folder)
 
