@@ -144,10 +144,11 @@ def continued(p: np.ndarray) -> np.ndarray:
     step = (control[full[1:]] - control[full[:-1]]) & 15
     again = step == 0
     # what may differ in a repeat is its clock: the six bytes after the flags
-    timed = (control[full[1:]] & 0x20 != 0) & (p[full[1:], 4] >= 7) & (p[full[1:], 5] & 0x10 != 0)
-    same = p[full[1:]] == p[full[:-1]]
-    same[:, 6:12] |= timed[:, None]
-    if (step > 1).any() or (again & ~same.all(1)).any() or (again[1:] & again[:-1]).any() or ((control[bare] ^ control[before[bare]]) & 15).any():
+    twice = np.flatnonzero(again)
+    now, last = p[full[twice + 1]], p[full[twice]]
+    same = now == last
+    same[:, 6:12] |= ((now[:, 3] & 0x20 != 0) & (now[:, 4] >= 7) & (now[:, 5] & 0x10 != 0))[:, None]
+    if (step > 1).any() or not same.all() or (again[1:] & again[:-1]).any() or ((control[bare] ^ control[before[bare]]) & 15).any():
         raise BadStream("continuity counters don't follow one another")
     return full[np.r_[True, ~again]] if len(full) else full
 
