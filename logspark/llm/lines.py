@@ -15,7 +15,7 @@ The search is not exact: of pairs at a resemblance of just 0.8, 99 % share a key
 
 Rows that share a key count as one document. Rows without a key, blank lines and short lines stay as they are and
 remove nothing. Null texts have no lines. A line of any length is compared whole. Empty tables give empty ones. Of other
-columns `drop_lines` keeps all, whatever their names (but for `_doc` and `_removed`).
+columns `drop_lines` keeps all, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logspark.llm.common import PACKED, checkpoint, deal, lean, lean_groups, membership, mix64, pack, packed_groups, ragged, slices, tasks, unpack, utf8
+from logspark.llm.common import PACKED, checkpoint, deal, free, lean, lean_groups, membership, mix64, pack, packed_groups, ragged, slices, tasks, unpack, utf8
 from logspark.llm.components import connected_components, sets_between_pieces, union_find
 
 BANDS, ROWS = 12, 5
@@ -445,14 +445,15 @@ def repeated_lines(df: DataFrame, key: str = "doc_id", text: str = "text", min_c
 def drop_lines(df: DataFrame, repeated: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents without their removed lines; those with no word left go. repeated: doc, removed."""
     schema, names = df.schema, df.columns
-    gone = checkpoint(repeated.where(F.size("removed") > 0).select(F.col("doc").alias("_doc"), F.col("removed").alias("_removed")))
-    n = gone.agg(F.sum(F.size("_removed") + 2)).first()[0] or 0
-    df = df.join(F.broadcast(gone) if n <= BROADCAST_LINES else gone, F.col(key) == F.col("_doc"), "left").drop("_doc")
+    doc, removed = free("_doc", names), free("_removed", names)
+    gone = checkpoint(repeated.where(F.size("removed") > 0).select(F.col("doc").alias(doc), F.col("removed").alias(removed)))
+    n = gone.agg(F.sum(F.size(removed) + 2)).first()[0] or 0
+    df = df.join(F.broadcast(gone) if n <= BROADCAST_LINES else gone, F.col(key) == F.col(doc), "left").drop(doc)
 
     def run(batches):
         for b in batches:
             texts = []
-            for t, out in zip(b[text], b["_removed"].to_pylist()):
+            for t, out in zip(b[text], b[removed].to_pylist()):
                 if out:
                     less = set(out)
                     texts.append("\n".join(x for i, x in enumerate(t.as_py().split("\n")) if i not in less))
@@ -461,4 +462,4 @@ def drop_lines(df: DataFrame, repeated: DataFrame, key: str = "doc_id", text: st
             b = b.set_column(b.schema.get_field_index(text), b.schema.field(text), pa.array(texts, b.schema.field(text).type)).select(names)
             yield b.filter(pc.fill_null(pc.match_substring_regex(b[text], r"[^ \t-\r]"), False))
 
-    return df.select(*names, "_removed").mapInArrow(lean(run), schema)
+    return df.select(*names, removed).mapInArrow(lean(run), schema)

@@ -12,7 +12,9 @@ is made good by adding or taking back a copy of the document whose size is neare
 Hot sources are many buckets, a bucket is a fold that holds one document. Random numbers depend on the
 seed and the bucket only, and a bucket's order is total, so reruns agree. Null texts have size 0, documents
 of size 0 take nothing. A null source is a source of its own, the last. Repeated rows are documents of their
-own. An empty table gives an empty one. Other columns are not passed on.
+own. An empty table gives an empty one. Other columns are not passed on; the key may have any name, and a
+result that would have the key's name gets an underscore behind its own. A text of any length is counted whole,
+in one task.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logspark.llm.common import checkpoint, lean, partitions, utf8
+from logspark.llm.common import checkpoint, free, lean, partitions, utf8
 
 FAN_IN = 64
 BUCKET_ROWS = 10_000
@@ -165,7 +167,9 @@ def mix(df: DataFrame, key: str = "doc_id", source: str = "source", text: str =
     weights: of the sources in order, repeating. share: the budget over all words. cap: the most copies of a source.
     """
     spark = df.sparkSession
-    docs = checkpoint(sizes(df, key, source, text).withColumn("_row", F.monotonically_increasing_id()))
+    df = df.select(F.col(key).alias("_key"), F.col(source).alias("_of"), F.col(text).alias("_text"))
+    own_name, key = key, "_key"
+    docs = checkpoint(sizes(df, key, "_of", "_text").withColumn("_row", F.monotonically_increasing_id()))
     totals = docs.groupBy("_source").agg(F.sum("size").alias("source_size"), F.count("*").alias("_n"))
     t = checkpoint(targets(totals, weights, share, cap).withColumn("_buckets", F.ceil(F.col("_n") / BUCKET_ROWS)).drop("_n"))
     n_sources, most = t.agg(F.count("*"), F.max("_buckets")).first()
@@ -185,4 +189,5 @@ def mix(df: DataFrame, key: str = "doc_id", source: str = "source", text: str =
     for _ in range(2):
         out = _made_good(checkpoint(out), key, n_sources)
     copies = F.col("_whole") + F.col("extra")
-    return out.select(key, "size", "source_size", "target", copies.cast("int").alias("copies"), (copies * F.col("size")).cast("long").alias("taken"))
+    results = {"size": F.col("size"), "source_size": F.col("source_size"), "target": F.col("target"), "copies": copies.cast("int"), "taken": (copies * F.col("size")).cast("long")}
+    return out.select(F.col(key).alias(own_name), *(c.alias(free(name, [own_name])) for name, c in results.items()))

@@ -209,3 +209,139 @@ def test_token_counts_of_no_rows(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     none.write.parquet(f"{(folder := shared_dir(spark, 'empty'))}/documents.parquet")
     assert queries.op10_separator_scan(spark, folder).count() == 0
+
+
+@pytest.mark.parametrize("name", ["f0", "norm", "fingerprint", "component_id", "_text"])
+def test_near_duplicates_by_keys_of_any_name(spark, name):
+    rows = [(1, "a b c d e f"), (2, "x y z x y z"), (3, "A b c d e f")]
+    df = spark.createDataFrame(rows, f"{name} long, words string")
+    first = {r[0]: r[2] for r in simhash.near_duplicates(df, key=name, text="words").collect()}
+    assert first == {1: 1, 2: 2, 3: 1}
+    assert {r[0]: r[1] for r in simhash.resembling(df, key=name, text="words").collect()} == {1: 1, 3: 1}
+
+
+@pytest.mark.parametrize("name", ["size", "taken", "mass", "_row"])
+def test_mixing_by_keys_of_any_name(spark, name):
+    rows = [(k, "one two three " * (1 + k % 5), "ab"[k % 2]) for k in range(40)]
+    want = sorted(map(tuple, mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()))
+    got = mixing.mix(spark.createDataFrame(rows, f"{name} long, text string, source string"), key=name)
+    assert sorted(map(tuple, got.collect())) == want and len(set(got.columns)) == len(got.columns)
+
+
+def test_dropped_lines_beside_columns_of_inner_names(spark):
+    rows = [(1, "one long line of words\nother line of this text", "x", 5), (2, "one long line of words\nsomething else, long enough", None, 6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _doc string, _removed int")
+    out = {r.doc_id: (r.text, r._doc, r._removed) for r in lines.drop_lines(df, lines.repeated_lines(df)).collect()}
+    assert out == {1: (rows[0][1], "x", 5), 2: ("something else, long enough", None, 6)}
+
+
+def test_no_temporary_folder_on_a_cluster():
+    class Conf:
+        def get(self, name, default=None):
+            return default
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        conf, sparkContext = Conf(), Context()
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(Session(), "x")
+
+
+@pytest.mark.parametrize("levels", [0, 3, 5, 9, 17])
+@pytest.mark.parametrize("radius", [1, 4, 7])
+def test_shards_meet_all_near_pairs(levels, radius):
+    """Every pair within the radius, of which a block differs by its radius at most, lives or visits in one shard, and few are visited."""
+    rng = np.random.default_rng(levels * 10 + radius)
+    base = rng.integers(0, 2**63, 300, dtype=np.uint64)
+    near = base[rng.integers(0, 300, 400)].copy()
+    for i in range(len(near)):
+        for b in rng.choice(64, rng.integers(0, radius + 2), replace=False):
+            near[i] ^= np.uint64(1) << np.uint64(b)
+    f = np.unique(np.r_[base, near])
+    want = set(zip(*np.nonzero(np.triu(np.bitwise_count(f[:, None] ^ f[None, :]) <= radius, 1))))
+    blocks, got = simhash.Blocks(1, radius), set()
+    for block in range(3):
+        row, code, home = blocks.route([f], block, levels)
+        assert len(set(zip(row.tolist(), code.tolist()))) == len(row) and code.max() < 1 << levels
+        assert (np.sort(row[home]) == np.arange(len(f))).all()
+        if levels > simhash.TREE_LEVELS and blocks.block_radius == 1:
+            assert np.bincount(row).max() <= 23 and len(row) <= 11 * len(f)
+        for s in np.unique(code):
+            r, own = row[code == s], home[code == s]
+            x, y, _ = simhash.Search(blocks, block, [f[r]], own).pairs(np.flatnonzero(own), np.arange(len(r)))
+            got |= {(min(a, b), max(a, b)) for a, b in zip(r[x], r[y])}
+    a, b = np.array(sorted(want)).T
+    x, y = np.array(sorted(got)).T
+    assert got <= want and (union_find(a, b, len(f)) == union_find(x, y, len(f))).all()
+
+
+def test_near_duplicates_over_many_shards(spark, monkeypatch):
+    """Small and hot shards, deep levels: the same components as in one shard."""
+    rng = random.Random(21)
+    bases = [words(rng, 60) for _ in range(40)]
+    rows = []
+    for k in range(900):
+        t = rng.choice(bases).split()
+        for _ in range(rng.choice([0, 1, 1, 2])):
+            t[rng.randrange(len(t))] = f"e{rng.randrange(50)}"
+        rows.append((k, " ".join(t)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = sorted(map(tuple, simhash.near_duplicates(df).collect()))
+    monkeypatch.setattr(simhash, "SHARD", 4)
+    assert sorted(map(tuple, simhash.near_duplicates(df).collect())) == want
+    monkeypatch.setattr(simhash, "HOT_SHARD", 8)
+    assert sorted(map(tuple, simhash.near_duplicates(df).collect())) == want
+    assert len({c for _, _, c in want}) < 0.9 * len(want)
+
+
+def test_near_duplicates_of_queries_against_all(spark):
+    """Ids divisible by 50 against every row of a table, by exact Jaccard."""
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    found = {r.doc_id: r.component_id for r in simhash.resembling(df).collect()}
+    sets = {r.doc_id: set(simhash.shingle_hashes((r.text or "").encode(), 5).tolist()) for r in df.collect()}
+    pairs = [(a, b) for a in sets if a % 50 == 0 for b in sets if a != b and sets[a] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    missed = [(a, b) for a, b in pairs if a not in found or found[a] != found.get(b)]
+    assert len(missed) <= 0.01 * len(pairs), missed
+
+
+def test_very_long_texts(spark):
+    """A text of 3 MB beside short ones: fingerprints, and turns of a conversation."""
+    rng = random.Random(4)
+    long = words(rng, 500_000, 10**6)
+    df = spark.createDataFrame([(1, long), (2, "short"), (3, long + " end"), (4, None)], "doc_id long, text string")
+    h = simhash.shingle_hashes(long.encode(), 4)
+    got = {r.doc_id: r for r in simhash.near_duplicates(df).collect()}
+    assert got[1].fingerprint == f"{int(simhash.majority_bits(h, np.array([len(h)]))[0]):016x}" and got[3].component_id == 1
+    turns = df.select(F.lit(7).alias("conv_id"), F.col("doc_id").alias("turn"), F.lit("assistant").alias("role"), chat.text_part(F.col("text")).alias("parts"))
+    r = chat.read_back(chat.format_turns(turns)).first()
+    texts = [long, "short", long + " end", ""]
+    assert (r.n_turns, r.loss_chars) == (4, sum(map(len, texts)))
+    assert r.loss_sha256 == hashlib.sha256("".join(texts).encode()).hexdigest()
+
+
+@pytest.mark.parametrize("most, hot", [(200_000, 100_000), (0, 3), (0, 10**6)])
+def test_repeated_payloads_by_broadcast_and_by_id(spark, monkeypatch, most, hot):
+    """A hot payload, ids that tie or are null: the same records whichever join finds them."""
+    monkeypatch.setattr(warc, "BROADCAST_ROWS", most)
+    monkeypatch.setattr(warc, "HOT_ROWS", hot)
+    rng = random.Random(8)
+    rows = [(rng.choice([None, *range(30)]), rng.choice(["u", "v", None]), rng.choice(["", None, "x", "hot", "hot", "hot", f"y{k % 20}"])) for k in range(300)]
+    last = {}
+    for i, _, p in rows:
+        last[p or ""] = max(last.get(p or "", -1), -1 if i is None else i)
+    n = {p: sum((q or "") == p for _, _, q in rows) for p in last}
+    folder = shared_dir(spark, "test-warc")
+    warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4), folder)
+    got = sorted((r.page_id is None, r.page_id or 0, r.payload_bytes, r.record_type, r.refers_to or 0) for r in warc.read_archives(spark, folder).collect())
+    want = []
+    for i, _, p in rows:
+        own = last[p or ""]
+        revisit = n[p or ""] > 1 and own >= 0 and own != (-1 if i is None else i)
+        want.append((i is None, i or 0, len(p or ""), "revisit" if revisit else "response", own if revisit else 0))
+    assert got == sorted(want)
