@@ -156,7 +156,8 @@ def replication_lag(info: DataFrame, host: str = "host", ts: str = "ts") -> Data
     """host, ts, offset_diff, master_change (per second) and lag_seconds, whole numbers. info: a row per replica: host, ts, master_offset, replica_offset. Where the master stood still the lag is null."""
     one = info.groupBy(host, ts).agg(F.max("master_offset").alias("m"), F.max("replica_offset").alias("r")).where("m <> 0")
     w = Window.partitionBy(host).orderBy(ts)
-    seconds = F.unix_micros(F.col(ts).cast("timestamp")) / 1e6
-    change = ((F.col("m") - F.lag("m").over(w)) / (seconds - F.lag(seconds).over(w))).cast("long")
+    # whole microseconds are subtracted: of times close together, seconds as doubles keep too few digits
+    micros = F.unix_micros(F.col(ts).cast("timestamp"))
+    change = ((F.col("m") - F.lag("m").over(w)) / ((micros - F.lag(micros).over(w)) / 1e6)).cast("long")
     df = one.withColumn("master_change", change).withColumn("offset_diff", (F.col("m") - F.coalesce("r", F.lit(0))).cast("long"))
     return df.select(host, ts, "offset_diff", "master_change", F.when(F.col("master_change") != 0, (F.col("offset_diff") / F.col("master_change")).cast("long")).alias("lag_seconds"))
