@@ -1,7 +1,7 @@
 """Stateful streams: the folds of the batch operators, with their state kept between batches.
 
-State is one value for each key, with columns of its own, in the state store that the session names (RocksDB is advised); so what a checkpoint
-holds can be read as a table (see state_of). Rows of a key that arrive in one batch are put in order first. What a fold would emit at the end
+State is one entry for each key, with columns of its own, in the state store that the session names (RocksDB is advised); so what a checkpoint
+holds can be read as a table (see state_of). Rows of a bucket of keys that arrive in one batch are put in order first. What a fold would emit at the end
 of its input is emitted by a timer.
 """
 
@@ -29,38 +29,67 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 STATE = "fold"
 
 
+#: Keys are dealt by their hash into so many buckets, each a group of the stream with a map of its keys' states. A checkpoint keeps the number.
+BUCKETS = 4096
+#: Rows of a frame that leaves.
+OUT_ROWS = 10_000
+
+
 class _Processor(StatefulProcessor):
-    def __init__(self, new: Callable[[], Fold], order: list[str], names: list[str], wait_ms: int | None, ttl_ms: int | None):
-        self.new, self.order, self.names, self.wait_ms, self.ttl_ms = new, order, names, wait_ms, ttl_ms
+    """The folds of a bucket's keys: what a call costs is a bucket's and not each key's."""
+
+    def __init__(self, new: Callable[[], Fold], keys: dict[str, str], order: list[str], names: list[str], wait_ms: int | None, ttl_ms: int | None):
+        self.new, self.keys, self.order, self.names, self.wait_ms, self.ttl_ms = new, keys, order, names, wait_ms, ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        # a fold that names no columns is kept as a whole
-        self.state = handle.getValueState(STATE, self.new().state or "body binary", self.ttl_ms)
+        # a fold that names no columns is kept as a whole; due: when a key that gets no row until then ends
+        columns = (self.new().state or "body binary") + ("" if self.wait_ms is None else ", due bigint")
+        self.states = handle.getMapState(STATE, ", ".join(f"`{k}` {kind}" for k, kind in self.keys.items()), columns, self.ttl_ms)
 
-    def _load(self) -> Fold:
+    def _fold(self, values: tuple | None) -> Fold:
         fold = self.new()
-        if self.state.exists():
-            if not fold.state:
-                return pickle.loads(bytes(self.state.get()[0]))
-            fold.restore(tuple(self.state.get()))
+        if values is None:
+            return fold
+        if not fold.state:
+            return pickle.loads(bytes(values[0]))
+        fold.restore(tuple(values if self.wait_ms is None else values[:-1]))
         return fold
 
+    def _frames(self, out: list[tuple]) -> Iterator[pd.DataFrame]:
+        for k in range(0, len(out), OUT_ROWS):
+            yield pd.DataFrame(out[k : k + OUT_ROWS], columns=self.names)
+
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        fold, out = self._load(), []
-        for row in pd.concat(list(rows)).sort_values(self.order, kind="stable").itertuples(index=False):
-            out += fold.add(row)
-        self.state.update(fold.saved() if fold.state else (pickle.dumps(fold),))
-        if self.wait_ms is not None:
-            for t in list(self.handle.listTimers()):
-                self.handle.deleteTimer(t if isinstance(t, int) else t[0])
-            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.wait_ms)
-        yield pd.DataFrame(out, columns=self.names)
+        df = pd.concat(list(rows)).sort_values(self.order, kind="stable")
+        own: dict[tuple, list] = {}
+        for k, row in zip(zip(*(df[c].astype(object).where(df[c].notna(), None) for c in self.keys)), df.itertuples(index=False)):
+            own.setdefault(k, []).append(row)
+        due = () if self.wait_ms is None else (timerValues.getCurrentProcessingTimeInMs() + self.wait_ms,)
+        out, known = [], self.states.exists()
+        for k, its in own.items():
+            fold = self._fold(self.states.getValue(k) if known else None)
+            for row in its:
+                out += fold.add(row)
+            self.states.updateValue(k, (*(fold.saved() if fold.state else (pickle.dumps(fold),)), *due))
+        # a timer that is set is earlier, and sets the next one
+        if due and not list(self.handle.listTimers()):
+            self.handle.registerTimer(due[0])
+        yield from self._frames(out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        out = list(self._load().end()) if self.state.exists() else []
-        self.state.clear()
-        yield pd.DataFrame(out, columns=self.names)
+        now, out, over, later = timerValues.getCurrentProcessingTimeInMs(), [], [], []
+        for k, values in self.states.iterator():
+            if values[-1] <= now:
+                out += self._fold(values).end()
+                over.append(tuple(k))
+            else:
+                later = [min([values[-1], *later])]
+        for k in over:
+            self.states.removeKey(k)
+        if later:
+            self.handle.registerTimer(later[0])
+        yield from self._frames(out)
 
     def close(self) -> None:
         pass
@@ -69,7 +98,9 @@ class _Processor(StatefulProcessor):
 def stream_fold(df: DataFrame, keys: list[str], order: list[str], new: Callable[[], Fold], schema: str, wait_ms: int | None = None, ttl_ms: int | None = None) -> DataFrame:
     """A fold over a stream. wait_ms: a key that gets no row for so long emits its end and is forgotten. ttl_ms: state unused for so long is dropped."""
     names = [f.split()[0].strip("`") for f in _fields(schema)]
-    return df.groupBy(*keys).transformWithStateInPandas(_Processor(new, order, names, wait_ms, ttl_ms), outputStructType=schema, outputMode="append", timeMode="processingTime" if wait_ms is not None or ttl_ms is not None else "none")
+    kinds = {k: df.schema[k].dataType.simpleString() for k in keys}
+    dealt = df.withColumn("_bucket", F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int")).groupBy("_bucket")
+    return dealt.transformWithStateInPandas(_Processor(new, kinds, order, names, wait_ms, ttl_ms), outputStructType=schema, outputMode="append", timeMode="processingTime" if wait_ms is not None or ttl_ms is not None else "none")
 
 
 def stream_groups(lines: DataFrame, groupers: list[Grouper], wait_ms: int | None = 5_000, separator: str = "\n", max_bytes: int = MAX_LINE_BYTES) -> DataFrame:
@@ -128,7 +159,7 @@ def series_count(metrics: DataFrame, ts: str, every: str, late: str = "1 hour",
 
 def state_of(spark: SparkSession, checkpoint: str) -> DataFrame:
     """key and value (columns) of what a stopped stream of this module holds, from its checkpoint: a row for each key, for rates each series, that isn't forgotten."""
-    return spark.read.format("statestore").option("stateVarName", STATE).load(checkpoint).select("key", "value")
+    return spark.read.format("statestore").option("stateVarName", STATE).load(checkpoint).select(F.col("user_map_key").alias("key"), F.col("user_map_value").alias("value"))
 
 
 class _Stale(StatefulProcessor):

@@ -1,9 +1,19 @@
 """What shows only in larger tables: times close together, many keys, many ranges."""
 
+import random
+from types import SimpleNamespace
+
 import duckdb
+import pandas as pd
 from pyspark.sql import functions as F
 
 from logspark import catalog
+from logspark.operators import lines as L
+from logspark.operators import metrics as M
+from logspark.operators.metrics import _Rate
+from logspark.plans.stream_queries import PROVIDER, run_to_end
+from logspark.streaming import stateful
+from tests.test_streams import _stream, _until
 
 
 def test_replication_lag_of_close_times(spark, tmp_path):
@@ -18,3 +28,41 @@ def test_replication_lag_of_close_times(spark, tmp_path):
     got = catalog.QUERIES["replication_lag"](spark, str(tmp_path)).select(*columns).collect()
     want = con.sql(f"SELECT {', '.join(columns)} FROM ({catalog.SQL['replication_lag']})").fetchall()
     assert sorted(map(tuple, got)) == sorted(want) and len(want) == 999
+
+
+def _samples(spark, n=400):
+    rng = random.Random(4)
+    rows = [(i, "app", rng.choice([f"h{k}" for k in range(40)]), "m", rng.choice([None, 1.0, 5.0, 5.0, 9.0]), 1000 * i) for i in range(n)]
+    return spark.createDataFrame(rows, "id long, monitor string, instance string, metric string, value double, ts_ms long").withColumn("extra", F.lit(None).cast("map<string,string>"))
+
+
+def test_series_of_a_bucket(spark, tmp_path, monkeypatch):
+    """Forty series in two buckets, over three batches: what the batch operator gives."""
+    monkeypatch.setattr(stateful, "BUCKETS", 2)
+    df = _samples(spark)
+    got = run_to_end(stateful.stream_rate(_stream(spark, df, tmp_path / "in", "id"), ttl_ms=None), "rate")
+    want = sorted(map(tuple, M.rate(df).collect()))
+    assert sorted(map(tuple, got.collect())) == want and len(want) > 100
+
+
+def test_a_bucket_is_called_once(monkeypatch):
+    """A hundred series cost one question whether there is state, one write each and one frame; then one read and one write each."""
+    calls, held = [], {}
+    put = lambda k, v: (calls.append("put"), held.__setitem__(k, v))
+    states = SimpleNamespace(exists=lambda: calls.append("exists") or bool(held), getValue=lambda k: calls.append("get") or held.get(k), updateValue=put)
+    p = stateful._Processor(lambda: _Rate(660), {"series": "string"}, ["ts_ms"], ["series", "ts_ms", "rate"], None, None)
+    p.init(SimpleNamespace(getMapState=lambda *_: states))
+    batch = lambda *times: pd.DataFrame([(0, f"s{k}", t, t / 500) for t in times for k in range(100)], columns=["_bucket", "series", "ts_ms", "value"])
+    (one,) = p.handleInputRows((0,), iter([batch(3000, 2000), batch(1000)]), None)
+    assert len(one) == 200 and set(one.rate) == {2.0} and calls == ["exists", *["put"] * 100]
+    (two,) = p.handleInputRows((0,), iter([batch(4000)]), None)
+    assert len(two) == 100 and set(two.rate) == {2.0} and calls[101:] == ["exists", *["get", "put"] * 100]
+
+
+def test_keys_of_a_bucket_end_each_in_its_time(spark, tmp_path, monkeypatch):
+    """Two batches, one of which goes on with a key of the other: one timer after the other."""
+    monkeypatch.setattr(stateful, "BUCKETS", 1)
+    rows = [(k, i, f"2024-01-01T00:00:0{i}Z stdout {'F' if i == 4 else 'P'} {k}{i}") for i, k in enumerate("aabbccd")]
+    parsed = L.parse_cri(_stream(spark, spark.createDataFrame(rows, "log_path string, line_seq long, raw string"), tmp_path / "in", "line_seq", 2))
+    got = _until(stateful.stream_pieces(parsed, wait_ms=8000), tmp_path, lambda found: len(found) == 5)
+    assert sorted((r.log_path, r.message, r.partial) for r in got) == [("a", "a0a1", True), ("b", "b2b3", True), ("c", "c4", False), ("c", "c5", True), ("d", "d6", True)]
