@@ -66,3 +66,19 @@ def test_keys_of_a_bucket_end_each_in_its_time(spark, tmp_path, monkeypatch):
     parsed = L.parse_cri(_stream(spark, spark.createDataFrame(rows, "log_path string, line_seq long, raw string"), tmp_path / "in", "line_seq", 2))
     got = _until(stateful.stream_pieces(parsed, wait_ms=8000), tmp_path, lambda found: len(found) == 5)
     assert sorted((r.log_path, r.message, r.partial) for r in got) == [("a", "a0a1", True), ("b", "b2b3", True), ("c", "c4", False), ("c", "c5", True), ("d", "d6", True)]
+
+
+def test_state_of_buckets_has_a_row_a_series(spark, tmp_path, monkeypatch):
+    """The entries of each bucket are read, with the last sample that each series holds."""
+    monkeypatch.setattr(stateful, "BUCKETS", 3)
+    df = _samples(spark).withColumn("value", F.col("id").cast("double"))
+    provider = spark.conf.get(PROVIDER)
+    spark.conf.set(PROVIDER, stateful.ROCKSDB)
+    try:
+        out = stateful.stream_rate(_stream(spark, df, tmp_path / "in", "id"), ttl_ms=None)
+        out.writeStream.trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c")).format("parquet").option("path", str(tmp_path / "out")).start().awaitTermination()
+        held = {r.key.series: (r.value.time, r.value.value) for r in stateful.state_of(spark, str(tmp_path / "c")).collect()}
+    finally:
+        spark.conf.set(PROVIDER, provider)
+    last = M.with_series(df).groupBy("series").agg(F.max("id").alias("id")).collect()
+    assert held == {r.series: (float(r.id), float(r.id)) for r in last} and len(held) == 40
