@@ -20,8 +20,10 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStrea
 
 from logspark.model import LINE, METRIC
 
-#: Bytes of a range that a task reads, and of what is read at once.
-RANGE_BYTES, READ_BYTES = 64 << 20, 1 << 20
+#: Bytes of a range, of what is read at once, and of what is read first to end a line that goes on after its range.
+RANGE_BYTES, READ_BYTES, AHEAD_BYTES = 64 << 20, 1 << 20, 1 << 12
+#: A task takes small ranges and files until it has so many bytes; a part of a file counts as so many more.
+TASK_BYTES, OPEN_BYTES = 4 << 20, 1 << 15
 _LINES = pa.schema([("log_path", pa.string()), ("line_seq", pa.int64()), ("byte_offset", pa.int64()), ("raw", pa.string()), ("raw_len", pa.int32())])
 
 
@@ -79,47 +81,88 @@ def ranges(path: str, start: int, end: int, size: int, whole: bool) -> list[Rang
     return [Range(path, s, min(end, s + size), whole) for s in range(start, end, size)]
 
 
+@dataclass
+class Task(InputPartition):
+    """Parts of files that a task reads in turn, in ranges of `size` bytes."""
+
+    parts: list[Range]
+    size: int
+
+
+def tasks(parts: list[Range], size: int) -> list[Task]:
+    """The parts dealt to tasks in whole ranges: small ones are put together, so that tasks are as many as the bytes need."""
+    out, room = [], 0
+    for p in parts:
+        at = p.start
+        while at < p.end:
+            if room <= 0:
+                out.append(Task([], size))
+                room = max(size, TASK_BYTES)
+            end = min(p.end, at + max(1, room // size) * size)
+            out[-1].parts.append(Range(p.path, at, end, p.whole))
+            room -= end - at + OPEN_BYTES
+            at = end
+    return out
+
+
+def read_task(task: Task) -> Iterator[pa.RecordBatch]:
+    for p in task.parts:
+        system, path, _ = open_at(p.path)
+        with system.open_input_file(path) as f:
+            for r in ranges(p.path, p.start, p.end, task.size, p.whole):
+                yield from _lines(f, r)
+
+
 def read_range(r: Range) -> Iterator[pa.RecordBatch]:
     """The lines that begin in a range. line_seq and byte_offset are the place of a line's first byte; a carriage return stays, what isn't UTF-8 becomes U+FFFD."""
     system, path, _ = open_at(r.path)
     with system.open_input_file(path) as f:
-        at, held = r.start, b""
-        if r.start:
-            # the line that begins before the range is the one before's, unless it ends just there
-            at -= 1
-            skipping = True
+        yield from _lines(f, r)
+
+
+def _lines(f: pa.NativeFile, r: Range) -> Iterator[pa.RecordBatch]:
+    at, held, ahead = r.start, b"", AHEAD_BYTES
+    if r.start:
+        # the line that begins before the range is the one before's, unless it ends just there
+        at -= 1
+        skipping = True
+    else:
+        skipping = False
+    read = at
+    while True:
+        # no more than the range, then by twice as much until its last line ends
+        if read < r.end:
+            block = f.read_at(min(READ_BYTES, r.end - read), read)
         else:
-            skipping = False
-        read = at
-        while True:
-            block = f.read_at(READ_BYTES, read)
-            read += len(block)
-            held += block
-            if skipping:
-                cut = held.find(b"\n")
-                if cut < 0 and block:
-                    at, held = at + len(held), b""
-                    continue
-                if cut < 0:
-                    return
-                at, held, skipping = at + cut + 1, held[cut + 1 :], False
-            cut = held.rfind(b"\n") + 1
-            if not block and r.whole and held:
-                cut = len(held)
-            lines = held[:cut].split(b"\n")
-            if cut and held[cut - 1 : cut] == b"\n":
-                lines.pop()
-            if cut:
-                sizes = np.array([len(x) + 1 for x in lines], np.int64)
-                places = at + np.cumsum(sizes) - sizes
-                n = int(np.searchsorted(places, r.end))
-                text = [x.decode("utf-8", "replace") for x in lines[:n]]
-                yield pa.RecordBatch.from_arrays([pa.array([r.path] * n, pa.string()), pa.array(places[:n]), pa.array(places[:n]), pa.array(text, pa.string()), pa.array(sizes[:n], pa.int32())], schema=_LINES)
-                at, held = at + cut, held[cut:]
-                if at >= r.end:
-                    return
-            if not block or (at >= r.end):
+            block, ahead = f.read_at(min(READ_BYTES, ahead), read), 2 * ahead
+        read += len(block)
+        held += block
+        if skipping:
+            cut = held.find(b"\n")
+            if cut < 0 and block and read < r.end:
+                at, held = at + len(held), b""
+                continue
+            # a line that goes on through the whole range is that of another
+            if cut < 0:
                 return
+            at, held, skipping = at + cut + 1, held[cut + 1 :], False
+        cut = held.rfind(b"\n") + 1
+        if not block and r.whole and held:
+            cut = len(held)
+        lines = held[:cut].split(b"\n")
+        if cut and held[cut - 1 : cut] == b"\n":
+            lines.pop()
+        if cut:
+            sizes = np.array([len(x) + 1 for x in lines], np.int64)
+            places = at + np.cumsum(sizes) - sizes
+            n = int(np.searchsorted(places, r.end))
+            text = [x.decode("utf-8", "replace") for x in lines[:n]]
+            yield pa.RecordBatch.from_arrays([pa.array([r.path] * n, pa.string()), pa.array(places[:n]), pa.array(places[:n]), pa.array(text, pa.string()), pa.array(sizes[:n], pa.int32())], schema=_LINES)
+            at, held = at + cut, held[cut:]
+            if at >= r.end:
+                return
+        if not block or (at >= r.end):
+            return
 
 
 class _Files:
@@ -134,11 +177,11 @@ class _Files:
 
 
 class _BatchReader(_Files, DataSourceReader):
-    def partitions(self) -> list[Range]:
-        return [r for p, n in sorted(self.files().items()) for r in ranges(p, 0, n, self.size, True)] or [Range("", 0, 0)]
+    def partitions(self) -> list[Task]:
+        return tasks([Range(p, 0, n) for p, n in sorted(self.files().items())], self.size) or [Task([], self.size)]
 
-    def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
-        return read_range(partition) if partition.path else iter(())
+    def read(self, partition: Task) -> Iterator[pa.RecordBatch]:
+        return read_task(partition)
 
 
 class _StreamReader(_Files, DataSourceStreamReader):
@@ -165,21 +208,18 @@ class _StreamReader(_Files, DataSourceStreamReader):
     def latestOffset(self) -> dict:
         return self._ends()
 
-    def partitions(self, start: dict, end: dict) -> list[Range]:
-        out = []
-        for p, n in sorted(end.items()):
-            begin = start.get(p, 0)
-            out += ranges(p, begin if begin <= n else 0, n, self.size, False)
-        return out
+    def partitions(self, start: dict, end: dict) -> list[Task]:
+        begins = {p: start.get(p, 0) for p in end}
+        return tasks([Range(p, begins[p] if begins[p] <= n else 0, n, False) for p, n in sorted(end.items())], self.size)
 
-    def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
-        return read_range(partition)
+    def read(self, partition: Task) -> Iterator[pa.RecordBatch]:
+        return read_task(partition)
 
 
 class LogTail(DataSource):
     """Lines of the files that `path` (a file, a folder or a glob) names: see model.LINE.
 
-    Options: path; exclude, globs of paths, by commas; rangeBytes, of a task; start, of a stream that has no checkpoint: `beginning`, or `end`, which passes over what
+    Options: path; exclude, globs of paths, by commas; rangeBytes, read at a time (a task takes as many small ranges as make 4 MB); start, of a stream that has no checkpoint: `beginning`, or `end`, which passes over what
     files hold then. A stream takes lines when they are ended; files that appear later are read from their beginning, a file that has shrunk is read anew. As a batch also a last line without an end is a line.
     """
 

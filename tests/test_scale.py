@@ -12,6 +12,7 @@ from logspark.operators import lines as L
 from logspark.operators import metrics as M
 from logspark.operators.metrics import _Rate
 from logspark.plans.stream_queries import PROVIDER, run_to_end
+from logspark.sources import tailing
 from logspark.streaming import stateful
 from tests.test_streams import _stream, _until
 
@@ -82,3 +83,21 @@ def test_state_of_buckets_has_a_row_a_series(spark, tmp_path, monkeypatch):
         spark.conf.set(PROVIDER, provider)
     last = M.with_series(df).groupBy("series").agg(F.max("id").alias("id")).collect()
     assert held == {r.series: (float(r.id), float(r.id)) for r in last} and len(held) == 40
+
+
+def test_tasks_are_as_many_as_bytes_need(tmp_path):
+    """Small ranges and files are put together, each range is read once, and little more than its bytes."""
+    parts = [tailing.Range(f"f{k:03d}", 0, 100) for k in range(300)] + [tailing.Range("large", 0, 40 << 20), tailing.Range("none", 0, 0)]
+    dealt = tailing.tasks(parts, 1 << 16)
+    assert len(dealt) < 20 and max(sum(p.end - p.start for p in t.parts) for t in dealt) <= tailing.TASK_BYTES
+    assert [(p.path, p.start // (1 << 16)) for t in dealt for p in t.parts] == sorted((p.path, p.start // (1 << 16)) for t in dealt for p in t.parts)
+    cut = [r for t in dealt for p in t.parts for r in tailing.ranges(p.path, p.start, p.end, t.size, p.whole)]
+    assert cut == [r for p in parts for r in tailing.ranges(p.path, p.start, p.end, 1 << 16, p.whole)]
+    path = tmp_path / "a.log"
+    path.write_bytes(b"".join(b"line %d\n" % i for i in range(150_000)) + b"x" * 1_000_000 + b"\nlast")
+    data, read = path.read_bytes(), []
+    whole = SimpleNamespace(read_at=lambda n, at: read.append(len(data[at : at + n])) or data[at : at + n])
+    lines = [x for r in tailing.ranges(str(path), 0, len(data), 1 << 16, True) for b in tailing._lines(whole, r) for x in b["raw"].to_pylist()]
+    assert lines == data.decode().split("\n") and sum(read) < 2.2 * len(data)
+    (task,) = tailing.tasks([tailing.Range(str(path), 0, len(data))], 1 << 16)
+    assert [x for b in tailing.read_task(task) for x in b["raw"].to_pylist()] == lines
