@@ -192,10 +192,11 @@ TICKS = 100
 
 def parse_proc_stat(lines: DataFrame, column: str = "raw") -> DataFrame:
     """metric, type, value of a process's stat line: times in hundredths of a second, io wait in milliseconds."""
-    p = F.split(F.regexp_replace(F.col(column), r"^.*?\) ", ""), r"\s+")
-    number = lambda k: F.get(p, F.lit(_STAT[k])).try_cast("double")
+    # a column of its own: what explode makes rows of is computed for each mention of a line's fields
+    df = lines.withColumn("_p", F.split(F.regexp_replace(F.col(column), r"^.*?\) ", ""), r"\s+"))
+    number = lambda k: F.get("_p", F.lit(_STAT[k])).try_cast("double")
     rows = [("app.cpu", "user", number("user") * 100 / TICKS), ("app.cpu", "system", number("system") * 100 / TICKS), ("app.nice", None, number("nice")), ("app.threads", None, number("threads")), ("app.mem.majflt", None, number("majflt")), ("app.io.wait", None, number("io_wait") * 1000 / TICKS), ("app.start", None, number("start") * 1000 / TICKS)]
-    df = lines.withColumn("_m", F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), F.lit(t).cast("string").alias("type"), v.alias("value")) for m, t, v in rows))))
+    df = df.withColumn("_m", F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), F.lit(t).cast("string").alias("type"), v.alias("value")) for m, t, v in rows))))
     return df.select(*lines.columns, "_m.metric", "_m.type", "_m.value").where("value is not null")
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from logspark import catalog
 from logspark.operators import lines as L
 from logspark.operators import metrics as M
+from logspark.operators import parse
 from logspark.operators.metrics import _Rate
 from logspark.plans.stream_queries import PROVIDER, run_to_end
 from logspark.sources import tailing
@@ -101,3 +102,14 @@ def test_tasks_are_as_many_as_bytes_need(tmp_path):
     assert lines == data.decode().split("\n") and sum(read) < 2.2 * len(data)
     (task,) = tailing.tasks([tailing.Range(str(path), 0, len(data))], 1 << 16)
     assert [x for b in tailing.read_task(task) for x in b["raw"].to_pylist()] == lines
+
+
+def test_process_lines_are_split_once(spark):
+    """A line with fields, one with few, one that is none."""
+    stat = "7 (a b) " + " ".join(str(k) for k in range(45))
+    df = spark.createDataFrame([(1, stat), (2, "7 (x) S 1 2"), (3, None)], "id long, raw string")
+    out = parse.parse_proc_stat(df)
+    got = {(r.id, r.metric, r.type): r.value for r in out.collect()}
+    assert got == {(1, "app.cpu", "user"): 11.0, (1, "app.cpu", "system"): 12.0, (1, "app.nice", None): 16.0, (1, "app.threads", None): 17.0, (1, "app.mem.majflt", None): 9.0, (1, "app.io.wait", None): 390.0, (1, "app.start", None): 190.0}
+    assert out.columns == ["id", "raw", "metric", "type", "value"]
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
