@@ -147,12 +147,13 @@ def merge_pieces(lines: DataFrame, block: Column | None = None) -> DataFrame:
 
 def parse_cri(lines: DataFrame) -> DataFrame:
     """Adds ts_nanos, stream, tags, message and error of container runtime lines: TIME stdout|stderr TAGS [MESSAGE]. error: why a line isn't one."""
-    p = F.split("raw", " ", 4)
+    # as a row made of the line its fields are split once: a filter on them isn't pushed below it, to split anew for each mention
+    df, p = lines.withColumn("_p", F.explode(F.array(F.split("raw", " ", 4)))), F.col("_p")
     time, stream, tags = F.get(p, F.lit(0)), F.get(p, F.lit(1)), F.split(F.get(p, F.lit(2)), ":")
     nanos = rfc3339_nanos(time)
     full = F.coalesce(F.array_contains(tags, "P") | F.array_contains(tags, "F"), F.lit(False))
     error = F.when(F.size(p) < 3, "fields").when(~stream.isin("stdout", "stderr"), "stream").when(~full, "tags").when(nanos.isNull(), "time")
-    return lines.withColumns({"ts_nanos": nanos, "stream": stream, "tags": tags, "message": F.coalesce(F.get(p, F.lit(3)), F.lit("")), "error": error})
+    return df.withColumns({"ts_nanos": nanos, "stream": stream, "tags": tags, "message": F.coalesce(F.get(p, F.lit(3)), F.lit("")), "error": error}).drop("_p")
 
 
 class _Pieces(Fold):

@@ -113,3 +113,13 @@ def test_process_lines_are_split_once(spark):
     assert got == {(1, "app.cpu", "user"): 11.0, (1, "app.cpu", "system"): 12.0, (1, "app.nice", None): 16.0, (1, "app.threads", None): 17.0, (1, "app.mem.majflt", None): 9.0, (1, "app.io.wait", None): 390.0, (1, "app.start", None): 190.0}
     assert out.columns == ["id", "raw", "metric", "type", "value"]
     assert out._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
+
+
+def test_fields_of_a_line_are_split_once(spark):
+    """A filter on what was parsed doesn't split the line, or build it, for each mention of a field."""
+    raw = F.concat(F.lit("2024-01-01T00:00:00Z stdout F "), F.col("id").cast("string"), F.lit("-built"))
+    df = spark.range(3).select(F.lit("a").alias("log_path"), F.col("id").alias("line_seq"), F.when(F.col("id") < 2, raw).alias("raw"))
+    ok = L.parse_cri(df)
+    assert [(r.line_seq, r.message, r.error) for r in ok.orderBy("line_seq").collect()] == [(0, "0-built", None), (1, "1-built", None), (2, "", "tags")]
+    plan = ok.where("error is null").select("line_seq", "ts_nanos", "message")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("-built") == 1
