@@ -119,6 +119,7 @@ class _Rate(Fold):
     """The last accepted sample. A sample not later, or less, is skipped and changes nothing; after a long gap the next one begins anew."""
 
     state = "time double, value double"
+    takes = ("series", "ts_ms", "value")
 
     def __init__(self, gap: float):
         self.gap, self.time, self.value = gap, None, None
@@ -130,17 +131,21 @@ class _Rate(Fold):
         self.time, self.value = values
 
     def add(self, row):
-        if row.value is None or math.isnan(row.value):
-            return
-        t = row.ts_ms / 1000
-        if self.time is None or t - self.time >= self.gap:
-            self.time, self.value = t, row.value
-            return
-        if t <= self.time or row.value < self.value:
-            return
-        rate = (row.value - self.value) / (t - self.time)
-        self.time, self.value = t, row.value
-        yield row.series, row.ts_ms, rate
+        return self.add_lists((row.series,), (row.ts_ms,), (row.value,))
+
+    def add_lists(self, series, times, values):
+        for s, ms, value in zip(series, times, values):
+            if value is None or math.isnan(value):
+                continue
+            t = ms / 1000
+            if self.time is None or t - self.time >= self.gap:
+                self.time, self.value = t, value
+                continue
+            if t <= self.time or value < self.value:
+                continue
+            rate = (value - self.value) / (t - self.time)
+            self.time, self.value = t, value
+            yield s, ms, rate
 
 
 def with_series(metrics: DataFrame, parts: tuple[str, ...] = ("monitor", "instance", "metric")) -> DataFrame:
@@ -255,6 +260,7 @@ def _float(x) -> float | None:
 
 class _Bucket(Fold):
     state = "level double, time double, dropped bigint"
+    takes = ("key", "t", "cost")
 
     def saved(self):
         return float(self.level), _float(self.time), int(self.dropped)
@@ -266,16 +272,20 @@ class _Bucket(Fold):
         self.burst, self.rate, self.level, self.time, self.dropped = burst, per_second, burst, None, 0
 
     def add(self, row):
-        if self.time is not None:
-            self.level = min(self.burst, self.level + (row.t - self.time) * self.rate)
-        self.time = row.t
-        if row.cost <= self.level:
-            self.level -= row.cost
-            yield row.key, row.t, row.cost, True, self.dropped
-            self.dropped = 0
-        else:
-            self.dropped += 1
-            yield row.key, row.t, row.cost, False, 0
+        return self.add_lists((row.key,), (row.t,), (row.cost,))
+
+    def add_lists(self, keys, times, costs):
+        for key, t, cost in zip(keys, times, costs):
+            if self.time is not None:
+                self.level = min(self.burst, self.level + (t - self.time) * self.rate)
+            self.time = t
+            if cost <= self.level:
+                self.level -= cost
+                yield key, t, cost, True, self.dropped
+                self.dropped = 0
+            else:
+                self.dropped += 1
+                yield key, t, cost, False, 0
 
 
 def rate_limit(rows: DataFrame, key: Column, t: Column, cost: Column, burst: float, per_second: float) -> DataFrame:
@@ -286,6 +296,7 @@ def rate_limit(rows: DataFrame, key: Column, t: Column, cost: Column, burst: flo
 
 class _Once(Fold):
     state = "last double"
+    takes = ("key", "t")
 
     def saved(self):
         return (_float(self.last),)
@@ -297,9 +308,13 @@ class _Once(Fold):
         self.seconds, self.last = seconds, None
 
     def add(self, row):
-        if self.last is None or row.t - self.last >= self.seconds:
-            self.last = row.t
-            yield row.key, row.t
+        return self.add_lists((row.key,), (row.t,))
+
+    def add_lists(self, keys, times):
+        for key, t in zip(keys, times):
+            if self.last is None or t - self.last >= self.seconds:
+                self.last = t
+                yield key, t
 
 
 def once_per(rows: DataFrame, key: Column, t: Column, seconds: float) -> DataFrame:

@@ -115,9 +115,11 @@ class Fold:
     """The state of one key. add() gets a row and returns rows to emit; end() is called after a key's last row.
 
     state: columns that hold it between the batches of a stream, as a schema; saved() gives their values and restore() takes them. Without, it is kept as a whole.
+    takes: columns that add() reads. Then add_lists() gets these columns of several rows, as lists, and returns what add() would for one row after the other.
     """
 
     state = ""
+    takes: tuple[str, ...] = ()
 
     def saved(self) -> tuple:
         raise NotImplementedError
@@ -128,6 +130,9 @@ class Fold:
     def add(self, row) -> Iterable[tuple]:
         return ()
 
+    def add_lists(self, *columns: list) -> Iterable[tuple]:
+        raise NotImplementedError
+
     def end(self) -> Iterable[tuple]:
         return ()
 

@@ -1,15 +1,17 @@
 """Stateful streams: the folds of the batch operators, with their state kept between batches.
 
-State is one entry for each key, with columns of its own, in the state store that the session names (RocksDB is advised); so what a checkpoint
-holds can be read as a table (see state_of). Rows of a bucket of keys that arrive in one batch are put in order first. What a fold would emit at the end
+State has columns of its own, an entry for each key or (a few numbers a key) for each chunk of keys, in the state store that the session names (RocksDB is advised);
+so what a checkpoint holds can be read as a table (see state_of). Rows of a bucket of keys that arrive in one batch are put in order first. What a fold would emit at the end
 of its input is emitted by a timer.
 """
 
 from __future__ import annotations
 
 import pickle
+import zlib
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,6 +33,10 @@ STATE = "fold"
 
 #: Keys are dealt by their hash into so many buckets, each a group of the stream with a map of its keys' states. A checkpoint keeps the number.
 BUCKETS = 4096
+#: Keys of a bucket are dealt into so many chunks, if their states are kept by chunks (see _Chunked). A checkpoint keeps the number.
+CHUNKS = 16
+#: The name of a chunk's number.
+CHUNK = "_chunk"
 #: Rows of a frame that leaves.
 OUT_ROWS = 10_000
 
@@ -95,12 +101,52 @@ class _Processor(StatefulProcessor):
         pass
 
 
+class _Chunked(_Processor):
+    """Folds whose state is a few numbers and that take lists. A chunk of a bucket's keys is one entry of the state, with a list for each column: a batch reads and writes the chunks
+    that it has keys of, so that calls are bounded by the chunks and don't grow with the keys."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        columns = [(f"key_{k}", kind) for k, kind in self.keys.items()] + [(f"value_{n}", kind) for n, kind in (f.split(None, 1) for f in _fields(self.new().state))]
+        self.states = handle.getMapState(STATE, f"{CHUNK} int", ", ".join(f"`{n}` array<{kind}>" for n, kind in columns), None)
+
+    def _read(self, chunk: int) -> dict[tuple, tuple]:
+        columns = self.states.getValue((chunk,))
+        return {} if columns is None else dict(zip(zip(*columns[: len(self.keys)]), zip(*columns[len(self.keys) :])))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        df = pd.concat(list(rows)).sort_values(self.order, kind="stable")
+        codes = df.groupby(list(self.keys), sort=False, dropna=False).ngroup().to_numpy()
+        at = np.argsort(codes, kind="stable")
+        starts = np.flatnonzero(np.diff(codes[at], prepend=-1))
+        heads = zip(*([None if pd.isna(x) else x for x in df[c].to_numpy(object)[at[starts]]] for c in self.keys))
+        lists = [df[c].iloc[at].tolist() for c in self.new().takes]
+        chunks: dict[int, dict[tuple, tuple]] = {}
+        out, known = [], self.states.exists()
+        for k, a, b in zip(heads, starts.tolist(), [*starts[1:].tolist(), len(at)]):
+            n = zlib.crc32(ascii(k).encode()) % CHUNKS
+            if n not in chunks:
+                chunks[n] = self._read(n) if known else {}
+            fold = self._fold(chunks[n].get(k))
+            out += fold.add_lists(*(x[a:b] for x in lists))
+            chunks[n][k] = fold.saved()
+        for n, held in chunks.items():
+            self.states.updateValue((n,), (*map(list, zip(*held)), *map(list, zip(*held.values()))))
+        yield from self._frames(out)
+
+
+def _processor(new: Callable[[], Fold], keys: dict[str, str], order: list[str], names: list[str], wait_ms: int | None, ttl_ms: int | None) -> _Processor:
+    # a timer or a time to live is each key's own
+    kind = _Chunked if new().takes and wait_ms is None and ttl_ms is None else _Processor
+    return kind(new, keys, order, names, wait_ms, ttl_ms)
+
+
 def stream_fold(df: DataFrame, keys: list[str], order: list[str], new: Callable[[], Fold], schema: str, wait_ms: int | None = None, ttl_ms: int | None = None) -> DataFrame:
     """A fold over a stream. wait_ms: a key that gets no row for so long emits its end and is forgotten. ttl_ms: state unused for so long is dropped."""
     names = [f.split()[0].strip("`") for f in _fields(schema)]
     kinds = {k: df.schema[k].dataType.simpleString() for k in keys}
     dealt = df.withColumn("_bucket", F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int")).groupBy("_bucket")
-    return dealt.transformWithStateInPandas(_Processor(new, kinds, order, names, wait_ms, ttl_ms), outputStructType=schema, outputMode="append", timeMode="processingTime" if wait_ms is not None or ttl_ms is not None else "none")
+    return dealt.transformWithStateInPandas(_processor(new, kinds, order, names, wait_ms, ttl_ms), outputStructType=schema, outputMode="append", timeMode="processingTime" if wait_ms is not None or ttl_ms is not None else "none")
 
 
 def stream_groups(lines: DataFrame, groupers: list[Grouper], wait_ms: int | None = 5_000, separator: str = "\n", max_bytes: int = MAX_LINE_BYTES) -> DataFrame:
@@ -159,7 +205,13 @@ def series_count(metrics: DataFrame, ts: str, every: str, late: str = "1 hour",
 
 def state_of(spark: SparkSession, checkpoint: str) -> DataFrame:
     """key and value (columns) of what a stopped stream of this module holds, from its checkpoint: a row for each key, for rates each series, that isn't forgotten."""
-    return spark.read.format("statestore").option("stateVarName", STATE).load(checkpoint).select(F.col("user_map_key").alias("key"), F.col("user_map_value").alias("value"))
+    held = spark.read.format("statestore").option("stateVarName", STATE).load(checkpoint).select(F.col("user_map_key").alias("key"), F.col("user_map_value").alias("value"))
+    if held.schema["key"].dataType.names != [CHUNK]:
+        return held
+    lists = held.select("value.*")
+    rows = lists.select(F.explode(F.arrays_zip(*lists.columns)).alias("row"))
+    part = lambda prefix: F.struct(*(F.col(f"row.{c}").alias(c.removeprefix(prefix)) for c in lists.columns if c.startswith(prefix)))
+    return rows.select(part("key_").alias("key"), part("value_").alias("value"))
 
 
 class _Stale(StatefulProcessor):

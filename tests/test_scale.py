@@ -11,7 +11,8 @@ from logspark import catalog
 from logspark.operators import lines as L
 from logspark.operators import metrics as M
 from logspark.operators import parse
-from logspark.operators.metrics import _Rate
+from logspark.operators.metrics import _Bucket, _Once, _Rate
+from logspark.operators.ordered import ordered_fold
 from logspark.plans.stream_queries import PROVIDER, run_to_end
 from logspark.sources import tailing
 from logspark.streaming import stateful
@@ -86,6 +87,41 @@ def test_state_of_buckets_has_a_row_a_series(spark, tmp_path, monkeypatch):
     assert held == {r.series: (float(r.id), float(r.id)) for r in last} and len(held) == 40
 
 
+def test_chunks_of_a_bucket_are_called_once():
+    """A thousand series cost a read and a write for each chunk, and what a chunk holds of other series stays."""
+    calls, held = [], {}
+    put = lambda k, v: (calls.append("put"), held.__setitem__(k, v))
+    states = SimpleNamespace(exists=lambda: bool(held), getValue=lambda k: calls.append("get") or held.get(k), updateValue=put)
+    p = stateful._processor(lambda: _Rate(660), {"series": "string"}, ["ts_ms", "value"], ["series", "ts_ms", "rate"], None, None)
+    p.init(SimpleNamespace(getMapState=lambda *_: states))
+    batch = lambda keys, *times: pd.DataFrame([(0, k, t, None if k is None else t / 500) for t in times for k in keys], columns=["_bucket", "series", "ts_ms", "value"])
+    names = [f"s{k}" for k in range(1000)]
+    (one,) = p.handleInputRows((0,), iter([batch([*names, None], 3000, 2000), batch(names, 1000)]), None)
+    assert len(one) == 2000 and set(one.rate) == {2.0} and calls == ["put"] * stateful.CHUNKS
+    # the null series has had no value yet; nine series go on
+    nulls = pd.DataFrame([(0, None, t, 1.0 * t) for t in (1000, 2000)], columns=["_bucket", "series", "ts_ms", "value"])
+    (two,) = p.handleInputRows((0,), iter([batch(names[:9], 4000), nulls]), None)
+    assert sorted(two.rate) == [2.0] * 9 + [1000.0] and calls.count("get") == calls.count("put") - stateful.CHUNKS <= 10
+    (three,) = p.handleInputRows((0,), iter([batch(names, 5000)]), None)
+    assert len(three) == 1000 and set(three.rate) == {2.0} and len(calls) <= 20 + 3 * stateful.CHUNKS
+    assert sorted(k for v in held.values() for k in v[0] if k is not None) == sorted(names)
+    # a time to live or a timer is each key's own
+    assert all(type(stateful._processor(lambda: _Rate(660), {}, [], [], *own)) is stateful._Processor for own in ((1, None), (None, 1)))
+
+
+def test_keys_of_chunks_go_on(spark, tmp_path, monkeypatch):
+    """Forty keys in one bucket, over three batches: what the folds of tables give."""
+    monkeypatch.setattr(stateful, "BUCKETS", 1)
+    df = spark.range(300).select("id", F.when(F.col("id") % 41 != 7, (F.col("id") * 7 % 41).cast("string")).alias("key"), (F.col("id") * 10.5).alias("t"), (F.col("id") % 5 + 1).cast("double").alias("cost"))
+    out = run_to_end(stateful.stream_once_per(_stream(spark, df, tmp_path / "once", "id"), 1000), "once")
+    want = ordered_fold(df.select("key", "t"), ["key"], ["t"], lambda: _Once(1000), "key string, t double")
+    rows = lambda d: sorted(map(repr, d.collect()))
+    assert rows(out) == rows(want) and 41 < want.count() < 200
+    out = run_to_end(stateful.stream_rate_limit(_stream(spark, df, tmp_path / "limit", "id"), 6, 0.005), "limit")
+    schema = "key string, t double, cost double, admitted boolean, dropped_before bigint"
+    assert rows(out) == rows(ordered_fold(df.select("key", "t", "cost"), ["key"], ["t", "cost"], lambda: _Bucket(6, 0.005), schema))
+
+
 def test_tasks_are_as_many_as_bytes_need(tmp_path):
     """Small ranges and files are put together, each range is read once, and little more than its bytes."""
     parts = [tailing.Range(f"f{k:03d}", 0, 100) for k in range(300)] + [tailing.Range("large", 0, 40 << 20), tailing.Range("none", 0, 0)]
